@@ -207,7 +207,9 @@ def grid_scores(
         "hits": [("id", ids), ("label", labels)],
     }
     schema = T.StructType([T.StructField(n, t) for n, t in shapes[output]])
-    cells = lefts.groupBy("__l", "__r").cogroup(rights.select(*kept).groupBy("__l", "__r"))
+    # New attribute ids: the two sides may come from the same table.
+    fresh = rights.select(*[F.col(c).alias(c) for c in kept])
+    cells = lefts.groupBy("__l", "__r").cogroup(fresh.groupBy("__l", "__r"))
     return cells.applyInArrow(_cell_function(_KINDS[method], output, unordered), schema)
 
 
