@@ -23,7 +23,10 @@ def digest_uniform(hexes: Column, start: int = 1) -> Column:
 
 
 def rounded(value: Column | str, digits: int = 6) -> Column:
-    return F.round(F.col(value) if isinstance(value, str) else value, digits)
+    """Rounded output. A tiny shift first moves exact ties off the boundary, where the last bit of a
+    sum (which depends on task order) would decide the digit."""
+    column = F.col(value) if isinstance(value, str) else value
+    return F.round(column + F.lit(10.0 ** -(digits + 3)), digits)
 
 
 def dot(a: Column, b: Column) -> Column:

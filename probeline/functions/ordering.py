@@ -62,6 +62,23 @@ def running_sum(
     )
 
 
+def prior_max(
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, values: dict[str, str]
+) -> DataFrame:
+    """Per entry of ``values``, the largest value among the rows before this one in its key (else NULL)."""
+    keys = list(keys)
+    cut = df.withColumn("__bucket", bucket)
+    tops = cut.groupBy(*keys, "__bucket").agg(*[F.max(v).alias(f"__m_{n}") for n, v in values.items()])
+    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, "__bucket", *[F.max(f"__m_{n}").over(before).alias(f"__b_{n}") for n in values])
+    local = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(tops, [*keys, "__bucket"])
+    for name, value in values.items():
+        # greatest skips NULLs
+        out = out.withColumn(name, F.greatest(F.max(value).over(local), F.col(f"__b_{name}")))
+    return out.drop("__bucket", *[f"__b_{n}" for n in values])
+
+
 def digest_bucket(hexes: Column, digits: int = 3) -> Column:
     """Leading hex digits: a monotone, evenly filled bucket for rows ordered by a digest."""
     return F.substring(hexes, 1, digits)

@@ -2,12 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from pyspark.sql import Column, DataFrame, functions as F
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
-
-from probeline.functions.columns import digest
-from probeline.functions.ordering import numbered
+from probeline.functions.ordering import running_totals
 
 
 def select_leads(samples: DataFrame, lead: str, wanted: str) -> DataFrame:
@@ -17,21 +14,12 @@ def select_leads(samples: DataFrame, lead: str, wanted: str) -> DataFrame:
     """
     if wanted.strip().lower() == "all":
         return samples
-    name = F.lower(F.trim(F.col(lead)))
     target = wanted.strip().lower()
-    names = samples.select(F.col(lead)).distinct().withColumn("__name", name)
+    names = samples.select(lead).distinct().withColumn("__name", F.lower(F.trim(F.col(lead))))
     grade = F.when(F.col("__name") == target, 0).when(F.col("__name").contains(target), 1)
-    best = names.withColumn("__grade", grade).agg(F.min(F.struct("__grade", "__name")).alias("b"))
-    return samples.join(
-        # one row
-        F.broadcast(
-            names.where(F.col("__name").contains(target)).agg(
-                F.min_by(lead, F.struct(grade.alias("g"), F.col("__name").alias("n"))).alias(lead)
-            )
-        ),
-        lead,
-        "left_semi",
-    )
+    graded = names.withColumn("__grade", grade).where(F.col("__grade").isNotNull())
+    best = graded.agg(F.min_by(lead, F.struct("__grade", "__name")).alias(lead))
+    return samples.join(F.broadcast(best), lead, "left_semi")  # one row
 
 
 def healthy_subjects(records: DataFrame, subject: str, order: list[str], code: str, healthy: str) -> DataFrame:
@@ -90,8 +78,6 @@ def encode_labels(df: DataFrame, label: str, name: str = "code") -> DataFrame:
 
     Only distinct labels are ordered; they are range-partitioned, so no task sees all of them.
     """
-    from probeline.functions.ordering import running_totals
-
     distinct = df.select(label).distinct().withColumn("__one", F.lit(1).cast("bigint"))
     placed = running_totals(distinct, F.col(label), {"__one": "__rank"})
     return placed.select(label, (F.col("__rank") - 1).alias(name))

@@ -19,10 +19,14 @@ def _as_array(coordinates: DataFrame, value: str) -> DataFrame:
     return coordinates.groupBy("label").agg(F.transform(pairs, lambda p: p[value]).alias("vec"))
 
 
-def first_per_key(df: DataFrame, keys: list[str], order: list[str], n: int) -> DataFrame:
-    """First ``n`` rows of each key. The rank filter is pushed below the shuffle as a group limit."""
+def first_per_key(df: DataFrame, keys: list[str], order: list, n: int, name: str | None = None) -> DataFrame:
+    """First ``n`` rows of each key, numbered from 1 in ``name`` if given.
+
+    The rank filter is pushed below the shuffle as a group limit.
+    """
     position = F.row_number().over(Window.partitionBy(*keys).orderBy(*order))
-    return df.withColumn("__rn", position).where(F.col("__rn") <= n).drop("__rn")
+    kept = df.withColumn("__rn", position).where(F.col("__rn") <= n)
+    return kept.withColumnRenamed("__rn", name) if name else kept.drop("__rn")
 
 
 def mean_templates(df: DataFrame) -> DataFrame:

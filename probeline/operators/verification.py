@@ -36,7 +36,8 @@ def error_curve(hist: DataFrame) -> DataFrame:
     def rates(own: bool) -> tuple[Column, Column]:
         genuine = F.col("cum_g") if own else F.col("cum_g") - F.col("n_genuine")
         impostor = F.col("cum_i") if own else F.col("cum_i") - F.col("n_impostor")
-        return impostor / F.col("i"), genuine / F.col("g")
+        # a class without decisions has no rate: NULL
+        return F.try_divide(impostor, F.col("i")), F.try_divide(genuine, F.col("g"))
 
     far, tar = rates(True)
     far_before, tar_before = rates(False)
@@ -74,7 +75,7 @@ def curve_summary(curve: DataFrame) -> DataFrame:
     """
     gap, before = F.col("far") - F.col("frr"), F.col("far_before") - F.col("frr_before")
     order = -F.col("threshold")
-    share = -before / (gap - before)
+    share = F.try_divide(-before, gap - before)
     crossing = 0.5 * (
         F.col("far_before") + share * (F.col("far") - F.col("far_before"))
         + F.col("frr_before") + share * (F.col("frr") - F.col("frr_before"))
@@ -117,9 +118,9 @@ def operating_points(curve: DataFrame, targets: Iterable[float] = DEFAULT_FARS)
 def d_prime(hist: DataFrame) -> DataFrame:
     """Separation of the two score distributions, with population variances."""
     g, i, s = F.col("n_genuine"), F.col("n_impostor"), F.col("score")
-    means = hist.agg((F.sum(g * s) / F.sum(g)).alias("mg"), (F.sum(i * s) / F.sum(i)).alias("mi"))
+    means = hist.agg(F.try_divide(F.sum(g * s), F.sum(g)).alias("mg"), F.try_divide(F.sum(i * s), F.sum(i)).alias("mi"))
     spread = hist.crossJoin(F.broadcast(means))  # one row
-    squares = lambda n, m: F.sum(n * (s - F.col(m)) * (s - F.col(m))) / F.sum(n)
+    squares = lambda n, m: F.try_divide(F.sum(n * (s - F.col(m)) * (s - F.col(m))), F.sum(n))
     out = spread.agg(
         F.first("mg").alias("mg"), F.first("mi").alias("mi"), squares(g, "mg").alias("vg"), squares(i, "mi").alias("vi")
     )

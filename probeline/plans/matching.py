@@ -116,7 +116,7 @@ def enroll_probe(spark, sf_dir):
         f"SELECT a.vec_id AS a_id, b.vec_id AS b_id, {r('list_dot_product(a.n, b.n)')} AS cosine, "
         f"{r('-list_distance(a.e, b.e)')} AS euclidean, "
         f"{r('-list_sum(list_transform(range(1, len(a.e) + 1), lambda i: abs(a.e[i] - b.e[i])))')} AS manhattan, "
-        "(SELECT round(corr(x, y), 6) + 0.0 FROM (SELECT unnest(a.e) AS x, unnest(b.e) AS y)) AS pearson "
+        f"(SELECT {r('corr(x, y)')} FROM (SELECT unnest(a.e) AS x, unnest(b.e) AS y)) AS pearson "
         "FROM u a JOIN u b ON b.vec_id = a.vec_id + 1",
     ),
 )
@@ -204,17 +204,17 @@ def soft_centrality(spark, sf_dir):
     "e08_geometric_median_templates",
     with_ctes(
         "tv",
-        "SELECT label, pos, round(m, 6) + 0.0 AS value FROM (SELECT label, unnest(c) AS m, "
+        f"SELECT label, pos, {r('m')} AS value FROM (SELECT label, unnest(c) AS m, "
         "generate_subscripts(c, 1) AS pos FROM (SELECT label, max_by(c, it) AS c FROM g GROUP BY label))",
     ).replace("WITH ", "WITH RECURSIVE ", 1).replace(
-        ") SELECT label, pos, round",
+        ") SELECT label, pos, (round",
         "), g AS (SELECT identity AS label, 0 AS it, t AS c, false AS done FROM tv UNION ALL "
         "SELECT label, it + 1, nxt, list_distance(c, nxt) < 1e-4 FROM (SELECT label, it, c, "
         "list(m ORDER BY pos) AS nxt FROM (SELECT label, it, c, pos, sum(x / w) / sum(1 / w) AS m FROM "
         "(SELECT g.label, g.it, g.c, CASE WHEN list_distance(g.c, s.e) = 0 THEN 1e-5 ELSE list_distance(g.c, s.e) "
         "END AS w, unnest(s.e) AS x, generate_subscripts(s.e, 1) AS pos FROM g JOIN s ON s.label = g.label AND "
         "s.role = 'enroll' WHERE NOT g.done AND g.it < 20) GROUP BY label, it, c, pos) GROUP BY label, it, c)) "
-        "SELECT label, pos, round",
+        "SELECT label, pos, (round",
         1,
     ),
 )

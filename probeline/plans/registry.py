@@ -47,8 +47,9 @@ def with_ctes(names: str, final: str) -> str:
 
 
 def r(expression: str, digits: int = 6) -> str:
-    """Rounded double in SQL; adding zero turns a negative zero into zero."""
-    return f"(round(({expression})::DOUBLE, {digits}) + 0.0::DOUBLE)"
+    """Rounded double in SQL, shifted like ``functions.columns.rounded``; adding zero turns a negative
+    zero into zero."""
+    return f"(round(({expression})::DOUBLE + 1e-{digits + 3}::DOUBLE, {digits}) + 0.0::DOUBLE)"
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -453,7 +453,7 @@ def d_prime(spark, sf_dir):
     "m10_pair_summary",
     with_ctes(
         "ap",
-        "SELECT n_total, g AS n_genuine, i AS n_impostor, round(1 / i, 9) AS smallest_far, 1 / i <= 0.001 AS "
+        f"SELECT n_total, g AS n_genuine, i AS n_impostor, {r('1 / i', 9)} AS smallest_far, 1 / i <= 0.001 AS "
         "resolvable FROM (SELECT count(*) AS n_total, count_if(is_genuine = 1)::BIGINT AS g, "
         "count_if(is_genuine = 0)::BIGINT AS i FROM ap)",
     ),
@@ -478,9 +478,9 @@ def calibration_threshold(spark, sf_dir):
     "m12_frozen_threshold",
     with_ctes(
         "s",
-        "SELECT round(thr, 6) + 0.0 AS threshold, round(avg(((score >= thr) = (is_genuine = 1))::INT), 6) AS "
-        "accuracy, round(avg((score >= thr)::INT) FILTER (is_genuine = 0), 6) AS far, "
-        "round(avg((score < thr)::INT) FILTER (is_genuine = 1), 6) AS frr FROM ("
+        f"SELECT {r('thr')} AS threshold, {r('avg(((score >= thr) = (is_genuine = 1))::INT)')} AS accuracy, "
+        f"{r('avg((score >= thr)::INT) FILTER (is_genuine = 0)')} AS far, "
+        f"{r('avg((score < thr)::INT) FILTER (is_genuine = 1)')} AS frr FROM ("
         "SELECT list_dot_product(a.n, b.n) AS score, (a.label = b.label)::INT AS is_genuine FROM s a JOIN s b "
         "ON a.vec_id < b.vec_id WHERE a.role = 'probe' AND b.role = 'probe') p CROSS JOIN ("
         "SELECT threshold AS thr FROM (SELECT score AS threshold, sum(g) OVER w / sum(g) OVER () AS tar, sum(i) OVER w "
@@ -518,8 +518,8 @@ def decision_problems(spark, sf_dir):
     "m14_confusion_matrix",
     with_ctes(
         "sc",
-        "SELECT true_identity, predicted, count(*) AS n, round(count(*) / sum(count(*)) OVER (PARTITION BY "
-        "true_identity), 6)::DOUBLE AS share FROM (SELECT probe_id, true_identity, arg_min(identity, (-score, "
+        "SELECT true_identity, predicted, count(*) AS n, "
+        f"{r('count(*) / sum(count(*)) OVER (PARTITION BY true_identity)')} AS share FROM (SELECT probe_id, true_identity, arg_min(identity, (-score, "
         "identity)) AS predicted FROM sc GROUP BY probe_id, true_identity) GROUP BY true_identity, predicted",
     ),
 )
