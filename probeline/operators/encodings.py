@@ -109,7 +109,7 @@ def paa(x: Column, size: int) -> Column:
     cut = lambda b: F.floor(b * n / size).cast("int")
     piece = lambda b: F.slice(x, cut(b) + 1, cut(b + 1) - cut(b))
     return F.transform(
-        F.sequence(F.lit(0), F.lit(size - 1)), lambda b: array_sum(piece(b)) / (cut(b + 1) - cut(b))
+        F.sequence(F.lit(0), F.lit(size - 1)), lambda b: F.try_divide(array_sum(piece(b)), F.size(piece(b)))
     )
 
 

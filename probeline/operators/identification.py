@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, functions as F
 
 from probeline.functions.columns import prepared, similarity
@@ -10,23 +12,29 @@ from probeline.operators.scoring import grid_scores
 from probeline.session import cut_lineage
 
 
-def genuine_scores(probes: DataFrame, templates: DataFrame, method: str = "cosine") -> DataFrame:
+def genuine_scores(
+    probes: DataFrame, templates: DataFrame, method: str = "cosine", by: Sequence[str] = ()
+) -> DataFrame:
     """Each probe's best score with its own identity; probes whose identity is not enrolled raise.
 
     Inputs are prepared. Joining on the label is an equi join that AQE can split when one label is large.
     """
-    own = templates.select("label", F.col("vec").alias("__t"))
-    scored = probes.join(own, "label", "left").withColumn(
+    own = templates.select(*by, "label", F.col("vec").alias("__t"))
+    scored = probes.join(own, [*by, "label"], "left").withColumn(
         "s",
         F.when(F.col("__t").isNull(), F.raise_error(F.lit("probe identity is not enrolled")).cast("double"))
         .otherwise(similarity(F.col("vec"), F.col("__t"), method)),
     )
-    best = scored.groupBy("id").agg(F.max("s").alias("bar"))
-    return probes.join(best, "id")
+    best = scored.groupBy(*by, "id").agg(F.max("s").alias("bar"))
+    return probes.join(best, [*by, "id"])
 
 
 def identification_ranks(
-    probes: DataFrame, templates: DataFrame, method: str = "cosine", one_template: bool = True
+    probes: DataFrame,
+    templates: DataFrame,
+    method: str = "cosine",
+    one_template: bool = True,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Pessimistic rank: how many identities score at least the genuine score, the genuine one included.
 
@@ -35,15 +43,16 @@ def identification_ranks(
     """
     ready = lambda df: df.withColumn("vec", prepared(F.col("vec"), method))
     # Stored once: both the bar and the grid must see the same doubles.
-    gallery = cut_lineage(ready(templates).select("id", "label", "vec"))
-    barred = cut_lineage(genuine_scores(ready(probes).select("id", "label", "vec"), gallery, method))
+    by = list(by)
+    gallery = cut_lineage(ready(templates).select(*by, "id", "label", "vec"))
+    barred = cut_lineage(genuine_scores(ready(probes).select(*by, "id", "label", "vec"), gallery, method, by))
     if one_template:
-        counts = grid_scores(barred, gallery, method, "count", is_prepared=True)
-        ranks = counts.groupBy("id").agg(F.sum("n_at_least").alias("rank"))
+        counts = grid_scores(barred, gallery, method, "count", is_prepared=True, by=by)
+        ranks = counts.groupBy(*by, "id").agg(F.sum("n_at_least").alias("rank"))
     else:
-        hits = grid_scores(barred, gallery, method, "hits", is_prepared=True).distinct()
-        ranks = hits.groupBy("id").agg(F.count(F.lit(1)).alias("rank"))
-    return barred.select("id", "label", "bar").join(ranks, "id")
+        hits = grid_scores(barred, gallery, method, "hits", is_prepared=True, by=by).distinct()
+        ranks = hits.groupBy(*by, "id").agg(F.count(F.lit(1)).alias("rank"))
+    return barred.select(*by, "id", "label", "bar").join(ranks, [*by, "id"])
 
 
 def ranks_from_scores(scores: DataFrame, keys: tuple[str, ...] = ("probe_id",)) -> DataFrame:

@@ -9,6 +9,7 @@ are a NumPy array, summed in index order so they equal ``functions.columns.simil
 from __future__ import annotations
 
 import math
+from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
@@ -40,8 +41,15 @@ def _block(column: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
 
-def _cell_function(kind: str, output: str, unordered: bool):
+def _largest(df: DataFrame, by: Sequence[str]) -> int:
+    """Rows of the largest run."""
+    sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return sizes.agg(F.max("n")).first()[0] or 0
+
+
+def _cell_function(kind: str, output: str, unordered: bool, by: Sequence[str] = ()):
     """Arrow function for one cell. Self-contained, so executors need nothing but NumPy and Arrow."""
+    by = list(by)
 
     def matrix(table, name):
         column = table.column(name).combine_chunks()
@@ -66,6 +74,15 @@ def _cell_function(kind: str, output: str, unordered: bool):
         return out if kind == "dot" else -out
 
     def run(key, left, right):
+        import pyarrow as pa
+
+        cell = score_cell(key, left, right)
+        for place, name in enumerate(by):
+            column = pa.array([key[2 + place].as_py()] * cell.num_rows, left.schema.field(name).type)
+            cell = cell.add_column(place, name, column)
+        return cell
+
+    def score_cell(key, left, right):
         import numpy as np
         import pyarrow as pa
         import pyarrow.compute as pc
@@ -163,20 +180,22 @@ def grid_scores(
     method: str = "cosine",
     output: str = "pairs",
     is_prepared: bool = False,
+    by: Sequence[str] = (),
 ) -> DataFrame:
     """Score every pair of ``left`` and ``right`` (columns ``id, label, vec``).
 
     ``right=None`` scores each unordered pair of ``left`` once, smaller id first. ``output``:
     ``pairs`` one row per pair; ``histogram`` distinct scores with genuine and impostor counts per cell
     (sum them per score); ``count`` per left id the right rows scoring at least ``left.bar``; ``hits``
-    the right labels doing so.
+    the right labels doing so. Only rows that agree on ``by`` (a run or seed) are compared.
     """
+    by = list(by)
     if not is_prepared:
         left = left.withColumn("vec", prepared(F.col("vec"), method))
         right = None if right is None else right.withColumn("vec", prepared(F.col("vec"), method))
     unordered = right is None
     slots = parallelism(left.sparkSession)
-    left_rows = left.count()
+    left_rows = _largest(left, by)
     if unordered:
         # b blocks make b(b+1)/2 cells
         blocks = max(
@@ -190,14 +209,14 @@ def grid_scores(
         rights = own.withColumn("__l", F.explode(F.sequence(F.lit(0), F.col("__own"))))
         rights = rights.withColumnRenamed("__own", "__r")
     else:
-        left_blocks, right_blocks = _block_counts(left_rows, right.count(), slots)
+        left_blocks, right_blocks = _block_counts(left_rows, _largest(right, by), slots)
         lefts = left.withColumn("__l", _block(F.col("id"), left_blocks)).withColumn(
             "__r", F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1)))
         )
         rights = right.withColumn("__r", _block(F.col("id"), right_blocks)).withColumn(
             "__l", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1)))
         )
-    kept = ["__l", "__r", "id", "label", "vec"]
+    kept = ["__l", "__r", *by, "id", "label", "vec"]
     lefts = lefts.select(*kept, *(["bar"] if output in ("count", "hits") else []))
     ids, labels = left.schema["id"].dataType, left.schema["label"].dataType
     shapes = {
@@ -206,16 +225,19 @@ def grid_scores(
         "count": [("id", ids), ("n_at_least", T.LongType())],
         "hits": [("id", ids), ("label", labels)],
     }
-    schema = T.StructType([T.StructField(n, t) for n, t in shapes[output]])
+    keyed = [T.StructField(c, left.schema[c].dataType) for c in by]
+    schema = T.StructType([*keyed, *[T.StructField(n, t) for n, t in shapes[output]]])
     # New attribute ids: the two sides may come from the same table.
     fresh = rights.select(*[F.col(c).alias(c) for c in kept])
-    cells = lefts.groupBy("__l", "__r").cogroup(fresh.groupBy("__l", "__r"))
-    return cells.applyInArrow(_cell_function(_KINDS[method], output, unordered), schema)
+    cells = lefts.groupBy("__l", "__r", *by).cogroup(fresh.groupBy("__l", "__r", *by))
+    return cells.applyInArrow(_cell_function(_KINDS[method], output, unordered, by), schema)
 
 
-def score_histogram(left: DataFrame, right: DataFrame | None, method: str = "cosine") -> DataFrame:
+def score_histogram(
+    left: DataFrame, right: DataFrame | None, method: str = "cosine", by: Sequence[str] = ()
+) -> DataFrame:
     """Distinct scores of all pairs with ``n_genuine`` and ``n_impostor``."""
-    cells = grid_scores(left, right, method, output="histogram")
-    return cells.groupBy("score").agg(
+    cells = grid_scores(left, right, method, output="histogram", by=by)
+    return cells.groupBy(*by, "score").agg(
         F.sum("n_genuine").alias("n_genuine"), F.sum("n_impostor").alias("n_impostor")
     )

@@ -7,11 +7,12 @@ curve is a plain aggregate.
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
-from probeline.functions.ordering import running_totals
+from probeline.functions.ordering import running_sum, running_totals, with_value_bucket
+from probeline.session import cut_lineage
 
 #: Operating points reported by default; the headline point is always among them.
 HEADLINE_FAR = 0.001
@@ -27,11 +28,20 @@ def histogram(decisions: DataFrame) -> DataFrame:
     )
 
 
-def error_curve(hist: DataFrame) -> DataFrame:
-    """One row per distinct threshold, highest first: ``far, tar, frr`` and the same before the row."""
-    placed = running_totals(hist, F.col("score"), {"n_genuine": "cum_g", "n_impostor": "cum_i"}, descending=True)
-    totals = placed.agg(F.sum("n_genuine").alias("g"), F.sum("n_impostor").alias("i"))
-    joined = placed.crossJoin(F.broadcast(totals))  # one row
+def error_curve(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row per distinct threshold, highest first: ``far, tar, frr`` and the same before the row.
+
+    With ``by`` every run gets its own curve in the same job.
+    """
+    by = list(by)
+    if by:
+        cut = with_value_bucket(cut_lineage(hist), by, "score")
+        placed = running_sum(cut, by, [F.desc("score")], -F.col("__vb"), "n_genuine", "cum_g")
+        placed = running_sum(placed, by, [F.desc("score")], -F.col("__vb"), "n_impostor", "cum_i")
+    else:
+        placed = running_totals(hist, F.col("score"), {"n_genuine": "cum_g", "n_impostor": "cum_i"}, descending=True)
+    totals = placed.groupBy(*by).agg(F.sum("n_genuine").alias("g"), F.sum("n_impostor").alias("i"))
+    joined = placed.join(totals, by) if by else placed.crossJoin(F.broadcast(totals))  # one row
 
     def rates(own: bool) -> tuple[Column, Column]:
         genuine = F.col("cum_g") if own else F.col("cum_g") - F.col("n_genuine")
@@ -42,6 +52,7 @@ def error_curve(hist: DataFrame) -> DataFrame:
     far, tar = rates(True)
     far_before, tar_before = rates(False)
     return joined.select(
+        *by,
         F.col("score").alias("threshold"),
         far.alias("far"),
         tar.alias("tar"),
@@ -68,7 +79,7 @@ def det_points(curve: DataFrame) -> DataFrame:
     return curve.select("threshold", "far", "frr")
 
 
-def curve_summary(curve: DataFrame) -> DataFrame:
+def curve_summary(curve: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Equal error rate and area in one pass over the curve.
 
     EER: the first point with FAR = FRR, else linear interpolation where their difference changes sign.
@@ -83,12 +94,14 @@ def curve_summary(curve: DataFrame) -> DataFrame:
     exact = F.min(F.when(gap == 0, F.struct(order.alias("o"), F.col("far").alias("v"))))
     crossed = F.min(F.when(gap * before < 0, F.struct(order.alias("o"), crossing.alias("v"))))
     area = F.sum((F.col("far") - F.col("far_before")) * (F.col("tar") + F.col("tar_before")) / 2)
-    return curve.agg(exact.alias("x"), crossed.alias("c"), area.alias("auc")).select(
-        F.coalesce("x.v", "c.v").alias("eer"), "auc"
+    return curve.groupBy(*by).agg(exact.alias("x"), crossed.alias("c"), area.alias("auc")).select(
+        *by, F.coalesce("x.v", "c.v").alias("eer"), "auc"
     )
 
 
-def operating_points(curve: DataFrame, targets: Iterable[float] = DEFAULT_FARS) -> DataFrame:
+def operating_points(
+    curve: DataFrame, targets: Iterable[float] = DEFAULT_FARS, by: Sequence[str] = ()
+) -> DataFrame:
     """Highest observed TAR with FAR at most the target; never interpolated.
 
     ``tar_reported`` is NULL where the impostor count cannot resolve the target.
@@ -101,11 +114,12 @@ def operating_points(curve: DataFrame, targets: Iterable[float] = DEFAULT_FARS)
         F.col("tar").alias("tar"), (-F.col("far")).alias("f"), F.col("threshold").alias("threshold"),
     )
     fits = F.col("far") <= F.col("target_far") + FAR_TOLERANCE
-    best = rows.groupBy("target_far").agg(
+    best = rows.groupBy(*by, "target_far").agg(
         F.max(F.when(fits & (F.col("tar") > 0), key)).alias("b"), F.first("impostor").alias("n")
     )
     tar = F.coalesce("b.tar", F.lit(0.0))
     return best.select(
+        *by,
         "target_far",
         F.coalesce(-F.col("b.f"), F.lit(0.0)).alias("observed_far"),
         tar.alias("tar"),
@@ -115,17 +129,19 @@ def operating_points(curve: DataFrame, targets: Iterable[float] = DEFAULT_FARS)
     )
 
 
-def d_prime(hist: DataFrame) -> DataFrame:
+def d_prime(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """Separation of the two score distributions, with population variances."""
     g, i, s = F.col("n_genuine"), F.col("n_impostor"), F.col("score")
-    means = hist.agg(F.try_divide(F.sum(g * s), F.sum(g)).alias("mg"), F.try_divide(F.sum(i * s), F.sum(i)).alias("mi"))
-    spread = hist.crossJoin(F.broadcast(means))  # one row
+    by = list(by)
+    means = hist.groupBy(*by).agg(F.try_divide(F.sum(g * s), F.sum(g)).alias("mg"), F.try_divide(F.sum(i * s), F.sum(i)).alias("mi"))
+    spread = hist.join(means, by) if by else hist.crossJoin(F.broadcast(means))  # one row
     squares = lambda n, m: F.try_divide(F.sum(n * (s - F.col(m)) * (s - F.col(m))), F.sum(n))
-    out = spread.agg(
+    out = spread.groupBy(*by).agg(
         F.first("mg").alias("mg"), F.first("mi").alias("mi"), squares(g, "mg").alias("vg"), squares(i, "mi").alias("vi")
     )
     gap = F.abs(F.col("mg") - F.col("mi"))
     return out.select(
+        *by,
         F.col("mg").alias("genuine_mean"),
         F.col("mi").alias("impostor_mean"),
         (gap / F.sqrt(0.5 * (F.col("vg") + F.col("vi")) + 1e-10)).alias("d_prime"),
