@@ -19,7 +19,5 @@ FAMILIES = (
 
 
 def load_all() -> None:
-    import os
     for family in FAMILIES:
-        if not os.path.exists(f"{os.path.dirname(__file__)}/{family}.py"): continue  # TEMP
         importlib.import_module(f"probeline.plans.{family}")
