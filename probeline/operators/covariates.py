@@ -10,6 +10,11 @@ from probeline.functions.ordering import running_totals
 from probeline.functions.stats import t_two_sided
 
 
+def _correlation(a: str, b: str) -> Column:
+    """Pearson correlation of complete pairs; NULL instead of an error where a side is constant."""
+    return F.try_divide(F.covar_pop(a, b), F.stddev_pop(a) * F.stddev_pop(b))
+
+
 def template_correlation(templates: DataFrame, subject: str) -> DataFrame:
     """Pearson correlation of a subject's enrollment and probe template and the drift ``1 - r``.
 
@@ -20,7 +25,7 @@ def template_correlation(templates: DataFrame, subject: str) -> DataFrame:
         F.max(F.when(F.col("role") == "probe", F.col("value"))).alias("y"),
     )
     facts = sides.groupBy(subject).agg(
-        F.corr("x", "y").alias("r"),
+        _correlation("x", "y").alias("r"),
         F.stddev_pop("x").alias("sx"),
         F.stddev_pop("y").alias("sy"),
         F.bool_and(F.col("x").isNotNull() & F.col("y").isNotNull()).alias("same_shape"),
@@ -82,8 +87,8 @@ def univariate(cases: DataFrame, names: Sequence[str], fewest: int = 4) -> DataF
     facts = []
     for name in names:
         facts += [
-            F.corr(f"__r_{name}", "__ro").alias(f"rho_{name}"),
-            F.corr(name, "outcome").alias(f"r_{name}"),
+            _correlation(f"__r_{name}", "__ro").alias(f"rho_{name}"),
+            _correlation(name, "outcome").alias(f"r_{name}"),
             (F.max(name) - F.min(name)).alias(f"w_{name}"),
             F.max(F.abs(name)).alias(f"m_{name}"),
         ]

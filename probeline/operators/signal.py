@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from probeline.functions.columns import array_sum, let
 from probeline.functions.ordering import exact_percentiles, numbered, prior_max, running_sum, with_value_bucket
+from probeline.session import cut_lineage
 
 CHUNK = 65536
 BIN = 1024
@@ -369,7 +370,8 @@ def partition_statistics(
     """Per subject and role: mean heart rate, mean 5-95 % amplitude, number of records and days spanned."""
     subject, keys = list(subject), [*subject, *record]
     spans = exact_percentiles(samples, keys, "value", {"__lo": 0.05, "__hi": 0.95})
-    rates = heart_rates(detect_peaks(samples, keys, deviations, refractory), keys, rate).select(*keys, "bpm")
+    peaks = cut_lineage(detect_peaks(samples, keys, deviations, refractory))  # read three times
+    rates = heart_rates(peaks, keys, rate).select(*keys, "bpm")
     facts = samples.groupBy(*keys).agg(F.min(date).alias("__d0"), F.max(date).alias("__d1"))
     joined = facts.join(spans, keys).join(rates, keys, "left")
     return joined.groupBy(*subject).agg(
