@@ -47,10 +47,26 @@ def _largest(df: DataFrame, by: Sequence[str]) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
-def _cell_function(kind: str, output: str, unordered: bool, by: Sequence[str] = ()):
+def _cell_function(
+    kind: str,
+    output: str,
+    unordered: bool,
+    by: Sequence[str] = (),
+    edges: tuple[float, float, int] | float | None = None,
+    wanted: Sequence[int] = (),
+):
     """Arrow function for one cell. Self-contained, so executors need nothing but NumPy and Arrow."""
     by = list(by)
 
+    def bin_of(scores):
+        """Uniform bins over (low, high, count), clipped at the ends, or the two sides of a threshold."""
+        import numpy as np
+
+        if not isinstance(edges, tuple):
+            return (scores >= edges).astype(np.int64)
+        low, high, count = edges
+        return np.clip(np.floor((scores - low) * (count / (high - low))), 0, count - 1).astype(np.int64)
+
     def matrix(table, name):
         column = table.column(name).combine_chunks()
         flat = column.flatten().to_numpy(zero_copy_only=False)
@@ -99,6 +115,10 @@ def _cell_function(kind: str, output: str, unordered: bool, by: Sequence[str] =
         same_block = unordered and key[0].as_py() == key[1].as_py()
         bar = left.column("bar").to_numpy() if output in ("count", "hits") else None
         pieces = []
+        if output == "bins":
+            size = edges[2] if isinstance(edges, tuple) else 2
+            tally = np.zeros((6, size))
+            lowest = np.full(size, np.inf)
         for i in range(0, len(a), 256):
             for j in range(0, len(b), 1024):
                 rows, cols = slice(i, i + 256), slice(j, j + 1024)
@@ -116,11 +136,38 @@ def _cell_function(kind: str, output: str, unordered: bool, by: Sequence[str] =
                 else:
                     p, q = (x.ravel() for x in np.indices(scores.shape))
                 values = scores[p, q]
-                if output == "histogram":
+                if output in ("histogram", "bins", "exact"):
                     genuine = left_codes[p + i] == right_codes[q + j]
-                    pieces.append((values, genuine))
+                    if output == "histogram":
+                        pieces.append((values, genuine))
+                        continue
+                    place = bin_of(values)
+                    if output == "exact":
+                        kept = np.isin(place, wanted)
+                        pieces.append((values[kept], genuine[kept]))
+                        continue
+                    np.minimum.at(lowest, place, values)
+                    for row, side in enumerate((genuine, ~genuine)):
+                        spots, own = place[side], values[side]
+                        tally[row] += np.bincount(spots, minlength=size)
+                        tally[2 + row] += np.bincount(spots, weights=own, minlength=size)
+                        tally[4 + row] += np.bincount(spots, weights=own * own, minlength=size)
                 else:
                     pieces.append((p + i, q + j, values))
+        if output == "bins":
+            used = np.flatnonzero(np.isfinite(lowest))
+            return pa.table(
+                {
+                    "bin": used.astype(np.int64),
+                    "n_genuine": tally[0, used].astype(np.int64),
+                    "n_impostor": tally[1, used].astype(np.int64),
+                    "sum_genuine": tally[2, used],
+                    "sum_impostor": tally[3, used],
+                    "sq_genuine": tally[4, used],
+                    "sq_impostor": tally[5, used],
+                    "lowest": lowest[used],
+                }
+            )
         joined = [np.concatenate(part) for part in zip(*pieces)]
         if output == "count":
             ids, inverse = np.unique(joined[0], return_inverse=True)
@@ -134,7 +181,7 @@ def _cell_function(kind: str, output: str, unordered: bool, by: Sequence[str] =
                 }
             )
             return hit.group_by(["id", "label"]).aggregate([])
-        if output == "histogram":
+        if output in ("histogram", "exact"):
             scores, inverse = np.unique(joined[0], return_inverse=True)
             genuine = np.bincount(inverse, weights=joined[1], minlength=len(scores)).astype(np.int64)
             total = np.bincount(inverse, minlength=len(scores)).astype(np.int64)
@@ -158,6 +205,9 @@ def _cell_function(kind: str, output: str, unordered: bool, by: Sequence[str] =
             "count": [("id", ids), ("n_at_least", pa.int64())],
             "hits": [("id", ids), ("label", labels)],
             "histogram": [("score", pa.float64()), ("n_genuine", pa.int64()), ("n_impostor", pa.int64())],
+            "exact": [("score", pa.float64()), ("n_genuine", pa.int64()), ("n_impostor", pa.int64())],
+            "bins": [("bin", pa.int64()), ("n_genuine", pa.int64()), ("n_impostor", pa.int64())]
+            + [(n, pa.float64()) for n in ("sum_genuine", "sum_impostor", "sq_genuine", "sq_impostor", "lowest")],
             "pairs": [
                 ("a_id", ids),
                 ("b_id", ids),
@@ -181,13 +231,16 @@ def grid_scores(
     output: str = "pairs",
     is_prepared: bool = False,
     by: Sequence[str] = (),
+    edges: tuple[float, float, int] | float | None = None,
+    wanted: Sequence[int] = (),
 ) -> DataFrame:
     """Score every pair of ``left`` and ``right`` (columns ``id, label, vec``).
 
     ``right=None`` scores each unordered pair of ``left`` once, smaller id first. ``output``:
     ``pairs`` one row per pair; ``histogram`` distinct scores with genuine and impostor counts per cell
     (sum them per score); ``count`` per left id the right rows scoring at least ``left.bar``; ``hits``
-    the right labels doing so. Only rows that agree on ``by`` (a run or seed) are compared.
+    the right labels doing so; ``bins`` counts, sums and lowest score per bin of ``edges``; ``exact`` the
+    histogram inside the ``wanted`` bins. Only rows that agree on ``by`` (a run or seed) are compared.
     """
     by = list(by)
     if not is_prepared:
@@ -222,6 +275,9 @@ def grid_scores(
     shapes = {
         "pairs": [("a_id", ids), ("b_id", ids), ("a_label", labels), ("b_label", labels), ("score", T.DoubleType())],
         "histogram": [("score", T.DoubleType()), ("n_genuine", T.LongType()), ("n_impostor", T.LongType())],
+        "exact": [("score", T.DoubleType()), ("n_genuine", T.LongType()), ("n_impostor", T.LongType())],
+        "bins": [("bin", T.LongType()), ("n_genuine", T.LongType()), ("n_impostor", T.LongType())]
+        + [(n, T.DoubleType()) for n in ("sum_genuine", "sum_impostor", "sq_genuine", "sq_impostor", "lowest")],
         "count": [("id", ids), ("n_at_least", T.LongType())],
         "hits": [("id", ids), ("label", labels)],
     }
@@ -230,7 +286,7 @@ def grid_scores(
     # New attribute ids: the two sides may come from the same table.
     fresh = rights.select(*[F.col(c).alias(c) for c in kept])
     cells = lefts.groupBy("__l", "__r", *by).cogroup(fresh.groupBy("__l", "__r", *by))
-    return cells.applyInArrow(_cell_function(_KINDS[method], output, unordered, by), schema)
+    return cells.applyInArrow(_cell_function(_KINDS[method], output, unordered, by, edges, list(wanted)), schema)
 
 
 def score_histogram(

@@ -42,6 +42,11 @@ def error_curve(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
         placed = running_totals(hist, F.col("score"), {"n_genuine": "cum_g", "n_impostor": "cum_i"}, descending=True)
     totals = placed.groupBy(*by).agg(F.sum("n_genuine").alias("g"), F.sum("n_impostor").alias("i"))
     joined = placed.join(totals, by) if by else placed.crossJoin(F.broadcast(totals))  # one row
+    return with_rates(joined, by)
+
+
+def with_rates(placed: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """Curve columns from cumulative counts ``cum_g, cum_i``, own counts and class totals ``g, i``."""
 
     def rates(own: bool) -> tuple[Column, Column]:
         genuine = F.col("cum_g") if own else F.col("cum_g") - F.col("n_genuine")
@@ -51,7 +56,7 @@ def error_curve(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
 
     far, tar = rates(True)
     far_before, tar_before = rates(False)
-    return joined.select(
+    return placed.select(
         *by,
         F.col("score").alias("threshold"),
         far.alias("far"),

@@ -9,6 +9,7 @@ from probeline.operators import comparisons, fusion, verification
 from probeline.operators.classifier import classifier_scores
 from probeline.operators.comparisons import RankSpace
 from probeline.operators.filters import encode_labels
+from probeline.operators.refined import RefinedComparison, decisions_at
 from probeline.operators.scoring import grid_scores, score_histogram
 from probeline.plans import matching
 from probeline.plans.registry import cte, query, r, with_ctes
@@ -375,6 +376,10 @@ def curve(spark: SparkSession, sf_dir: str) -> DataFrame:
     return verification.error_curve(hist(spark, sf_dir))
 
 
+def _refined(spark: SparkSession, sf_dir: str) -> RefinedComparison:
+    return RefinedComparison(matching.vectors(spark, sf_dir))
+
+
 @query(
     "m04_roc_curve",
     with_ctes(
@@ -407,7 +412,7 @@ _EER = (
 
 @query("m06_equal_error_rate", with_ctes("cv", f"SELECT {r('eer')} AS eer FROM ({_EER})"))
 def equal_error_rate(spark, sf_dir):
-    return verification.curve_summary(curve(spark, sf_dir)).select(rounded("eer").alias("eer"))
+    return verification.curve_summary(_refined(spark, sf_dir).curve()).select(rounded("eer").alias("eer"))
 
 
 @query("m07_area_under_curve", with_ctes("cv", f"SELECT {r('auc')} AS auc FROM ({_EER})"))
@@ -428,7 +433,7 @@ def area_under_curve(spark, sf_dir):
     ),
 )
 def operating_points(spark, sf_dir):
-    points = verification.operating_points(curve(spark, sf_dir))
+    points = verification.operating_points(_refined(spark, sf_dir).curve())
     return points.select(
         "target_far", "resolvable", *[rounded(c).alias(c) for c in ("observed_far", "tar", "threshold", "tar_reported")]
     )
@@ -445,7 +450,7 @@ def operating_points(spark, sf_dir):
     ),
 )
 def d_prime(spark, sf_dir):
-    out = verification.d_prime(hist(spark, sf_dir))
+    out = _refined(spark, sf_dir).d_prime()
     return out.select(*[rounded(c).alias(c) for c in out.columns])
 
 
@@ -459,7 +464,7 @@ def d_prime(spark, sf_dir):
     ),
 )
 def pair_summary(spark, sf_dir):
-    out = verification.pair_summary(hist(spark, sf_dir))
+    out = verification.pair_summary(_refined(spark, sf_dir).pair_counts())
     return out.withColumn("smallest_far", rounded("smallest_far", 9))
 
 
@@ -471,7 +476,8 @@ def pair_summary(spark, sf_dir):
     ),
 )
 def calibration_threshold(spark, sf_dir):
-    return verification.calibration_threshold(curve(spark, sf_dir)).select(rounded("threshold").alias("threshold"))
+    points = _refined(spark, sf_dir).curve()
+    return verification.calibration_threshold(points).select(rounded("threshold").alias("threshold"))
 
 
 @query(
@@ -493,9 +499,9 @@ def calibration_threshold(spark, sf_dir):
 def frozen_threshold(spark, sf_dir):
     """Threshold from enrollment pairs, applied to probe pairs."""
     enrolled, probes = matching.enroll_and_probe(spark, sf_dir)
-    calibration = verification.error_curve(score_histogram(enrolled, None))
-    threshold = cut_lineage(verification.calibration_threshold(calibration))
-    out = verification.apply_threshold(score_histogram(probes, None), threshold)
+    threshold = cut_lineage(verification.calibration_threshold(RefinedComparison(enrolled).curve()))
+    decisions = decisions_at(probes, None, threshold.first()["threshold"])
+    out = verification.apply_threshold(decisions, threshold)
     return out.select(*[rounded(c).alias(c) for c in out.columns])
 
 

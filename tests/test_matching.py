@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from probeline.functions.columns import prepared, similarity
 from probeline.operators import comparisons, fusion, identification, scoring, splits, templates, verification
 from probeline.operators.comparisons import RankSpace
+from probeline.operators.refined import RefinedComparison, decisions_at
 
 
 @pytest.fixture(scope="module")
@@ -253,3 +254,19 @@ def test_split_keeps_every_label_on_both_sides(vectors):
     sides = out.groupBy("label").agg(F.count_distinct("role").alias("n")).collect()
     assert {r["n"] for r in sides} == {2}
     assert out.where("role = 'holdout'").count() == 27
+
+
+@pytest.mark.parametrize("bins", [1, 7, 4096])
+def test_refined_readings_equal_the_full_curve(vectors, bins, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_ROWS", 20)
+    targets = [0.3, 0.05, 0.02]
+    full = verification.error_curve(scoring.score_histogram(vectors, None))
+    fast = RefinedComparison(vectors, bins=bins).curve(targets)
+    assert verification.curve_summary(fast).first()["eer"] == verification.curve_summary(full).first()["eer"]
+    points = lambda c: sorted(map(tuple, verification.operating_points(c, targets).collect()))
+    assert points(fast) == points(full)
+    cut = verification.calibration_threshold(full).first()["threshold"]
+    assert verification.calibration_threshold(fast).first()["threshold"] == cut
+    one = vectors.sparkSession.createDataFrame([(cut,)], "threshold double")
+    hist = scoring.score_histogram(vectors, None)
+    assert verification.apply_threshold(decisions_at(vectors, None, cut), one).first() == verification.apply_threshold(hist, one).first()
