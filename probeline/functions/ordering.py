@@ -20,63 +20,72 @@ def _offsets(counts: DataFrame, keys: Sequence[str], bucket: str, weight: str) -
     return counts.withColumn("__offset", F.coalesce(F.sum(weight).over(before), F.lit(0)))
 
 
+def _bucketed(df: DataFrame, bucket: Column | str) -> tuple[DataFrame, str, list[str]]:
+    """The bucket as a column. A named one is kept, so a later step on the same bucket finds the rows
+    already placed and sorted by it."""
+    if isinstance(bucket, str):
+        return df, bucket, []
+    return df.withColumn("__bucket", bucket), "__bucket", ["__bucket"]
+
+
 def numbered(
     df: DataFrame,
     keys: Sequence[str],
     order: Sequence[Column | str],
-    bucket: Column,
+    bucket: Column | str,
     name: str = "row_no",
     total: str | None = None,
 ) -> DataFrame:
     """``row_number`` (from 1) in each key, equal to the window function's result.
 
-    ``bucket`` must be non-decreasing in ``order`` and not null. ``total`` also adds the key's size.
+    ``bucket`` must be non-decreasing in ``order`` and not null, as an expression or as the name of a column.
+    ``total`` also adds the key's size.
     """
     keys = list(keys)
-    cut = df.withColumn("__bucket", bucket)
-    counts = cut.groupBy(*keys, "__bucket").agg(F.count(F.lit(1)).alias("__rows"))
-    offsets = _offsets(counts, keys, "__bucket", "__rows")
+    cut, place, extra = _bucketed(df, bucket)
+    counts = cut.groupBy(*keys, place).agg(F.count(F.lit(1)).alias("__rows"))
+    offsets = _offsets(counts, keys, place, "__rows")
     if total:
         offsets = offsets.withColumn(total, F.sum("__rows").over(Window.partitionBy(*keys)))
-    local = Window.partitionBy(*keys, "__bucket").orderBy(*order)
+    local = Window.partitionBy(*keys, place).orderBy(*order)
     return (
-        cut.join(offsets.drop("__rows"), [*keys, "__bucket"])
+        cut.join(offsets.drop("__rows"), [*keys, place])
         .withColumn(name, (F.row_number().over(local) + F.col("__offset")).cast("bigint"))
-        .drop("__bucket", "__offset")
+        .drop("__offset", *extra)
     )
 
 
 def running_sum(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, value: str, name: str
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column | str, value: str, name: str
 ) -> DataFrame:
     """Inclusive running sum of ``value`` in each key, cut into buckets like ``numbered``."""
     keys = list(keys)
-    cut = df.withColumn("__bucket", bucket)
-    sums = cut.groupBy(*keys, "__bucket").agg(F.sum(value).alias("__n"))
-    offsets = _offsets(sums, keys, "__bucket", "__n")
-    local = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    cut, place, extra = _bucketed(df, bucket)
+    sums = cut.groupBy(*keys, place).agg(F.sum(value).alias("__n"))
+    offsets = _offsets(sums, keys, place, "__n")
+    local = Window.partitionBy(*keys, place).orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     return (
-        cut.join(offsets.drop("__n"), [*keys, "__bucket"])
+        cut.join(offsets.drop("__n"), [*keys, place])
         .withColumn(name, F.sum(value).over(local) + F.col("__offset"))
-        .drop("__bucket", "__offset")
+        .drop("__offset", *extra)
     )
 
 
 def prior_max(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column, values: dict[str, str]
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column | str], bucket: Column | str, values: dict[str, str]
 ) -> DataFrame:
     """Per entry of ``values``, the largest value among the rows before this one in its key (else NULL)."""
     keys = list(keys)
-    cut = df.withColumn("__bucket", bucket)
-    tops = cut.groupBy(*keys, "__bucket").agg(*[F.max(v).alias(f"__m_{n}") for n, v in values.items()])
-    before = Window.partitionBy(*keys).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
-    tops = tops.select(*keys, "__bucket", *[F.max(f"__m_{n}").over(before).alias(f"__b_{n}") for n in values])
-    local = Window.partitionBy(*keys, "__bucket").orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    out = cut.join(tops, [*keys, "__bucket"])
+    cut, place, extra = _bucketed(df, bucket)
+    tops = cut.groupBy(*keys, place).agg(*[F.max(v).alias(f"__m_{n}") for n, v in values.items()])
+    before = Window.partitionBy(*keys).orderBy(place).rowsBetween(Window.unboundedPreceding, -1)
+    tops = tops.select(*keys, place, *[F.max(f"__m_{n}").over(before).alias(f"__b_{n}") for n in values])
+    local = Window.partitionBy(*keys, place).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
+    out = cut.join(tops, [*keys, place])
     for name, value in values.items():
         # greatest skips NULLs
         out = out.withColumn(name, F.greatest(F.max(value).over(local), F.col(f"__b_{name}")))
-    return out.drop("__bucket", *[f"__b_{n}" for n in values])
+    return out.drop(*[f"__b_{n}" for n in values], *extra)
 
 
 def digest_bucket(hexes: Column, digits: int = 3) -> Column:

@@ -36,7 +36,7 @@ def source_order(df: DataFrame, keys: Sequence[str], row_id: str = "obs_id") ->
         row_id,
     ]
     cut = with_value_bucket(joined, keys, "__primary", 256)
-    out = numbered(cut, keys, order, F.col("__vb"), "source_no")
+    out = numbered(cut, keys, order, "__vb", "source_no")
     return out.drop("__dated", "__peaks", "__primary", "__within", "__vb")
 
 
@@ -47,7 +47,7 @@ def probe_groups(df: DataFrame, block: Sequence[str], order: str, k: int) -> Dat
     """
     block = list(block)
     cut = with_value_bucket(df, block, order, 256)
-    placed = numbered(cut, block, [order], F.col("__vb"), "__rn", total="__n").drop("__vb")
+    placed = numbered(cut, block, [order], "__vb", "__rn", total="__n").drop("__vb")
     whole = F.col("__n") - F.col("__n") % k
     return (
         placed.where(F.col("__rn") <= whole)

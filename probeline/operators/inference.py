@@ -260,17 +260,16 @@ def holm(tests: DataFrame, family: Sequence[str], p: str, row_id: Sequence[str],
     Families may be large: places and the running maximum come from p-value buckets.
     """
     family = list(family)
-    known = tests.where(F.col(p).isNotNull())
-    bucket = F.floor(F.col(p) * 256)
+    known = tests.where(F.col(p).isNotNull()).withColumn("__pb", F.floor(F.col(p) * 256))
     order = [p, *row_id]
-    placed = numbered(known, family, order, bucket, "__r", total="__m")
+    placed = numbered(known, family, order, "__pb", "__r", total="__m")
     scaled = placed.withColumn("__x", (F.col("__m") - F.col("__r") + 1) * F.col(p))
-    running = prior_max(scaled, family, order, bucket, {"__before": "__x"})
+    running = prior_max(scaled, family, order, "__pb", {"__before": "__x"})
     adjusted = F.least(F.lit(1.0), F.greatest("__x", "__before"))
     done = running.withColumn("adjusted_p", adjusted).withColumn("reject", F.col("adjusted_p") < alpha)
     untested = tests.where(F.col(p).isNull()).withColumn("adjusted_p", F.lit(None).cast("double"))
     untested = untested.withColumn("reject", F.lit(None).cast("boolean"))
-    return done.drop("__r", "__m", "__x", "__before").unionByName(untested)
+    return done.drop("__r", "__m", "__x", "__before", "__pb").unionByName(untested)
 
 
 def significance_marker(p: Column) -> Column:

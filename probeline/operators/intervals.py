@@ -39,13 +39,14 @@ def overlapping_ranges(ranges: DataFrame, keys: Sequence[str], tie: str) -> Data
 def coalesce_ranges(ranges: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Merge touching and overlapping ranges per key (gaps and islands)."""
     keys = list(keys)
-    distinct = ranges.select(*keys, "start_min", "end_min").distinct()
     order = ["start_min", "end_min"]
-    seen = prior_max(distinct, keys, order, _bin(F.col("start_min")), {"__end": "end_min"})
+    # a kept column, so the second step finds the rows already placed by key and day
+    distinct = ranges.select(*keys, *order).distinct().withColumn("__day", _bin(F.col("start_min")))
+    seen = prior_max(distinct, keys, order, "__day", {"__end": "end_min"})
     flagged = seen.withColumn(
         "__new", F.when(F.col("start_min") > F.coalesce("__end", F.lit(float("-inf"))), 1).otherwise(0)
     )
-    islands = running_sum(flagged, keys, order, _bin(F.col("start_min")), "__new", "__island")
+    islands = running_sum(flagged, keys, order, "__day", "__new", "__island")
     return islands.groupBy(*keys, "__island").agg(
         F.min("start_min").alias("start_min"), F.max("end_min").alias("end_min")
     ).drop("__island")

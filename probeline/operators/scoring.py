@@ -2,8 +2,9 @@
 
 Every row is hashed by id to a block; a cell holds one block of each side. Rows are copied once per
 block of the other side and shuffled to their cells, so a task never sees more than a block of either
-side whatever the labels look like, and no side is broadcast or held whole. Inside a cell the scores
-are a NumPy array, summed in index order so they equal ``functions.columns.similarity`` bit for bit.
+side whatever the labels look like. Only a second side whose size was counted and fits one block is sent
+to the tasks instead; the first side is then scanned without a shuffle. Inside a cell the scores are a
+NumPy array, summed in index order so they equal ``functions.columns.similarity`` bit for bit.
 """
 
 from __future__ import annotations
@@ -19,12 +20,21 @@ from probeline.session import parallelism
 #: Rows of one side in a cell; 8192 x 64 doubles are 4 MB.
 BLOCK_ROWS = 8192
 SMALL_BLOCK_ROWS = 256
+#: Outputs that leave a cell score by score use smaller blocks: 2048 x 2048 scores at a time.
+SCORE_BLOCK_ROWS = 2048
+SCORE_OUTPUTS = ("pairs", "histogram", "exact")
+#: A counted second side up to these limits is sent along with the task.
+SENT_ROWS, SENT_VALUES = 8192, 4_000_000
 
 
-def _block_counts(left_rows: int, right_rows: int, slots: int) -> tuple[int, int]:
-    """Blocks per side: bounded by BLOCK_ROWS, and enough cells to keep all slots busy."""
-    left = max(1, math.ceil(left_rows / BLOCK_ROWS))
-    right = max(1, math.ceil(right_rows / BLOCK_ROWS))
+def _block_rows(output: str) -> int:
+    return min(BLOCK_ROWS, SCORE_BLOCK_ROWS) if output in SCORE_OUTPUTS else BLOCK_ROWS
+
+
+def _block_counts(left_rows: int, right_rows: int, slots: int, largest: int) -> tuple[int, int]:
+    """Blocks per side: of at most ``largest`` rows, and enough cells to keep all slots busy."""
+    left = max(1, math.ceil(left_rows / largest))
+    right = max(1, math.ceil(right_rows / largest))
     while left * right < slots:
         grow_left = left_rows / left >= right_rows / right
         rows, blocks = (left_rows, left) if grow_left else (right_rows, right)
@@ -41,6 +51,17 @@ def _block(column: Column, blocks: int) -> Column:
     return F.pmod(F.xxhash64(column), F.lit(blocks)).cast("int")
 
 
+def _packed(df: DataFrame) -> bytes:
+    """A counted, small table as Arrow bytes."""
+    import pyarrow as pa
+
+    rows = df.toArrow()
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema) as writer:
+        writer.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
 def _largest(df: DataFrame, by: Sequence[str]) -> int:
     """Rows of the largest run."""
     sizes = df.groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
@@ -54,9 +75,11 @@ def _cell_function(
     by: Sequence[str] = (),
     edges: tuple[float, float, int] | float | None = None,
     wanted: Sequence[int] = (),
+    sent: bytes | None = None,
 ):
-    """Arrow function for one cell. Self-contained, so executors need nothing but NumPy and Arrow."""
+    """Arrow function for one cell, or for batches of the first side when the second one is ``sent``. Self-contained, so executors need nothing but NumPy and Arrow."""
     by = list(by)
+    most = SCORE_BLOCK_ROWS**2 if output in SCORE_OUTPUTS else BLOCK_ROWS**2
 
     def bin_of(scores):
         """Uniform bins over (low, high, count), clipped at the ends, or the two sides of a threshold."""
@@ -89,6 +112,24 @@ def _cell_function(
             return -np.sqrt(out)
         return out if kind == "dot" else -out
 
+    def run_batches(batches):
+        import pyarrow as pa
+        import pyarrow.compute as pc
+
+        whole = pa.ipc.open_stream(sent).read_all()
+        for batch in batches:
+            left = pa.Table.from_batches([batch])
+            runs = left.group_by(by).aggregate([]).to_pylist() if by else [{}]
+            for values in runs:
+                a, b = left, whole
+                for name, value in values.items():
+                    a, b = a.filter(pc.equal(a.column(name), value)), b.filter(pc.equal(b.column(name), value))
+                # at most a block of scores at a time
+                step = max(1, most // max(1, b.num_rows))
+                for start in range(0, a.num_rows, step):
+                    key = (0, 1, *[pa.scalar(values[name]) for name in by])
+                    yield from run(key, a.slice(start, step), b).to_batches()
+
     def run(key, left, right):
         import pyarrow as pa
 
@@ -114,6 +155,10 @@ def _cell_function(
         left_codes, right_codes = codes[: len(a)], codes[len(a):]
         same_block = unordered and key[0].as_py() == key[1].as_py()
         bar = left.column("bar").to_numpy() if output in ("count", "hits") else None
+        if output == "best":
+            # right rows in label order: the first maximum is the smallest label among ties
+            order = np.argsort(right.column("label").to_numpy(), kind="stable")
+            b = b[order]
         pieces = []
         if output == "bins":
             size = edges[2] if isinstance(edges, tuple) else 2
@@ -127,6 +172,10 @@ def _cell_function(
                     passed = (scores >= bar[rows, None]).sum(axis=1)
                     pieces.append((left_ids[rows], passed))
                     continue
+                if output == "best":
+                    top = scores.argmax(axis=1)
+                    pieces.append((left_ids[rows], scores[np.arange(len(top)), top], order[top + j]))
+                    continue
                 if output == "hits":
                     p, q = np.nonzero(scores >= bar[rows, None])
                     pieces.append((p + i, q + j))
@@ -173,6 +222,9 @@ def _cell_function(
             ids, inverse = np.unique(joined[0], return_inverse=True)
             counts = np.bincount(inverse, weights=joined[1]).astype(np.int64)
             return pa.table({"id": ids, "n_at_least": counts})
+        if output == "best":
+            taken = pc.take(right.column("label").combine_chunks(), pa.array(joined[2]))
+            return pa.table({"id": joined[0], "score": joined[1], "label": taken})
         if output == "hits":
             hit = pa.table(
                 {
@@ -204,13 +256,14 @@ def _cell_function(
         shapes = {
             "count": [("id", ids), ("n_at_least", pa.int64())],
             "hits": [("id", ids), ("label", labels)],
+            "best": [("id", ids), ("score", pa.float64()), ("label", labels)],
             "histogram": [("score", pa.float64()), ("n_genuine", pa.int64()), ("n_impostor", pa.int64())],
             "exact": [("score", pa.float64()), ("n_genuine", pa.int64()), ("n_impostor", pa.int64())],
             "bins": [("bin", pa.int64()), ("n_genuine", pa.int64()), ("n_impostor", pa.int64())]
             + [(n, pa.float64()) for n in ("sum_genuine", "sum_impostor", "sq_genuine", "sq_impostor", "lowest")],
             "pairs": [
                 ("a_id", ids),
-                ("b_id", ids),
+                ("b_id", right.schema.field("id").type),
                 ("a_label", labels),
                 ("b_label", labels),
                 ("score", pa.float64()),
@@ -218,7 +271,7 @@ def _cell_function(
         }
         return pa.schema(shapes[output])
 
-    return run
+    return run if sent is None else run_batches
 
 
 _KINDS = {"cosine": "dot", "pearson": "dot", "euclidean": "l2", "manhattan": "l1"}
@@ -239,21 +292,43 @@ def grid_scores(
     ``right=None`` scores each unordered pair of ``left`` once, smaller id first. ``output``:
     ``pairs`` one row per pair; ``histogram`` distinct scores with genuine and impostor counts per cell
     (sum them per score); ``count`` per left id the right rows scoring at least ``left.bar``; ``hits``
-    the right labels doing so; ``bins`` counts, sums and lowest score per bin of ``edges``; ``exact`` the
-    histogram inside the ``wanted`` bins. Only rows that agree on ``by`` (a run or seed) are compared.
+    the right labels doing so; ``best`` the best right rows per piece of the right side; ``bins`` counts, sums
+    and lowest score per bin of ``edges``; ``exact`` the histogram inside the ``wanted`` bins. Only rows that
+    agree on ``by`` (a run or seed) are compared.
     """
     by = list(by)
     if not is_prepared:
         left = left.withColumn("vec", prepared(F.col("vec"), method))
         right = None if right is None else right.withColumn("vec", prepared(F.col("vec"), method))
     unordered = right is None
+    ids, labels = left.schema["id"].dataType, left.schema["label"].dataType
+    other_ids = ids if unordered else right.schema["id"].dataType
+    shapes = {
+        "pairs": [("a_id", ids), ("b_id", other_ids), ("a_label", labels), ("b_label", labels), ("score", T.DoubleType())],
+        "histogram": [("score", T.DoubleType()), ("n_genuine", T.LongType()), ("n_impostor", T.LongType())],
+        "exact": [("score", T.DoubleType()), ("n_genuine", T.LongType()), ("n_impostor", T.LongType())],
+        "bins": [("bin", T.LongType()), ("n_genuine", T.LongType()), ("n_impostor", T.LongType())]
+        + [(n, T.DoubleType()) for n in ("sum_genuine", "sum_impostor", "sq_genuine", "sq_impostor", "lowest")],
+        "count": [("id", ids), ("n_at_least", T.LongType())],
+        "hits": [("id", ids), ("label", labels)],
+        "best": [("id", ids), ("score", T.DoubleType()), ("label", labels)],
+    }
+    keyed = [T.StructField(c, left.schema[c].dataType) for c in by]
+    schema = T.StructType([*keyed, *[T.StructField(n, t) for n, t in shapes[output]]])
+    cell = lambda sent=None: _cell_function(_KINDS[method], output, unordered, by, edges, list(wanted), sent)
+    extra = ["bar"] if output in ("count", "hits") else []
+    if not unordered:
+        size = right.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
+        if size["n"] <= SENT_ROWS and size["n"] * (size["d"] or 0) <= SENT_VALUES:
+            sent = _packed(right.select(*by, "id", "label", "vec"))
+            return left.select(*by, "id", "label", "vec", *extra).mapInArrow(cell(sent), schema)
     slots = parallelism(left.sparkSession)
     left_rows = _largest(left, by)
     if unordered:
         # b blocks make b(b+1)/2 cells
         blocks = max(
             1,
-            math.ceil(left_rows / BLOCK_ROWS),
+            math.ceil(left_rows / _block_rows(output)),
             min(math.ceil(math.sqrt(2 * slots)), left_rows // SMALL_BLOCK_ROWS),
         )
         own = left.withColumn("__own", _block(F.col("id"), blocks))
@@ -262,7 +337,7 @@ def grid_scores(
         rights = own.withColumn("__l", F.explode(F.sequence(F.lit(0), F.col("__own"))))
         rights = rights.withColumnRenamed("__own", "__r")
     else:
-        left_blocks, right_blocks = _block_counts(left_rows, _largest(right, by), slots)
+        left_blocks, right_blocks = _block_counts(left_rows, _largest(right, by), slots, _block_rows(output))
         lefts = left.withColumn("__l", _block(F.col("id"), left_blocks)).withColumn(
             "__r", F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1)))
         )
@@ -270,23 +345,11 @@ def grid_scores(
             "__l", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1)))
         )
     kept = ["__l", "__r", *by, "id", "label", "vec"]
-    lefts = lefts.select(*kept, *(["bar"] if output in ("count", "hits") else []))
-    ids, labels = left.schema["id"].dataType, left.schema["label"].dataType
-    shapes = {
-        "pairs": [("a_id", ids), ("b_id", ids), ("a_label", labels), ("b_label", labels), ("score", T.DoubleType())],
-        "histogram": [("score", T.DoubleType()), ("n_genuine", T.LongType()), ("n_impostor", T.LongType())],
-        "exact": [("score", T.DoubleType()), ("n_genuine", T.LongType()), ("n_impostor", T.LongType())],
-        "bins": [("bin", T.LongType()), ("n_genuine", T.LongType()), ("n_impostor", T.LongType())]
-        + [(n, T.DoubleType()) for n in ("sum_genuine", "sum_impostor", "sq_genuine", "sq_impostor", "lowest")],
-        "count": [("id", ids), ("n_at_least", T.LongType())],
-        "hits": [("id", ids), ("label", labels)],
-    }
-    keyed = [T.StructField(c, left.schema[c].dataType) for c in by]
-    schema = T.StructType([*keyed, *[T.StructField(n, t) for n, t in shapes[output]]])
+    lefts = lefts.select(*kept, *extra)
     # New attribute ids: the two sides may come from the same table.
     fresh = rights.select(*[F.col(c).alias(c) for c in kept])
     cells = lefts.groupBy("__l", "__r", *by).cogroup(fresh.groupBy("__l", "__r", *by))
-    return cells.applyInArrow(_cell_function(_KINDS[method], output, unordered, by, edges, list(wanted)), schema)
+    return cells.applyInArrow(cell(), schema)
 
 
 def score_histogram(

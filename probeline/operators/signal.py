@@ -157,10 +157,10 @@ def detect_peaks(samples: DataFrame, keys: Sequence[str], deviations: float, ref
     )
     tops = _owned(shaped).where((F.col("value") > F.col("__prev")) & (F.col("value") >= F.col("__next")))
     high = tops.join(levels, keys).where(F.col("value") > F.col("__level")).select(*keys, "idx", "value")
-    bucket = F.floor(F.col("idx") / CHUNK)
-    gaps = prior_max(high, keys, ["idx"], bucket, {"__last": "idx"})
+    high = high.withColumn("__part", F.floor(F.col("idx") / CHUNK))
+    gaps = prior_max(high, keys, ["idx"], "__part", {"__last": "idx"})
     fresh = F.when(F.col("idx") - F.col("__last") <= refractory, 0).otherwise(1)
-    runs = running_sum(gaps.withColumn("__fresh", fresh), keys, ["idx"], bucket, "__fresh", "__run")
+    runs = running_sum(gaps.withColumn("__fresh", fresh), keys, ["idx"], "__part", "__fresh", "__run")
     best = F.max(F.struct(F.col("value").alias("v"), (-F.col("idx")).alias("i")))
     return runs.groupBy(*keys, "__run").agg(best.alias("b")).select(*keys, (-F.col("b.i")).alias("peak"))
 

@@ -42,7 +42,7 @@ def trimmed_mean_templates(df: DataFrame, share: float = 0.1, smallest: int = 5)
     """Mean without the ``share`` lowest and highest values per coordinate; plain mean for few rows."""
     keys = ["label", "pos"]
     cut = with_value_bucket(_long(df, "id"), keys, "x", 64)
-    ranked = numbered(cut, keys, ["x", "id"], F.col("__vb"), "__rn", total="__n")
+    ranked = numbered(cut, keys, ["x", "id"], "__vb", "__rn", total="__n")
     trim = F.when(F.col("__n") < smallest, 0).otherwise(F.floor(F.col("__n") * share))
     kept = ranked.where((F.col("__rn") > trim) & (F.col("__rn") <= F.col("__n") - trim))
     return _as_array(kept.groupBy(*keys).agg(F.avg("x").alias("m")), "m")
@@ -91,8 +91,8 @@ def geometric_median_templates(
     Labels are dropped from later rounds when done, and the small state table is checkpointed so the
     plan stays short.
     """
-    state = mean_templates(df).select("label", "vec", F.lit(False).alias("done"))
-    state = cut_lineage(state)
+    df = cut_lineage(df.select("id", "label", "vec"))  # read in every round
+    state = cut_lineage(mean_templates(df).select("label", "vec", F.lit(False).alias("done")))
     for step in range(1, rounds + 1):
         active = state.where(~F.col("done")).select("label", F.col("vec").alias("centre"))
         gaps = F.zip_with("vec", "centre", lambda x, y: (x - y) * (x - y))

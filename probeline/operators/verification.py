@@ -35,9 +35,9 @@ def error_curve(hist: DataFrame, by: Sequence[str] = ()) -> DataFrame:
     """
     by = list(by)
     if by:
-        cut = with_value_bucket(cut_lineage(hist), by, "score")
-        placed = running_sum(cut, by, [F.desc("score")], -F.col("__vb"), "n_genuine", "cum_g")
-        placed = running_sum(placed, by, [F.desc("score")], -F.col("__vb"), "n_impostor", "cum_i")
+        cut = with_value_bucket(cut_lineage(hist), by, "score").withColumn("__down", -F.col("__vb"))
+        placed = running_sum(cut, by, [F.desc("score")], "__down", "n_genuine", "cum_g")
+        placed = running_sum(placed, by, [F.desc("score")], "__down", "n_impostor", "cum_i")
     else:
         placed = running_totals(hist, F.col("score"), {"n_genuine": "cum_g", "n_impostor": "cum_i"}, descending=True)
     totals = placed.groupBy(*by).agg(F.sum("n_genuine").alias("g"), F.sum("n_impostor").alias("i"))
@@ -205,6 +205,14 @@ def predicted_identity(scores: DataFrame) -> DataFrame:
     )
 
 
+def nearest_identity(best: DataFrame, probes: DataFrame) -> DataFrame:
+    """The same from ``best`` grid output, which holds one row per probe and piece of the gallery."""
+    top = F.min(F.struct((-F.col("score")).alias("s"), F.col("label").alias("identity")))
+    nearest = best.groupBy("id").agg(top.alias("b")).select("id", F.col("b.identity").alias("predicted"))
+    own = probes.select("id", F.col("label").alias("true_identity"))
+    return own.join(nearest, "id").withColumnRenamed("id", "probe_id")
+
+
 def confusion(predictions: DataFrame) -> DataFrame:
     """Counts per true and predicted identity and their share of the true identity."""
     cells = predictions.groupBy("true_identity", "predicted").agg(F.count(F.lit(1)).alias("n"))

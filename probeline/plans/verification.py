@@ -530,5 +530,7 @@ def decision_problems(spark, sf_dir):
     ),
 )
 def confusion_matrix(spark, sf_dir):
-    cells = verification.confusion(verification.predicted_identity(matching.score_table(spark, sf_dir)))
+    _, probes = matching.enroll_and_probe(spark, sf_dir)
+    best = grid_scores(probes, matching.gallery(spark, sf_dir), output="best")
+    cells = verification.confusion(verification.nearest_identity(best, probes))
     return cells.withColumn("share", rounded("share"))

@@ -270,3 +270,27 @@ def test_refined_readings_equal_the_full_curve(vectors, bins, monkeypatch):
     one = vectors.sparkSession.createDataFrame([(cut,)], "threshold double")
     hist = scoring.score_histogram(vectors, None)
     assert verification.apply_threshold(decisions_at(vectors, None, cut), one).first() == verification.apply_threshold(hist, one).first()
+
+
+@pytest.mark.parametrize("output", ["pairs", "histogram", "count", "hits", "best", "bins"])
+def test_sent_side_equals_the_grid(spark, vectors, output, monkeypatch):
+    monkeypatch.setattr(scoring, "BLOCK_ROWS", 15)
+    left = vectors.where("id < 50").select((F.col("id") % 2).alias("seed"), "id", "label", "vec", F.lit(0.2).alias("bar"))
+    right = vectors.where("id >= 40").select((F.col("id") % 2).alias("seed"), "id", "label", "vec")
+    options = {"edges": (-1.0, 1.0, 9)} if output == "bins" else {}
+    found = []
+    for rows in (10**6, 0):
+        monkeypatch.setattr(scoring, "SENT_ROWS", rows)
+        out = scoring.grid_scores(left, right, output=output, by=["seed"], **options)
+        if output == "best":
+            out = out.groupBy("seed", "id").agg(F.min(F.struct(-F.col("score"), "label")).alias("b"))
+        elif output == "hits":
+            out = out.distinct()
+        elif output == "count":
+            out = out.groupBy("seed", "id").agg(F.sum("n_at_least"))
+        elif output == "histogram":
+            out = out.groupBy("seed", "score").agg(F.sum("n_genuine"), F.sum("n_impostor"))
+        elif output == "bins":
+            out = out.groupBy("seed", "bin").agg(F.sum("n_genuine"), F.sum("n_impostor"), F.min("lowest"))
+        found.append(sorted(map(str, out.collect())))
+    assert found[0] == found[1] and found[0]
