@@ -20,6 +20,7 @@ from probeline.session import parallelism
 #: Rows of one side in a cell; 8192 x 64 doubles are 4 MB.
 BLOCK_ROWS = 8192
 SMALL_BLOCK_ROWS = 256
+MOST_TASKS = 100_000
 #: Outputs that leave a cell score by score use smaller blocks: 2048 x 2048 scores at a time.
 SCORE_BLOCK_ROWS = 2048
 SCORE_OUTPUTS = ("pairs", "histogram", "exact")
@@ -331,6 +332,7 @@ def grid_scores(
             math.ceil(left_rows / _block_rows(output)),
             min(math.ceil(math.sqrt(2 * slots)), left_rows // SMALL_BLOCK_ROWS),
         )
+        cell_count = blocks * (blocks + 1) // 2
         own = left.withColumn("__own", _block(F.col("id"), blocks))
         lefts = own.withColumn("__r", F.explode(F.sequence(F.col("__own"), F.lit(blocks - 1))))
         lefts = lefts.withColumnRenamed("__own", "__l")
@@ -338,6 +340,7 @@ def grid_scores(
         rights = rights.withColumnRenamed("__own", "__r")
     else:
         left_blocks, right_blocks = _block_counts(left_rows, _largest(right, by), slots, _block_rows(output))
+        cell_count = left_blocks * right_blocks
         lefts = left.withColumn("__l", _block(F.col("id"), left_blocks)).withColumn(
             "__r", F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1)))
         )
@@ -348,7 +351,10 @@ def grid_scores(
     lefts = lefts.select(*kept, *extra)
     # New attribute ids: the two sides may come from the same table.
     fresh = rights.select(*[F.col(c).alias(c) for c in kept])
-    cells = lefts.groupBy("__l", "__r", *by).cogroup(fresh.groupBy("__l", "__r", *by))
+    # A stated number of partitions: cells are few bytes and much work, so they must not be merged.
+    place = ["__l", "__r", *by]
+    tasks = max(slots, min(2 * cell_count, MOST_TASKS))
+    cells = lefts.repartition(tasks, *place).groupBy(*place).cogroup(fresh.repartition(tasks, *place).groupBy(*place))
     return cells.applyInArrow(cell(), schema)
 
 
