@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -44,12 +45,15 @@ def get_session(app: str = "probeline", master: str | None = None, **conf: str)
 
 
 def _shared_dir(spark: SparkSession) -> str:
-    """The cluster's shared folder; a temporary one only where the setting is absent (tests)."""
+    """The cluster's shared folder. Only a ``local`` master, where all tasks share the driver's disk, may do
+    without the setting and gets a temporary folder."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if folder is None:
         context = spark.sparkContext
         folder = context.getCheckpointDir()
         if folder is None:
+            if not re.fullmatch(r"local(\[.*\])?", context.master):
+                raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             folder = tempfile.mkdtemp(prefix="probeline-")
             context.setCheckpointDir(folder)
     return folder
