@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from probeline.llm.common import table
 from probeline.llm.quality_rules import risk_controlled_rules
+from probeline.llm.secrets import BASE_KINDS, scan_secrets
 from probeline.llm.sql import QUALITY_RULES_SQL
 from probeline.session import tune
 
@@ -29,3 +30,19 @@ def query(name: str, sql: str | None = None):
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = risk_controlled_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return rules.withColumn("failed_rules", F.concat_ws(",", "failed_rules"))
+
+
+@query("op4_secret_scan")
+def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = scan_secrets(table(spark, sf_dir, "documents"))
+    text = lambda spans: F.array_join(
+        F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ","
+    )
+    base = F.filter("spans", lambda s: s["kind"].isin(*BASE_KINDS))
+    count = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
+    return found.select(
+        "doc_id",
+        *[count(kind).alias(f"n_{kind}") for kind in BASE_KINDS],
+        F.sha2(text(base), 256).alias("base_sha256"),
+        text(F.col("spans")).alias("spans"),
+    )
