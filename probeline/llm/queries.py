@@ -4,13 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
-from probeline.llm.common import table
+from probeline.llm.common import stored, table
 from probeline.llm.quality_rules import risk_controlled_rules
 from probeline.llm.secrets import BASE_KINDS, scan_secrets
-from probeline.llm.sql import QUALITY_RULES_SQL
-from probeline.session import tune
+from probeline.llm.sql import QUALITY_RULES_SQL, WARC_SQL
+from probeline.llm.token_store import read_token_files, write_token_files
+from probeline.llm.warc import read_archives, write_archives
+from probeline.session import scratch_path, tune
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -46,3 +49,19 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(text(base), 256).alias("base_sha256"),
         text(F.col("spans")).alias("spans"),
     )
+
+
+@query("op10_token_store")
+def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "tokens")
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    files = write_token_files(table(spark, sf_dir, "documents"), tokenizer, folder, end_id=2)
+    docs = read_token_files(spark, folder).join(files.select("name", "start"), "name")
+    return docs.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
+
+
+@query("op7_warc", WARC_SQL)
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = scratch_path(spark, "archives")
+    stored(write_archives(table(spark, sf_dir, "pages"), folder), "archive_names")
+    return read_archives(spark, folder)

@@ -64,3 +64,12 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base
     NOT base_failed AND failed_rules = '' AS kept, failed_rules
 FROM v
 """
+
+WARC_SQL = r"""
+WITH p AS (SELECT page_id, coalesce(html, '') AS h, octet_length(encode(coalesce(html, ''))) AS n FROM pages),
+big AS (SELECT h, max(page_id) AS largest FROM p WHERE n >= 1000 GROUP BY h)
+SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
+    CASE WHEN n >= 1000 AND page_id < largest THEN 'revisit' ELSE 'response' END AS record_type,
+    CASE WHEN n >= 1000 AND page_id < largest THEN largest END AS refers_to
+FROM p LEFT JOIN big ON big.h = p.h AND p.n >= 1000
+"""
