@@ -8,9 +8,10 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from probeline.llm.common import stored, table
+from probeline.llm.decontamination import find_contamination
 from probeline.llm.quality_rules import risk_controlled_rules
 from probeline.llm.secrets import BASE_KINDS, scan_secrets
-from probeline.llm.sql import QUALITY_RULES_SQL, WARC_SQL
+from probeline.llm.sql import DECONTAMINATION_SQL, QUALITY_RULES_SQL, WARC_SQL
 from probeline.llm.token_store import read_token_files, write_token_files
 from probeline.llm.warc import read_archives, write_archives
 from probeline.session import scratch_path, tune
@@ -65,3 +66,16 @@ def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "archives")
     stored(write_archives(table(spark, sf_dir, "pages"), folder), "archive_names")
     return read_archives(spark, folder)
+
+
+@query("op1_decontamination", DECONTAMINATION_SQL)
+def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id",
+        "n_words",
+        "n_hit",
+        F.size("item_ids").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
+        (F.col("n_hit") > 0).alias("contaminated"),
+    )

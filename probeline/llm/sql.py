@@ -73,3 +73,28 @@ SELECT page_id, n::BIGINT AS payload_bytes, sha1(p.h) AS payload_digest,
     CASE WHEN n >= 1000 AND page_id < largest THEN largest END AS refers_to
 FROM p LEFT JOIN big ON big.h = p.h AND p.n >= 1000
 """
+
+DECONTAMINATION_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS k, doc_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM documents),
+b AS (
+    SELECT item_id,
+        regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+            '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS ws FROM benchmark),
+g AS (
+    SELECT DISTINCT item_id, least(len(ws), 10) AS n, array_to_string(ws[i:i + least(len(ws), 10) - 1], ' ') AS g
+    FROM (SELECT *, unnest(range(1, greatest(len(ws) - 10, 0) + 2)) AS i FROM b WHERE len(ws) > 0)),
+s AS (SELECT DISTINCT n FROM g),
+p AS (
+    SELECT k, n, i, array_to_string(ws[i:i + n - 1], ' ') AS g
+    FROM (SELECT k, ws, n, unnest(range(1, len(ws) - n + 2)) AS i FROM d, s WHERE len(ws) >= n)),
+o AS (SELECT k, i, p.n, item_id FROM p JOIN g ON g.g = p.g AND g.n = p.n),
+w AS (SELECT k, count(DISTINCT x) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS x FROM o) GROUP BY k),
+t AS (SELECT k, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+      FROM (SELECT DISTINCT k, item_id::VARCHAR AS item FROM o) GROUP BY k)
+SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+    sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN w ON w.k = d.k LEFT JOIN t ON t.k = d.k
+"""
