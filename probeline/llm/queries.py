@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from probeline.llm.common import stored, table
 from probeline.llm.decontamination import find_contamination
+from probeline.llm.ngram_join import Measure, similar_groups
 from probeline.llm.quality_rules import risk_controlled_rules
 from probeline.llm.secrets import BASE_KINDS, scan_secrets
 from probeline.llm.sql import DECONTAMINATION_SQL, QUALITY_RULES_SQL, WARC_SQL
@@ -79,3 +80,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.sha2(F.array_join("item_ids", ","), 256).alias("items_sha256"),
         (F.col("n_hit") > 0).alias("contaminated"),
     )
+
+
+@query("op2_ngram_join")
+def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    measure = Measure(words=4, share=85)
+    return similar_groups(table(spark, sf_dir, "documents"), measure).select("doc_id", "n_shingles", "component_id")
