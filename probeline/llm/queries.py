@@ -7,6 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from probeline.llm.class_lm import held_out, score_documents, train_class_model
 from probeline.llm.common import stored, table
 from probeline.llm.decontamination import find_contamination
 from probeline.llm.ngram_join import Measure, similar_groups
@@ -86,3 +87,9 @@ def op1_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     measure = Measure(words=4, share=85)
     return similar_groups(table(spark, sf_dir, "documents"), measure).select("doc_id", "n_shingles", "component_id")
+
+
+@query("op5_class_lm")
+def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    return score_documents(docs, train_class_model(docs.where(~held_out(F.col("doc_id")))))
