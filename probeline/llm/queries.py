@@ -13,7 +13,8 @@ from probeline.llm.decontamination import find_contamination
 from probeline.llm.ngram_join import Measure, similar_groups
 from probeline.llm.quality_rules import risk_controlled_rules
 from probeline.llm.secrets import BASE_KINDS, scan_secrets
-from probeline.llm.sql import DECONTAMINATION_SQL, QUALITY_RULES_SQL, WARC_SQL
+from probeline.llm.sharding import write_shards
+from probeline.llm.sql import DECONTAMINATION_SQL, QUALITY_RULES_SQL, SHARDING_SQL, WARC_SQL
 from probeline.llm.token_store import read_token_files, write_token_files
 from probeline.llm.warc import read_archives, write_archives
 from probeline.session import scratch_path, tune
@@ -93,3 +94,19 @@ def op2_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op5_class_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     return score_documents(docs, train_class_model(docs.where(~held_out(F.col("doc_id")))))
+
+
+#: Bytes of text in one shard.
+SHARD_BYTES = 2 << 20
+
+
+@query("op9_sharding", SHARDING_SQL)
+def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = scratch_path(spark, "shards")
+    buckets = write_shards(docs, ["doc_id"], folder, SHARD_BYTES)
+    written = spark.read.schema("doc_id bigint, text string, shard string").parquet(folder)
+    rows = written.select("doc_id", F.coalesce(F.octet_length("text"), F.lit(0)).cast("bigint").alias("n_bytes"), "shard")
+    return rows.join(
+        buckets.select("shard", "depth", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes")), "shard"
+    )

@@ -98,3 +98,18 @@ SELECT doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit,
     sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN w ON w.k = d.k LEFT JOIN t ON t.k = d.k
 """
+
+SHARDING_SQL = r"""
+WITH d AS (
+    SELECT doc_id, octet_length(encode(coalesce(text, ''))) AS n,
+        ('0x' || substr(md5(coalesce(doc_id::VARCHAR, chr(0))), 1, 15))::BIGINT AS h FROM documents),
+p AS (
+    SELECT doc_id, n, depth, h >> (60 - depth) AS prefix FROM d, (SELECT unnest(range(0, 31))::INT AS depth)),
+b AS (SELECT depth, prefix, count(*) AS r, sum(n) AS s FROM p GROUP BY ALL),
+c AS (
+    SELECT doc_id, n, p.depth, p.prefix, r, s, row_number() OVER (PARTITION BY doc_id ORDER BY p.depth) AS k
+    FROM p JOIN b USING (depth, prefix) WHERE s <= 2097152)
+SELECT doc_id, n::BIGINT AS n_bytes, lpad(depth::VARCHAR, 2, '0') || '-' || prefix AS shard, depth::INT AS depth,
+    r::BIGINT AS shard_rows, s::BIGINT AS shard_bytes
+FROM c WHERE k = 1
+"""
