@@ -4,16 +4,55 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from probeline.llm.common import stored, table
+from probeline.llm.common import DOCUMENT_COLUMNS, stored, table
+from probeline.llm.decontamination import remove_contamination
+from probeline.llm.ngram_join import Measure, without_near_duplicates
+from probeline.llm.quality_model import classify_quality
+from probeline.llm.secrets import redact_secrets
+from probeline.llm.sentence_pieces import encode_pieces
 from probeline.session import tune
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
-STAGES: list[tuple[str, Stage]] = []
 
-#: SQL can't express language-model perplexity, automata or lattices; tests hold each stage against brute force.
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose perplexity under the model of trusted text is below their language's cutoff."""
+    judged = classify_quality(docs.select(*DOCUMENT_COLUMNS), table(spark, sf_dir, "labels"))
+    return judged.where("kept").select(*DOCUMENT_COLUMNS)
+
+
+def distinct_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near duplicates: shingles of five words, similarity 0.8 or more."""
+    return without_near_duplicates(docs, Measure(words=5, share=80))
+
+
+def without_benchmarks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with passages of the benchmark cut out."""
+    return remove_contamination(docs, table(spark, sf_dir, "benchmark"))
+
+
+def without_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with secrets masked."""
+    return redact_secrets(docs)
+
+
+def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Piece ids of each document's best segmentation."""
+    return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
+
+
+STAGES: list[tuple[str, Stage]] = [
+    ("quality_classifier", good_quality),
+    ("near_duplicates", distinct_documents),
+    ("decontamination", without_benchmarks),
+    ("secrets", without_secrets),
+    ("sentence_pieces", as_pieces),
+]
+
+#: SQL can't express perplexity, an automaton or a lattice; tests hold each stage against brute force.
 ORACLE_SQL: str | None = None
 
 

@@ -11,8 +11,10 @@ from probeline.llm.class_lm import held_out, score_documents, train_class_model
 from probeline.llm.common import stored, table
 from probeline.llm.decontamination import find_contamination
 from probeline.llm.ngram_join import Measure, similar_groups
+from probeline.llm.quality_model import classify_quality
 from probeline.llm.quality_rules import risk_controlled_rules
 from probeline.llm.secrets import BASE_KINDS, scan_secrets
+from probeline.llm.sentence_pieces import encode_pieces
 from probeline.llm.sharding import write_shards
 from probeline.llm.sql import DECONTAMINATION_SQL, QUALITY_RULES_SQL, SHARDING_SQL, WARC_SQL
 from probeline.llm.token_store import read_token_files, write_token_files
@@ -110,3 +112,16 @@ def op9_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.join(
         buckets.select("shard", "depth", F.col("rows").alias("shard_rows"), F.col("bytes").alias("shard_bytes")), "shard"
     )
+
+
+@query("op8_quality_classifier")
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    judged = classify_quality(docs, table(spark, sf_dir, "labels"))
+    return judged.drop("text").withColumn("perplexity", F.pow(F.lit(10.0), "log_perplexity"))
+
+
+@query("op3_sentence_pieces")
+def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = public_tokenizers.path("piece_bpe_32k.model")
+    return encode_pieces(table(spark, sf_dir, "documents"), model, n_best=3, with_ids=False)
