@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from probeline.llm.common import batch
 from probeline.llm.files import read_files, write_file
-from probeline.session import parallelism
 
 #: Magic numbers of a skippable frame that holds a dictionary, of a dictionary and of a data frame (fixed values).
 DICTIONARY_FRAME = 0x184D2A5D
@@ -151,15 +150,11 @@ def with_originals(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
 def write_archives(pages: DataFrame, folder: str, least: int = LEAST_PAYLOAD) -> DataFrame:
     """Write all pages as records into archives of ``folder``; gives ``name, records`` per archive.
 
-    The result is lazy: an action on it writes. Records are ranged by page id, so a repeated attempt writes the
-    same bytes under the same name. A null html is an empty payload; other columns are ignored.
+    The result is lazy: an action on it writes. Records stay in the partitions in which they met their originals,
+    by page id within each, so a repeated attempt writes the same bytes under the same name. A null html is an
+    empty payload; other columns are ignored.
     """
-    keys = ["page_id", "digest"]
-    ordered = (
-        with_originals(pages, least)
-        .repartitionByRange(parallelism(pages.sparkSession), *keys)
-        .sortWithinPartitions(*keys, "url")
-    )
+    ordered = with_originals(pages, least).sortWithinPartitions("page_id", "digest", "url")
     schema = pa.schema([("name", pa.string()), ("records", pa.int64())])
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
