@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, functions as F
 
 from probeline.functions.columns import array_sum, let
+from probeline.operators.signal import with_start
 
 
 def _frames(samples: DataFrame, keys: Sequence[str], width: int, hop: int, closing: bool) -> DataFrame:
@@ -15,13 +16,13 @@ def _frames(samples: DataFrame, keys: Sequence[str], width: int, hop: int, closi
 
     ``closing`` adds the frame that completes a last partial hop.
     """
-    if hop > width // 2:
-        raise ValueError("the hop may be at most half a frame")
     keys = list(keys)
     sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
-    place = F.col("idx") + width // 2
+    place = F.col("idx") - F.col("__start") + width // 2
     first = F.greatest(F.ceil((place - width + 1) / hop), F.lit(0))
-    tagged = samples.withColumn("frame", F.explode(F.sequence(first, F.floor(place / hop)))).withColumn(
+    last = F.floor(place / hop)
+    inside = with_start(samples, keys).where(first <= last)  # with a wide hop some samples are in no frame
+    tagged = inside.withColumn("frame", F.explode(F.sequence(first, last))).withColumn(
         "__at", (place - F.col("frame") * hop).cast("int")
     )
     rows = tagged.groupBy(*keys, "frame").agg(

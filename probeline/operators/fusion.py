@@ -12,7 +12,7 @@ from probeline.functions.ordering import numbered, with_value_bucket
 def source_order(df: DataFrame, keys: Sequence[str], row_id: str = "obs_id") -> DataFrame:
     """Add ``source_no``, the row's place in its group by true source order.
 
-    A group whose rows all have an acquisition time is ordered by it, any other group by acquisition
+    A group whose rows all have an acquisition time (a date or a date and time) is ordered by it, any other group by acquisition
     order; inside a recording by segment and then by peak position, or by ordinal if any peak is unknown.
     """
     keys = list(keys)
@@ -20,10 +20,12 @@ def source_order(df: DataFrame, keys: Sequence[str], row_id: str = "obs_id") ->
         F.bool_and(F.col("acquisition_time").isNotNull()).alias("__dated"),
         F.bool_and(F.col("rpeak_index") >= 0).alias("__peaks"),
     )
-    days = F.unix_date(F.col("acquisition_time").cast("date")).cast("bigint")
+    moment = F.expr(
+        "timestampdiff(MICROSECOND, TIMESTAMP_NTZ '1970-01-01 00:00:00', CAST(acquisition_time AS timestamp_ntz))"
+    )
     joined = (
         df.join(facts, keys)
-        .withColumn("__primary", F.when(F.col("__dated"), days).otherwise(F.col("acquisition_order")))
+        .withColumn("__primary", F.when(F.col("__dated"), moment).otherwise(F.col("acquisition_order")))
         .withColumn("__within", F.when(F.col("__peaks"), F.col("rpeak_index")).otherwise(F.col("beat_ordinal")))
     )
     order = [

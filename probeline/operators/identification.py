@@ -12,6 +12,9 @@ from probeline.operators.scoring import grid_scores
 from probeline.session import cut_lineage
 
 
+_NOT_FINITE = "scores must be finite; a constant vector has no correlation, a zero one no cosine"
+
+
 def genuine_scores(
     probes: DataFrame, templates: DataFrame, method: str = "cosine", by: Sequence[str] = ()
 ) -> DataFrame:
@@ -25,7 +28,8 @@ def genuine_scores(
         F.when(F.col("__t").isNull(), F.raise_error(F.lit("probe identity is not enrolled")).cast("double"))
         .otherwise(similarity(F.col("vec"), F.col("__t"), method)),
     )
-    best = scored.groupBy(*by, "id").agg(F.max("s").alias("bar"))
+    finite = F.when(F.col("s").isNotNull() & (F.isnan("s") | (F.abs("s") == float("inf"))), F.raise_error(F.lit(_NOT_FINITE)).cast("double"))
+    best = scored.groupBy(*by, "id").agg(F.max(finite.otherwise(F.col("s"))).alias("bar"))
     return probes.join(best, [*by, "id"])
 
 
@@ -57,6 +61,9 @@ def identification_ranks(
 
 def ranks_from_scores(scores: DataFrame, keys: tuple[str, ...] = ("probe_id",)) -> DataFrame:
     """The same rank from a stored score table ``(keys…, identity, true_identity, score)``."""
+    score = F.col("score")
+    bad = score.isNotNull() & (F.isnan(score) | (F.abs(score) == float("inf")))
+    scores = scores.withColumn("score", F.when(bad, F.raise_error(F.lit(_NOT_FINITE)).cast("double")).otherwise(score))
     own = scores.where(F.col("identity") == F.col("true_identity")).select(*keys, F.col("score").alias("bar"))
     return scores.join(own, list(keys)).groupBy(*keys, "true_identity").agg(
         F.count_if(F.col("score") >= F.col("bar")).alias("rank")
@@ -71,7 +78,12 @@ def match_curve(ranks: DataFrame, gallery_size: DataFrame, by: tuple[str, ...] =
     """
     by = list(by)
     counts = ranks.groupBy(*by, F.col("rank").cast("bigint").alias("rank")).agg(F.count(F.lit(1)).alias("n"))
-    grid = gallery_size.withColumn("rank", F.explode(F.sequence(F.lit(1), F.col("n_identities").cast("bigint"))))
+    size = F.col("n_identities").cast("bigint")
+    blocks = F.when(size > 0, F.sequence(F.lit(0).cast("bigint"), F.floor((size - 1) / 4096)))
+    first = F.col("__block") * 4096
+    # the rank axis is laid out block by block, not as one array in one row
+    grid = gallery_size.withColumn("__block", F.explode(blocks)).repartition("__block")
+    grid = grid.withColumn("rank", F.explode(F.sequence(first + 1, F.least(first + 4096, size)))).drop("__block")
     filled = grid.join(counts, [*by, "rank"], "left").withColumn("n", F.coalesce("n", F.lit(0)))
     found = running_sum(filled, by, ["rank"], F.floor(F.col("rank") / 4096), "n", "found")
     totals = counts.groupBy(*by).agg(F.sum("n").alias("n_probes"))

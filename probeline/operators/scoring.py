@@ -109,6 +109,8 @@ def _cell_function(
                 out += gap * gap
             else:
                 out += np.abs(x - y)
+        if not np.isfinite(out).all():
+            raise ValueError("scores must be finite; a constant vector has no correlation, a zero one no cosine")
         if kind == "l2":
             return -np.sqrt(out)
         return out if kind == "dot" else -out

@@ -43,6 +43,13 @@ def _owned(df: DataFrame) -> DataFrame:
     return df.where("__own").drop("__own", "__chunk")
 
 
+def with_start(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Add ``__start``, the first index of each recording or segment, so that a segment read from the middle of a
+    recording is treated like one that counts from 0."""
+    keys = list(keys)
+    return samples.join(samples.groupBy(*keys).agg(F.min("idx").alias("__start")), keys)
+
+
 def moving_average(samples: DataFrame, keys: Sequence[str], width: int = 5) -> DataFrame:
     """Mean of ``width`` samples around each one; missing neighbours count as zero."""
     after = (width - 1) // 2
@@ -55,12 +62,13 @@ def moving_average(samples: DataFrame, keys: Sequence[str], width: int = 5) -> D
 def _neighbours(samples: DataFrame, keys: Sequence[str], half: int) -> DataFrame:
     """Add ``__w``: the ``2 half + 1`` values around each sample, zeros beyond the recording."""
     frame = _local(keys).rowsBetween(-half, half)
-    cut = _chunked(samples, half, half).withColumn("__w", F.collect_list("value").over(frame))
-    # int keeps array_repeat's count type; idx counts from 0, so the missing left part is known
-    left = F.greatest(F.lit(half) - F.col("idx"), F.lit(0)).cast("int")
+    placed = with_start(samples, keys)
+    cut = _chunked(placed, half, half).withColumn("__w", F.collect_list("value").over(frame))
+    # int keeps array_repeat's count type; the recording's start is known, so the missing left part is too
+    left = F.greatest(F.lit(half) - (F.col("idx") - F.col("__start")), F.lit(0)).cast("int")
     right = (F.lit(2 * half + 1) - F.size("__w") - left).cast("int")
     padded = F.concat(F.array_repeat(F.lit(0.0), left), F.col("__w"), F.array_repeat(F.lit(0.0), right))
-    return cut.withColumn("__w", padded)
+    return cut.withColumn("__w", padded).drop("__start")
 
 
 def median_filter(samples: DataFrame, keys: Sequence[str], kernel: int = 5) -> DataFrame:
@@ -112,21 +120,23 @@ def bandpass_taps(rate: float, low: float, high: float, taps: int = 101) -> list
 
 
 def remove_polynomial(samples: DataFrame, keys: Sequence[str], order: int = 3) -> DataFrame:
-    """Subtract each recording's global least-squares polynomial (order up to 3).
+    """Subtract each recording's global least-squares polynomial.
 
     On an even grid the fit decouples in discrete orthogonal polynomials, so the coefficients are plain
     sums that combine map-side; nothing is solved and no recording is gathered.
     """
-    if order not in (0, 1, 2, 3):
-        raise ValueError("order must be between 0 and 3")
     keys = list(keys)
-    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("__n"), F.min("idx").alias("__start"))
     n = F.col("__n")
-    centred = samples.join(sizes, keys).withColumn("__u", F.col("idx") - (n - 1) / 2)
+    centred = samples.join(sizes, keys).withColumn("__u", F.col("idx") - F.col("__start") - (n - 1) / 2).drop("__start")
     u = F.col("__u")
     basis = [F.lit(1.0), u, u * u - (n * n - 1) / 12, u * u * u - u * (3 * n * n - 7) / 20][: order + 1]
     for k, p in enumerate(basis):
         centred = centred.withColumn(f"__p{k}", p)
+    for k in range(len(basis), order + 1):  # the three-term recurrence of these polynomials
+        m = k - 1
+        step = m * m * (n * n - m * m) / (4 * (4 * m * m - 1))
+        centred = centred.withColumn(f"__p{k}", u * F.col(f"__p{m}") - step * F.col(f"__p{m - 1}"))
     sums = []
     for k in range(order + 1):
         p = F.col(f"__p{k}")
@@ -218,9 +228,10 @@ def cut_beats(peaks: DataFrame, samples: DataFrame, keys: Sequence[str], pre: in
 def blind_windows(samples: DataFrame, keys: Sequence[str], width: int, stride: int) -> DataFrame:
     """Complete windows ``(keys…, window_no, beat)``. Each sample names the windows it belongs to, so a
     long recording is spread by window instead of being sliced in one task."""
-    first = F.greatest(F.ceil((F.col("idx") - width + 1) / stride), F.lit(0))
-    last = F.floor(F.col("idx") / stride)
-    tagged = samples.where(first <= last).withColumn("window_no", F.explode(F.sequence(first, last)))
+    place = F.col("idx") - F.col("__start")
+    first = F.greatest(F.ceil((place - width + 1) / stride), F.lit(0))
+    last = F.floor(place / stride)
+    tagged = with_start(samples, keys).where(first <= last).withColumn("window_no", F.explode(F.sequence(first, last)))
     rows = F.array_sort(F.collect_list(F.struct("idx", "value")))
     windows = tagged.groupBy(*keys, "window_no").agg(F.transform(rows, lambda s: s["value"]).alias("beat"))
     return windows.where(F.size("beat") == width)

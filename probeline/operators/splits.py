@@ -55,7 +55,7 @@ def stratified_split(df: DataFrame, label: str, key: str, holdout: float, seed:
     """Add ``role`` train/holdout with every label on both sides.
 
     The held-out total is ``ceil(holdout * n)``. Each label gets the floor of its share and the largest
-    remainders get one more; a label always keeps at least one row on each side.
+    remainders get one more. If that leaves a label without a row on either side, the split is refused.
     """
     counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("__n"))
     total = counts.agg(F.sum("__n").alias("__all"))
@@ -73,12 +73,18 @@ def stratified_split(df: DataFrame, label: str, key: str, holdout: float, seed:
     ).crossJoin(F.broadcast(floors))  # one row
     extra = F.when(F.col("__rn") <= F.col("__wanted") - F.col("__taken"), 1).otherwise(0)
     quota = F.least(F.greatest(F.col("__floor") + extra, F.lit(1)), F.col("__n") - 1)
-    quotas = ranked.select(label, quota.alias("__quota"))
+    quotas = ranked.select(label, quota.alias("__quota"), "__wanted", "__n")
+    held = quotas.agg(F.sum("__quota").alias("__held"))
+    refused = (F.col("__held") != F.col("__wanted")) | (F.col("__n") < 2)
+    message = F.lit("no split of this size has every label on both sides")
+    checked = quotas.crossJoin(F.broadcast(held)).select(  # one row
+        label, F.when(refused, F.raise_error(message).cast("bigint")).otherwise(F.col("__quota")).alias("__quota")
+    )
     value = seed if isinstance(seed, Column) else F.lit(seed)
     keyed = df.withColumn("__d", digest(value, key))
     order = numbered(keyed, [label], ["__d", key], digest_bucket(F.col("__d"), 2), "__rn")
     role = F.when(F.col("__rn") <= F.col("__quota"), "holdout").otherwise("train")
-    return order.join(quotas, label).withColumn("role", role).drop("__d", "__rn", "__quota")
+    return order.join(checked, label).withColumn("role", role).drop("__d", "__rn", "__quota")
 
 
 def labels_too_small(df: DataFrame, label: str) -> DataFrame:

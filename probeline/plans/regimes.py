@@ -121,25 +121,27 @@ def visit_numbers(spark, sf_dir):
 
 
 REQUIRED = ("click", "purchase", "view")
-cte("ew", "SELECT * FROM ev WHERE date <= DATE '2024-01-05'", ("ev",))
+#: Every recording counts for a session only if it is long enough, so that some subjects lack one.
+cte("ew", "SELECT *, CASE WHEN 4 * value >= 240 THEN session ELSE 'short' END AS kind FROM ev", ("ev",))
 
 
-def _first_days(spark, sf_dir):
-    """The study's first five days."""
-    return event_records(spark, sf_dir).where(F.col("date") <= F.to_date(F.lit("2024-01-05")))
+def _sessions(spark, sf_dir):
+    """All recordings; those below a minimum length don't count for their session."""
+    long = 4 * F.col("value") >= 240
+    return event_records(spark, sf_dir).withColumn("session", F.when(long, F.col("session")).otherwise("short"))
 
 
 @query(
     "r09_session_pooling",
     with_ctes(
         "ew",
-        "SELECT subject, record, session FROM ew WHERE session IN ('click', 'purchase', 'view') AND subject IN "
-        "(SELECT subject FROM ew WHERE session IN ('click', 'purchase', 'view') GROUP BY subject "
-        "HAVING count(DISTINCT session) = 3)",
+        "SELECT subject, record, kind AS session FROM ew WHERE kind IN ('click', 'purchase', 'view') AND subject IN "
+        "(SELECT subject FROM ew WHERE kind IN ('click', 'purchase', 'view') GROUP BY subject "
+        "HAVING count(DISTINCT kind) = 3)",
     ),
 )
 def session_pooling(spark, sf_dir):
-    pooled = roles.pooled_sessions(_first_days(spark, sf_dir), "subject", "session", REQUIRED)
+    pooled = roles.pooled_sessions(_sessions(spark, sf_dir), "subject", "session", REQUIRED)
     return pooled.select("subject", "record", "session")
 
 
@@ -149,11 +151,11 @@ def session_pooling(spark, sf_dir):
         "ew",
         "SELECT subject, array_to_string(list_filter(['click', 'purchase', 'view'], lambda x: NOT list_contains(l, x)), "
         "',') AS missing, list_has_all(l, ['click', 'purchase', 'view']) AS kept FROM (SELECT subject, "
-        "list(DISTINCT session) AS l FROM ew GROUP BY subject)",
+        "list(DISTINCT kind) AS l FROM ew GROUP BY subject)",
     ),
 )
 def session_presence(spark, sf_dir):
-    return roles.session_presence(_first_days(spark, sf_dir), "subject", "session", REQUIRED)
+    return roles.session_presence(_sessions(spark, sf_dir), "subject", "session", REQUIRED)
 
 
 _ROLE_OF_SESSION = (
@@ -535,6 +537,30 @@ def source_order(spark, sf_dir):
     return placed.select("subject", "obs_id", "source_no")
 
 
+@query(
+    "r24_source_order_by_time",
+    with_ctes(
+        "ev",
+        "SELECT subject, record AS obs_id, row_number() OVER (PARTITION BY subject ORDER BY ts, record % 1000, record) AS source_no FROM ev",
+    ),
+)
+def source_order_by_time(spark, sf_dir):
+    """Several recordings of a subject on one day, whose acquisition order is not their order in time."""
+    rec = F.col("record")
+    rows = event_records(spark, sf_dir).select(
+        "subject",
+        rec.alias("obs_id"),
+        F.col("ts").alias("acquisition_time"),
+        (rec % 1000).alias("acquisition_order"),
+        rec.alias("record_id"),
+        F.lit("all").alias("source_segment_id"),
+        F.lit(0.0).alias("source_segment_order"),
+        rec.alias("beat_ordinal"),
+        rec.alias("rpeak_index"),
+    )
+    return fusion.source_order(rows, ["subject"]).select("subject", "obs_id", "source_no")
+
+
 @query(
     "r25_source_blocks",
     with_ctes(

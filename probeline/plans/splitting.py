@@ -59,12 +59,12 @@ def stratified_split(spark, sf_dir):
 
 
 _ROLE = "CASE session WHEN 'click' THEN 'train' WHEN 'view' THEN 'enroll' WHEN 'purchase' THEN 'probe' END"
-cte("k3", f"SELECT * FROM (SELECT *, {_ROLE} AS role FROM ev WHERE date <= DATE '2024-01-10') WHERE role IS NOT NULL", ("ev",))
+cte("k3", f"SELECT * FROM (SELECT *, {_ROLE} AS role FROM ev) WHERE role IS NOT NULL", ("ev",))
 
 
 def role_rows(spark, sf_dir):
-    """Sessions as roles in the study's first ten days."""
-    ev = event_records(spark, sf_dir).where(F.col("date") <= F.to_date(F.lit("2024-01-10")))
+    """Sessions as roles."""
+    ev = event_records(spark, sf_dir)
     role = (
         F.when(F.col("session") == "click", "train")
         .when(F.col("session") == "view", "enroll")
@@ -73,7 +73,7 @@ def role_rows(spark, sf_dir):
     return ev.withColumn("role", role).where(F.col("role").isNotNull()).select("subject", "record", "role")
 
 
-MINIMUM = {"train": 3, "enroll": 3, "probe": 3}
+MINIMUM = {"train": 10, "enroll": 10, "probe": 10}
 cte(
     "k3c",
     "SELECT subject, count_if(role = 'train')::BIGINT AS n_train, count_if(role = 'enroll')::BIGINT AS n_enroll, "
@@ -86,7 +86,7 @@ cte(
     "k03_synchronised_roles",
     with_ctes(
         "k3 k3c",
-        "SELECT subject, record, role FROM k3 WHERE subject IN (SELECT subject FROM k3c WHERE least(n_train, n_enroll, n_probe) >= 3)",
+        "SELECT subject, record, role FROM k3 WHERE subject IN (SELECT subject FROM k3c WHERE least(n_train, n_enroll, n_probe) >= 10)",
     ),
 )
 def synchronised_roles(spark, sf_dir):
@@ -97,8 +97,8 @@ def synchronised_roles(spark, sf_dir):
     "k03_drop_report",
     with_ctes(
         "k3c",
-        "SELECT *, concat_ws(',', CASE WHEN n_train < 3 THEN 'train' END, CASE WHEN n_enroll < 3 THEN 'enroll' END, CASE WHEN "
-        "n_probe < 3 THEN 'probe' END) AS reason FROM k3c",
+        "SELECT *, concat_ws(',', CASE WHEN n_train < 10 THEN 'train' END, CASE WHEN n_enroll < 10 THEN 'enroll' END, CASE WHEN "
+        "n_probe < 10 THEN 'probe' END) AS reason FROM k3c",
     ),
 )
 def drop_report(spark, sf_dir):
@@ -119,15 +119,13 @@ def assigned_cohorts(spark, sf_dir):
     with_ctes(
         "ev co",
         "SELECT subject, a.x AS in_samples, b.x AS in_cohorts FROM (SELECT DISTINCT subject, true AS x FROM ev WHERE "
-        "date <= DATE '2024-01-02' AND session = 'click') a FULL JOIN (SELECT subject, true AS x FROM co) b USING (subject) WHERE a.x IS NULL OR b.x IS NULL",
+        "session = 'click' AND value >= 150) a FULL JOIN (SELECT subject, true AS x FROM co) b USING (subject) WHERE a.x IS NULL OR b.x IS NULL",
     ),
 )
 def cohort_mismatches(spark, sf_dir):
-    """Cohorts of all users against the clicks of two days."""
-    early = event_records(spark, sf_dir).where(
-        (F.col("date") <= F.to_date(F.lit("2024-01-02"))) & (F.col("session") == "click")
-    )
-    return splits.cohort_mismatches(early, _cohorts(spark, sf_dir), "subject")
+    """Cohorts of all users against users with a click of high value; every event is read."""
+    clicks = event_records(spark, sf_dir).where((F.col("session") == "click") & (F.col("value") >= 150))
+    return splits.cohort_mismatches(clicks, _cohorts(spark, sf_dir), "subject")
 
 
 @query(

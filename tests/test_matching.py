@@ -294,3 +294,13 @@ def test_sent_side_equals_the_grid(spark, vectors, output, monkeypatch):
             out = out.groupBy("seed", "bin").agg(F.sum("n_genuine"), F.sum("n_impostor"), F.min("lowest"))
         found.append(sorted(map(str, out.collect())))
     assert found[0] == found[1] and found[0]
+
+
+@pytest.mark.parametrize("one_template", [True, False])
+def test_scores_that_are_not_finite_are_refused(spark, one_template):
+    vectors = spark.createDataFrame([(1, 1, [1.0, 1.0, 1.0]), (2, 2, [1.0, 2.0, 0.0])], "id int, label int, vec array<double>")
+    with pytest.raises(Exception, match="finite"):
+        identification.identification_ranks(vectors, vectors, "pearson", one_template).collect()
+    table = spark.createDataFrame([(1, 1, 1, float("nan")), (1, 2, 1, 0.5)], "probe_id int, identity int, true_identity int, score double")
+    with pytest.raises(Exception, match="finite"):
+        identification.ranks_from_scores(table).collect()

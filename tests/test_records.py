@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from probeline.functions import stats
-from probeline.operators import covariates, filters, inference, intervals, roles, signal, tables
+from probeline.operators import covariates, filters, fusion, inference, intervals, roles, signal, splits, tables
 from probeline.sources import readers, sinks
 from probeline.streaming import streams
 
@@ -314,3 +314,45 @@ def test_groups_continue_over_files(spark, tmp_path):
     assert counts == {0: 3, 1: 2}  # six and four rows, three of user 0 in each file
     members = [m for row in out for m in row["members"]]
     assert len(members) == len(set(members))
+
+
+@pytest.mark.parametrize("start", [0, 101, 1024])
+def test_segments_count_from_their_own_start(spark, start):
+    """A segment read from the middle of a recording is filtered and cut like one that begins at 0."""
+    values = [float((7 * k) % 11) for k in range(40)]
+
+    def at(first):
+        return spark.createDataFrame([("a", first + k, v) for k, v in enumerate(values)], "record string, idx bigint, value double")
+
+    def shifted(df, first):
+        return sorted((r["idx"] - first, round(r["value"], 9)) for r in df.collect())
+
+    here, there = at(0), at(start)
+    for step in (lambda s: signal.median_filter(s, ["record"], 5), lambda s: signal.remove_polynomial(s, ["record"], 5)):
+        assert shifted(step(there), start) == shifted(step(here), 0)
+    cut = lambda s: sorted((r["window_no"], r["beat"]) for r in signal.blind_windows(s, ["record"], 10, 7).collect())
+    assert cut(there) == cut(here) and len(cut(here)) == 5
+
+
+def test_polynomial_of_any_order_is_removed(spark):
+    rows = [("a", k, 2.0 + k - 0.3 * k**2 + 0.01 * k**5) for k in range(50, 80)]
+    df = spark.createDataFrame(rows, "record string, idx bigint, value double")
+    assert max(abs(r["value"]) for r in signal.remove_polynomial(df, ["record"], 5).collect()) < 1e-3
+
+
+def test_source_order_uses_the_time_of_day(spark):
+    day = dt.datetime(2024, 1, 1)
+    rows = [(1, k, day.replace(hour=h), 10 - k, str(k), "s", 0.0, k, k) for k, h in enumerate((18, 8, 12))]
+    df = spark.createDataFrame(
+        rows,
+        "subject int, obs_id int, acquisition_time timestamp, acquisition_order int, record_id string, source_segment_id string, "
+        "source_segment_order double, beat_ordinal int, rpeak_index int",
+    )
+    got = {r["obs_id"]: r["source_no"] for r in fusion.source_order(df, ["subject"]).collect()}
+    assert got == {1: 1, 2: 2, 0: 3}
+
+
+def test_impossible_split_is_refused(spark):
+    df = spark.createDataFrame([(k, k // 3) for k in range(25)], "id int, label int")
+    with pytest.raises(Exception, match="both sides"):
+        splits.stratified_split(df, "label", "id", 0.1, 1).collect()
