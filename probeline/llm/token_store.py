@@ -6,7 +6,7 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,8 +25,24 @@ RANK_BITS = 512
 #: Tokens after which a file is closed.
 FILE_TOKENS = 2_000_000
 #: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 400_000
+REMEMBERED = 350_000
+#: Bytes of text encoded at once.
+ENCODED_BYTES = 4 << 20
 _UNUSUAL = re.compile(r"\s\s|[^\S \n]|\x00")
+_BLANK = np.zeros(256, bool)
+_BLANK[[0x0A, 0x20]] = True
+#: Control bytes other than a line break, and lead bytes of characters among which some are white space.
+_DOUBTFUL = np.zeros(256, bool)
+_DOUBTFUL[[*range(0x0A), *range(0x0B, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
+
+
+def doubtful(data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Texts that may hold white space other than single blanks; all that do are among them."""
+    blank = _BLANK[data]
+    marks = _DOUBTFUL[data]
+    marks[1:] |= blank[1:] & blank[:-1]
+    before = np.concatenate(([0], np.cumsum(marks)))
+    return before[offsets[1:]] > before[offsets[:-1]]
 
 
 class Codes:
@@ -126,23 +142,43 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
         self.known: dict[str, bytes] = {}
+        self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
+        for token, at in self.tokenizer.get_vocab(with_added_tokens=False).items():
+            self.widths[at] = len(token)  # one character per byte
 
     def _encode(self, texts: list[str]) -> Iterator[bytes]:
         for low in range(0, len(texts), 10_000):
             for found in self.tokenizer.encode_batch_fast(texts[low : low + 10_000], add_special_tokens=False):
                 yield np.array(found.ids, "<u4").tobytes()
 
-    def encode(self, texts: list[str]) -> list[bytes]:
+    def _learn(self, pieces: list[str]) -> None:
+        """Pieces that begin with a blank are encoded in one go and told apart by the bytes their tokens stand for."""
+        joined = [p for p in pieces if len(p) > 1 and p[0] in " \n"]
+        others = [p for p in pieces if not (len(p) > 1 and p[0] in " \n")]
+        self.known.update(zip(others, self._encode(others)))
+        for low in range(0, len(joined), 20_000):
+            own = joined[low : low + 20_000]
+            (found,) = self.tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.cumsum([len(p.encode()) for p in own])
+            cuts = (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1).tolist()
+            stream, at = ids.tobytes(), 0
+            for piece, cut in zip(own, cuts):
+                self.known[piece] = stream[4 * at : 4 * cut]
+                at = cut
+
+    def encode(self, texts: list[str], doubts: Sequence[bool] | None = None) -> list[bytes]:
+        """``doubts`` spares the look for unusual white space where it is false."""
         pieces = [
-            None if _UNUSUAL.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0") for t in texts
+            None if doubt and _UNUSUAL.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            for t, doubt in zip(texts, [True] * len(texts) if doubts is None else doubts)
         ]
         wanted = set()
         for own in pieces:
             wanted.update(own or ())
         if len(self.known) + len(wanted) > REMEMBERED:
             self.known = {p: self.known[p] for p in wanted if p in self.known}
-        new = [p for p in wanted if p not in self.known]
-        self.known.update(zip(new, self._encode(new)))
+        self._learn([p for p in wanted if p not in self.known])
         whole = self._encode([t for t, own in zip(texts, pieces) if own is None])
         get = self.known.__getitem__
         return [next(whole) if own is None else b"".join(map(get, own)) for own in pieces]
@@ -189,11 +225,13 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             return batch(row, schema)
 
         for rows in batches:
-            _, offsets = utf8(rows.column("text"))
-            for low, high in slices(offsets):
+            data, offsets = utf8(rows.column("text"))
+            doubts = doubtful(data, offsets).tolist()
+            for low, high in slices(offsets, ENCODED_BYTES):
                 cut = rows.slice(low, high - low)
                 texts = [t or "" for t in cut.column("text").to_pylist()]
-                for doc, ids in zip(cut.column("doc_id").to_pylist(), encoder(tokenizer).encode(texts)):
+                found = encoder(tokenizer).encode(texts, doubts[low:high])
+                for doc, ids in zip(cut.column("doc_id").to_pylist(), found):
                     own.append(doc)
                     streams += [ids, end]
                     lengths.append(len(ids) // 4 + 1)
