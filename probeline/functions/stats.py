@@ -8,62 +8,53 @@ from pyspark.sql import Column, functions as F
 
 from probeline.functions.columns import let
 
-#: Above this many degrees of freedom the t density is integrated instead of summed.
-_SERIES_LIMIT = 1000
-_STEPS = 400
+_STEPS = 2000
 
 
-def _simpson(density, upper: Column) -> Column:
-    """Integral of ``density`` from 0 to ``upper`` with a fixed number of intervals."""
+def _simpson(density, low: Column, high: Column) -> Column:
+    """Integral of ``density`` from ``low`` to ``high`` with a fixed number of intervals."""
     steps = F.sequence(F.lit(0), F.lit(_STEPS))
 
     def term(acc, k):
         weight = F.when(k.isin(0, _STEPS), 1).when(k % 2 == 1, 4).otherwise(2)
-        return acc + weight * density(upper * k / _STEPS)
+        return acc + weight * density(low + (high - low) * k / _STEPS)
 
-    return F.aggregate(steps, F.lit(0.0), term) * upper / (3 * _STEPS)
+    return F.aggregate(steps, F.lit(0.0), term) * (high - low) / (3 * _STEPS)
 
 
 def normal_two_sided(z: Column) -> Column:
-    """Two-sided tail probability of a standard normal statistic."""
-    inner = _simpson(lambda x: F.exp(-x * x / 2), F.least(F.abs(z), F.lit(12.0)))
-    return F.greatest(1 - inner * (2 / math.sqrt(2 * math.pi)), F.lit(0.0))
-
-
-def _t_series(t: Column, df: Column) -> Column:
-    """Probability of |T| below t for whole degrees of freedom, as a finite trigonometric sum."""
-    angle = F.atan(t / F.sqrt(df))
-    cos2 = F.cos(angle) * F.cos(angle)
-    odd = df % 2 == 1
-    # partial sums of cos^(2k) with factors (2k)/(2k+1) for odd and (2k-1)/(2k) for even degrees
-    count = F.floor(F.when(odd, (df - 3) / 2).otherwise((df - 2) / 2)).cast("int")
-    start = F.struct(F.lit(1.0).alias("term"), F.lit(1.0).alias("total"))
-
-    def more(acc, k):
-        factor = F.when(odd, 2 * k / (2 * k + 1)).otherwise((2 * k - 1) / (2 * k))
-        return let(
-            acc["term"] * factor * cos2,
-            lambda next_term: F.struct(next_term.alias("term"), (acc["total"] + next_term).alias("total")),
-        )
+    """Two-sided tail probability of a standard normal statistic.
 
-    steps = F.when(count >= 1, F.sequence(F.lit(1), F.greatest(count, F.lit(1)))).otherwise(
-        F.array().cast("array<int>")
-    )
-    total = F.aggregate(steps, start, more, lambda acc: acc["total"])
-    even_part = F.sin(angle) * total
-    odd_part = (2 / math.pi) * (angle + F.when(df > 1, F.sin(angle) * F.cos(angle) * total).otherwise(0.0))
-    return F.when(odd, odd_part).otherwise(even_part)
+    The tail itself is integrated, from the statistic outwards and relative to the density there, so small
+    probabilities keep their digits.
+    """
+    size = F.abs(z)
+    tail = _simpson(lambda y: F.exp(-size * y - y * y / 2), F.lit(0.0), 12 / (1 + size / 3))
+    return F.least(F.exp(-size * size / 2) * tail * (2 / math.sqrt(2 * math.pi)), F.lit(1.0))
 
 
 def t_two_sided(t: Column, df: Column) -> Column:
-    """Two-sided p-value of a t statistic with whole degrees of freedom."""
-    size = F.abs(t)
-    scale = (1 - 1 / (4 * df) + 1 / (32 * df * df)) / math.sqrt(2 * math.pi)
-    wide = 2 * scale * _simpson(
-        lambda x: F.exp(-(df + 1) / 2 * F.log1p(x * x / df)), F.least(size, F.lit(40.0))
-    )
-    inner = F.when(df <= _SERIES_LIMIT, _t_series(size, df)).otherwise(wide)
-    return F.greatest(1 - inner, F.lit(0.0))
+    """Two-sided p-value of a t statistic, for any degrees of freedom from 1.
+
+    With t = sqrt(df) / tan(a) the density is a power of sin(a), and the p-value is the integral up to the
+    statistic's angle over that up to a right angle. Both are taken over the stretch below their end in which the
+    integrand, relative to its value there, is above exp(-40).
+    """
+    size, power = F.abs(t), df - 1
+    angle = F.atan2(F.sqrt(df), size)
+    steep = 80 / F.greatest(power, F.lit(1e-9))
+
+    def stretch(end: Column, slope: Column) -> Column:
+        width = steep / (slope + F.sqrt(slope * slope + steep))
+        return let(
+            F.struct(F.greatest(end - width, F.lit(0.0)).alias("low"), end.alias("high"), F.sin(end).alias("top")),
+            lambda at: _simpson(
+                lambda x: F.exp(power * F.ln(F.greatest(F.sin(x), F.lit(1e-300)) / at["top"])), at["low"], at["high"]
+            ),
+        )
+
+    inside = stretch(angle, size / F.sqrt(df)) * F.exp(-power / 2 * F.log1p(size * size / df))
+    return F.least(inside / stretch(F.lit(math.pi / 2), F.lit(0.0)), F.lit(1.0))
 
 
 def _t_inner(t: float, df: int) -> float:
