@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from probeline.functions.columns import rounded
+from probeline.functions.ordering import numbered
 from probeline.operators import comparisons, fusion, verification
 from probeline.operators.classifier import classifier_scores
 from probeline.operators.comparisons import RankSpace
@@ -12,7 +13,7 @@ from probeline.operators.filters import encode_labels
 from probeline.operators.refined import RefinedComparison, decisions_at
 from probeline.operators.scoring import grid_scores, score_histogram
 from probeline.plans import matching
-from probeline.plans.registry import cte, query, r, with_ctes
+from probeline.plans.registry import cte, query, r, table, with_ctes
 from probeline.session import cut_lineage
 
 SEED = 42
@@ -143,26 +144,24 @@ def random_mode(spark, sf_dir):
 
 @query(
     "e21_rank_to_pair",
-    "WITH c AS (SELECT count(*) AS n FROM embeddings) SELECT row_number() OVER (ORDER BY a.i, b.j) - 1 AS rank, "
-    "a.i, b.j, row_number() OVER (ORDER BY a.i, b.j) - 1 AS back, (row_number() OVER (ORDER BY a.i, b.j) - 1) // c.n "
-    "AS grid_row, (row_number() OVER (ORDER BY a.i, b.j) - 1) % c.n AS grid_col FROM c, "
-    "(SELECT unnest(range(n)) AS i FROM c) a JOIN (SELECT unnest(range(n)) AS j FROM c) b ON a.i < b.j",
+    "WITH p AS (SELECT vec_id, label, row_number() OVER (ORDER BY vec_id) - 1 AS pos, count(*) OVER () AS n FROM embeddings), "
+    "q AS (SELECT vec_id, n, pos AS i, lead(pos) OVER (PARTITION BY label ORDER BY vec_id) AS j FROM p), "
+    "k AS (SELECT *, i * n - i * (i + 1) // 2 + j - i - 1 AS rank FROM q WHERE j IS NOT NULL) "
+    "SELECT vec_id, rank, i AS back_i, j AS back_j, rank // n AS grid_row, rank % n AS grid_col FROM k",
 )
 def rank_to_pair(spark, sf_dir):
-    """Every rank of the unordered universe to its pair and back."""
-    n = matching.vectors(spark, sf_dir).count()
-    size = F.lit(n)
-    ranks = spark.range(n * (n - 1) // 2).withColumnRenamed("id", "rank")
+    """Each row and the next one of its label as a rank of the unordered universe, and back to positions."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label")
+    size = F.lit(rows.count())
+    bucket = F.floor(F.col("vec_id") / 4096)
+    placed = numbered(rows, [], ["vec_id"], bucket, "at")
+    placed = numbered(placed, ["label"], ["vec_id"], bucket, "turn")
+    following = placed.select("label", (F.col("turn") - 1).alias("turn"), (F.col("at") - 1).alias("j"))
+    pairs = placed.join(following, ["label", "turn"]).withColumn("i", F.col("at") - 1)
+    ranked = pairs.select("vec_id", comparisons.triangle_rank(F.col("i"), F.col("j"), size).alias("rank"))
     i, j = comparisons.triangle_pair(F.col("rank"), size)
     row, column = comparisons.cartesian_pair(F.col("rank"), size)
-    return ranks.select(
-        "rank",
-        i.alias("i"),
-        j.alias("j"),
-        comparisons.triangle_rank(i, j, size).alias("back"),
-        row.alias("grid_row"),
-        column.alias("grid_col"),
-    )
+    return ranked.select("vec_id", "rank", i.alias("back_i"), j.alias("back_j"), row.alias("grid_row"), column.alias("grid_col"))
 
 
 @query(

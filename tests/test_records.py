@@ -356,3 +356,11 @@ def test_impossible_split_is_refused(spark):
     df = spark.createDataFrame([(k, k // 3) for k in range(25)], "id int, label int")
     with pytest.raises(Exception, match="both sides"):
         splits.stratified_split(df, "label", "id", 0.1, 1).collect()
+
+
+def test_small_p_values_keep_their_digits(spark):
+    df = spark.createDataFrame([(20.0, 100, 9.0), (1.0, 1, 30.0), (2.0, 10, 0.5)], "t double, df int, z double")
+    rows = df.select(stats.t_two_sided(F.col("t"), F.col("df")), stats.normal_two_sided(F.col("z"))).collect()
+    wanted = [(9.9942678613e-37, math.erfc(9 / math.sqrt(2))), (0.5, math.erfc(30 / math.sqrt(2))), (0.0733880348, math.erfc(0.5 / math.sqrt(2)))]
+    for row, (t, z) in zip(rows, wanted):
+        assert math.isclose(row[0], t, rel_tol=1e-8) and math.isclose(row[1], z, rel_tol=1e-8)
