@@ -161,7 +161,8 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
             held = table[diagonal, diagonal]
             gain = rows.sum(axis=1) - rows[diagonal, diagonal] + columns.sum(axis=1) - columns[diagonal, diagonal]
             gain += _weight(held + right + left + own) - _weight(held)
-            out, into = table.sum(axis=1), table.sum(axis=0)
+            # wherever it goes, its neighbours' classes get these counts back
+            out, into = table.sum(axis=1) + left, table.sum(axis=0) + right
             gain -= _weight(out + right.sum() + own) - _weight(out) + _weight(into + left.sum() + own) - _weight(into)
             gain[0] = -np.inf
             b = int(np.argmax(gain))
