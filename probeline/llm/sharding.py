@@ -79,8 +79,8 @@ def write_shards(
     buckets = buckets.select(name.alias("shard"), "depth", "prefix", "rows", F.col("bytes"))
     least = buckets.agg(F.coalesce(F.min("depth"), F.lit(0))).first()[0]
     # a bucket is an interval of hashes; all lie inside one prefix of the smallest depth
-    low = (F.col("prefix").cast("decimal(20,0)") * F.pow(F.lit(2.0), HASH_BITS - F.col("depth")).cast("decimal(20,0)")).cast("bigint")
-    width = F.pow(F.lit(2.0), HASH_BITS - F.col("depth")).cast("bigint")
+    low = F.expr(f"shiftleft(prefix, {HASH_BITS} - depth)")
+    width = F.expr(f"shiftleft(1L, {HASH_BITS} - depth)")
     spans = buckets.select("shard", low.alias("low"), (low + width).alias("high")).withColumn("at", prefix(F.col("low"), least))
     inside = (prefix(F.col("h"), least) == F.col("at")) & (F.col("h") >= F.col("low")) & (F.col("h") < F.col("high"))
     placed = sized.join(spans, inside).select("row.*", "shard")
