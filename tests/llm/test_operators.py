@@ -168,7 +168,7 @@ def vocabulary():
 
 def every_segmentation(vocabulary, unit):
     if not unit:
-        return [(0.0, [])]
+        return [(0, [])]
     out, single = [], False
     for end in range(1, len(unit) + 1):
         if found := vocabulary.edges.get(unit[:end]):
@@ -196,10 +196,15 @@ def test_n_best_of_a_text(vocabulary):
     parts = [every_segmentation(vocabulary, u) for u in units]
     wanted = sorted((sum(s for s, _ in combo) for combo in itertools.product(*parts)), reverse=True)
     got = vocabulary.encode(text, 6)
-    assert np.allclose([s for s, _ in got], wanted[:6])
+    assert np.allclose([s for s, _ in got], [w / sentence_pieces.SCALE for w in wanted[:6]])
     assert {vocabulary.decode(np.frombuffer(ids, "<u4")) for _, ids in got} == {text}
 
 
+def test_ties_do_not_widen_the_search(vocabulary):
+    got = vocabulary.n_best("▁" + "x" * 20_000, 5)
+    assert len(got) == 5 and got[0][0] - got[1][0] == vocabulary.first("▁" + "x" * 20_000)[2]
+
+
 def test_pieces_round_trip(docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     encoded = sentence_pieces.encode_pieces(with_clashes(docs), path).cache()
@@ -310,7 +315,20 @@ def test_exchange_finds_classes():
             table[a, b] = table[b, a] = 10
     table[10, 0] = table[0, 1] = 1
     of = class_lm.exchange_classes(table, classes=3)
-    assert of[0] == 0 and len(set(of[1:6])) == 1 and len(set(of[6:])) == 1 and of[1] != of[6]
+
+    def likelihood(classes):
+        counts = np.zeros((3, 3))
+        np.add.at(counts, (classes[:, None], classes[None, :]), table)
+        weight = lambda x: (x * np.log(np.maximum(x, 1))).sum()
+        return weight(counts) - weight(counts.sum(axis=0)) - weight(counts.sum(axis=1))
+
+    first = np.array([0, *(1 + np.arange(size - 1) % 2)])
+    assert of[0] == 0 and set(of[1:]) == {1, 2} and likelihood(of) >= likelihood(first)
+    for u in range(1, size):  # no single move is better
+        for b in (1, 2):
+            other = of.copy()
+            other[u] = b
+            assert likelihood(other) <= likelihood(of) + 1e-6
 
 
 # quality rules and classifier
@@ -348,7 +366,7 @@ def test_text_counts(spark, docs, none):
 def test_certified_cutoffs(spark):
     n = 4000
     columns = "doc_id bigint, lang string, n_words bigint, word_chars bigint, n_symbols bigint, n_capitals bigint, n_lines bigint, n_dup_lines bigint, n_repeat_words bigint"
-    rows = [(k, "en", 100, 500, 30 if k < 3 else k % 8, 0, 10, 0, 0) for k in range(n)]
+    rows = [(k, "en", 100, 500, 30 if k < 2 else k % 8, 0, 10, 0, 0) for k in range(n)]
     rows += [(10**6 + k, "fr", 100, 500, 0, 0, 10, 0, 0) for k in range(50)]
     counts = spark.createDataFrame(rows, columns)
     labels = labels_table(spark, [(r[0], 1, 0) for r in rows])
@@ -359,8 +377,8 @@ def test_certified_cutoffs(spark):
         tail = sum(math.comb(n, k) * 0.0025**k * 0.9975 ** (n - k) for k in range(rejected + 1))
         return tail <= 0.05 / 8
 
-    assert certified(3) is certified(0) is True and not certified(n // 8)
-    assert cut["en", "symbols"] == 8  # the three outliers may go, the ordinary ones may not
+    assert certified(2) and not certified(40)
+    assert cut["en", "symbols"] == 8  # the two outliers may go, the ordinary ones may not
     assert cut["en", "repeats"] == 1
 
 
@@ -376,7 +394,7 @@ def brute_kneser_ney(texts):
         seen = collections.Counter(table.values())
         k = [seen[i] for i in (1, 2, 3, 4)]
         y = k[0] / (k[0] + 2 * k[1]) if k[0] else 0
-        cut[n] = [min(max(i - (i + 1) * y * k[i] / k[i - 1], 0), i) for i in (1, 2, 3)] if all(k[:3]) else [0.5, 1.0, 1.5]
+        cut[n] = [min(max(i - (i + 1) * y * k[i] / k[i - 1], 0.1), i) for i in (1, 2, 3)] if all(k[:3]) else [0.5, 1.0, 1.5]
     discount = lambda n, c: cut[n][min(c, 3) - 1]
 
     def p(gram):
