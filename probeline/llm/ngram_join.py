@@ -22,7 +22,7 @@ from probeline.llm.graph import components
 
 #: Shingles in this many sets of one slice of texts are counted over all slices; the most frequent ones go last in
 #: the order of each set. This only orders: any order gives the same pairs.
-LOCAL_FREQUENT = 8
+LOCAL_FREQUENT = 2
 FREQUENT = 65_536
 #: Rows of a frequent shingle that one task should hold, and members of a meeting compared all with all.
 SPLIT_ROWS = 50_000
@@ -48,13 +48,6 @@ class Measure:
     def sizes_fit(self, a: Column, b: Column) -> Column:
         return F.least(a, b) * self.whole >= F.greatest(a, b) * self.share
 
-    def overlap_fits(self, bound: Column, a: Column, b: Column) -> Column:
-        return bound * self.whole >= (a + b - bound) * self.share
-
-    def band(self, n: Column) -> Column:
-        """Sizes of linked sets are in one band or in neighbouring ones."""
-        return F.floor(F.log(n.cast("double")) / F.lit(math.log(self.whole / self.share) * (1 + 1e-9))).cast("int")
-
 
 def shingle_sets(data: np.ndarray, offsets: np.ndarray, words: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text (unsigned 64-bit)."""
@@ -92,7 +85,7 @@ def bitmap(own: np.ndarray) -> np.ndarray:
     """Parity bitmap of at least two bits per element; folding its halves together gives that of half the width."""
     width = max(64, 1 << max(0, 2 * len(own) - 1).bit_length())
     odd = np.bincount((own & np.uint64(width - 1)).astype(np.int64), minlength=width) & 1
-    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<i8")
+    return np.packbits(odd.astype(np.uint8), bitorder="little").view("<u8")
 
 
 def _sets(rows: pa.RecordBatch, words: int) -> Iterator[tuple[int, list[np.ndarray]]]:
@@ -103,7 +96,8 @@ def _sets(rows: pa.RecordBatch, words: int) -> Iterator[tuple[int, list[np.ndarr
 
 
 def set_table(docs: DataFrame, measure: Measure) -> DataFrame:
-    """Per document ``doc_id, text_hash, n, class, bits``; ``frequent`` of one row per slice has its frequent shingles."""
+    """Per document ``doc_id, text_hash, n, class, bits``; ``frequent`` of a slice's rows
+    together has the slice's frequent shingles."""
     found = pa.list_(pa.struct([("h", pa.int64()), ("n", pa.int64())]))
     schema = pa.schema(
         [
@@ -111,7 +105,7 @@ def set_table(docs: DataFrame, measure: Measure) -> DataFrame:
             ("text_hash", pa.int64()),
             ("n", pa.int64()),
             ("class", pa.int64()),
-            ("bits", pa.list_(pa.int64())),
+            ("bits", pa.binary()),
             ("frequent", found),
         ]
     )
@@ -130,13 +124,13 @@ def set_table(docs: DataFrame, measure: Measure) -> DataFrame:
                         "text_hash": rows.column("text_hash")[low : low + len(sets)],
                         "n": [len(s) for s in sets],
                         "class": [class_of(s) for s in sets],
-                        "bits": [bitmap(s) if len(s) else None for s in sets],
-                        "frequent": [hot] + [None] * (len(sets) - 1),
+                        "bits": [bitmap(s).tobytes() if len(s) else None for s in sets],
+                        "frequent": [hot[k :: len(sets)] for k in range(len(sets))],
                     },
                     schema,
                 )
 
-    ddl = "doc_id bigint, text_hash bigint, n bigint, class bigint, bits array<bigint>, frequent array<struct<h:bigint,n:bigint>>"
+    ddl = "doc_id bigint, text_hash bigint, n bigint, class bigint, bits binary, frequent array<struct<h:bigint,n:bigint>>"
     return docs.mapInArrow(build, ddl)
 
 
@@ -259,83 +253,132 @@ def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from finished(*held)
 
 
-def _half(bits: Column) -> Column:
-    half = (F.size(bits) / 2).cast("int")
-    return F.zip_with(F.slice(bits, F.lit(1), half), F.slice(bits, half + 1, half), lambda x, y: x.bitwiseXOR(y))
+def folded(bits: np.ndarray, words: int) -> np.ndarray:
+    return np.bitwise_xor.reduce(bits.reshape(-1, words), axis=0)
 
 
-def overlap_bound(x: Column, y: Column, a: Column, b: Column) -> Column:
-    """No intersection is larger: differing bits each come from an element of one set alone."""
-    wide, slim = F.when(F.size(x) >= F.size(y), x).otherwise(y), F.when(F.size(x) >= F.size(y), y).otherwise(x)
-    even = F.when(F.size(wide) > F.size(slim), _half(wide)).otherwise(wide)
-    differing = F.aggregate(
-        F.zip_with(even, slim, lambda p, q: F.bit_count(p.bitwiseXOR(q))), F.lit(0), lambda s, c: s + c
-    )
-    return F.floor((a + b - differing) / 2)
-
-
-def _tile_pairs(measure: Measure):
-    """Pairs of a tile whose bitmaps allow a link and that are not in one group yet."""
-    schema = pa.schema([("a", pa.int64()), ("na", pa.int32()), ("b", pa.int64()), ("nb", pa.int32())])
-
-    def compare(cell: pa.Table) -> pa.Table:
-        side = cell.column("side").to_numpy()
-        name, n, comp = (cell.column(c).to_numpy() for c in ("class", "n", "comp"))
-        raw = cell.column("bits").to_pylist()
-        width = min(len(r) for r in raw)
-        bits = np.array([np.bitwise_xor.reduce(np.array(r, np.int64).reshape(-1, width), axis=0) for r in raw]).view(np.uint64)
-        left, right = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-        out: list[np.ndarray] = []
-        alone = cell.column("next")[0].as_py() == 0 and cell.column("x")[0] == cell.column("y")[0]
-        for at, k in enumerate(left):
-            other = left[at + 1 :] if alone else right
-            other = other[(name[other] != name[k]) & (comp[other] != comp[k])]
-            differ = np.bitwise_count(bits[other] ^ bits[k]).sum(axis=1, dtype=np.int64)
-            bound = (n[k] + n[other] - differ) // 2
-            fit = other[bound * measure.whole >= (n[k] + n[other] - bound) * measure.share]
-            out.append(np.column_stack((np.full(len(fit), k), fit)))
-        pairs = np.concatenate(out) if out else np.zeros((0, 2), np.int64)
-        swap = name[pairs[:, 0]] > name[pairs[:, 1]]
-        a, b = np.where(swap, pairs[:, 1], pairs[:, 0]), np.where(swap, pairs[:, 0], pairs[:, 1])
-        return pa.table({"a": name[a], "na": n[a].astype(np.int32), "b": name[b], "nb": n[b].astype(np.int32)}, schema=schema)
+def may_link(pairs: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
+    """``a, b`` of the pairs whose bitmaps allow a link: differing bits each come from an element of one set alone."""
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64())])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            n, keep = rows.column("n").to_numpy(), []
+            for x, y, both in zip(rows.column("x"), rows.column("y"), n.tolist()):
+                x, y = np.frombuffer(x.as_buffer(), "<u8"), np.frombuffer(y.as_buffer(), "<u8")
+                words = min(len(x), len(y))
+                differ = int(np.bitwise_count(folded(x, words) ^ folded(y, words)).sum())
+                bound = (both - differ) // 2
+                keep.append(bound * measure.whole >= (both - bound) * measure.share)
+            chosen = rows.filter(pa.array(keep, pa.bool_()))
+            yield batch({"a": chosen.column("a"), "b": chosen.column("b")}, schema)
+
+    bits = classes.select("class", "bits")
+    joined = pairs.join(bits.selectExpr("class AS a", "bits AS x"), "a").join(bits.selectExpr("class AS b", "bits AS y"), "b")
+    return joined.selectExpr("a", "b", "na + nb AS n", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+
+
+def _tile_pairs(measure: Measure, sparing: bool):
+    """Reads tiles, rows sorted by token, tile and size, to pairs of different groups whose bitmaps allow a link.
+
+    Members are in order of size, so those that can link to one are a band next to it. With ``sparing``, pairs that
+    are almost surely links (``likely``) join their groups for the rest of the tile; what that spares is right if
+    they all prove to be links.
+    """
+    schema = pa.schema([("a", pa.int64()), ("b", pa.int64()), ("likely", pa.bool_())])
+
+    def pairs(name: np.ndarray, n: np.ndarray, comp: np.ndarray, slot: np.ndarray, raw: list) -> list[tuple[int, int, bool]]:
+        if (comp == comp[0]).all():
+            return []
+        across = (slot != slot[0]).any()  # a tile of two slots compares one with the other only
+        bits = [np.frombuffer(r, "<u8") for r in raw]
+        width = np.array([len(x) for x in bits])
+        sheets = {}
+        for w in np.unique(width).tolist():
+            near = np.flatnonzero((width == w) | (width == 2 * w))
+            sheet = np.zeros((len(bits), w), np.uint64)
+            sheet[near] = [folded(bits[k], w) for k in near]
+            sheets[w] = sheet
+        last = np.searchsorted(n, n * measure.whole // measure.share, "right")
+        group, out, unsure = np.unique(comp, return_inverse=True)[1], [], []
+        for k in range(len(n)):
+            other = np.arange(k + 1, last[k])
+            other = other[(group[other] != group[k]) & ((slot[other] != slot[k]) | (not across))]
+            if not len(other):
+                continue
+            w = int(width[k])
+            differ = np.bitwise_count(sheets[w][other] ^ sheets[w][k]).sum(axis=1, dtype=np.int64)
+            both = n[k] + n[other]
+            bound = (both - differ) // 2
+            fit = bound * measure.whole >= (both - bound) * measure.share
+            other, differ, both = other[fit], differ[fit], both[fit]
+            if not sparing:
+                out += [(k, j, False) for j in other.tolist()]
+                continue
+            true = np.log1p(-np.minimum(2 * differ / (64 * w), 0.999)) / math.log1p(-2 / (64 * w))  # likely difference
+            most = true * (1 + 4 * math.sqrt(2 / (64 * w))) + 2  # four deviations of colliding bits above
+            likely = (both - most) / (both + most) >= measure.share / measure.whole
+            unsure += [(k, j) for j in other[~likely].tolist()]
+            for j in other[likely].tolist():
+                if group[j] != group[k]:
+                    out.append((k, j, True))
+                    group[group == group[j]] = group[k]
+        return out + [(k, j, False) for k, j in unsure if group[k] != group[j]]
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+
+        def tiles(rows: pa.Table, finish: bool) -> tuple[pa.RecordBatch, pa.Table]:
+            keys = np.column_stack([rows.column(c).to_numpy() for c in ("token", "low", "high")])
+            edge = np.flatnonzero((keys[1:] != keys[:-1]).any(axis=1)) + 1
+            cuts = [0, *edge.tolist()] + [rows.num_rows] * finish
+            name, n, comp, slot = (rows.column(c).to_numpy() for c in ("class", "n", "comp", "slot"))
+            raw = rows.column("bits").to_pylist()
+            found: list[tuple[int, int, bool]] = []
+            for a, b in zip(cuts[:-1], cuts[1:]):
+                found += [
+                    (min(x, y), max(x, y), likely)
+                    for i, j, likely in pairs(name[a:b], n[a:b].astype(np.int64), comp[a:b], slot[a:b], raw[a:b])
+                    for x, y in [(int(name[a + i]), int(name[a + j]))]
+                    if x != y
+                ]
+            made = {c: [pair[k] for pair in found] for k, c in enumerate(schema.names)}
+            return batch(made, schema), rows.slice(cuts[-1])
+
+        for piece in batches:
+            rows = pa.Table.from_batches([piece])
+            if held is not None:
+                rows = pa.concat_tables([held, rows]).combine_chunks()
+            if rows.num_rows:
+                made, held = tiles(rows, False)
+                yield made
+        if held is not None and held.num_rows:
+            yield tiles(held, True)[0]
 
     return compare
 
 
-def remaining_pairs(members: DataFrame, groups: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
+def remaining_pairs(members: DataFrame, groups: DataFrame, classes: DataFrame, measure: Measure, sparing: bool) -> DataFrame:
     """Pairs of classes that share a token but no group, as the bitmaps allow; ``members`` is ``token, class, n``."""
     grouped = members.join(groups.withColumnRenamed("node", "class"), "class", "left").withColumn(
         "comp", F.coalesce("comp", "class")
     )
     mixed_up = (
         grouped.groupBy("token")
-        .agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count(F.lit(1)).alias("members"))
-        .where("low <> high")
+        .agg(F.min("comp").alias("least"), F.max("comp").alias("most"), F.count(F.lit(1)).alias("members"))
+        .where("least <> most")
         .select("token", F.ceil(F.col("members") / TILE).cast("int").alias("slots"))
     )
     rows = (
         grouped.join(mixed_up, "token")
         .join(classes.select("class", "bits"), "class")
-        .withColumn("band", measure.band(F.col("n")))
         .withColumn("slot", F.pmod(F.hash("class"), F.col("slots")))
         .withColumn("with", F.explode(F.sequence(F.lit(0), F.col("slots") - 1)))
     )
-    own, other, band = F.col("slot"), F.col("with"), F.col("band")
-    cells = F.array(
-        F.struct(
-            band.alias("band"), F.least(own, other).alias("x"), F.lit(0).alias("next"), F.greatest(own, other).alias("y"),
-            F.when(own > other, 1).otherwise(0).alias("side"),
-        ),
-        F.struct(band.alias("band"), own.alias("x"), F.lit(1).alias("next"), other.alias("y"), F.lit(0).alias("side")),
-        F.struct((band - 1).alias("band"), other.alias("x"), F.lit(1).alias("next"), own.alias("y"), F.lit(1).alias("side")),
-    )
-    placed = rows.select("token", "class", "n", "comp", "bits", F.explode(cells).alias("c")).select(
-        "token", "c.band", "c.x", "c.next", "c.y", "c.side", "class", "n", "comp", "bits"
-    )
-    pairs = placed.groupBy("token", "band", "x", "next", "y").applyInArrow(
-        _tile_pairs(measure), "a bigint, na int, b bigint, nb int"
-    )
-    return pairs.distinct()
+    tile = [F.least("slot", "with").alias("low"), F.greatest("slot", "with").alias("high")]
+    placed = rows.select("token", *tile, "n", "class", "comp", "slot", "bits")
+    dealt = placed.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "class")
+    return dealt.mapInArrow(_tile_pairs(measure, sparing), "a bigint, b bigint, likely boolean").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
@@ -380,9 +423,9 @@ def similar_groups(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     """
     texts = docs.select("doc_id", "text", F.xxhash64("text").alias("text_hash"))
     sets = stored(set_table(texts, measure), "set_table")
-    known = sets.where("class IS NOT NULL")
+    worded = sets.where("class IS NOT NULL")
     classes = stored(
-        known.groupBy("class").agg(
+        worded.groupBy("class").agg(
             F.min(F.struct("doc_id", "text_hash")).alias("first"),
             F.min("doc_id").alias("least_id"),
             F.max("n").cast("int").alias("n"),
@@ -404,20 +447,20 @@ def similar_groups(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:
     across = split.join(heads, "token").where("class <> h.class").selectExpr("h.class AS a", "h.n AS na", "class AS b", "n AS nb")
     pairs = meetings.where("kind = 0").select("a", "na", "b", "nb").union(across)
     pairs = pairs.where(measure.sizes_fit(F.col("na"), F.col("nb"))).distinct()
-    bits = classes.select("class", "bits")
-    bound = overlap_bound(F.col("x"), F.col("y"), F.col("na"), F.col("nb"))
-    close = (
-        pairs.join(bits.selectExpr("class AS a", "bits AS x"), "a")
-        .join(bits.selectExpr("class AS b", "bits AS y"), "b")
-        .where(measure.overlap_fits(bound, F.col("na"), F.col("nb")))
-        .select("a", "b")
-    )
-    close = stored(close, "pairs")
-    links = stored(verified(close, texts, classes, measure), "links")
-    rest = remaining_pairs(members.drop("kind"), components(links), classes, measure).select("a", "b")
-    rest = stored(rest.join(close, ["a", "b"], "left_anti"), "rest")
-    if not rest.isEmpty():
-        links = stored(links.union(verified(rest, texts, classes, measure)), "links")
+    known = stored(may_link(pairs, classes, measure), "pairs")
+    links = stored(verified(known, texts, classes, measure), "links")
+    members = members.drop("kind")
+    for sparing in (True, False):
+        found = stored(remaining_pairs(members, components(links), classes, measure, sparing), "tile_pairs")
+        rest = stored(found.select("a", "b").join(known, ["a", "b"], "left_anti"), "rest")
+        if not rest.isEmpty():
+            links = stored(links.union(verified(rest, texts, classes, measure)), "links")
+            known = known.union(rest)
+        # where a likely link proved to be none, the meeting is compared again without sparing
+        wrong = stored(found.where("likely").join(links, ["a", "b"], "left_anti").select(F.col("a").alias("class")), "wrong")
+        if wrong.isEmpty():
+            break
+        members = members.join(members.join(wrong, "class", "left_semi").select("token").distinct(), "token", "left_semi")
     groups = classes.join(components(links).withColumnRenamed("node", "class"), "class", "left").select(
         "class", "least_id", F.coalesce("comp", "class").alias("comp")
     )
