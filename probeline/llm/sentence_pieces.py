@@ -5,6 +5,7 @@ from __future__ import annotations
 import heapq
 import math
 import re
+import struct
 import zlib
 from collections.abc import Iterator
 
@@ -19,8 +20,11 @@ BLANK = "▁"
 _UNIT = re.compile(f"{BLANK}[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 #: Below the score of every piece, as for an unknown one.
 BYTE_PENALTY = 10.0
+#: Scores are whole multiples of one over this, so sums are exact and equal paths tie however they add up.
+SCALE = 10**9
+_NEVER = -(1 << 80)
 #: Distinct units a worker remembers, and the longest that it does.
-REMEMBERED = 400_000
+REMEMBERED = 800_000
 REMEMBERED_LENGTH = 48
 
 
@@ -33,7 +37,7 @@ class Pieces:
 
         model = SentencePieceProcessor(model_file=path)
         size = model.get_piece_size()
-        self.edges: dict[str, tuple[int, float] | None] = {}  # None: only a beginning of pieces
+        self.edges: dict[str, tuple[int, int] | None] = {}  # None: only a beginning of pieces
         self.bytes_of: list[bytes] = []
         self.byte_ids = [0] * 256
         ranked = []
@@ -50,21 +54,20 @@ class Pieces:
                     ranked.append((-model.get_score(at), at, text))
         total = math.log(sum(1 / (k + 1) for k in range(len(ranked))))
         for rank, (_, at, text) in enumerate(sorted(ranked)):
-            self.edges[text] = (at, -math.log(rank + 1) - total)
+            self.edges[text] = (at, round((-math.log(rank + 1) - total) * SCALE))
         for text in list(self.edges):
             for end in range(1, len(text)):
                 self.edges.setdefault(text[:end])
-        self.byte_score = -math.log(len(ranked)) - total - BYTE_PENALTY
-        self.known: dict[str, tuple[bytes, float, float]] = {}
-        self.listed: dict[tuple[str, int], list[tuple[float, list[int]]]] = {}
+        self.byte_score = round((-math.log(len(ranked)) - total - BYTE_PENALTY) * SCALE)
+        self.known: dict[str, tuple[bytes, int, float]] = {}
 
-    def lattice(self, unit: str) -> tuple[list[float], list[list[tuple[int, float, tuple[int, ...]]]]]:
+    def lattice(self, unit: str) -> tuple[list[int], list[list[tuple[int, int, tuple[int, ...]]]]]:
         """Forward Viterbi score of each position, and the edges that end there. A character that is no piece
         becomes its bytes."""
         n, get = len(unit), self.edges.get
-        best = [-math.inf] * (n + 1)
-        best[0] = 0.0
-        into: list[list[tuple[int, float, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
+        best = [_NEVER] * (n + 1)
+        best[0] = 0
+        into: list[list[tuple[int, int, tuple[int, ...]]]] = [[] for _ in range(n + 1)]
         for start in range(n):
             here, single = best[start], False
             for end in range(start + 1, n + 1):
@@ -85,17 +88,18 @@ class Pieces:
                     best[start + 1] = here + score
         return best, into
 
-    def n_best(self, unit: str, n: int) -> list[tuple[float, list[int]]]:
+    def n_best(self, unit: str, n: int) -> list[tuple[int, list[int]]]:
         """The ``n`` best segmentations (all, if there are fewer), best first, as score and ids.
 
         A-star from the end backwards: a partial path is ranked by its own score plus the forward Viterbi score of
-        where it stands, which is exactly the best it can become, so paths come out in order of score.
+        where it stands, which is exactly the best it can become, so paths come out in order of score. Of equal
+        ones that nearer to the beginning goes first, so ties don't widen the search.
         """
         best, into = self.lattice(unit)
-        heap: list[tuple[float, int, int, float, tuple | None]] = [(-best[-1], 0, len(unit), 0.0, None)]
+        heap: list[tuple[int, int, int, int, tuple | None]] = [(-best[-1], len(unit), 0, 0, None)]
         out, count = [], 0
         while heap and len(out) < n:
-            _, _, at, score, path = heapq.heappop(heap)
+            _, at, _, score, path = heapq.heappop(heap)
             if at == 0:
                 ids: list[int] = []
                 while path is not None:
@@ -105,20 +109,63 @@ class Pieces:
                 continue
             for start, own, piece in into[at]:
                 count += 1
-                heapq.heappush(heap, (-(best[start] + score + own), count, start, score + own, (piece, path)))
+                heapq.heappush(heap, (-(best[start] + score + own), start, count, score + own, (piece, path)))
         return out
 
-    def first(self, unit: str) -> tuple[bytes, float, float]:
-        """Ids (little-endian 32-bit) and score of the best segmentation, and what the second best loses."""
+    def first(self, unit: str) -> tuple[bytes, int, float]:
+        """Ids (little-endian 32-bit) and score of the best segmentation, and what the second best loses.
+
+        This is the search of ``n_best`` up to its second result without the queue: after the best path has come
+        out, the queue holds the other edges into its positions, each ranked by the forward score at its start. So
+        the forward pass keeps the two best arrivals at each position.
+        """
         found = self.known.get(unit)
-        if found is None:
-            two = self.n_best(unit, 2)
-            gap = two[0][0] - two[1][0] if len(two) > 1 else math.inf
-            found = (np.array(two[0][1], "<u4").tobytes(), two[0][0], gap)
-            if len(unit) <= REMEMBERED_LENGTH:
-                if len(self.known) >= REMEMBERED:
-                    self.known.clear()
-                self.known[unit] = found
+        if found is not None:
+            return found
+        n, get, never = len(unit), self.edges.get, _NEVER
+        best, second, back = [never] * (n + 1), [never] * (n + 1), [(0, ())] * (n + 1)
+        best[0] = 0
+        for start in range(n):
+            here, single = best[start], False
+            for end in range(start + 1, n + 1):
+                edge = get(unit[start:end], 0)
+                if edge is None:
+                    continue
+                if edge == 0:
+                    break
+                if end == start + 1:
+                    single = True
+                score = here + edge[1]
+                if score > best[end]:
+                    second[end] = best[end]
+                    best[end] = score
+                    back[end] = (start, edge[0])
+                elif score > second[end]:
+                    second[end] = score
+            if not single:
+                ids = tuple([self.byte_ids[b] for b in unit[start].encode()])
+                score, end = here + self.byte_score * len(ids), start + 1
+                if score > best[end]:
+                    second[end] = best[end]
+                    best[end] = score
+                    back[end] = (start, ids)
+                elif score > second[end]:
+                    second[end] = score
+        at, ids, gap = n, [], math.inf
+        while at:
+            if second[at] > never and best[at] - second[at] < gap:
+                gap = best[at] - second[at]
+            at, own = back[at]
+            if type(own) is int:
+                ids.append(own)
+            else:
+                ids.extend(reversed(own))
+        ids.reverse()
+        found = (struct.pack(f"<{len(ids)}I", *ids), best[n], gap)
+        if n <= REMEMBERED_LENGTH:
+            if len(self.known) >= REMEMBERED:
+                self.known.clear()
+            self.known[unit] = found
         return found
 
     def encode(self, text: str, n: int) -> list[tuple[float, bytes]]:
@@ -136,7 +183,7 @@ class Pieces:
         total = sum([h[1] for h in held])
         gaps = [h[2] for h in held]
         places = heapq.nsmallest(n - 1, range(len(gaps)), key=gaps.__getitem__)
-        choices: list[tuple[float, dict[int, list[int]]]] = [(0.0, {})]
+        choices: list[tuple[int, dict[int, list[int]]]] = [(0, {})]
         for place in sorted(p for p in places if gaps[p] < math.inf):
             listed = self.n_best(units[place], n)
             top = listed[0][0]
@@ -147,7 +194,7 @@ class Pieces:
             parts = [h[0] for h in held]
             for place, ids in own.items():
                 parts[place] = np.array(ids, "<u4").tobytes()
-            out.append((total + cost, b"".join(parts)))
+            out.append(((total + cost) / SCALE, b"".join(parts)))
         return out
 
     def decode(self, ids: np.ndarray) -> str:
