@@ -442,6 +442,21 @@ def test_classifier(spark, docs, none):
     assert quality_model.classify_quality(none, labels.limit(0)).count() == 0
 
 
+def test_no_text_is_scored_by_a_model_that_saw_it(spark):
+    rng = np.random.default_rng(4)
+    say = lambda k, lang: (k, " ".join(f"{lang}{x}" for x in rng.integers(0, 300, 40)), lang, "s", 0)
+    rows = [say(k, "en") for k in range(300)] + [say(1000 + k, "fr") for k in range(40)]
+    rows += [say(2000 + k, "xx") for k in range(5)] + [(3000, " ".join(f"junk{k}" for k in range(40)), "fr", "s", 0)]
+    labels = labels_table(spark, [(r[0], 1, 0) for r in rows[:340] if r[0] % 4])
+    judged = quality_model.classify_quality(spark.createDataFrame(rows, DOCS), labels).collect()
+    trained = [r["log_perplexity"] for r in judged if r["doc_id"] < 300 and r["doc_id"] % 4]
+    others = [r["log_perplexity"] for r in judged if r["doc_id"] < 300 and not r["doc_id"] % 4]
+    assert abs(np.mean(trained) - np.mean(others)) < 0.05
+    cut = {r["lang"]: r["cutoff"] for r in judged}
+    assert cut["en"] < cut["fr"] and cut["xx"] is None  # a small language's own maximum; with no label nothing
+    assert [r["doc_id"] for r in judged if r["doc_id"] >= 2000 and not r["kept"]] == [3000]
+
+
 # archives
 
 
