@@ -457,6 +457,20 @@ def test_no_text_is_scored_by_a_model_that_saw_it(spark):
     assert [r["doc_id"] for r in judged if r["doc_id"] >= 2000 and not r["kept"]] == [3000]
 
 
+def test_both_tails_are_rejected(spark):
+    rng = np.random.default_rng(5)
+    say = lambda k: (k, " ".join(f"w{x}" for x in rng.integers(0, 300, 40)), "en", "s", 0)
+    rows = [say(k) for k in range(600)] + [(1000 + k, f"w{k} " * 80, "en", "s", 0) for k in range(10)]
+    rows += [(2000 + k, " ".join(f"junk{k}x{j}" for j in range(40)), "en", "s", 0) for k in range(10)]
+    labels = labels_table(spark, [(r[0], int(r[0] < 600), 0) for r in rows if r[0] % 2])
+    judged = quality_model.classify_quality(spark.createDataFrame(rows, DOCS), labels).cache()
+    assert judged.where("doc_id >= 1000 AND kept").count() == 0
+    assert judged.where("doc_id < 600 AND doc_id % 2 = 1 AND NOT kept").count() <= 3
+    assert judged.where("doc_id >= 1000 AND doc_id < 2000 AND log_perplexity <= cutoff").count() > 0  # the lower tail's
+    grams = np.array([5, 5, 7, 5, 7, 7, 7])
+    assert quality_model.distinct(grams, np.array([3, 1, 3])).tolist() == [2, 1, 1]
+
+
 # archives
 
 
