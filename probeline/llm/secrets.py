@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator, Sequence
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import dataclass
 
 import numpy as np
@@ -19,11 +19,32 @@ SCAN_BYTES = 32 << 20
 
 @dataclass(frozen=True)
 class Rule:
-    """A match of ``pattern`` counts if its first group (or all of it) has ``least`` characters or more."""
+    """A match of ``pattern`` counts if its first group (or all of it) has ``least`` characters or more. ``extend`` says
+    where a match that ends at a place really ends; it costs the automaton no states."""
 
     kind: str
     pattern: str
     least: int = 1
+    extend: Callable[[bytes, int], int] | None = None
+
+
+_KEY_EDGE = re.compile(rb"-----(BEGIN|END) [A-Z ]*PRIVATE KEY-----")
+#: What may follow a key's first line if its last one is missing: header fields, then lines of base64 (line breaks may
+#: be written as escapes). Runs too long for a word count without a line of their own.
+_BREAK = rb"(?:\\r|\\n|\r|\n)"
+_KEY_LINES = re.compile(
+    rb"(?:[\x20\t]*%(b)s+[\x20\t]*(?:Proc-Type|DEK-Info|Comment|Version):[^\r\n\\]*)*"
+    rb"(?:(?:[\x20\t]|%(b)s)*[A-Za-z0-9+/]{40,}={0,2}"
+    rb"|[\x20\t]*%(b)s{1,2}[\x20\t]*[A-Za-z0-9+/]+={0,2}(?=[\x20\t]*(?:%(b)s|\Z)))*" % {b"b": _BREAK}
+)
+
+
+def key_end(text: bytes, at: int) -> int:
+    """Where the private key ends whose first line ends at ``at``: after its last line, else after its base64 lines."""
+    edge = _KEY_EDGE.search(text, at)
+    if edge and edge[1] == b"END":
+        return edge.end()
+    return _KEY_LINES.match(text, at).end()
 
 
 #: Base rules, then the rules this scan adds. Lengths are checked after the match: counters of several rules that
@@ -40,7 +61,7 @@ RULES = (
     Rule("github", r"gh[oprsu]_[A-Za-z0-9]+", 40),
     Rule("slack", r"xox[abprs]-[A-Za-z0-9-]+", 15),
     Rule("jwt", r"eyJ[A-Za-z0-9_-]+\.eyJ[A-Za-z0-9_-]+\.[A-Za-z0-9_-]+", 36),
-    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----"),
+    Rule("pem", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", extend=key_end),
 )
 BASE_KINDS = ("assign", "access", "hex")
 
@@ -72,10 +93,10 @@ class Scanner:
                 if start < 0:
                     continue
                 match = exact[k].match(text, start)
-                done[k] = match.end()
+                done[k] = rule.extend(text, match.end()) if rule.extend else match.end()
                 group = match.group(1) if match.re.groups else match.group()
                 if len(group) >= rule.least:
-                    found[doc].append((start, match.end(), k))
+                    found[doc].append((start, done[k], k))
         return [sorted(spans, key=lambda s: (s[0], s[2])) for spans in found]
 
 
