@@ -61,7 +61,7 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     folder = scratch_path(spark, "tokens")
     tokenizer = public_tokenizers.path("byte_bpe_50k.json")
-    files = write_token_files(table(spark, sf_dir, "documents"), tokenizer, folder, end_id=2)
+    files = write_token_files(table(spark, sf_dir, "documents"), tokenizer, folder, end_id=2, added_tokens=True)
     docs = read_token_files(spark, folder).join(files.select("name", "start"), "name")
     return docs.select("doc_id", (F.col("start") + F.col("offset")).alias("start"), "n_tokens", "ids_crc32")
 

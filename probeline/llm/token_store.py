@@ -133,14 +133,19 @@ class Encoder:
 
     A pre-token never spans the place before a single blank, so such a text is cut there and each distinct piece
     is encoded once. Texts with other white space are encoded whole.
+
+    With ``added_tokens`` the content of an added token, such as an end of text, becomes that token wherever a text
+    holds it, as is the library's default; such texts are encoded whole, too. Else it is read as plain text.
     """
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, added_tokens: bool = False) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.added = re.compile("|".join(map(re.escape, contents))) if added_tokens and contents else None
         self.known: dict[str, bytes] = {}
         self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, at in self.tokenizer.get_vocab(with_added_tokens=False).items():
@@ -169,8 +174,9 @@ class Encoder:
 
     def encode(self, texts: list[str], doubts: Sequence[bool] | None = None) -> list[bytes]:
         """``doubts`` spares the look for unusual white space where it is false."""
+        special = self.added
         pieces = [
-            None if doubt and _UNUSUAL.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+            None if doubt and _UNUSUAL.search(t) or special and special.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
             for t, doubt in zip(texts, [True] * len(texts) if doubts is None else doubts)
         ]
         wanted = set()
@@ -184,21 +190,24 @@ class Encoder:
         return [next(whole) if own is None else b"".join(map(get, own)) for own in pieces]
 
 
-_ENCODERS: dict[str, Encoder] = {}
+_ENCODERS: dict[tuple[str, bool], Encoder] = {}
 
 
-def encoder(path: str) -> Encoder:
-    if path not in _ENCODERS:
-        _ENCODERS[path] = Encoder(path)
-    return _ENCODERS[path]
+def encoder(path: str, added_tokens: bool = False) -> Encoder:
+    if (path, added_tokens) not in _ENCODERS:
+        _ENCODERS[path, added_tokens] = Encoder(path, added_tokens)
+    return _ENCODERS[path, added_tokens]
 
 
-def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2) -> DataFrame:
+def write_token_files(
+    docs: DataFrame, tokenizer: str, folder: str, end_id: int = 2, added_tokens: bool = False
+) -> DataFrame:
     """Encode all documents in ascending ``doc_id`` into files of ``folder``; one row per file:
     ``part, seq, name, n_docs, n_tokens, start`` (ids in all files before it).
 
     Rows are ranged by id and, among equal ids, by text; nulls come first. A null or empty text gives the end id
-    alone. A task holds one slice of texts and one open file. Other columns are ignored.
+    alone. ``added_tokens`` says whether texts may hold such. A task holds one slice of texts and one open file. Other
+    columns are ignored.
     """
     keyed = docs.select("doc_id", "text", F.xxhash64("text").alias("h"))
     keys = ["doc_id", "h"]
@@ -230,7 +239,7 @@ def write_token_files(docs: DataFrame, tokenizer: str, folder: str, end_id: int
             for low, high in slices(offsets, ENCODED_BYTES):
                 cut = rows.slice(low, high - low)
                 texts = [t or "" for t in cut.column("text").to_pylist()]
-                found = encoder(tokenizer).encode(texts, doubts[low:high])
+                found = encoder(tokenizer, added_tokens).encode(texts, doubts[low:high])
                 for doc, ids in zip(cut.column("doc_id").to_pylist(), found):
                     own.append(doc)
                     streams += [ids, end]

@@ -587,3 +587,17 @@ def test_token_files(spark, docs, none, monkeypatch):
     got = sorted((str(r["doc_id"]), r["ids"]) for r in found)
     assert got == sorted((str(d), [*plain.encode(t or "", add_special_tokens=False).ids, 2]) for d, t, *_ in rows)
     assert token_store.write_token_files(none, path, scratch_path(spark, "none")).count() == 0
+
+
+def test_token_query_equals_the_unmodified_library(spark, tmp_path):
+    from probeline.llm.queries import QUERIES
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    texts = ["a<|endoftext|>b", "<|endoftext|>", " x <|endoftext|>\n<|endoftext|> z", "<|endoftext| >", "a  b<|endoftext|>", "a b", "", None]
+    spark.createDataFrame([(k, t, "en", "s", 0) for k, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    at = 0
+    for row, text in zip(QUERIES["op10_token_store"](spark, str(tmp_path)).orderBy("doc_id").collect(), texts, strict=True):
+        ids = np.array([*plain.encode(text or "", add_special_tokens=False).ids, 2], "<u4")
+        assert (row["start"], row["n_tokens"], row["ids_crc32"]) == (at, len(ids), zlib.crc32(ids.tobytes()))
+        at += len(ids)
