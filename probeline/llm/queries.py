@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from probeline.llm.class_lm import held_out, score_documents, train_class_model
 from probeline.llm.common import stored, table
+from probeline.llm.conversation_repair import repair_report
 from probeline.llm.decontamination import find_contamination
 from probeline.llm.ngram_join import Measure, similar_groups
 from probeline.llm.quality_model import classify_quality
@@ -16,7 +17,9 @@ from probeline.llm.quality_rules import risk_controlled_rules
 from probeline.llm.secrets import BASE_KINDS, scan_secrets
 from probeline.llm.sentence_pieces import encode_pieces
 from probeline.llm.sharding import write_shards
-from probeline.llm.sql import DECONTAMINATION_SQL, QUALITY_RULES_SQL, SHARDING_SQL, WARC_SQL
+from probeline.llm.spelling import spelling_variants
+from probeline.llm.sql import DECONTAMINATION_SQL, QUALITY_RULES_SQL, SHARDING_SQL, SUFFIX_DEDUP_SQL, WARC_SQL
+from probeline.llm.suffix_dedup import find_repeats
 from probeline.llm.token_store import read_token_files, write_token_files
 from probeline.llm.warc import read_archives, write_archives
 from probeline.session import scratch_path, tune
@@ -125,3 +128,25 @@ def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     model = public_tokenizers.path("piece_bpe_32k.model")
     return encode_pieces(table(spark, sf_dir, "documents"), model, n_best=3, with_ids=False)
+
+
+@query("op11_spelling_variants")
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants(table(spark, sf_dir, "documents"))
+
+
+@query("op12_suffix_dedup", SUFFIX_DEDUP_SQL)
+def op12_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = find_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.select(
+        "doc_id",
+        "n_bytes",
+        (F.col("n_bytes") - F.octet_length("kept")).cast("bigint").alias("n_removed"),
+        F.size("spans").cast("bigint").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"),
+    )
+
+
+@query("op13_conversation_repair")
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repair_report(table(spark, sf_dir, "conversations"))

@@ -113,3 +113,30 @@ SELECT doc_id, n::BIGINT AS n_bytes, lpad(depth::VARCHAR, 2, '0') || '-' || pref
     r::BIGINT AS shard_rows, s::BIGINT AS shard_bytes
 FROM c WHERE k = 1
 """
+
+SUFFIX_DEDUP_SQL = r"""
+WITH d AS (
+    SELECT row_number() OVER () AS k, doc_id, octet_length(encode(coalesce(text, '')))::BIGINT AS n,
+        hex(encode(coalesce(text, ''))) AS x FROM documents),
+e AS (
+    SELECT k, o, substr(x, 2 * o + 1, 1198) AS y
+    FROM (SELECT k, x, unnest(range(0, n - 199, 400)) AS o FROM d WHERE n >= 200)),
+w AS (
+    SELECT k, o + j AS i, md5(substr(y, 2 * j + 1, 400)) AS g
+    FROM (SELECT k, o, y, unnest(range(0, least(400, strlen(y) // 2 - 199))) AS j FROM e)),
+r AS (SELECT g FROM w GROUP BY g HAVING count(*) > 1),
+b AS (
+    SELECT k, i, coalesce(i - lag(i) OVER (PARTITION BY k ORDER BY i) > 200, true)::INT AS fresh
+    FROM w WHERE g IN (SELECT g FROM r)),
+s AS (
+    SELECT k, min(i) AS low, max(i) + 200 AS high
+    FROM (SELECT k, i, sum(fresh) OVER (PARTITION BY k ORDER BY i) AS run FROM b) GROUP BY k, run),
+p AS (SELECT k, low, high, coalesce(lag(high) OVER (PARTITION BY k ORDER BY low), 0) AS prior FROM s),
+c AS (
+    SELECT p.k, sum(high - low)::BIGINT AS n_removed, count(*) AS n_spans, max(high) AS tail,
+        string_agg(substr(x, 2 * prior + 1, 2 * (low - prior)), '' ORDER BY low) AS parts
+    FROM p JOIN d ON d.k = p.k GROUP BY p.k)
+SELECT doc_id, n AS n_bytes, coalesce(n_removed, 0) AS n_removed, coalesce(n_spans, 0) AS n_spans,
+    sha256(unhex(coalesce(parts, '') || substr(x, 2 * coalesce(tail, 0) + 1))) AS kept_sha256
+FROM d LEFT JOIN c ON c.k = d.k
+"""
