@@ -19,6 +19,8 @@ from pyarrow import fs
 
 #: Common prefixes are exact below this length and equal to it beyond; it fits one byte.
 CAP = 255
+#: Names of a recursion that are few enough to be ordered in memory, by doubling.
+BASE = 1 << 18
 _FAR = np.int32((1 << 30) - 1)
 _EMPTY = (np.zeros(0, np.int32), np.zeros(0, np.int32), np.zeros(0, np.uint8))
 
@@ -246,13 +248,28 @@ def _scan(text, mirror, wanted, runs, given, n_symbols, counts, files, budget):
                 keys, positions, prefixes = _merged((keys, positions, prefixes), (others, pos, pre))
             else:
                 keys, positions, prefixes = others, pos, pre
-        low = 0
+        low, grown = 0, -1
         while low < len(keys):
             high = min(len(keys), low + width)
             k, p = keys[low:high], positions[low:high]
             target = goal[p]
-            least = np.minimum.accumulate(target) * np.int32(2)
             cut = high - low
+            own = (target * np.int32(2)) == k
+            if grown >= 0:
+                own[k == grown] = False
+                target[target * np.int32(2) == grown] = _FAR
+            if own.any():
+                cut = int(own.argmax())
+                if not cut:  # the tuples of this symbol are complete: add those before them in runs of the symbol
+                    grown = int(k[0])
+                    n = int(np.searchsorted(keys, grown, "right"))
+                    more = _runs_of(grown >> 1, goal, positions[low:n], prefixes[low:n])
+                    old = (keys[low:], positions[low:], prefixes[low:])
+                    keys, positions, prefixes = _merged(old, (np.full(len(more[0]), grown, np.int32), *more))
+                    low = 0
+                    continue
+                k, p, target = k[:cut], p[:cut], target[:cut]
+            least = np.minimum.accumulate(target) * np.int32(2)
             if least[-1] < k[-1]:
                 early = least[:-1] < k[1:]
                 first = int(early.argmax())
@@ -288,6 +305,23 @@ def _scan(text, mirror, wanted, runs, given, n_symbols, counts, files, budget):
             batch, last_key, last_position = batch + 1, int(k[-1]), int(p[-1])
 
 
+def _runs_of(symbol: int, goal: np.ndarray, positions: np.ndarray, prefixes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Tuples that the tuples of one symbol bring forth under the same symbol: one place further left in each round."""
+    out, round_ = [], 1
+    while True:
+        alive = np.flatnonzero(goal[positions] == symbol)
+        if not len(alive):
+            break
+        near = np.empty(len(alive), np.uint8)
+        near[0] = min(round_, CAP)  # the round before has one symbol of the run less
+        if len(alive) > 1:
+            near[1:] = np.minimum(np.minimum.reduceat(prefixes[: alive[-1] + 1], alive[:-1] + 1), CAP - 1) + 1
+        positions, prefixes = positions[alive] - np.int32(1), near
+        out.append((positions, prefixes))
+        round_ += 1
+    return tuple(np.concatenate(x) for x in zip(*out))
+
+
 def _merged(a: tuple[np.ndarray, ...], b: tuple[np.ndarray, ...]) -> tuple[np.ndarray, ...]:
     """Two sorted sets of tuples as one; of equal keys those of ``a`` come first."""
     if not len(a[0]) or a[0][-1] <= b[0][0]:
@@ -360,8 +394,7 @@ def _extended(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray)
     out = np.minimum(known, CAP)
     active = np.flatnonzero(out < CAP)
     while len(active):
-        same = text[a[active]] == text[b[active]]
-        active = active[same]
+        active = active[text[a[active]] == text[b[active]]]
         out[active] += 1
         a[active] += 1
         b[active] += 1
@@ -369,12 +402,39 @@ def _extended(text: np.ndarray, a: np.ndarray, b: np.ndarray, known: np.ndarray)
     return out
 
 
+def _by_doubling(text: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Order of the suffixes of a short text with the common prefix of each with the one before."""
+    n = len(text)
+    order = np.argsort(text, kind="stable")
+    key = text[order].astype(np.int64)
+    fresh = np.concatenate(([True], key[1:] != key[:-1]))
+    rank, step = np.empty(n + 1, np.int64), 1
+    while True:
+        heads = np.flatnonzero(fresh)
+        rank[order] = np.repeat(heads, np.diff(np.append(heads, n)))
+        rank[n] = -1
+        open_ = np.flatnonzero(~(fresh & np.append(fresh[1:], True)))
+        if not len(open_):
+            break
+        some = order[open_]
+        key = (rank[some] << 31) | (rank[np.minimum(some + step, n)] + 1)
+        place = np.argsort(key, kind="stable")
+        order[open_], key = some[place], key[place]
+        fresh[open_[1:]] |= key[1:] != key[:-1]
+        step *= 2
+    shared = np.zeros(n, np.int64)
+    shared[1:] = _extended(text, order[:-1].copy(), order[1:].copy(), shared[1:])
+    return order, shared
+
+
 def _sorted_starts(text, starts, n_symbols, files, budget):
     """Positions of the leftmost S in order of their suffixes, with common prefixes, by recursion on names."""
     order, names = _names(text, starts, n_symbols)
     n_names = int(names[order[-1]]) + 1
     if n_names == len(starts):
         ranked, shared = order, np.zeros(len(order), np.int64)
+    elif len(starts) <= BASE:
+        ranked, shared = _by_doubling(names)
     else:
         parts = list(_level(names.astype(np.int32), n_names, files, budget))  # from the largest suffix down
         ranked = np.concatenate([p for p, _ in parts])[::-1].astype(np.int64)

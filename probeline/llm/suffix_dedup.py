@@ -30,7 +30,7 @@ MOST_WINDOWS = 256
 #: Bytes of text hashed at once in a task; longer texts are read in overlapping pieces.
 PIECE_BYTES = 2 << 20
 #: Bytes of segments sorted as one shard, and beyond which one hash's segments are dealt again.
-SHARD_BYTES = 12 << 20
+SHARD_BYTES = 4 << 20
 LEAST_SHARD_BYTES = 1 << 20
 GROUP_BYTES = 32 << 20
 

@@ -47,8 +47,9 @@ def induced(data, folder, budget):
     return positions.tolist(), np.concatenate([x for _, x in parts])[:0:-1].tolist()
 
 
-@pytest.mark.parametrize("budget", [1, 7, 100, 1 << 20])
-def test_induced_sorting(tmp_path, budget):
+@pytest.mark.parametrize("budget, base", [(1, 0), (7, 20), (100, 0), (1 << 20, 1 << 18)])
+def test_induced_sorting(tmp_path, monkeypatch, budget, base):
+    monkeypatch.setattr(induced_sort, "BASE", base)
     rng = np.random.default_rng(budget)
     for n in (1, 2, 3, 9, 60, 400):
         for letters in (1, 2, 3, 200):
@@ -61,7 +62,8 @@ def test_induced_sorting(tmp_path, budget):
     assert not list(tmp_path.iterdir())  # run files are removed
 
 
-def test_queue_uses_files(tmp_path):
+def test_queue_uses_files(tmp_path, monkeypatch):
+    monkeypatch.setattr(induced_sort, "BASE", 0)
     data = np.random.default_rng(3).integers(1, 40, 5000).astype(np.uint16)
     written = []
     original = induced_sort.RunFiles.write
