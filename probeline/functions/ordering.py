@@ -175,22 +175,29 @@ def running_totals(
     return out.drop("__part", *[f"__o_{c}" for c in sums])
 
 
-def interval_lookup(
-    points: DataFrame, point: str, intervals: DataFrame, start: str, end: str, universe: int, bins: int
-) -> DataFrame:
+def interval_lookup(points: DataFrame, point: str, intervals: DataFrame, start: str, end: str) -> DataFrame:
     """Give each point the disjoint interval ``[start, end)`` that holds it.
 
-    Intervals tile ``[0, universe)``; each is copied to the bins it touches, at most one copy per
-    interval plus one per bin in total, so the range join becomes an equi join on the bin.
+    Points and interval starts are merged in one range-partitioned order: a point belongs to the last start at or before
+    it. The interval open at a partition's border is carried on from one row per partition. Neither many intervals
+    in a narrow range nor many equal points meet in one task, as equal points are told apart by a hash.
     """
-    width = max(1, -(-universe // bins))
-    spread = intervals.where(F.col(end) > F.col(start)).withColumn(
-        "__bin",
-        F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))),
+    spark = points.sparkSession
+    own, span = F.struct(*points.columns).alias("__p"), F.struct(*intervals.columns).alias("__iv")
+    salt = F.xxhash64(F.monotonically_increasing_id()).alias("__salt")
+    dots = points.select(own, F.col(point).cast("bigint").alias("__at"), F.lit(1).alias("__kind"), salt)
+    spans = intervals.where(F.col(end) > F.col(start)).select(
+        span, F.col(start).cast("bigint").alias("__at"), F.lit(0).alias("__kind"), F.lit(0).cast("bigint").alias("__salt")
     )
-    return (
-        points.withColumn("__bin", F.floor(F.col(point) / width))
-        .join(spread, "__bin")
-        .where((F.col(point) >= F.col(start)) & (F.col(point) < F.col(end)))
-        .drop("__bin")
+    order = ["__at", "__kind", "__salt"]
+    ranged = dots.unionByName(spans, allowMissingColumns=True).repartitionByRange(parallelism(spark), *order)
+    merged = cut_lineage(ranged.withColumn("__part", F.spark_partition_id()))
+    tails = merged.groupBy("__part").agg(F.max_by("__iv", F.when(F.col("__iv").isNotNull(), F.col("__at"))).alias("__tail"))
+    before = Window.partitionBy().orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = tails.select("__part", F.last("__tail", ignorenulls=True).over(before).alias("__open"))
+    local = Window.partitionBy("__part").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    held = merged.join(F.broadcast(carried), "__part").withColumn(  # one row per partition
+        "__iv", F.coalesce(F.last("__iv", ignorenulls=True).over(local), "__open")
     )
+    found = held.where((F.col("__kind") == 1) & (F.col("__at") < F.col("__iv")[end]))
+    return found.select("__p.*", *[F.col("__iv")[c].alias(c) for c in intervals.columns])

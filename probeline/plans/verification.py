@@ -47,11 +47,17 @@ cte(
 
 
 def draws(seed: int, universe: str, wanted: int) -> str:
-    """First ``wanted`` distinct draws; the universe is more than four times larger."""
+    """Images of 0 to ``wanted`` - 1 under the keyed permutation of the universe."""
+    step = "SELECT k, n, u, a, b, x // b AS i, x % b AS j FROM w, z WHERE n = 0 OR x >= u"
+    for k in range(comparisons.MIXING_ROUNDS):
+        place, given, size = ("i", "j", "a") if k % 2 == 0 else ("j", "i", "b")
+        added = f"('0x' || substr(md5('{seed}|{k}|' || {given}), 1, 15))::BIGINT"
+        other = f"{given}, ({place} + {added}) % {size} AS {place}"
+        step = f"SELECT k, n, u, a, b, {other} FROM ({step})"
     return (
-        f"(SELECT rank FROM (SELECT rank, min(k) AS draw FROM (SELECT k, ('0x' || substr(md5('{seed}|' || k), 1, "
-        f"15))::BIGINT % {universe} AS rank FROM range({2 * wanted}) t(k)) GROUP BY rank) ORDER BY draw "
-        f"LIMIT {wanted})"
+        f"(WITH RECURSIVE z AS (SELECT u, a, ceil(u / a)::BIGINT AS b FROM (SELECT u, ceil(sqrt(u))::BIGINT AS a FROM "
+        f"(SELECT {universe}::BIGINT AS u))), w(k, x, n) AS (SELECT k, k, 0 FROM range({wanted}) t(k) UNION ALL "
+        f"SELECT k, i * b + j, n + 1 FROM ({step})) SELECT x AS rank FROM w, z WHERE n > 0 AND x < u)"
     )
 
 

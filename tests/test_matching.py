@@ -166,6 +166,40 @@ def test_one_set_sampling(vectors):
     assert len(set(pick(space.sample_random(500, 3)))) == 500
 
 
+def drawn(spark, universe, wanted, seed=1):
+    return [r["rank"] for r in comparisons.draw_ranks(spark, universe, wanted, seed).orderBy(F.monotonically_increasing_id()).collect()]
+
+
+@pytest.mark.parametrize("universe", [2, 3, 7, 64, 100, 1000, 4097])
+def test_draws_are_a_permutation(spark, universe):
+    nearly_all = comparisons.draw_ranks(spark, universe, universe - 1, 5).collect()
+    ranks = {r["rank"] for r in nearly_all}
+    assert len(ranks) == universe - 1 and ranks < set(range(universe))
+
+
+def test_larger_draws_contain_smaller_ones(spark):
+    for universe in (401, 10**12):
+        small, large = (set(drawn(spark, universe, k)) for k in (100, 101))
+        assert small < large and len(large) == 101
+    assert set(drawn(spark, 400, 100)) != set(drawn(spark, 400, 100, seed=2))
+
+
+def test_draws_are_even(spark):
+    """Chi-square over 100 bins, and over the differences of consecutive draws."""
+    ranks = drawn(spark, 10**6, 20_000)
+    for values in (ranks, [(b - a) % 10**6 for a, b in zip(ranks, ranks[1:])]):
+        counts = [0] * 100
+        for r in values:
+            counts[r // 10**4] += 1
+        expected = len(values) / 100
+        assert sum((c - expected) ** 2 / expected for c in counts) < 150  # 0.1 % of even draws lie beyond
+
+
+def test_odd_balanced_budget_raises(vectors):
+    with pytest.raises(ValueError, match="even"):
+        RankSpace(vectors).sample_balanced(3, 1)
+
+
 def test_two_set_sampling(spark, vectors):
     probes = vectors.where("id < 30").select("id", "label")
     gallery = spark.createDataFrame([(f"g{i}", lab) for i, lab in enumerate(["hot", "s1", "s2", "none"])], "id string, label string")

@@ -70,5 +70,18 @@ def test_percentile_of_equal_values(spark):
 def test_interval_lookup(spark):
     spans = spark.createDataFrame([("a", 0, 700), ("b", 700, 701), ("c", 701, 701), ("d", 701, 1000)], "n string, lo long, hi long")
     points = spark.range(1000).withColumnRenamed("id", "p")
-    got = ordering.interval_lookup(points, "p", spans, "lo", "hi", 1000, 7).groupBy("n").count()
+    got = ordering.interval_lookup(points, "p", spans, "lo", "hi").groupBy("n").count()
     assert {r["n"]: r["count"] for r in got.collect()} == {"a": 700, "b": 1, "d": 299}
+
+
+def test_interval_lookup_of_many_narrow_intervals(spark):
+    """100,000 intervals at the low end, one that holds nearly the whole range, a gap, and one point drawn very often."""
+    narrow = spark.range(100_000).selectExpr("CAST(id AS string) AS n", "2 * id AS lo", "2 * id + 2 AS hi")
+    wide = spark.createDataFrame([("wide", 200_000, 10**12), ("after", 10**12 + 10, 10**12 + 20)], "n string, lo long, hi long")
+    points = spark.range(0, 200_000, 7).selectExpr("id AS p").union(spark.range(50_000).selectExpr("CAST(5 AS long)"))
+    points = points.union(spark.range(1000).selectExpr("200000 + id * 900000000")).union(spark.range(9, 12).selectExpr("1000000000000 + id"))
+    got = ordering.interval_lookup(points, "p", narrow.union(wide), "lo", "hi")
+    counts = {r["n"]: r["count"] for r in got.groupBy("n").count().collect()}
+    assert got.where("p < lo OR p >= hi").count() == 0
+    assert counts["wide"] == 1000 and counts["after"] == 2 and counts["2"] == 50_000
+    assert sum(counts.values()) == len(range(0, 200_000, 7)) + 50_000 + 1000 + 2  # a point in the gap has none
