@@ -6,7 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, functions as F
 
+from probeline.functions.columns import prepared
 from probeline.functions.ordering import numbered, with_value_bucket
+from probeline.operators import scoring
+from probeline.operators.scoring import grid_scores
+from probeline.session import cut_lineage
 
 
 def source_order(df: DataFrame, keys: Sequence[str], row_id: str = "obs_id") -> DataFrame:
@@ -70,6 +74,31 @@ def group_diagnostics(df: DataFrame, block: Sequence[str], k: int) -> DataFrame:
     )
 
 
+def fused_scores(members: DataFrame, templates: DataFrame, method: str = "cosine") -> DataFrame:
+    """``group, identity, score`` for every probe group and identity: the mean over the group's members per template,
+    then the identity's best template.
+
+    ``members(id, group, vec)``, ``templates(id, identity, vec)``; a template's id is unique in its identity. Means and best ones are
+    taken inside grid cells, which hold whole groups and identities; no pair leaves them. What is larger than
+    ``scoring.WHOLE_ROWS`` is cut, and cells give sums per group and template that are joined afterwards.
+    """
+    ready = lambda df, label: cut_lineage(
+        df.select("id", F.col(label).alias("label"), prepared(F.col("vec"), method).alias("vec"))
+    )
+    left, right = ready(members, "group"), ready(templates, "identity")
+    sizes = lambda df: df.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
+    large = [cut_lineage(sizes(df).where(F.col("n") > scoring.WHOLE_ROWS).select("label")) for df in (left, right)]
+    cells = lambda a, b, output: grid_scores(a, b, method, output, is_prepared=True, whole=output == "fused")
+    if all(df.isEmpty() for df in large):
+        return cells(left, right, "fused")
+    small_left, large_left = (left.join(large[0], "label", how).select("id", "label", "vec") for how in ("left_anti", "left_semi"))
+    small_right, large_right = (right.join(large[1], "label", how).select("id", "label", "vec") for how in ("left_anti", "left_semi"))
+    partial = cells(large_left, right, "partial").unionByName(cells(small_left, large_right, "partial"))
+    means = partial.groupBy("group", "identity", "template").agg((F.sum("total") / F.sum("n")).alias("score"))
+    best = means.groupBy("group", "identity").agg(F.max("score").alias("score"))
+    return cells(small_left, small_right, "fused").unionByName(best)
+
+
 def fuse_scores(scores: DataFrame, groups: DataFrame, member: str, group: Sequence[str]) -> DataFrame:
     """Mean score of a group's members per identity. ``scores(member, identity, score)``."""
     joined = scores.join(groups.select(member, *group), member)

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from probeline.functions.columns import prepared, similarity
 from probeline.functions.ordering import running_sum
+from probeline.operators import scoring
 from probeline.operators.scoring import grid_scores
 from probeline.session import cut_lineage
 
@@ -43,7 +44,7 @@ def identification_ranks(
     """Pessimistic rank: how many identities score at least the genuine score, the genuine one included.
 
     ``probes(id, label, vec)``, ``templates(id, label, vec)``. Scores are compared inside the grid cells;
-    only counts (or, with several templates per identity, the identities that pass) leave them.
+    only counts leave them. With several templates per identity the templates of one identity share a cell.
     """
     ready = lambda df: df.withColumn("vec", prepared(F.col("vec"), method))
     # Stored once: both the bar and the grid must see the same doubles.
@@ -54,8 +55,18 @@ def identification_ranks(
         counts = grid_scores(barred, gallery, method, "count", is_prepared=True, by=by)
         ranks = counts.groupBy(*by, "id").agg(F.sum("n_at_least").alias("rank"))
     else:
-        hits = grid_scores(barred, gallery, method, "hits", is_prepared=True, by=by).distinct()
-        ranks = hits.groupBy(*by, "id").agg(F.count(F.lit(1)).alias("rank"))
+        sizes = gallery.groupBy(*by, "label").agg(F.count(F.lit(1)).alias("n"))
+        large = sizes.where(F.col("n") > scoring.WHOLE_ROWS).drop("n")
+        if large.isEmpty():
+            counts = grid_scores(barred, gallery, method, "count", is_prepared=True, by=by, whole=True)
+        else:
+            # identities too large for one cell are cut, and each cell tells once that one passed
+            kept, cut = (gallery.join(large, [*by, "label"], how) for how in ("left_anti", "left_semi"))
+            own = ["id", "label", "vec"]
+            counts = grid_scores(barred, kept.select(*by, *own), method, "count", is_prepared=True, by=by, whole=True)
+            hits = grid_scores(barred, cut.select(*by, *own), method, "hits", is_prepared=True, by=by).distinct()
+            counts = counts.unionByName(hits.groupBy(*by, "id").agg(F.count(F.lit(1)).alias("n_at_least")))
+        ranks = counts.groupBy(*by, "id").agg(F.sum("n_at_least").alias("rank"))
     return barred.select(*by, "id", "label", "bar").join(ranks, [*by, "id"])
 
 

@@ -10,14 +10,26 @@ from probeline.functions.ordering import exact_percentiles, numbered
 from probeline.operators.templates import first_per_key
 
 
-def _subject_days(records: DataFrame, subject: str, date: str, order: str) -> DataFrame:
+#: One column, or several of which a later one settles ties of those before it.
+Order = str | Sequence[str]
+
+
+def _columns(order: Order) -> list[str]:
+    return [order] if isinstance(order, str) else list(order)
+
+
+def _place(order: Order) -> Column:
+    return F.struct(*_columns(order))
+
+
+def _subject_days(records: DataFrame, subject: str, date: str, order: Order) -> DataFrame:
     """First and last day of each subject with that day's first, last and number of records.
 
     Two levels of aggregates that combine map-side; a subject with very many records is spread by day.
     Undated records take no part in an ordered regime.
     """
     days = records.where(F.col(date).isNotNull()).groupBy(subject, date).agg(
-        F.min(order).alias("lo"), F.max(order).alias("hi"), F.count(F.lit(1)).alias("n")
+        F.min(_place(order)).alias("lo"), F.max(_place(order)).alias("hi"), F.count(F.lit(1)).alias("n")
     )
     day = F.struct(F.col(date).alias("day"), "lo", "hi", "n")
     return days.groupBy(subject).agg(
@@ -25,10 +37,10 @@ def _subject_days(records: DataFrame, subject: str, date: str, order: str) -> Da
     )
 
 
-def single_cross_session(records: DataFrame, subject: str, date: str, order: str) -> DataFrame:
+def single_cross_session(records: DataFrame, subject: str, date: str, order: Order) -> DataFrame:
     """First record enrolls, second probes."""
     known = records.where(F.col(date).isNotNull())
-    two = first_per_key(known, [subject], [date, order], 2, "__rn")
+    two = first_per_key(known, [subject], [date, *_columns(order)], 2, "__rn")
     both = F.count(F.lit(1)).over(Window.partitionBy(subject))  # at most two rows
     role = F.when(F.col("__rn") == 1, "enroll").otherwise("probe")
     return two.withColumn("__n", both).where(F.col("__n") == 2).withColumn("role", role).drop("__rn", "__n")
@@ -41,27 +53,28 @@ def _day_regime(records, subject, date, order, eligible: Column, enroll: Column,
     return joined.where(F.col("role").isNotNull()).drop("__first", "__last", "__days")
 
 
-def single_shot_short_term(records: DataFrame, subject: str, date: str, order: str) -> DataFrame:
-    """First record of the first day enrolls, the rest of that day probes."""
+def single_shot_short_term(records: DataFrame, subject: str, date: str, order: Order) -> DataFrame:
+    """First record of the first day enrolls, the rest of that day probes. ``order`` may be several columns: of records
+    with one order value the next column (the record's id) tells which is first."""
     day = F.col(date) == F.col("__first.day")
-    first = F.col(order) == F.col("__first.lo")
+    first = _place(order) == F.col("__first.lo")
     return _day_regime(records, subject, date, order, F.col("__first.n") >= 2, day & first, day & ~first)
 
 
-def leave_last_out_short_term(records: DataFrame, subject: str, date: str, order: str) -> DataFrame:
-    """The last record of the first day probes, the others of that day enroll."""
+def leave_last_out_short_term(records: DataFrame, subject: str, date: str, order: Order) -> DataFrame:
+    """The last record of the first day probes, the others of that day enroll. ``order`` as in ``single_shot_short_term``."""
     day = F.col(date) == F.col("__first.day")
-    last = F.col(order) == F.col("__first.hi")
+    last = _place(order) == F.col("__first.hi")
     return _day_regime(records, subject, date, order, F.col("__first.n") >= 2, day & ~last, day & last)
 
 
-def single_shot_long_term(records: DataFrame, subject: str, date: str, order: str) -> DataFrame:
+def single_shot_long_term(records: DataFrame, subject: str, date: str, order: Order) -> DataFrame:
     """The first day enrolls, all later days probe."""
     day = F.col(date) == F.col("__first.day")
     return _day_regime(records, subject, date, order, F.col("__days") >= 2, day, ~day)
 
 
-def leave_last_out_long_term(records: DataFrame, subject: str, date: str, order: str) -> DataFrame:
+def leave_last_out_long_term(records: DataFrame, subject: str, date: str, order: Order) -> DataFrame:
     """The last day probes, all days before it enroll."""
     day = F.col(date) == F.col("__last.day")
     return _day_regime(records, subject, date, order, F.col("__days") >= 2, ~day, day)

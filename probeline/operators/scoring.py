@@ -24,10 +24,16 @@ MOST_TASKS = 100_000
 #: Outputs that leave a cell score by score use smaller blocks: 2048 x 2048 scores at a time.
 SCORE_BLOCK_ROWS = 2048
 SCORE_OUTPUTS = ("pairs", "histogram", "exact")
+#: A label with more rows than this is not kept whole in a cell.
+WHOLE_ROWS = 1024
 #: A counted second side up to these limits is sent along with the task.
 SENT_ROWS, SENT_VALUES = 8192, 4_000_000
 
 
+#: Segments (low, high, number of bins) that do not overlap, from low to high, or one threshold.
+Edges = Sequence[tuple[float, float, int]] | float | None
+
+
 def _block_rows(output: str) -> int:
     return min(BLOCK_ROWS, SCORE_BLOCK_ROWS) if output in SCORE_OUTPUTS else BLOCK_ROWS
 
@@ -69,27 +75,111 @@ def _largest(df: DataFrame, by: Sequence[str]) -> int:
     return sizes.agg(F.max("n")).first()[0] or 0
 
 
+_BIN_VALUES = ("sum_genuine", "sum_impostor", "sq_genuine", "sq_impostor", "lowest", "highest", "ref")
+
+
 def _cell_function(
     kind: str,
     output: str,
     unordered: bool,
     by: Sequence[str] = (),
-    edges: tuple[float, float, int] | float | None = None,
-    wanted: Sequence[int] = (),
+    edges: Edges = None,
+    wanted: Sequence[tuple[float, float]] = (),
     sent: bytes | None = None,
+    whole: bool = False,
 ):
     """Arrow function for one cell, or for batches of the first side when the second one is ``sent``. Self-contained, so executors need nothing but NumPy and Arrow."""
     by = list(by)
     most = SCORE_BLOCK_ROWS**2 if output in SCORE_OUTPUTS else BLOCK_ROWS**2
 
+    def interval_of(scores, lows, highs):
+        """Number of the closed interval that holds each score, or -1."""
+        import numpy as np
+
+        k = np.maximum(np.searchsorted(lows, scores, "right") - 1, 0)
+        return np.where((scores >= lows[k]) & (scores <= highs[k]), k, -1)
+
     def bin_of(scores):
-        """Uniform bins over (low, high, count), clipped at the ends, or the two sides of a threshold."""
+        """Bin of each score over all segments, or -1; or the side of a threshold."""
         import numpy as np
 
-        if not isinstance(edges, tuple):
+        if not isinstance(edges, list):
             return (scores >= edges).astype(np.int64)
-        low, high, count = edges
-        return np.clip(np.floor((scores - low) * (count / (high - low))), 0, count - 1).astype(np.int64)
+        lows, highs, counts = (np.array(x) for x in zip(*edges))
+        k = interval_of(scores, lows, highs)
+        width = np.where(highs > lows, highs - lows, 1.0)
+        step = np.clip(np.floor((scores - lows[k]) * (counts / width)[k]), 0, counts[k] - 1)
+        return np.where(k >= 0, (np.cumsum(counts) - counts)[k] + step, -1).astype(np.int64)
+
+    def bin_starts():
+        """Lower end of each bin: sums are taken from there, so that close scores keep their digits."""
+        import numpy as np
+
+        if not isinstance(edges, list):
+            return np.zeros(2)
+        return np.concatenate([low + (high - low) / count * np.arange(count) for low, high, count in edges])
+
+    def runs_of(column):
+        """Order that puts equal labels together, the first place of each, and the labels in that order."""
+        import numpy as np
+
+        encoded = column.combine_chunks().dictionary_encode()
+        codes = encoded.indices.to_numpy(zero_copy_only=False)
+        order = np.argsort(codes, kind="stable")
+        starts = np.flatnonzero(np.concatenate(([True], codes[order][1:] != codes[order][:-1])))
+        return order, starts, encoded.dictionary.take(encoded.indices.take(order[starts]))
+
+    def count_identities(left, right):
+        """Per left row the right labels of which some row scores at least the bar."""
+        import numpy as np
+        import pyarrow as pa
+
+        a, b, bar = matrix(left, "vec"), matrix(right, "vec"), left.column("bar").to_numpy()
+        order, starts, _ = runs_of(right.column("label"))
+        b, found = b[order], np.empty(len(a), np.int64)
+        step = max(1, 262_144 // len(b))
+        for i in range(0, len(a), step):
+            passed = tile_scores(a[i : i + step], b) >= bar[i : i + step, None]
+            found[i : i + step] = np.logical_or.reduceat(passed, starts, axis=1).sum(axis=1)
+        return pa.table({"id": left.column("id"), "n_at_least": found})
+
+    def fuse(left, right):
+        """Sums of scores over each left label: with ``fused`` their means' best right row per right label."""
+        import numpy as np
+        import pyarrow as pa
+
+        order, starts, groups = runs_of(left.column("label"))
+        a, b = matrix(left, "vec")[order], matrix(right, "vec")
+        ends = np.append(starts[1:], len(a))
+        if output == "fused":
+            by_label, firsts, identities = runs_of(right.column("label"))
+            b = b[by_label]
+        parts, low, most_rows = [], 0, max(1, 1_048_576 // len(b))
+        while low < len(starts):  # whole groups at a time
+            high = max(low + 1, int(np.searchsorted(ends, starts[low] + most_rows, "right")))
+            sums = np.zeros((high - low, len(b)))
+            for i in range(starts[low], ends[high - 1], most_rows):  # a longer group in steps
+                j = min(i + most_rows, ends[high - 1])
+                own = np.maximum(starts[low:high], i)
+                inside = (own < j) & (ends[low:high] > i)
+                sums[inside] += np.add.reduceat(tile_scores(a[i:j], b), own[inside] - i, axis=0)
+            rows = (ends - starts)[low:high]
+            if output == "fused":
+                sums = np.maximum.reduceat(sums / rows[:, None], firsts, axis=1)
+            p, q = (x.ravel() for x in np.indices(sums.shape))
+            columns = {"group": groups.take(pa.array(p + low))}
+            if output == "fused":
+                columns |= {"identity": identities.take(pa.array(q)), "score": sums.ravel()}
+            else:
+                columns |= {
+                    "identity": right.column("label").combine_chunks().take(pa.array(q)),
+                    "template": right.column("id").combine_chunks().take(pa.array(q)),
+                    "total": sums.ravel(),
+                    "n": rows[p].astype(np.int64),
+                }
+            parts.append(pa.table(columns))
+            low = high
+        return pa.concat_tables(parts)
 
     def matrix(table, name):
         column = table.column(name).combine_chunks()
@@ -109,7 +199,7 @@ def _cell_function(
                 out += gap * gap
             else:
                 out += np.abs(x - y)
-        if not np.isfinite(out).all():
+        if output != "problems" and not np.isfinite(out).all():
             raise ValueError("scores must be finite; a constant vector has no correlation, a zero one no cosine")
         if kind == "l2":
             return -np.sqrt(out)
@@ -149,6 +239,10 @@ def _cell_function(
 
         if left.num_rows == 0 or right.num_rows == 0:
             return pa.table({f.name: pa.array([], f.type) for f in empty_schema(left, right, pa)})
+        if output in ("fused", "partial"):
+            return fuse(left, right)
+        if output == "count" and whole:
+            return count_identities(left, right)
         a, b = matrix(left, "vec"), matrix(right, "vec")
         left_ids = left.column("id").to_numpy()
         right_ids = right.column("id").to_numpy()
@@ -164,9 +258,14 @@ def _cell_function(
             b = b[order]
         pieces = []
         if output == "bins":
-            size = edges[2] if isinstance(edges, tuple) else 2
+            refs = bin_starts()
+            size = len(refs)
             tally = np.zeros((6, size))
-            lowest = np.full(size, np.inf)
+            lowest, highest = np.full(size, np.inf), np.full(size, -np.inf)
+        if output in ("range", "problems"):
+            least, greatest, counts = np.inf, -np.inf, np.zeros(3, np.int64)
+        if output == "exact":
+            lows, highs = (np.array(x) for x in zip(*wanted))
         for i in range(0, len(a), 256):
             for j in range(0, len(b), 1024):
                 rows, cols = slice(i, i + 256), slice(j, j + 1024)
@@ -188,17 +287,30 @@ def _cell_function(
                 else:
                     p, q = (x.ravel() for x in np.indices(scores.shape))
                 values = scores[p, q]
-                if output in ("histogram", "bins", "exact"):
+                if output == "range":
+                    if len(values):
+                        least, greatest = min(least, values.min()), max(greatest, values.max())
+                    continue
+                if output in ("histogram", "bins", "exact", "problems"):
                     genuine = left_codes[p + i] == right_codes[q + j]
+                    if output == "problems":
+                        counts += ((~np.isfinite(values)).sum(), genuine.sum(), (~genuine).sum())
+                        continue
                     if output == "histogram":
                         pieces.append((values, genuine))
                         continue
-                    place = bin_of(values)
                     if output == "exact":
-                        kept = np.isin(place, wanted)
-                        pieces.append((values[kept], genuine[kept]))
+                        place = interval_of(values, lows, highs)
+                        kept = place >= 0
+                        pieces.append((place[kept], values[kept], genuine[kept]))
                         continue
+                    place = bin_of(values)
+                    if (place < 0).any():
+                        kept = place >= 0
+                        place, values, genuine = place[kept], values[kept], genuine[kept]
                     np.minimum.at(lowest, place, values)
+                    np.maximum.at(highest, place, values)
+                    values = values - refs[place]
                     for row, side in enumerate((genuine, ~genuine)):
                         spots, own = place[side], values[side]
                         tally[row] += np.bincount(spots, minlength=size)
@@ -218,8 +330,16 @@ def _cell_function(
                     "sq_genuine": tally[4, used],
                     "sq_impostor": tally[5, used],
                     "lowest": lowest[used],
+                    "highest": highest[used],
+                    "ref": refs[used],
                 }
             )
+        if output == "range":
+            return pa.table({"low": [least], "high": [greatest]}) if least <= greatest else pa.table(
+                {f.name: pa.array([], f.type) for f in empty_schema(left, right, pa)}
+            )
+        if output == "problems":
+            return pa.table({name: [int(c)] for name, c in zip(("n_not_finite", "n_genuine", "n_impostor"), counts)})
         joined = [np.concatenate(part) for part in zip(*pieces)]
         if output == "count":
             ids, inverse = np.unique(joined[0], return_inverse=True)
@@ -236,7 +356,13 @@ def _cell_function(
                 }
             )
             return hit.group_by(["id", "label"]).aggregate([])
-        if output in ("histogram", "exact"):
+        if output == "exact":
+            values, genuine = joined[1], joined[2]
+            scores, first, inverse = np.unique(values, return_index=True, return_inverse=True)
+            own = np.bincount(inverse, weights=genuine, minlength=len(scores)).astype(np.int64)
+            total = np.bincount(inverse, minlength=len(scores)).astype(np.int64)
+            return pa.table({"bin": joined[0][first], "score": scores, "n_genuine": own, "n_impostor": total - own})
+        if output == "histogram":
             scores, inverse = np.unique(joined[0], return_inverse=True)
             genuine = np.bincount(inverse, weights=joined[1], minlength=len(scores)).astype(np.int64)
             total = np.bincount(inverse, minlength=len(scores)).astype(np.int64)
@@ -256,21 +382,23 @@ def _cell_function(
 
     def empty_schema(left, right, pa):
         ids, labels = left.schema.field("id").type, right.schema.field("label").type
+        groups = left.schema.field("label").type
+        longs = lambda *names: [(n, pa.int64()) for n in names]
+        doubles = lambda *names: [(n, pa.float64()) for n in names]
         shapes = {
-            "count": [("id", ids), ("n_at_least", pa.int64())],
+            "count": [("id", ids), *longs("n_at_least")],
             "hits": [("id", ids), ("label", labels)],
-            "best": [("id", ids), ("score", pa.float64()), ("label", labels)],
-            "histogram": [("score", pa.float64()), ("n_genuine", pa.int64()), ("n_impostor", pa.int64())],
-            "exact": [("score", pa.float64()), ("n_genuine", pa.int64()), ("n_impostor", pa.int64())],
-            "bins": [("bin", pa.int64()), ("n_genuine", pa.int64()), ("n_impostor", pa.int64())]
-            + [(n, pa.float64()) for n in ("sum_genuine", "sum_impostor", "sq_genuine", "sq_impostor", "lowest")],
-            "pairs": [
-                ("a_id", ids),
-                ("b_id", right.schema.field("id").type),
-                ("a_label", labels),
-                ("b_label", labels),
-                ("score", pa.float64()),
-            ],
+            "best": [("id", ids), *doubles("score"), ("label", labels)],
+            "histogram": [*doubles("score"), *longs("n_genuine", "n_impostor")],
+            "exact": [*longs("bin"), *doubles("score"), *longs("n_genuine", "n_impostor")],
+            "range": doubles("low", "high"),
+            "problems": longs("n_not_finite", "n_genuine", "n_impostor"),
+            "bins": longs("bin", "n_genuine", "n_impostor") + doubles(*_BIN_VALUES),
+            "fused": [("group", groups), ("identity", labels), *doubles("score")],
+            "partial": [("group", groups), ("identity", labels), ("template", right.schema.field("id").type)]
+            + [*doubles("total"), *longs("n")],
+            "pairs": [("a_id", ids), ("b_id", right.schema.field("id").type), ("a_label", labels), ("b_label", labels)]
+            + doubles("score"),
         }
         return pa.schema(shapes[output])
 
@@ -287,17 +415,23 @@ def grid_scores(
     output: str = "pairs",
     is_prepared: bool = False,
     by: Sequence[str] = (),
-    edges: tuple[float, float, int] | float | None = None,
-    wanted: Sequence[int] = (),
+    edges: Edges = None,
+    wanted: Sequence[tuple[float, float]] = (),
+    whole: bool = False,
 ) -> DataFrame:
     """Score every pair of ``left`` and ``right`` (columns ``id, label, vec``).
 
     ``right=None`` scores each unordered pair of ``left`` once, smaller id first. ``output``:
     ``pairs`` one row per pair; ``histogram`` distinct scores with genuine and impostor counts per cell
     (sum them per score); ``count`` per left id the right rows scoring at least ``left.bar``; ``hits``
-    the right labels doing so; ``best`` the best right rows per piece of the right side; ``bins`` counts, sums
-    and lowest score per bin of ``edges``; ``exact`` the histogram inside the ``wanted`` bins. Only rows that
-    agree on ``by`` (a run or seed) are compared.
+    the right labels doing so; ``best`` the best right rows per piece of the right side; ``bins`` counts, sums from the bin's
+    start, lowest and highest score per bin of ``edges``; ``exact`` the histogram inside the ``wanted`` closed intervals;
+    ``range`` the lowest and highest score; ``problems`` counts of scores that are not finite and of both classes. Only
+    rows that agree on ``by`` (a run or seed) are compared.
+
+    ``whole`` keeps the right rows of one label in one cell, so that ``count`` counts labels; with ``fused`` the left ones
+    too, and cells give the mean over the rows of a left label (``group``) of the best right row per right label
+    (``identity``); no label may have more rows than fit a cell. ``partial`` gives sums per left label and right row.
     """
     by = list(by)
     if not is_prepared:
@@ -306,21 +440,29 @@ def grid_scores(
     unordered = right is None
     ids, labels = left.schema["id"].dataType, left.schema["label"].dataType
     other_ids = ids if unordered else right.schema["id"].dataType
+    other_labels = labels if unordered else right.schema["label"].dataType
+    longs = lambda *names: [(n, T.LongType()) for n in names]
+    doubles = lambda *names: [(n, T.DoubleType()) for n in names]
     shapes = {
-        "pairs": [("a_id", ids), ("b_id", other_ids), ("a_label", labels), ("b_label", labels), ("score", T.DoubleType())],
-        "histogram": [("score", T.DoubleType()), ("n_genuine", T.LongType()), ("n_impostor", T.LongType())],
-        "exact": [("score", T.DoubleType()), ("n_genuine", T.LongType()), ("n_impostor", T.LongType())],
-        "bins": [("bin", T.LongType()), ("n_genuine", T.LongType()), ("n_impostor", T.LongType())]
-        + [(n, T.DoubleType()) for n in ("sum_genuine", "sum_impostor", "sq_genuine", "sq_impostor", "lowest")],
-        "count": [("id", ids), ("n_at_least", T.LongType())],
-        "hits": [("id", ids), ("label", labels)],
-        "best": [("id", ids), ("score", T.DoubleType()), ("label", labels)],
+        "pairs": [("a_id", ids), ("b_id", other_ids), ("a_label", labels), ("b_label", labels), *doubles("score")],
+        "histogram": [*doubles("score"), *longs("n_genuine", "n_impostor")],
+        "exact": [*longs("bin"), *doubles("score"), *longs("n_genuine", "n_impostor")],
+        "range": doubles("low", "high"),
+        "problems": longs("n_not_finite", "n_genuine", "n_impostor"),
+        "bins": longs("bin", "n_genuine", "n_impostor") + doubles(*_BIN_VALUES),
+        "count": [("id", ids), *longs("n_at_least")],
+        "hits": [("id", ids), ("label", other_labels)],
+        "best": [("id", ids), *doubles("score"), ("label", other_labels)],
+        "fused": [("group", labels), ("identity", other_labels), *doubles("score")],
+        "partial": [("group", labels), ("identity", other_labels), ("template", other_ids), *doubles("total"), *longs("n")],
     }
     keyed = [T.StructField(c, left.schema[c].dataType) for c in by]
     schema = T.StructType([*keyed, *[T.StructField(n, t) for n, t in shapes[output]]])
-    cell = lambda sent=None: _cell_function(_KINDS[method], output, unordered, by, edges, list(wanted), sent)
+    cell = lambda sent=None: _cell_function(
+        _KINDS[method], output, unordered, by, list(edges) if isinstance(edges, Sequence) else edges, list(wanted), sent, whole
+    )
     extra = ["bar"] if output in ("count", "hits") else []
-    if not unordered:
+    if not unordered and output != "fused":
         size = right.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("vec")).alias("d")).first()
         if size["n"] <= SENT_ROWS and size["n"] * (size["d"] or 0) <= SENT_VALUES:
             sent = _packed(right.select(*by, "id", "label", "vec"))
@@ -343,10 +485,11 @@ def grid_scores(
     else:
         left_blocks, right_blocks = _block_counts(left_rows, _largest(right, by), slots, _block_rows(output))
         cell_count = left_blocks * right_blocks
-        lefts = left.withColumn("__l", _block(F.col("id"), left_blocks)).withColumn(
+        left_key, right_key = "label" if output == "fused" else "id", "label" if whole else "id"
+        lefts = left.withColumn("__l", _block(F.col(left_key), left_blocks)).withColumn(
             "__r", F.explode(F.sequence(F.lit(0), F.lit(right_blocks - 1)))
         )
-        rights = right.withColumn("__r", _block(F.col("id"), right_blocks)).withColumn(
+        rights = right.withColumn("__r", _block(F.col(right_key), right_blocks)).withColumn(
             "__l", F.explode(F.sequence(F.lit(0), F.lit(left_blocks - 1)))
         )
     kept = ["__l", "__r", *by, "id", "label", "vec"]

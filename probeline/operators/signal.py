@@ -50,19 +50,35 @@ def with_start(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
     return samples.join(samples.groupBy(*keys).agg(F.min("idx").alias("__start")), keys)
 
 
+def _near(keys: Sequence[str], before: int, after: int):
+    """Samples whose index is at most so far away; an index that is missing has none."""
+    return _local(keys).rangeBetween(-before, after)
+
+
+def _without_gaps(n: Column) -> Column:
+    """``n``, or an error where a recording's indices ``__start`` to ``__end`` are not all there, once each."""
+    whole = F.col("__end") - F.col("__start") + 1 == n
+    return F.when(whole, n).otherwise(F.raise_error(F.lit("a recording has missing or repeated indices")).cast("bigint"))
+
+
 def moving_average(samples: DataFrame, keys: Sequence[str], width: int = 5) -> DataFrame:
     """Mean of ``width`` samples around each one; missing neighbours count as zero."""
     after = (width - 1) // 2
     before = width - 1 - after
-    frame = _local(keys).rowsBetween(-before, after)
+    frame = _near(keys, before, after)
     cut = _chunked(samples, before, after)
     return _owned(cut.withColumn("value", F.sum("value").over(frame) / width))
 
 
 def _neighbours(samples: DataFrame, keys: Sequence[str], half: int) -> DataFrame:
-    """Add ``__w``: the ``2 half + 1`` values around each sample, zeros beyond the recording."""
+    """Add ``__w``: the ``2 half + 1`` values around each sample, zeros beyond the recording. A recording with a gap raises."""
+    keys = list(keys)
     frame = _local(keys).rowsBetween(-half, half)
-    placed = with_start(samples, keys)
+    ends = samples.groupBy(*keys).agg(
+        F.min("idx").alias("__start"), F.max("idx").alias("__end"), F.count(F.lit(1)).alias("__n")
+    )
+    start = F.when(_without_gaps(F.col("__n")) > 0, F.col("__start"))
+    placed = samples.join(ends.select(*keys, start.alias("__start")), keys)
     cut = _chunked(placed, half, half).withColumn("__w", F.collect_list("value").over(frame))
     # int keeps array_repeat's count type; the recording's start is known, so the missing left part is too
     left = F.greatest(F.lit(half) - (F.col("idx") - F.col("__start")), F.lit(0)).cast("int")
@@ -85,7 +101,7 @@ def convolve(samples: DataFrame, keys: Sequence[str], taps: Sequence[float], int
         raise ValueError("the kernel needs an odd number of taps")
     half = len(taps) // 2
     if interior:
-        frame = _local(keys).rowsBetween(-half, half)
+        frame = _near(keys, half, half)
         wide = _chunked(samples, half, half).withColumn("__w", F.collect_list("value").over(frame))
         wide = wide.where(F.size("__w") == len(taps))
     else:
@@ -123,10 +139,14 @@ def remove_polynomial(samples: DataFrame, keys: Sequence[str], order: int = 3) -
     """Subtract each recording's global least-squares polynomial.
 
     On an even grid the fit decouples in discrete orthogonal polynomials, so the coefficients are plain
-    sums that combine map-side; nothing is solved and no recording is gathered.
+    sums that combine map-side; nothing is solved and no recording is gathered. A recording with a gap raises: its
+    parts are segments of their own.
     """
     keys = list(keys)
-    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).cast("double").alias("__n"), F.min("idx").alias("__start"))
+    sizes = samples.groupBy(*keys).agg(
+        F.count(F.lit(1)).alias("__n"), F.min("idx").alias("__start"), F.max("idx").alias("__end")
+    )
+    sizes = sizes.select(*keys, "__start", _without_gaps(F.col("__n")).cast("double").alias("__n"))
     n = F.col("__n")
     centred = samples.join(sizes, keys).withColumn("__u", F.col("idx") - F.col("__start") - (n - 1) / 2).drop("__start")
     u = F.col("__u")

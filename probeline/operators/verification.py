@@ -197,6 +197,14 @@ def decision_problems(decisions: DataFrame) -> DataFrame:
     )
 
 
+def comparison_problems(cells: DataFrame) -> DataFrame:
+    """The same from ``problems`` grid output; classes made from labels are always binary."""
+    total = lambda name: F.coalesce(F.sum(name), F.lit(0)).cast("bigint").alias(name)
+    return cells.agg(
+        total("n_not_finite"), F.lit(0).cast("bigint").alias("n_not_binary"), total("n_genuine"), total("n_impostor")
+    )
+
+
 def predicted_identity(scores: DataFrame) -> DataFrame:
     """Best-scoring identity per probe; ties go to the smallest identity."""
     best = F.min(F.struct((-F.col("score")).alias("s"), F.col("identity").alias("identity")))

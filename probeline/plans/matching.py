@@ -291,11 +291,9 @@ def multi_templates(spark, sf_dir):
 def template_reduction(spark, sf_dir):
     """Every enrolled vector is a template; an identity scores its best one."""
     enrolled, probes = enroll_and_probe(spark, sf_dir)
-    scored = grid_scores(probes, enrolled).select(
-        F.col("a_id").alias("probe_id"), F.col("b_label").alias("identity"), "score"
-    )
-    best = fusion.reduce_templates(scored, ["probe_id"])
-    return best.withColumn("score", rounded("score"))
+    single = probes.select("id", F.col("id").alias("group"), "vec")
+    best = fusion.fused_scores(single, enrolled.select("id", F.col("label").alias("identity"), "vec"))
+    return best.select(F.col("group").alias("probe_id"), "identity", rounded("score").alias("score"))
 
 
 cte(
@@ -344,11 +342,12 @@ def group_diagnostics(spark, sf_dir):
     ),
 )
 def score_fusion(spark, sf_dir):
-    groups = grouped_probes(spark, sf_dir).withColumnRenamed("id", "probe_id")
-    fused = fusion.fuse_scores(
-        score_table(spark, sf_dir), groups, "probe_id", ["label", "session", "group_no"]
-    )
-    return fused.withColumn("score", rounded("score"))
+    group = F.struct("label", "session", "group_no")
+    members = grouped_probes(spark, sf_dir).join(vectors(spark, sf_dir).select("id", "vec"), "id")
+    one = gallery(spark, sf_dir).select("id", F.col("label").alias("identity"), "vec")
+    fused = fusion.fused_scores(members.select("id", F.to_json(group).alias("group"), "vec"), one)
+    named = fused.withColumn("g", F.from_json("group", members.select(group.alias("g")).schema["g"].dataType))
+    return named.select("g.*", "identity", rounded("score").alias("score"))
 
 
 def ranks(spark: SparkSession, sf_dir: str) -> DataFrame:

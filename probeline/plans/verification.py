@@ -256,6 +256,20 @@ def _group_decisions(spark, sf_dir, templates, mode, budget):
     )
 
 
+def _all_decisions(members, templates):
+    fused = fusion.fused_scores(
+        members.select("id", F.struct("group_id", "label").alias("g"), "vec").select("id", F.to_json("g").alias("group"), "vec"),
+        templates.select(F.col("template_no").alias("id"), "identity", "vec"),
+    )
+    own = F.from_json("group", "group_id string, label int")
+    return fused.select(
+        own["group_id"].alias("group_id"),
+        "identity",
+        (own["label"] == F.col("identity")).cast("int").alias("is_genuine"),
+        rounded("score").alias("score"),
+    )
+
+
 def _sampled_groups(source: str, sample: str) -> str:
     return (
         f"SELECT x.a_id AS group_id, x.b_id AS identity, x.is_genuine, {r('f.score')} AS score FROM ({sample}) x "
@@ -275,13 +289,7 @@ _ALL_GENUINE_GROUPS = (
     ),
 )
 def fused_all(spark, sf_dir):
-    groups = matching.grouped_probes(spark, sf_dir).select(
-        F.col("id").alias("probe_id"), "label", F.concat_ws("-", "label", "session", "group_no").alias("group_id")
-    )
-    fused = fusion.fuse_scores(matching.score_table(spark, sf_dir), groups, "probe_id", ["group_id", "label"])
-    return fused.select(
-        "group_id", "identity", (F.col("label") == F.col("identity")).cast("int").alias("is_genuine"), rounded("score").alias("score")
-    )
+    return _all_decisions(_members(spark, sf_dir), _one_template(spark, sf_dir))
 
 
 @query("e23_fused_all_genuine", with_ctes("gu fs", _sampled_groups("fs", _ALL_GENUINE_GROUPS)))
@@ -316,20 +324,7 @@ def fused_random(spark, sf_dir):
 )
 def multi_template_all(spark, sf_dir):
     """Three templates per identity: mean over the group per template, then the best template."""
-    templates = _several_templates(spark, sf_dir)
-    members = _members(spark, sf_dir)
-    cells = grid_scores(
-        members.select("id", F.col("group_id").alias("label"), "vec"),
-        templates.select(F.col("template_no").alias("id"), F.col("identity").cast("string").alias("label"), "vec"),
-    )
-    means = cells.groupBy(F.col("a_label").alias("group_id"), F.col("b_label").alias("identity"), "b_id").agg(
-        F.avg("score").alias("score")
-    )
-    best = fusion.reduce_templates(means, ["group_id"])
-    own = F.substring_index("group_id", "-", 1) == F.col("identity")
-    return best.select(
-        "group_id", F.col("identity").cast("int").alias("identity"), own.cast("int").alias("is_genuine"), rounded("score").alias("score")
-    )
+    return _all_decisions(_members(spark, sf_dir), _several_templates(spark, sf_dir))
 
 
 @query(
@@ -422,7 +417,7 @@ def equal_error_rate(spark, sf_dir):
 
 @query("m07_area_under_curve", with_ctes("cv", f"SELECT {r('auc')} AS auc FROM ({_EER})"))
 def area_under_curve(spark, sf_dir):
-    return verification.curve_summary(curve(spark, sf_dir)).select(rounded("auc").alias("auc"))
+    return _refined(spark, sf_dir).area().select(rounded("auc").alias("auc"))
 
 
 @query(
@@ -520,9 +515,7 @@ def frozen_threshold(spark, sf_dir):
     ),
 )
 def decision_problems(spark, sf_dir):
-    scored = grid_scores(matching.vectors(spark, sf_dir), None)
-    decisions = scored.select("score", (F.col("a_label") == F.col("b_label")).cast("int").alias("is_genuine"))
-    return verification.decision_problems(decisions)
+    return verification.comparison_problems(grid_scores(matching.vectors(spark, sf_dir), None, output="problems"))
 
 
 @query(

@@ -290,6 +290,99 @@ def test_split_keeps_every_label_on_both_sides(vectors):
     assert out.where("role = 'holdout'").count() == 27
 
 
+def readings(curve, targets):
+    points = sorted(map(tuple, verification.operating_points(curve, targets).collect()))
+    return verification.curve_summary(curve).first()["eer"], points, verification.calibration_threshold(curve).first()["threshold"]
+
+
+@pytest.mark.parametrize("method", ["euclidean", "cosine"])
+def test_large_bins_are_binned_again(spark, monkeypatch, method):
+    """Unbounded scores are measured; a far outlier leaves nearly all scores in one bin, many of them equal."""
+    rng = random.Random(3)
+    rows = [(k, "ab"[k % 2], [1.0 + k % 2 + rng.choice([0.0, 0.01 * rng.random()]), 1.0, 0.5]) for k in range(40)]
+    rows += [(40, "a", [4000.0, -3.0, 1.0]), (41, "b", [-1.0, -900.0, 2.0])]
+    df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    passes = []
+    original = scoring.grid_scores
+
+    def watched(left, right, name, output, **options):
+        passes.append(output)
+        if output == "exact":
+            passes.append(len(options["wanted"]))
+        return original(left, right, name, output, **options)
+
+    monkeypatch.setattr("probeline.operators.refined.grid_scores", watched)
+    targets = [0.3, 0.05, 0.02]
+    full = verification.error_curve(scoring.score_histogram(df, None, method))
+    fast = RefinedComparison(df, method=method, bins=8, limit=12)
+    assert readings(fast.curve(targets), targets) == readings(full, targets)
+    assert passes.count("bins") > 2 and ("range" in passes) == (method == "euclidean")
+    assert fast.area().first()["auc"] == pytest.approx(verification.curve_summary(full).first()["auc"], abs=1e-12)
+
+
+def test_area_of_one_class_and_of_none(spark):
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [0.5, 1.0])]
+    df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    assert RefinedComparison(df).area().first()["auc"] is None
+    assert RefinedComparison(df.limit(0), method="euclidean").area().first()["auc"] is None
+
+
+def test_separation_of_close_scores(spark):
+    """Spread far below the size of the scores: sums of squares would lose it."""
+    rows = [(k, "ab"[k % 2], [1e6 * (k % 2) + 1e-3 * k]) for k in range(20)]
+    df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    full = verification.d_prime(scoring.score_histogram(df, None, "manhattan")).first()
+    fast = RefinedComparison(df, method="manhattan").d_prime().first()
+    assert tuple(fast) == pytest.approx(tuple(full), rel=1e-6)
+
+
+@pytest.mark.parametrize("whole", [1024, 6, 2])
+def test_fused_scores(spark, vectors, monkeypatch, whole):
+    """Means over groups and best templates, also where groups and identities are larger than a cell may hold."""
+    monkeypatch.setattr(scoring, "WHOLE_ROWS", whole)
+    monkeypatch.setattr(scoring, "BLOCK_ROWS", 20)
+    members = vectors.where("id < 60").select("id", F.concat(F.lit("g"), F.col("id") % 7).alias("group"), "vec")
+    templates_ = vectors.where("id >= 60").select("id", F.col("label").alias("identity"), "vec")
+    known = brute(vectors)
+    unit = {k: [x / sum(y * y for y in v) ** 0.5 for x in v] for k, (_, v) in known.items()}
+    dot = lambda a, b: sum(x * y for x, y in zip(unit[a], unit[b]))
+    wanted = {}
+    for group in range(7):
+        own = [k for k in range(60) if k % 7 == group]
+        for t in range(60, 90):
+            mean = sum(dot(k, t) for k in own) / len(own)
+            key = (f"g{group}", known[t][0])
+            wanted[key] = max(mean, wanted.get(key, -9))
+    got = {(r["group"], r["identity"]): r["score"] for r in fusion.fused_scores(members, templates_).collect()}
+    assert got.keys() == wanted.keys()
+    assert all(got[k] == pytest.approx(wanted[k]) for k in wanted)
+
+
+@pytest.mark.parametrize("whole", [1024, 5])
+def test_ranks_with_several_templates(vectors, monkeypatch, whole):
+    monkeypatch.setattr(scoring, "WHOLE_ROWS", whole)
+    monkeypatch.setattr(scoring, "BLOCK_ROWS", 20)
+    probes, gallery = vectors.where("id % 3 = 0"), vectors.where("id % 3 <> 0")
+    known = brute(vectors)
+    unit = {k: [x / sum(y * y for y in v) ** 0.5 for x in v] for k, (_, v) in known.items()}
+    enrolled = {known[k][0] for k in known if k % 3}
+    found = identification.identification_ranks(probes.where(F.col("label").isin(*enrolled)), gallery, one_template=False)
+    for r in found.collect():
+        best = {}
+        for k in known:
+            if k % 3:
+                score = sum(x * y for x, y in zip(unit[r["id"]], unit[k]))
+                best[known[k][0]] = max(score, best.get(known[k][0], -9))
+        assert r["rank"] == sum(s >= best[r["label"]] - 1e-12 for s in best.values())
+
+
+def test_problems_are_counted_in_cells(spark):
+    rows = [(1, "a", [1.0, 0.0]), (2, "a", [5.0, 5.0]), (3, "b", [1.0, 3.0])]  # a constant has no correlation
+    df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    cells = scoring.grid_scores(df, None, "pearson", "problems")
+    assert tuple(verification.comparison_problems(cells).first()) == (2, 0, 1, 2)
+
+
 @pytest.mark.parametrize("bins", [1, 7, 4096])
 def test_refined_readings_equal_the_full_curve(vectors, bins, monkeypatch):
     monkeypatch.setattr(scoring, "BLOCK_ROWS", 20)

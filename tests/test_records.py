@@ -364,3 +364,35 @@ def test_small_p_values_keep_their_digits(spark):
     wanted = [(9.9942678613e-37, math.erfc(9 / math.sqrt(2))), (0.5, math.erfc(30 / math.sqrt(2))), (0.0733880348, math.erfc(0.5 / math.sqrt(2)))]
     for row, (t, z) in zip(rows, wanted):
         assert math.isclose(row[0], t, rel_tol=1e-8) and math.isclose(row[1], z, rel_tol=1e-8)
+
+
+def test_equal_order_values_enroll_one_record(spark):
+    rows = "('s', 'a', DATE '2020-01-01', 1L), ('s', 'b', DATE '2020-01-01', 1L), ('s', 'c', DATE '2020-01-01', 2L), ('s', 'd', DATE '2020-01-01', 2L)"
+    records = spark.sql(f"SELECT * FROM VALUES {rows} t(subject, record, date, turn)")
+    roles_of = lambda regime: {r["record"]: r["role"] for r in regime(records, "subject", "date", ["turn", "record"]).collect()}
+    assert roles_of(roles.single_shot_short_term) == {"a": "enroll", "b": "probe", "c": "probe", "d": "probe"}
+    assert roles_of(roles.leave_last_out_short_term) == {"a": "enroll", "b": "enroll", "c": "enroll", "d": "probe"}
+
+
+def line_with_gap(spark):
+    indices = [*range(10), *range(20, 30)]
+    return spark.createDataFrame([("r", k, 2.0 * k + 1) for k in indices], "record string, idx long, value double")
+
+
+def test_gap_stops_the_polynomial(spark):
+    df = line_with_gap(spark)
+    with pytest.raises(Exception, match="missing or repeated indices"):
+        signal.remove_polynomial(df, ["record"], 1).collect()
+    with pytest.raises(Exception, match="missing or repeated indices"):
+        signal.median_filter(df, ["record"], 5).collect()
+    parts = df.withColumn("record", F.concat("record", (F.col("idx") >= 20).cast("string")))  # its parts are segments
+    assert all(abs(r["value"]) < 1e-9 for r in signal.remove_polynomial(parts, ["record"], 1).collect())
+
+
+def test_average_counts_indices_not_rows(spark):
+    df = line_with_gap(spark)
+    got = {r["idx"]: r["value"] for r in signal.moving_average(df, ["record"], 5).collect()}
+    value = {r["idx"]: r["value"] for r in df.collect()}
+    assert got == pytest.approx({k: sum(value.get(j, 0.0) for j in range(k - 2, k + 3)) / 5 for k in value})
+    inner = {r["idx"] for r in signal.convolve(df, ["record"], [0.2] * 5, interior=True).collect()}
+    assert inner == {*range(2, 8), *range(22, 28)}
