@@ -3,58 +3,72 @@
 from __future__ import annotations
 
 import math
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from probeline.functions.columns import array_sum, let
-from probeline.operators.signal import with_start
+from probeline.operators.signal import row_lists
 
 
-def _frames(samples: DataFrame, keys: Sequence[str], width: int, hop: int, closing: bool) -> DataFrame:
-    """Overlapping frames centred on multiples of ``hop``, zeros beyond the recording.
+#: Samples of one recording that a task transforms at once, besides neighbours.
+CHUNK_SAMPLES = 65536
 
-    ``closing`` adds the frame that completes a last partial hop.
+
+def _spectra(samples: DataFrame, keys: Sequence[str], width: int, hop: int, closing: bool, scale: float) -> DataFrame:
+    """Power per frequency of Hann-windowed frames centred on multiples of ``hop``, zeros beyond the recording.
+
+    ``closing`` adds the frame that completes a last partial hop. Tasks get runs of frames as one array of samples, so only
+    the samples at a run's ends are copied, and transform all frames of a run at once. Frames without a sample are left out.
     """
     keys = list(keys)
-    sizes = samples.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    run = max(1, CHUNK_SAMPLES // hop)
+    facts = samples.groupBy(*keys).agg(F.min("idx").alias("__start"), F.count(F.lit(1)).alias("__n"))
     place = F.col("idx") - F.col("__start") + width // 2
     first = F.greatest(F.ceil((place - width + 1) / hop), F.lit(0))
     last = F.floor(place / hop)
-    inside = with_start(samples, keys).where(first <= last)  # with a wide hop some samples are in no frame
-    tagged = inside.withColumn("frame", F.explode(F.sequence(first, last))).withColumn(
-        "__at", (place - F.col("frame") * hop).cast("int")
+    inside = samples.join(facts, keys).where(first <= last)  # with a wide hop some samples are in no frame
+    tagged = inside.withColumn("__run", F.explode(F.sequence(F.floor(first / run), F.floor(last / run))))
+    at = (place - F.col("__run") * run * hop).cast("bigint")
+    rows = tagged.groupBy(*keys, "__run").agg(
+        F.first("__n").alias("__n"), F.collect_list(F.struct(at.alias("at"), F.col("value").cast("double").alias("value"))).alias("__rows")
     )
-    rows = tagged.groupBy(*keys, "frame").agg(
-        F.map_from_entries(F.collect_list(F.struct("__at", "value"))).alias("__v")
+    out = T.StructType(
+        [samples.schema[c] for c in keys] + [T.StructField("frame", T.LongType()), T.StructField("power", T.ArrayType(T.DoubleType()))]
     )
-    last = F.ceil(F.col("__n") / hop) if closing else F.floor(F.col("__n") / hop)
-    kept = rows.join(sizes, keys).where(F.col("frame") <= last)
-    filled = F.transform(F.sequence(F.lit(0), F.lit(width - 1)), lambda i: F.coalesce(F.col("__v")[i], F.lit(0.0)))
-    return kept.select(*keys, "frame", filled.alias("__x"))
-
-
-def _power(frame: Column, width: int, scale: float) -> Column:
-    """Power per frequency bin of a Hann-windowed frame."""
-    windowed = F.transform(frame, lambda v, i: v * (0.5 - 0.5 * F.cos(2 * math.pi * i / width)))
-
-    def at(k):
-        turn = lambda i: 2 * math.pi * ((k * i) % width) / width
-        return let(
-            F.struct(
-                array_sum(F.transform(F.col("__win"), lambda v, i: v * F.cos(turn(i)))).alias("re"),
-                array_sum(F.transform(F.col("__win"), lambda v, i: v * F.sin(turn(i)))).alias("im"),
-            ),
-            lambda z: (z["re"] * z["re"] + z["im"] * z["im"]) * scale,
-        )
-
-    return windowed, F.transform(F.sequence(F.lit(0), F.lit(width // 2)), at)
-
-
-def _spectra(samples, keys, width, hop, closing, scale):
-    frames = _frames(samples, keys, width, hop, closing)
-    windowed, power = _power(F.col("__x"), width, scale)
-    return frames.withColumn("__win", windowed).withColumn("power", power).drop("__x", "__win")
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(width) / width)
+
+    def transform(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, flat = row_lists(batch.column(len(keys) + 2))
+            place, value = (flat.field(k).to_numpy(zero_copy_only=False) for k in range(2))
+            for k, (number, n) in enumerate(zip(batch.column(len(keys)).to_pylist(), batch.column(len(keys) + 1).to_pylist())):
+                final = -(-n // hop) if closing else n // hop
+                count = min(run, final - number * run + 1)
+                if count <= 0:
+                    continue
+                size = (count - 1) * hop + width
+                at, own = place[bounds[k] : bounds[k + 1]], value[bounds[k] : bounds[k + 1]]
+                inside = (at >= 0) & (at < size)
+                dense, held = np.zeros(size), np.zeros(size + 1, np.int64)
+                dense[at[inside]] = own[inside]
+                held[1:][at[inside]] = 1
+                held = np.cumsum(held)
+                starts = np.arange(count) * hop
+                starts = starts[held[starts + width] > held[starts]]
+                frames = np.lib.stride_tricks.sliding_window_view(dense, width)[starts] * window
+                spectrum = np.fft.rfft(frames, axis=1)
+                power = (spectrum.real**2 + spectrum.imag**2) * scale
+                lists = pa.ListArray.from_arrays(
+                    pa.array(np.arange(len(starts) + 1, dtype=np.int32) * power.shape[1]), pa.array(power.ravel())
+                )
+                rows = pa.array(np.full(len(starts), k))
+                columns = [batch.column(c).take(rows) for c in range(len(keys))]
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(starts // hop + number * run), lists], names=out.names)
+
+    return rows.mapInArrow(transform, out)
 
 
 def stft(samples: DataFrame, keys: Sequence[str], width: int, hop: int, log_power: bool = True) -> DataFrame:
@@ -135,16 +149,61 @@ def angular_field(segments: DataFrame, keys: Sequence[str], size: int, method: s
 
 
 def recurrence_plot(
-    segments: DataFrame, keys: Sequence[str], dimension: int = 1, delay: int = 1, threshold: float | None = None
+    segments: DataFrame,
+    keys: Sequence[str],
+    dimension: int = 1,
+    delay: int = 1,
+    threshold: float | str | None = None,
+    percentage: float = 10.0,
 ) -> DataFrame:
-    """Distances between delay vectors of each segment, or 1 where they are within the threshold."""
-    n = F.size("beat")
-    points = F.sequence(F.lit(0), n - 1 - (dimension - 1) * delay)
-    rows = segments.withColumn("i", F.explode(points)).withColumn("j", F.explode(points))
-    squares = F.lit(0.0)
-    for d in range(dimension):
-        gap = F.get("beat", F.col("i") + d * delay) - F.get("beat", F.col("j") + d * delay)
-        squares = squares + gap * gap
-    distance = F.sqrt(squares)
-    value = distance if threshold is None else F.when(distance <= threshold, 1.0).otherwise(0.0)
-    return rows.select(*keys, "i", "j", value.alias("value"))
+    """Distances between delay vectors of each segment, or 1 where they are within the threshold.
+
+    ``threshold`` may be a distance, or ``point`` or ``distance``: then a pair counts where it is closer than the ``percentage``
+    percentile of the segment's distances, or than that share of its largest one. The percentile is picked by selection
+    inside the segment's matrix. Segments shorter than one delay vector give no rows.
+    """
+    if not (threshold is None or threshold in ("point", "distance") or isinstance(threshold, int | float)):
+        raise ValueError(f"unknown threshold {threshold!r}")
+    if not 0 <= percentage <= 100:
+        raise ValueError("the percentage must lie between 0 and 100")
+    keys = list(keys)
+    out = T.StructType(
+        [segments.schema[c] for c in keys]
+        + [T.StructField("i", T.IntegerType()), T.StructField("j", T.IntegerType()), T.StructField("value", T.DoubleType())]
+    )
+
+    def percentile(distances: np.ndarray) -> float:
+        rank = percentage / 100 * (distances.size - 1)
+        low = int(rank)
+        picked = np.partition(distances.ravel(), [low, min(low + 1, distances.size - 1)])
+        near, far = picked[low], picked[min(low + 1, distances.size - 1)]
+        return near + (far - near) * (rank - low)
+
+    def plot(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, flat = row_lists(batch.column(len(keys)))
+            values = flat.to_numpy(zero_copy_only=False).astype(np.float64)
+            for k in range(len(batch)):
+                beat = values[bounds[k] : bounds[k + 1]]
+                n = len(beat) - (dimension - 1) * delay
+                if n <= 0:
+                    continue
+                squares = np.zeros((n, n))
+                for d in range(dimension):
+                    part = beat[d * delay : d * delay + n]
+                    gap = part[:, None] - part[None, :]
+                    squares += gap * gap
+                found = np.sqrt(squares)
+                if threshold == "point":
+                    found = found < percentile(found)
+                elif threshold == "distance":
+                    found = found < percentage / 100 * found.max()
+                elif threshold is not None:
+                    found = found <= threshold
+                i, j = (x.ravel().astype(np.int32) for x in np.indices((n, n)))
+                rows = pa.array(np.full(n * n, k))
+                columns = [batch.column(c).take(rows) for c in range(len(keys))]
+                columns += [pa.array(i), pa.array(j), pa.array(found.ravel().astype(np.float64))]
+                yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    return segments.select(*keys, "beat").mapInArrow(plot, out)

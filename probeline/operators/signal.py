@@ -7,10 +7,12 @@ are short arrays and are transformed in place.
 
 from __future__ import annotations
 
-import math
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
-from pyspark.sql import Column, DataFrame, Window, functions as F
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute  # noqa: F401
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from probeline.functions.columns import array_sum, let
 from probeline.functions.ordering import exact_percentiles, numbered, prior_max, running_sum, with_value_bucket
@@ -94,27 +96,97 @@ def median_filter(samples: DataFrame, keys: Sequence[str], kernel: int = 5) -> D
     return _owned(wide.withColumn("value", F.sort_array("__w")[half]).drop("__w"))
 
 
+def _recordings(samples: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """First index and number of samples of each recording."""
+    return samples.groupBy(*keys).agg(
+        F.min("idx").alias("__start"), F.max("idx").alias("__end"), F.count(F.lit(1)).alias("__n")
+    )
+
+
+def row_lists(column: pa.Array) -> tuple[np.ndarray, pa.StructArray]:
+    """Bounds of each row's list in the flat array of all lists' elements."""
+    sizes = np.array([0 if size is None else size for size in column.value_lengths().to_pylist()], np.int64)
+    return np.concatenate(([0], np.cumsum(sizes))), column.flatten()
+
+
+def _on_chunks(
+    samples: DataFrame,
+    keys: Sequence[str],
+    before: int,
+    after: int,
+    work: Callable[[np.ndarray, np.ndarray], tuple[np.ndarray, np.ndarray]],
+    gaps: bool = False,
+) -> DataFrame:
+    """Replace ``value`` chunk by chunk. A task gets each chunk with its neighbours as one array; ``work`` maps ascending
+    indices and values to new values and to which of them to keep. Recordings with gaps raise unless ``gaps``."""
+    keys = list(keys)
+    others = [c for c in samples.columns if c not in keys and c != "value"]
+    rows = _chunked(samples, before, after).groupBy(*keys, "__chunk").agg(
+        F.collect_list(F.struct("value", "__own", *others)).alias("__rows")
+    )
+    if not gaps:
+        whole = _recordings(samples, keys)
+        rows = rows.join(whole.select(*keys, _without_gaps(F.col("__n")).alias("__n")), keys).where(F.col("__n") > 0)
+    out = T.StructType([samples.schema[c] for c in keys] + [T.StructField("value", T.DoubleType())] + [samples.schema[c] for c in others])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bounds, flat = row_lists(batch.column(len(keys)))
+            index = flat.field("idx").to_numpy(zero_copy_only=False)
+            value = flat.field("value").to_numpy(zero_copy_only=False).astype(np.float64)
+            own = flat.field("__own").to_numpy(zero_copy_only=False)
+            places, values, row = [], [], []
+            for k in range(len(batch)):
+                order = bounds[k] + np.argsort(index[bounds[k] : bounds[k + 1]], kind="stable")
+                new, kept = work(index[order], value[order])
+                kept &= own[order]
+                places.append(order[kept])
+                values.append(new[kept])
+                row.append(np.full(int(kept.sum()), k))
+            at, of = pa.array(np.concatenate(places)), pa.array(np.concatenate(row))
+            columns = [batch.column(k).take(of) for k in range(len(keys))] + [pa.array(np.concatenate(values))]
+            columns += [flat.field(c).take(at) for c in others]
+            yield pa.RecordBatch.from_arrays(columns, names=out.names)
+
+    return rows.select(*keys, "__rows").mapInArrow(run, out).select(*samples.columns)
+
+
+#: Kernels with more taps than this are applied in the frequency domain.
+DIRECT_TAPS = 32
+
+
 def convolve(samples: DataFrame, keys: Sequence[str], taps: Sequence[float], interior: bool = False) -> DataFrame:
     """Symmetric-length kernel, first tap on the earliest neighbour. ``interior`` keeps only samples
-    whose whole window lies inside the recording."""
+    whose whole window lies inside the recording; else what lies beyond counts as zero and a recording with a gap raises.
+
+    Long kernels go through the Fourier transform, chunk by chunk with neighbours (overlap-save).
+    """
     if len(taps) % 2 == 0:
         raise ValueError("the kernel needs an odd number of taps")
-    half = len(taps) // 2
-    if interior:
-        frame = _near(keys, half, half)
-        wide = _chunked(samples, half, half).withColumn("__w", F.collect_list("value").over(frame))
-        wide = wide.where(F.size("__w") == len(taps))
-    else:
-        wide = _neighbours(samples, keys, half)
-    kernel = F.array(*[F.lit(float(t)) for t in taps])
-    products = F.zip_with("__w", kernel, lambda x, t: x * t)
-    return _owned(wide.withColumn("value", array_sum(products)).drop("__w"))
+    half, kernel = len(taps) // 2, np.array(taps, np.float64)[::-1]
+
+    def work(index: np.ndarray, value: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        size = int(index[-1] - index[0]) + 1 + 2 * half
+        at = index - index[0] + half
+        dense, present = np.zeros(size), np.zeros(size + 1, np.int64)
+        dense[at] = value
+        if len(kernel) <= DIRECT_TAPS:
+            out = np.convolve(dense, kernel, "valid")
+        else:
+            length = 1 << int(size + len(kernel) - 2).bit_length()
+            product = np.fft.rfft(dense, length) * np.fft.rfft(kernel, length)
+            out = np.fft.irfft(product, length)[2 * half : size]
+        if not interior:
+            return out[at - half], np.ones(len(at), bool)
+        present[1:][at] = 1
+        present = np.cumsum(present)
+        return out[at - half], present[at + half + 1] - present[at - half] == len(kernel)
+
+    return _on_chunks(samples, keys, half, half, work, gaps=interior)
 
 
 def savgol_taps(width: int = 11, order: int = 2) -> list[float]:
     """Weights of the local least-squares polynomial at the window's centre."""
-    import numpy as np
-
     if width % 2 == 0 or order >= width:
         raise ValueError("the window must be odd and longer than the order")
     half = width // 2
@@ -125,8 +197,6 @@ def savgol_taps(width: int = 11, order: int = 2) -> list[float]:
 def bandpass_taps(rate: float, low: float, high: float, taps: int = 101) -> list[float]:
     """Zero-phase band-pass kernel: a Hamming-windowed sinc with unit gain in the middle of the band,
     convolved with its own mirror image (forward and backward filtering)."""
-    import numpy as np
-
     m = np.arange(taps) - (taps - 1) / 2
     a, b = 2 * low / rate, 2 * high / rate
     ideal = b * np.sinc(b * m) - a * np.sinc(a * m)
@@ -298,33 +368,29 @@ def resampled(beat: Column, length: int, method: str = "fourier") -> Column:
         return F.when(n == length, beat).otherwise(F.transform(steps, at))
     if method != "fourier":
         raise ValueError(f"unknown method {method!r}")
-    shared = F.least(n, F.lit(length))
-    # coefficients 0 .. shared/2; the middle one of an even count is shared by both halves
-    order = F.sequence(F.lit(0), F.floor(shared / 2).cast("int"))
-
-    def coefficient(k):
-        angle = lambda i: 2 * math.pi * k * i / n
-        middle = (k * 2 == shared)
-        weight = F.when(k == 0, 1.0).when(~middle, 2.0).when(n < length, 1.0).otherwise(2.0)
-        return F.struct(
-            k.alias("k"),
-            (weight * array_sum(F.transform(beat, lambda v, i: v * F.cos(angle(i)))) / n).alias("re"),
-            # a shared middle coefficient keeps its real part only when the segment gets shorter
-            F.when(middle & (n > length), 0.0)
-            .otherwise(-weight * array_sum(F.transform(beat, lambda v, i: v * F.sin(angle(i)))) / n)
-            .alias("im"),
-        )
-
-    def rebuilt(coefficients):
-        def at(j):
-            turn = lambda k: 2 * math.pi * k * j / length
-            return array_sum(
-                F.transform(coefficients, lambda c: c["re"] * F.cos(turn(c["k"])) - c["im"] * F.sin(turn(c["k"])))
-            )
-
-        return F.transform(steps, at)
 
-    return F.when(n == length, beat).otherwise(let(F.transform(order, coefficient), rebuilt))
+    def through_spectrum(beats: pa.Array) -> pa.Array:
+        bounds, flat = row_lists(beats)
+        values, sizes = flat.to_numpy(zero_copy_only=False).astype(np.float64), np.diff(bounds)
+        out = np.empty((len(beats), length))
+        for n in np.unique(sizes).tolist():  # segments of one size at once
+            rows = np.flatnonzero(sizes == n)
+            given = values[bounds[rows][:, None] + np.arange(n)]
+            if n == length or n == 0:
+                out[rows] = given if n else np.nan
+                continue
+            spectrum = np.zeros((len(rows), length // 2 + 1), np.complex128)
+            shared = min(n, length)
+            spectrum[:, : shared // 2 + 1] = np.fft.rfft(given, axis=1)[:, : shared // 2 + 1]
+            if shared % 2 == 0:  # the middle coefficient is shared by both halves
+                spectrum[:, shared // 2] *= 2.0 if n > length else 0.5
+            out[rows] = np.fft.irfft(spectrum, length, axis=1) * (length / n)
+        known = beats.is_valid().to_numpy(zero_copy_only=False) & (sizes > 0)
+        starts = pa.array(np.arange(len(beats) + 1, dtype=np.int32) * length)
+        lists = pa.ListArray.from_arrays(starts, pa.array(out.ravel()))
+        return lists if known.all() else pa.compute.if_else(pa.array(known), lists, pa.scalar(None, lists.type))
+
+    return F.arrow_udf(through_spectrum, T.ArrayType(T.DoubleType()))(beat)
 
 
 def merge_beats(beats: DataFrame, keys: Sequence[str], k: int, stride: int, how: str = "average") -> DataFrame:

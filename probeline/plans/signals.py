@@ -630,6 +630,26 @@ def _recurrence(name: str, threshold: float | None, formula: str):
 _recurrence("g25_recurrence_distance", None, _DISTANCE)
 _recurrence("g25_recurrence_threshold", 30.0, f"({_DISTANCE} <= 30)::INT")
 
+_SHARE = 25.0
+
+
+def _recurrence_share(name: str, mode: str, limit: str):
+    """Threshold from the segment's own distances."""
+    sql = with_ctes(
+        "dv",
+        f"SELECT record, window_no, i, j, (d < {limit} OVER (PARTITION BY record, window_no))::INT::DOUBLE AS value FROM "
+        f"(SELECT a.record, a.window_no, a.i, b.i AS j, {_DISTANCE} AS d FROM dv a JOIN dv b ON a.record = b.record AND "
+        "a.window_no = b.window_no)",
+    )
+
+    @query(name, sql)
+    def recurrence(spark, sf_dir):
+        return encodings.recurrence_plot(_windows(spark, sf_dir), ["record", "window_no"], 2, 1, mode, _SHARE)
+
+
+_recurrence_share("g25_recurrence_point", "point", f"quantile_cont(d, {_SHARE / 100})")
+_recurrence_share("g25_recurrence_distance_share", "distance", f"{_SHARE / 100} * max(d)")
+
 
 # --- augmentation ----------------------------------------------------------------------------------
 

@@ -3,11 +3,12 @@
 import datetime as dt
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from probeline.functions import stats
-from probeline.operators import covariates, filters, fusion, inference, intervals, roles, signal, splits, tables
+from probeline.operators import covariates, encodings, filters, fusion, inference, intervals, roles, signal, splits, tables
 from probeline.sources import readers, sinks
 from probeline.streaming import streams
 
@@ -396,3 +397,90 @@ def test_average_counts_indices_not_rows(spark):
     assert got == pytest.approx({k: sum(value.get(j, 0.0) for j in range(k - 2, k + 3)) / 5 for k in value})
     inner = {r["idx"] for r in signal.convolve(df, ["record"], [0.2] * 5, interior=True).collect()}
     assert inner == {*range(2, 8), *range(22, 28)}
+
+
+def waves(spark, n=500):
+    rows = [("a", k + 7, math.sin(k / 9) + (k % 13) / 10) for k in range(n)] + [("b", k, float(k * k % 11)) for k in range(37)]
+    return spark.createDataFrame(rows, "record string, idx long, value double").repartition(3), rows
+
+
+@pytest.mark.parametrize("width, hop, run", [(16, 4, 64), (15, 7, 21), (8, 20, 40), (30, 30, 65536)])
+def test_spectra_equal_a_direct_transform(spark, monkeypatch, width, hop, run):
+    monkeypatch.setattr(encodings, "CHUNK_SAMPLES", run)  # several runs of frames
+    df, rows = waves(spark)
+    got = {(r["record"], r["frame"], r["bin"]): r["power"] for r in encodings.stft(df, ["record"], width, hop, False).collect()}
+    window = 0.5 - 0.5 * np.cos(2 * np.pi * np.arange(width) / width)
+    wanted = {}
+    for record, start in (("a", 7), ("b", 0)):
+        value = {k - start: v for name, k, v in rows if name == record}
+        for frame in range(-(-len(value) // hop) + 1):
+            places = [frame * hop - width // 2 + i for i in range(width)]
+            if any(p in value for p in places):
+                x = np.array([value.get(p, 0.0) for p in places]) * window
+                power = np.abs(np.fft.fft(x)[: width // 2 + 1]) ** 2 / window.sum() ** 2
+                wanted |= {(record, frame, k): p for k, p in enumerate(power)}
+    assert got.keys() == wanted.keys()
+    assert all(got[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
+
+
+@pytest.mark.parametrize("n_taps", [5, 101])
+@pytest.mark.parametrize("interior", [False, True])
+def test_convolution_over_chunks(spark, monkeypatch, n_taps, interior):
+    monkeypatch.setattr(signal, "CHUNK", 128)
+    df, rows = waves(spark)
+    taps = [math.cos(k) / n_taps for k in range(n_taps)]
+    half = n_taps // 2
+    wanted = {}
+    for record in "ab":
+        value = {k: v for name, k, v in rows if name == record}
+        for k in value:
+            near = [value.get(k + d - half) for d in range(n_taps)]
+            if not interior or None not in near:
+                wanted[record, k] = sum(t * (v or 0.0) for t, v in zip(taps, near))
+    found = signal.convolve(df.withColumn("note", F.col("idx") * 2), ["record"], taps, interior).collect()
+    assert all(r["note"] == 2 * r["idx"] for r in found)
+    got = {(r["record"], r["idx"]): r["value"] for r in found}
+    assert got.keys() == wanted.keys()
+    assert all(got[k] == pytest.approx(wanted[k], abs=1e-9) for k in wanted)
+
+
+@pytest.mark.parametrize("length", [5, 8, 13, 29])
+def test_resampling_of_mixed_sizes(spark, length):
+    rng = np.random.default_rng(2)
+    beats = [rng.normal(size=n).tolist() for n in (7, 8, 13, 29, 8)] + [None]
+    df = spark.createDataFrame([(k, b) for k, b in enumerate(beats)], "k int, beat array<double>")
+    got = {r["k"]: r["b"] for r in df.select("k", signal.resampled(F.col("beat"), length).alias("b")).collect()}
+    assert got[5] is None
+    for k, beat in enumerate(beats[:5]):
+        n, spectrum = len(beat), np.fft.fft(beat)
+        wanted = []
+        for j in range(length):  # each frequency at its place, the middle one of an even count halved on both sides
+            total, shared = 0.0, min(n, length)
+            for f in range(-(shared // 2), shared // 2 + 1):
+                weight = 0.5 if shared % 2 == 0 and abs(f) == shared // 2 and n <= length else 1.0
+                if n > length and shared % 2 == 0 and abs(f) == shared // 2:
+                    total += (spectrum[f % n].real if f > 0 else spectrum[f % n].real) * math.cos(math.pi * j)
+                else:
+                    total += (weight * spectrum[f % n] * np.exp(2j * np.pi * f * j / length)).real
+            wanted.append(total / n)
+        assert got[k] == pytest.approx(beat if n == length else wanted, abs=1e-9)
+
+
+def test_recurrence_modes(spark):
+    beat = [0.0, 1.0, 3.0, 1.5, 0.2, 2.0]
+    df = spark.createDataFrame([("a", beat), ("short", [1.0])], "k string, beat array<double>")
+    points = list(zip(beat, beat[1:]))
+    distance = np.array([[math.dist(p, q) for q in points] for p in points])
+    plots = {
+        ("point", 30.0): distance < np.percentile(distance, 30),
+        ("distance", 40.0): distance < 0.4 * distance.max(),
+        (1.2, 10.0): distance <= 1.2,
+        (None, 10.0): distance,
+    }
+    for (mode, share), wanted in plots.items():
+        rows = encodings.recurrence_plot(df, ["k"], 2, 1, mode, share).collect()
+        assert {r["k"] for r in rows} == {"a"}
+        got = {(r["i"], r["j"]): r["value"] for r in rows}
+        assert got == pytest.approx({(i, j): float(wanted[i, j]) for i in range(5) for j in range(5)})
+    with pytest.raises(ValueError):
+        encodings.recurrence_plot(df, ["k"], threshold="area")
