@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 
-from probeline.llm.common import DOCUMENT_COLUMNS, batch, slices, utf8
+from probeline.llm.common import DOCUMENT_COLUMNS, batch, lean, slices, utf8
 from probeline.llm.fm_index import FmIndex
 
 WINDOW = 10
@@ -166,7 +166,7 @@ def find_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WIND
 
         ddl = ", ".join(f"{name} {kind}" for name, kind in (made if last else held).items())
         schema = to_arrow_schema(spark.createDataFrame([], ddl).schema)
-        return rows_in.mapInArrow(search, ddl)
+        return rows_in.mapInArrow(lean(search), ddl)
 
     rows = docs.select("doc_id", "text", F.lit(None).cast("binary").alias("flags"), F.array().cast("array<string>").alias("item_ids"))
     blocks = benchmark_blocks(benchmark, window)
@@ -212,6 +212,6 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, window: int = WI
                 )
                 yield made.filter(pa.array(keep))
 
-        return rows_in.mapInArrow(cut, chosen.schema)
+        return rows_in.mapInArrow(lean(cut), chosen.schema)
 
     return reduce(one_pass, benchmark_blocks(benchmark, window), chosen)

@@ -17,7 +17,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F
 
-from probeline.llm.common import DOCUMENT_COLUMNS, batch, blank_words, mixed, slices, stored, utf8, word_hashes
+from probeline.llm.common import DOCUMENT_COLUMNS, batch, blank_words, lean, mixed, slices, stored, utf8, word_hashes
 from probeline.llm.graph import components
 
 #: Shingles in this many sets of one slice of texts are counted over all slices; the most frequent ones go last in
@@ -131,7 +131,7 @@ def set_table(docs: DataFrame, measure: Measure) -> DataFrame:
                 )
 
     ddl = "doc_id bigint, text_hash bigint, n bigint, class bigint, bits binary, frequent array<struct<h:bigint,n:bigint>>"
-    return docs.mapInArrow(build, ddl)
+    return docs.mapInArrow(lean(build), ddl)
 
 
 def frequent_shingles(sets: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -180,7 +180,7 @@ def prefix_rows(docs: DataFrame, measure: Measure, hashes: np.ndarray, counts: n
                         schema,
                     )
 
-    return docs.select("text").mapInArrow(emit, "token bigint, salt int, class bigint, n int")
+    return docs.select("text").mapInArrow(lean(emit), "token bigint, salt int, class bigint, n int")
 
 
 def _meetings(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -275,7 +275,7 @@ def may_link(pairs: DataFrame, classes: DataFrame, measure: Measure) -> DataFram
 
     bits = classes.select("class", "bits")
     joined = pairs.join(bits.selectExpr("class AS a", "bits AS x"), "a").join(bits.selectExpr("class AS b", "bits AS y"), "b")
-    return joined.selectExpr("a", "b", "na + nb AS n", "x", "y").mapInArrow(compare, "a bigint, b bigint")
+    return joined.selectExpr("a", "b", "na + nb AS n", "x", "y").mapInArrow(lean(compare), "a bigint, b bigint")
 
 
 def _tile_pairs(measure: Measure, sparing: bool):
@@ -378,7 +378,7 @@ def remaining_pairs(members: DataFrame, groups: DataFrame, classes: DataFrame, m
     tile = [F.least("slot", "with").alias("low"), F.greatest("slot", "with").alias("high")]
     placed = rows.select("token", *tile, "n", "class", "comp", "slot", "bits")
     dealt = placed.repartition("token", "low", "high").sortWithinPartitions("token", "low", "high", "n", "class")
-    return dealt.mapInArrow(_tile_pairs(measure, sparing), "a bigint, b bigint, likely boolean").distinct()
+    return dealt.mapInArrow(lean(_tile_pairs(measure, sparing)), "a bigint, b bigint, likely boolean").distinct()
 
 
 def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, measure: Measure) -> DataFrame:
@@ -396,7 +396,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, measure: Mea
                 keep = [k for k, name in enumerate(names) if name not in seen and not seen.add(name)]
                 yield batch({"class": [names[k] for k in keep], "shingles": [sets[k].tobytes() for k in keep]}, one)
 
-    sets = texts.select("text").mapInArrow(arrays, "class bigint, shingles binary").dropDuplicates(["class"])
+    sets = texts.select("text").mapInArrow(lean(arrays), "class bigint, shingles binary").dropDuplicates(["class"])
     sets = stored(sets, "sets")
     link = pa.schema([("a", pa.int64()), ("b", pa.int64())])
 
@@ -411,7 +411,7 @@ def verified(pairs: DataFrame, docs: DataFrame, classes: DataFrame, measure: Mea
             yield batch({"a": chosen.column("a"), "b": chosen.column("b")}, link)
 
     joined = pairs.join(sets.selectExpr("class AS b", "shingles AS y"), "b").join(sets.selectExpr("class AS a", "shingles AS x"), "a")
-    return joined.select("a", "b", "x", "y").mapInArrow(decide, "a bigint, b bigint")
+    return joined.select("a", "b", "x", "y").mapInArrow(lean(decide), "a bigint, b bigint")
 
 
 def similar_groups(docs: DataFrame, measure: Measure = Measure()) -> DataFrame:

@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from probeline.llm.automaton import Automaton
-from probeline.llm.common import DOCUMENT_COLUMNS, batch, slices, utf8
+from probeline.llm.common import DOCUMENT_COLUMNS, batch, lean, slices, utf8
 
 #: Bytes stepped through the automaton together.
 SCAN_BYTES = 32 << 20
@@ -146,7 +146,7 @@ def scan_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES) -> DataFrame:
                 dicts = [[{"start": s, "end": e, "kind": kinds[k]} for s, e, k in own] for own in spans]
                 yield batch({"doc_id": rows.column("doc_id")[low : low + len(dicts)], "spans": dicts}, schema)
 
-    return docs.select("doc_id", "text").mapInArrow(scan, out)
+    return docs.select("doc_id", "text").mapInArrow(lean(scan), out)
 
 
 def redact_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "[secret]") -> DataFrame:
@@ -170,4 +170,4 @@ def redact_secrets(docs: DataFrame, rules: Sequence[Rule] = RULES, mark: str = "
                 [new.get(f.name, rows.column(f.name)) for f in rows.schema], names=rows.schema.names
             )
 
-    return chosen.mapInArrow(scan, chosen.schema)
+    return chosen.mapInArrow(lean(scan), chosen.schema)
