@@ -15,6 +15,9 @@ from probeline.llm.secrets import redact_secrets
 from probeline.llm.sentence_pieces import encode_pieces
 from probeline.session import tune
 
+#: Rows sent to a Python worker at once: some megabytes of text, as tasks work in slices of that size.
+BATCH_ROWS = "2000"
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -44,12 +47,20 @@ def as_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return encode_pieces(docs, public_tokenizers.path("piece_bpe_32k.model"))
 
 
+def _in_small_batches(stage: Stage) -> Stage:
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        tune(spark).conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
 STAGES: list[tuple[str, Stage]] = [
-    ("quality_classifier", good_quality),
-    ("near_duplicates", distinct_documents),
-    ("decontamination", without_benchmarks),
-    ("secrets", without_secrets),
-    ("sentence_pieces", as_pieces),
+    ("quality_classifier", _in_small_batches(good_quality)),
+    ("near_duplicates", _in_small_batches(distinct_documents)),
+    ("decontamination", _in_small_batches(without_benchmarks)),
+    ("secrets", _in_small_batches(without_secrets)),
+    ("sentence_pieces", _in_small_batches(as_pieces)),
 ]
 
 #: SQL can't express perplexity, an automaton or a lattice; tests hold each stage against brute force.
