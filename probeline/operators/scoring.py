@@ -92,6 +92,17 @@ def _cell_function(
     by = list(by)
     most = SCORE_BLOCK_ROWS**2 if output in SCORE_OUTPUTS else BLOCK_ROWS**2
 
+    once = {}
+
+    def segments():
+        """Ends, numbers of bins and first bin of all segments, as arrays made once."""
+        import numpy as np
+
+        if "segments" not in once:
+            lows, highs, counts = (np.array(x) for x in zip(*edges))
+            once["segments"] = lows, highs, counts, np.cumsum(counts) - counts
+        return once["segments"]
+
     def interval_of(scores, lows, highs):
         """Number of the closed interval that holds each score, or -1."""
         import numpy as np
@@ -105,11 +116,12 @@ def _cell_function(
 
         if not isinstance(edges, list):
             return (scores >= edges).astype(np.int64)
-        lows, highs, counts = (np.array(x) for x in zip(*edges))
+        lows, highs, counts, firsts = segments()
         k = interval_of(scores, lows, highs)
-        width = np.where(highs > lows, highs - lows, 1.0)
-        step = np.clip(np.floor((scores - lows[k]) * (counts / width)[k]), 0, counts[k] - 1)
-        return np.where(k >= 0, (np.cumsum(counts) - counts)[k] + step, -1).astype(np.int64)
+        low, count = lows[k], counts[k]
+        width = np.where(highs[k] > low, highs[k] - low, 1.0)
+        step = np.clip(np.floor((scores - low) * (count / width)), 0, count - 1)
+        return np.where(k >= 0, firsts[k] + step, -1).astype(np.int64)
 
     def bin_starts():
         """Lower end of each bin: sums are taken from there, so that close scores keep their digits."""
@@ -117,7 +129,9 @@ def _cell_function(
 
         if not isinstance(edges, list):
             return np.zeros(2)
-        return np.concatenate([low + (high - low) / count * np.arange(count) for low, high, count in edges])
+        lows, highs, counts, firsts = segments()
+        spread = lambda x: np.repeat(x, counts)
+        return spread(lows) + spread((highs - lows) / counts) * (np.arange(counts.sum()) - spread(firsts))
 
     def runs_of(column):
         """Order that puts equal labels together, the first place of each, and the labels in that order."""
@@ -265,7 +279,9 @@ def _cell_function(
         if output in ("range", "problems"):
             least, greatest, counts = np.inf, -np.inf, np.zeros(3, np.int64)
         if output == "exact":
-            lows, highs = (np.array(x) for x in zip(*wanted))
+            if "wanted" not in once:
+                once["wanted"] = tuple(np.array(x) for x in zip(*wanted))
+            lows, highs = once["wanted"]
         for i in range(0, len(a), 256):
             for j in range(0, len(b), 1024):
                 rows, cols = slice(i, i + 256), slice(j, j + 1024)
