@@ -6,15 +6,16 @@ import json
 import os
 import re
 import zlib
-from collections.abc import Iterator, Sequence
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from probeline.functions.ordering import running_sum
-from probeline.llm.common import batch, slices, stored, utf8
+from probeline.llm.common import batch, lean, slices, stored, utf8
 from probeline.llm.files import read_files, write_file
 from probeline.session import parallelism
 
@@ -25,12 +26,16 @@ RANK_BITS = 512
 #: Tokens after which a file is closed.
 FILE_TOKENS = 2_000_000
 #: Distinct pieces of text whose ids a worker remembers.
-REMEMBERED = 350_000
+REMEMBERED = 500_000
 #: Bytes of text encoded at once.
 ENCODED_BYTES = 4 << 20
 _UNUSUAL = re.compile(r"\s\s|[^\S \n]|\x00")
 _BLANK = np.zeros(256, bool)
 _BLANK[[0x0A, 0x20]] = True
+_LETTER = np.zeros(256, bool)
+_LETTER[[*range(65, 91), *range(97, 123)]] = True
+_OTHER = ~_LETTER
+_OTHER[128:] = False
 #: Control bytes other than a line break, and lead bytes of characters among which some are white space.
 _DOUBTFUL = np.zeros(256, bool)
 _DOUBTFUL[[*range(0x0A), *range(0x0B, 0x20), 0xC2, 0xE1, 0xE2, 0xE3]] = True
@@ -96,9 +101,9 @@ class Codes:
         return ids
 
 
-def pack(doc_ids: list[int | None], lengths: list[int], ids: bytes) -> bytes:
+def pack(doc_ids: list[int | None], lengths: list[int], ids: np.ndarray) -> bytes:
     """The bytes of one file: header, document ids, token starts, then each level."""
-    codes = Codes.of(np.frombuffer(ids, "<u4"))
+    codes = Codes.of(ids)
     starts = np.zeros(len(lengths) + 1, "<i8")
     np.cumsum(lengths, out=starts[1:])
     arrays = [
@@ -129,10 +134,11 @@ def unpack(payload: bytes) -> tuple[list[int | None], np.ndarray, Codes]:
 
 
 class Encoder:
-    """Texts to little-endian 32-bit ids with a byte-level BPE tokenizer.
+    """Texts to 32-bit ids with a byte-level BPE tokenizer.
 
-    A pre-token never spans the place before a single blank, so such a text is cut there and each distinct piece
-    is encoded once. Texts with other white space are encoded whole.
+    A pre-token never spans the place before a single blank, nor that between a letter and what is none, so such a
+    text is cut before blanks and after runs of ASCII letters, on its bytes, and each distinct piece is encoded once; a
+    text's ids are gathered from the table of known pieces. Texts with other white space are encoded whole.
 
     With ``added_tokens`` the content of an added token, such as an end of text, becomes that token wherever a text
     holds it, as is the library's default; such texts are encoded whole, too. Else it is read as plain text.
@@ -145,49 +151,97 @@ class Encoder:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = not added_tokens
         contents = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
-        self.added = re.compile("|".join(map(re.escape, contents))) if added_tokens and contents else None
-        self.known: dict[str, bytes] = {}
+        self.added = contents if added_tokens else []
         self.widths = np.zeros(self.tokenizer.get_vocab_size(), np.int64)
         for token, at in self.tokenizer.get_vocab(with_added_tokens=False).items():
             self.widths[at] = len(token)  # one character per byte
+        self._forget()
 
-    def _encode(self, texts: list[str]) -> Iterator[bytes]:
+    def _forget(self) -> None:
+        """Known pieces by their place in the table: piece k has the ids from ``starts[k]`` to ``starts[k + 1]``."""
+        self.known: dict[bytes, int] = {}
+        self.ids = np.zeros(0, np.uint32)
+        self.starts = np.zeros(1, np.int64)
+
+    def _encode(self, texts: list[str]) -> Iterator[np.ndarray]:
         for low in range(0, len(texts), 10_000):
             for found in self.tokenizer.encode_batch_fast(texts[low : low + 10_000], add_special_tokens=False):
-                yield np.array(found.ids, "<u4").tobytes()
+                yield np.array(found.ids, np.uint32)
 
-    def _learn(self, pieces: list[str]) -> None:
+    def _learn(self, pieces: list[bytes]) -> None:
         """Pieces that begin with a blank are encoded in one go and told apart by the bytes their tokens stand for."""
-        joined = [p for p in pieces if len(p) > 1 and p[0] in " \n"]
-        others = [p for p in pieces if not (len(p) > 1 and p[0] in " \n")]
-        self.known.update(zip(others, self._encode(others)))
+        if not pieces:
+            return
+        joined = [p for p in pieces if len(p) > 1 and p[0] in b" \n"]
+        others = [p for p in pieces if not (len(p) > 1 and p[0] in b" \n")]
+        streams = list(self._encode([p.decode() for p in others]))
+        lengths = [np.array([len(ids) for ids in streams], np.int64)]
         for low in range(0, len(joined), 20_000):
             own = joined[low : low + 20_000]
-            (found,) = self.tokenizer.encode_batch_fast(["".join(own)], add_special_tokens=False)
-            ids = np.array(found.ids, "<u4")
-            ends = np.cumsum([len(p.encode()) for p in own])
-            cuts = (np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1).tolist()
-            stream, at = ids.tobytes(), 0
-            for piece, cut in zip(own, cuts):
-                self.known[piece] = stream[4 * at : 4 * cut]
-                at = cut
-
-    def encode(self, texts: list[str], doubts: Sequence[bool] | None = None) -> list[bytes]:
-        """``doubts`` spares the look for unusual white space where it is false."""
-        special = self.added
-        pieces = [
-            None if doubt and _UNUSUAL.search(t) or special and special.search(t) else t.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
-            for t, doubt in zip(texts, [True] * len(texts) if doubts is None else doubts)
-        ]
-        wanted = set()
-        for own in pieces:
-            wanted.update(own or ())
-        if len(self.known) + len(wanted) > REMEMBERED:
-            self.known = {p: self.known[p] for p in wanted if p in self.known}
-        self._learn([p for p in wanted if p not in self.known])
-        whole = self._encode([t for t, own in zip(texts, pieces) if own is None])
-        get = self.known.__getitem__
-        return [next(whole) if own is None else b"".join(map(get, own)) for own in pieces]
+            (ids,) = self._encode([b"".join(own).decode()])
+            ends = np.cumsum([len(p) for p in own])
+            cuts = np.searchsorted(np.cumsum(self.widths[ids]), ends) + 1
+            streams.append(ids)
+            lengths.append(np.diff(cuts, prepend=0))
+        for piece in others + joined:
+            self.known[piece] = len(self.known)
+        self.starts = np.concatenate((self.starts, self.starts[-1] + np.cumsum(np.concatenate(lengths))))
+        self.ids = np.concatenate((self.ids, *streams))
+
+    def _whole(self, texts: pa.Array, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Texts that can't be cut."""
+        whole = np.zeros(len(texts), bool)
+        for k in np.flatnonzero(doubtful(data, offsets)):
+            whole[k] = _UNUSUAL.search(texts[k].as_py() or "") is not None
+        for content in self.added:
+            held = pc.fill_null(pc.match_substring(texts, content), False)
+            whole |= held.to_numpy(zero_copy_only=False)
+        return whole
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and how many each has."""
+        data, offsets = utf8(texts)
+        n = len(texts)
+        whole = self._whole(texts, data, offsets)
+        cut = _BLANK[data]
+        cut[1:] |= _OTHER[data[1:]] & _LETTER[data[:-1]]
+        cut[offsets[:-1][offsets[:-1] < len(data)]] = True
+        if whole.any():
+            cut[np.repeat(whole, np.diff(offsets))] = False
+        starts = np.flatnonzero(cut)
+        row = np.searchsorted(offsets, starts, "right") - 1
+        if whole.any():  # a piece reaches to the next one, or to the end of its row
+            ends = np.minimum(np.append(starts[1:], len(data)), offsets[row + 1])
+            kept = data[np.repeat(~whole, np.diff(offsets))]
+        else:
+            ends, kept = np.append(starts[1:], len(data)), data
+        at = np.zeros(len(starts) + 1, np.int32)
+        np.cumsum(ends - starts, out=at[1:])
+        coded = pa.Array.from_buffers(
+            pa.binary(), len(starts), [None, pa.py_buffer(at), pa.py_buffer(np.ascontiguousarray(kept))]
+        ).dictionary_encode()
+        pieces = coded.dictionary.to_pylist()
+        if len(self.known) + len(pieces) > REMEMBERED:
+            self._forget()
+        self._learn([p for p in pieces if p not in self.known])
+        places = np.fromiter(map(self.known.__getitem__, pieces), np.int64, len(pieces))
+        places = places[coded.indices.to_numpy(zero_copy_only=False)]
+        low, size = self.starts[places], self.starts[places + 1] - self.starts[places]
+        ids = self.ids[_ranges(low, size)]
+        lengths = np.bincount(row, weights=size, minlength=n).astype(np.int64)
+        if whole.any():
+            own = dict(zip(np.flatnonzero(whole).tolist(), self._encode(texts.filter(pa.array(whole)).to_pylist())))
+            parts = np.split(ids, np.cumsum(lengths)[:-1])
+            parts = [own.get(k, part) for k, part in enumerate(parts)]
+            ids, lengths = np.concatenate(parts), np.array([len(p) for p in parts], np.int64)
+        return ids, lengths
+
+
+def _ranges(low: np.ndarray, size: np.ndarray) -> np.ndarray:
+    """``low, low + 1, ...`` for ``size`` steps, one row after another."""
+    ends = np.cumsum(size)
+    total = int(ends[-1]) if len(ends) else 0
+    return np.arange(total) + np.repeat(low - (ends - size), size)
 
 
 _ENCODERS: dict[tuple[str, bool], Encoder] = {}
@@ -217,16 +271,16 @@ def write_token_files(
     )
 
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        part, seq, end = TaskContext.get().partitionId(), 0, np.uint32(end_id).astype("<u4").tobytes()
+        part, seq, end = TaskContext.get().partitionId(), 0, np.uint32(end_id)
         own: list[int | None] = []
         lengths: list[int] = []
-        streams: list[bytes] = []
+        streams: list[np.ndarray] = []
         held = 0
 
         def close() -> pa.RecordBatch:
             nonlocal seq
             name = f"tokens-{part:06d}-{seq:06d}.dac"
-            write_file(folder, name, pack(own, lengths, b"".join(streams)))
+            write_file(folder, name, pack(own, lengths, np.concatenate(streams)))
             row = {"part": [part], "seq": [seq], "name": [name], "n_docs": [len(own)], "n_tokens": [sum(lengths)]}
             seq += 1
             for kept in (own, lengths, streams):
@@ -234,17 +288,22 @@ def write_token_files(
             return batch(row, schema)
 
         for rows in batches:
-            data, offsets = utf8(rows.column("text"))
-            doubts = doubtful(data, offsets).tolist()
+            _, offsets = utf8(rows.column("text"))
             for low, high in slices(offsets, ENCODED_BYTES):
                 cut = rows.slice(low, high - low)
-                texts = [t or "" for t in cut.column("text").to_pylist()]
-                found = encoder(tokenizer, added_tokens).encode(texts, doubts[low:high])
-                for doc, ids in zip(cut.column("doc_id").to_pylist(), found):
-                    own.append(doc)
-                    streams += [ids, end]
-                    lengths.append(len(ids) // 4 + 1)
-                    held += lengths[-1]
+                ids, sizes = encoder(tokenizer, added_tokens).encode(cut.column("text"))
+                ends = np.cumsum(sizes)
+                ids = np.insert(ids, ends, end)  # the end id behind each document's own
+                sizes, ends = sizes + 1, ends + np.arange(1, len(ends) + 1)
+                docs_of = cut.column("doc_id").to_pylist()
+                first, done = 0, 0
+                while first < len(docs_of):  # documents up to the one that fills the open file
+                    last = min(int(np.searchsorted(ends, done + FILE_TOKENS - held)), len(docs_of) - 1) + 1
+                    own += docs_of[first:last]
+                    lengths += sizes[first:last].tolist()
+                    streams.append(ids[done : ends[last - 1]])
+                    held += int(ends[last - 1]) - done
+                    first, done = last, int(ends[last - 1])
                     if held >= FILE_TOKENS:
                         yield close()
                         held = 0
@@ -252,7 +311,7 @@ def write_token_files(
             yield close()
 
     files = stored(
-        ordered.mapInArrow(write, "part int, seq int, name string, n_docs bigint, n_tokens bigint"), "token_files"
+        ordered.mapInArrow(lean(write), "part int, seq int, name string, n_docs bigint, n_tokens bigint"), "token_files"
     )
     ends = running_sum(files, [], ["part", "seq"], "part", "n_tokens", "end")
     return ends.select("part", "seq", "name", "n_docs", "n_tokens", (F.col("end") - F.col("n_tokens")).alias("start"))
@@ -281,4 +340,4 @@ def read_token_files(spark: SparkSession, folder: str, with_ids: bool = False) -
                 yield batch(columns, schema)
 
     ddl = "name string, doc_id bigint, offset bigint, n_tokens bigint, ids_crc32 bigint" + ", ids array<bigint>" * with_ids
-    return read_files(spark, folder).mapInArrow(read, ddl)
+    return read_files(spark, folder).mapInArrow(lean(read), ddl)
