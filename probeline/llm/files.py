@@ -21,5 +21,7 @@ def write_file(folder: str, name: str, payload: bytes) -> str:
 
 
 def read_files(spark: SparkSession, folder: str) -> DataFrame:
-    """``name`` and ``content`` of every file of the folder, by Spark's own reader."""
+    """``name`` and ``content`` of every file of the folder, by Spark's own reader; none where nothing was written."""
+    system, path = fs.FileSystem.from_uri(folder)
+    system.create_dir(path)
     return spark.read.format("binaryFile").load(folder).selectExpr("element_at(split(path, '/'), -1) AS name", "content")

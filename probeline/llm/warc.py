@@ -23,6 +23,8 @@ ARCHIVE_BYTES = 16 << 20
 TRAINED_BYTES = 2 << 20
 DICTIONARY_BYTES = 64 << 10
 LEAST_PAYLOAD = 1000
+#: Bytes of an archive handed to the decoder at once.
+STEP_BYTES = 16 << 10
 _RECORD_TYPES = {"response": "application/http;msgtype=response", "revisit": "application/http;msgtype=response"}
 
 
@@ -81,15 +83,18 @@ def frames(content: bytes) -> Iterator[bytes]:
     if trained and trained[:4] != DICTIONARY_MAGIC.to_bytes(4, "little"):
         raise ValueError("the dictionary frame holds no dictionary")
     reader = zstandard.ZstdDecompressor(dict_data=zstandard.ZstdCompressionDict(trained) if trained else None)
+    view = memoryview(content)
     while at < len(content):
         if content[at : at + 4] != FRAME_MAGIC.to_bytes(4, "little"):
             raise ValueError(f"no frame begins at byte {at}")
-        walk = reader.decompressobj()
-        out = walk.decompress(memoryview(content)[at:])
-        if not walk.eof:
-            raise ValueError("the last frame is cut short")
-        at = len(content) - len(walk.unused_data)
-        yield out
+        walk, out = reader.decompressobj(), []
+        while not walk.eof:  # in small steps, as what a step holds beyond the frame is copied
+            if at >= len(content):
+                raise ValueError("the last frame is cut short")
+            out.append(walk.decompress(view[at : at + STEP_BYTES]))
+            at += STEP_BYTES
+        at = min(at, len(content)) - len(walk.unused_data)
+        yield b"".join(out)
 
 
 def parsed(one: bytes) -> dict:
@@ -112,8 +117,8 @@ def parsed(one: bytes) -> dict:
         raise ValueError("the record's length is not Content-Length")
     payload = rest[:length].partition(b"\r\n\r\n")[2]
     digest = base64.b32decode(fields["warc-payload-digest"].removeprefix("sha1:")).hex()
-    full = int(fields["warc-payload-length"])
     revisit = fields["warc-type"] == "revisit"
+    full = int(fields["warc-payload-length"]) if "warc-payload-length" in fields else None if revisit else len(payload)
     if not revisit and (full != len(payload) or hashlib.sha1(payload).hexdigest() != digest):
         raise ValueError("the payload does not match its length and digest")
     page = lambda name: (
@@ -134,13 +139,15 @@ def with_originals(pages: DataFrame, least: int = LEAST_PAYLOAD) -> DataFrame:
     """``page_id, url, html, digest, original``: the page a revisit refers to, null for a response.
 
     Equal payloads of ``least`` bytes or more share the record of the largest ``page_id``; the largest is found by
-    a map-side combined maximum, and the join back is one that Spark splits where a payload is hot. Pages without
-    an id, and repeats of the largest one, are responses.
+    a map-side combined maximum, and the join back is one that Spark splits where a payload is hot. Smaller pages
+    get keys of their own there, which match none and spread. Pages without an id, and repeats of the largest one,
+    are responses.
     """
     keyed = pages.select("page_id", "url", F.coalesce("html", F.lit("")).alias("html")).withColumn("digest", F.sha1("html"))
     large = F.octet_length("html") >= least
     largest = keyed.where(large).groupBy("digest").agg(F.max("page_id").alias("largest"))
-    found = keyed.withColumn("shared", F.when(large, F.col("digest"))).join(
+    own = F.concat(F.lit("-"), F.xxhash64("page_id", "url").cast("string"))
+    found = keyed.withColumn("shared", F.when(large, F.col("digest")).otherwise(own)).join(
         largest.withColumnRenamed("digest", "shared"), "shared", "left"
     )
     original = F.when(F.col("page_id") < F.col("largest"), F.col("largest"))

@@ -4,10 +4,12 @@ import collections
 import hashlib
 import itertools
 import math
+import random
 import re
 import zlib
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from probeline.llm import class_lm, decontamination, ngram_join, quality_model, quality_rules, secrets, sentence_pieces
@@ -510,6 +512,7 @@ def test_archives(spark):
     assert got == sorted(wanted, key=repr)
     empty = scratch_path(spark, "none")
     assert warc.write_archives(table.limit(0), empty).count() == 0
+    assert warc.read_archives(spark, empty).count() == 0
 
 
 def test_damaged_archives():
@@ -521,11 +524,21 @@ def test_damaged_archives():
         with pytest.raises(Exception):
             [warc.parsed(r) for r in warc.frames(broken)]
     one = warc.record(1, "u", b"body", sha1, None)
+    bare = b"\r\n".join(line for line in one.split(b"\r\n") if not line.startswith(b"WARC-Payload-Length"))
+    assert warc.parsed(bare)["payload_bytes"] == 4  # archives of others may lack that header
     for wrong in (one[:-1], one.replace(b"body", b"b0dy"), one.replace(b"WARC/1.1", b"HTTP/1.1"), one.replace(b"Length: 63", b"Length: 62")):
         with pytest.raises(ValueError):
             warc.parsed(wrong)
 
 
+@pytest.mark.parametrize("step", [1, 7, 16 << 10])
+def test_frames_of_any_step(monkeypatch, step):
+    monkeypatch.setattr(warc, "STEP_BYTES", step)
+    noise = np.random.default_rng(1).integers(0, 256, 40_000, np.uint8).tobytes()
+    records = [warc.record(k, "u", noise[: k * 5_000], hashlib.sha1(noise[: k * 5_000]).hexdigest(), None) for k in range(9)]
+    assert list(warc.frames(warc.archive(records))) == records
+
+
 # shards
 
 
@@ -586,7 +599,26 @@ def test_token_files(spark, docs, none, monkeypatch):
         assert r["ids_crc32"] == zlib.crc32(np.array(r["ids"], "<u4").tobytes())
     got = sorted((str(r["doc_id"]), r["ids"]) for r in found)
     assert got == sorted((str(d), [*plain.encode(t or "", add_special_tokens=False).ids, 2]) for d, t, *_ in rows)
-    assert token_store.write_token_files(none, path, scratch_path(spark, "none")).count() == 0
+    empty = scratch_path(spark, "none")
+    assert token_store.write_token_files(none, path, empty).count() == 0
+    assert token_store.read_token_files(spark, empty).count() == 0
+
+
+@pytest.mark.parametrize("remembered", [40, token_store.REMEMBERED])
+def test_cut_texts_have_the_library_ids(monkeypatch, remembered):
+    from tokenizers import Tokenizer
+
+    monkeypatch.setattr(token_store, "REMEMBERED", remembered)
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    plain, own, rng = Tokenizer.from_file(path), token_store.Encoder(path, True), random.Random(5)
+    parts = ["a", "Zb", "the", "'s", "'", "'re", "’s", "12", ".", "...", "-", " ", " ", "  ", "\n", "\t", "é", "日本", "\u00a0", "_", "<|endoftext|>"]
+    for _ in range(30):
+        texts = ["".join(rng.choices(parts, k=rng.randrange(30))) for _ in range(20)] + [None, ""]
+        ids, sizes = own.encode(pa.array(texts, pa.string()))
+        wanted = [plain.encode(t or "", add_special_tokens=False).ids for t in texts]
+        assert [len(w) for w in wanted] == sizes.tolist() and sum(wanted, []) == ids.tolist()
+    ids, sizes = own.encode(pa.array([], pa.string()))
+    assert len(ids) == len(sizes) == 0
 
 
 def test_token_query_equals_the_unmodified_library(spark, tmp_path):
