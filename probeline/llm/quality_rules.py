@@ -12,14 +12,17 @@ from probeline.llm.common import stored
 BLANKS = "[\\x20\\x09-\\x0D]"
 #: Characters that count as symbols (fixed values).
 SYMBOLS = "#*$%&|<>"
-#: Rules: name -> (feature numerator, denominator); the feature is counted per hundred, in whole numbers.
+#: Rules: name -> (numerator, denominator, share of it in percent at which the rule has severity 100). The shares are
+#: usual thresholds of such rules, set before any label is seen; only their proportions matter (fixed values).
 RULES = {
-    "symbols": ("n_symbols", "n_words"),
-    "dup_lines": ("n_dup_lines", "n_lines"),
-    "repeats": ("n_repeat_words", "n_words"),
-    "capitals": ("n_capitals", "word_chars"),
+    "symbols": ("n_symbols", "n_words", 10),
+    "dup_lines": ("n_dup_lines", "n_lines", 30),
+    "repeats": ("n_repeat_words", "n_words", 20),
+    "capitals": ("n_capitals", "word_chars", 25),
 }
-TOP_BIN = 1000
+TOP_SEVERITY = 10_000
+#: Strata with too few labels are judged together as one.
+POOL = "*"
 
 
 def text_counts(docs: DataFrame) -> DataFrame:
@@ -70,10 +73,11 @@ def base_failed() -> Column:
     return (F.col("n_words") < 50) | (100 * F.col("n_repeat_words") > 50 * F.col("n_words"))
 
 
-def rule_bin(rule: str) -> Column:
-    """The feature per hundred, rounded down, 0 to ``TOP_BIN``."""
-    above, below = RULES[rule]
-    return F.when(F.col(below) > 0, F.least(F.lit(TOP_BIN), F.floor(100 * F.col(above) / F.col(below)))).otherwise(0)
+def severity(rule: str) -> Column:
+    """The feature in percent of the rule's share, rounded down, 0 to ``TOP_SEVERITY``."""
+    above, below, share = RULES[rule]
+    level = F.floor(10_000 * F.col(above) / (share * F.col(below)))
+    return F.when(F.col(below) > 0, F.least(F.lit(TOP_SEVERITY), level)).otherwise(0)
 
 
 def binomial_tail(n: Column, r: Column, rate: float) -> Column:
@@ -91,28 +95,48 @@ def binomial_tail(n: Column, r: Column, rate: float) -> Column:
     return F.aggregate(steps, start, add, lambda state: state["total"])
 
 
-def certified_cutoffs(counts: DataFrame, labels: DataFrame, false_rejection: float, error: float) -> DataFrame:
-    """Lowest bin per stratum (``lang``) and rule at which rejecting is certified, as ``stratum, rule, cutoff``.
+def tested_strata(sizes: DataFrame, rate: float, error: float) -> DataFrame:
+    """``stratum, judged_in, tests``: each stratum is judged in itself or, if too small for that, in the pool.
 
-    Labelled good documents that pass the base rules are the holdout. The hypothesis at a cutoff is that good
-    documents are rejected at a rate of ``false_rejection / rules`` or more; it falls if the exact binomial
-    probability of so few rejections is at most ``error / (strata * rules)``. Cutoffs are tested downwards from
-    the most lenient and testing stops at the first that stands, so with probability ``1 - error`` no stratum
-    loses more than ``false_rejection`` of its good documents. Strata with too few labels get no cutoff.
+    With m strata of their own and the pool there are ``m + 1`` tests, each at ``error / (m + 1)``; m is the largest
+    number whose m largest strata could all certify a cutoff that rejects none of their good documents. That
+    depends on the strata's sizes alone, not on what their documents look like.
+    """
+    ranked = sizes.agg(F.sort_array(F.collect_list(F.struct("n", "stratum")), asc=False).alias("s")).select(
+        F.posexplode("s").alias("k", "s")  # one entry per language
+    )
+    enough = F.col("s.n") * F.log(F.lit(1 - rate)) <= F.log(F.lit(error) / (F.col("k") + 2))
+    own = ranked.agg(F.coalesce(F.max(F.when(enough, F.col("k") + 1)), F.lit(0)).alias("own"))
+    judged_in = F.when(F.col("k") < F.col("own"), F.col("s.stratum")).otherwise(POOL)
+    return ranked.crossJoin(F.broadcast(own)).select(  # one row
+        "s.stratum", judged_in.alias("judged_in"), (F.col("own") + 1).alias("tests")
+    )
+
+
+def certified_cutoffs(counts: DataFrame, labels: DataFrame, false_rejection: float, error: float) -> DataFrame:
+    """Lowest severity per stratum (``lang``, or the pool) at which rejecting is certified, as ``stratum, cutoff``.
+
+    Labelled good documents that pass the base rules are the holdout. All rules act at one severity, so the
+    rejection sets of falling severities form one sequence, fixed beforehand. The hypothesis at a severity is that
+    good documents are rejected, by any rule, at a rate of ``false_rejection`` or more; it falls if the exact
+    binomial probability of so few rejections is at most ``error / tests``. Testing goes from the most lenient
+    severity downwards and stops at the first that stands, so with probability ``1 - error`` no stratum loses more
+    than ``false_rejection`` of its good documents. Strata with too few labels share the pool's cutoff, which holds for
+    the pool as a whole; a pool with too few labels gets none.
     """
-    rate = false_rejection / len(RULES)
     good = labels.where("quality = 1").select("doc_id").distinct()
     held = counts.where(~base_failed()).join(good, "doc_id", "left_semi")
-    long = held.select(
-        F.coalesce("lang", F.lit("")).alias("stratum"),
-        F.explode(F.array(*[F.struct(F.lit(r).alias("rule"), rule_bin(r).alias("bin")) for r in RULES])).alias("f"),
-    ).select("stratum", "f.rule", "f.bin")
-    bins = long.groupBy("stratum", "rule", "bin").agg(F.count(F.lit(1)).alias("n"))
-    sizes = bins.groupBy("stratum", "rule").agg(
-        F.sum("n").alias("n_good"), F.sort_array(F.collect_list(F.struct("bin", "n")), asc=False).alias("bins")
+    level = F.greatest(*[severity(rule) for rule in RULES])
+    bins = held.groupBy(F.coalesce("lang", F.lit("")).alias("stratum"), level.alias("bin")).agg(F.count(F.lit(1)).alias("n"))
+    strata = tested_strata(bins.groupBy("stratum").agg(F.sum("n").alias("n")), false_rejection, error)
+    sizes = (
+        bins.join(F.broadcast(strata), "stratum")  # one row per language
+        .groupBy(F.col("judged_in").alias("stratum"), "tests", "bin")
+        .agg(F.sum("n").alias("n"))
+        .groupBy("stratum", "tests")
+        .agg(F.sum("n").alias("n_good"), F.sort_array(F.collect_list(F.struct("bin", "n")), asc=False).alias("bins"))
     )
-    strata = sizes.agg(F.count(F.lit(1)).alias("tests"))
-    # a cutoff of top + 1 rejects nothing; below it each occupied bin is the next cutoff
+    # each occupied severity plus one is a cutoff, which rejects the documents above it
     before = F.aggregate(
         "bins",
         F.struct(F.lit(0).cast("bigint").alias("r"), F.array().cast("array<struct<bin:bigint,r:bigint>>").alias("out")),
@@ -120,24 +144,24 @@ def certified_cutoffs(counts: DataFrame, labels: DataFrame, false_rejection: flo
             (a["r"] + x["n"]).alias("r"),
             F.concat(a["out"], F.array(F.struct((x["bin"] + 1).alias("bin"), a["r"].alias("r")))).alias("out"),
         ),
-        lambda a: F.concat(a["out"], F.array(F.struct(F.lit(0).cast("bigint").alias("bin"), a["r"].alias("r")))),
+        lambda a: a["out"],
     )
-    tests = sizes.crossJoin(F.broadcast(strata)).select(  # one row
-        "stratum", "rule", "n_good", "tests", F.posexplode(before).alias("step", "t")
-    )
-    small = F.col("t.r") < F.col("n_good") * rate
+    tests = sizes.select("stratum", "n_good", "tests", F.posexplode(before).alias("step", "t"))
+    small = F.col("t.r") < F.col("n_good") * false_rejection
     judged = tests.select(
         "stratum",
-        "rule",
         "step",
         F.col("t.bin").alias("bin"),
-        F.when(small, binomial_tail(F.col("n_good"), F.col("t.r"), rate) <= F.log(F.lit(error) / F.col("tests")))
+        F.when(
+            small,
+            binomial_tail(F.col("n_good"), F.col("t.r"), false_rejection) <= F.log(F.lit(error) / F.col("tests")),
+        )
         .otherwise(F.lit(False))
         .alias("certified"),
     )
-    stop = judged.groupBy("stratum", "rule").agg(F.min(F.when(~F.col("certified"), F.col("step"))).alias("stop"))
-    passed = judged.join(stop, ["stratum", "rule"]).where(F.col("stop").isNull() | (F.col("step") < F.col("stop")))
-    return passed.groupBy("stratum", "rule").agg(F.min("bin").alias("cutoff"))
+    stop = judged.groupBy("stratum").agg(F.min(F.when(~F.col("certified"), F.col("step"))).alias("stop"))
+    passed = judged.join(stop, "stratum").where(F.col("stop").isNull() | (F.col("step") < F.col("stop")))
+    return passed.groupBy("stratum").agg(F.min("bin").alias("cutoff"))
 
 
 def risk_controlled_rules(
@@ -150,14 +174,13 @@ def risk_controlled_rules(
     """
     counts = stored(text_counts(docs), "text_counts")
     cutoffs = certified_cutoffs(counts, labels, false_rejection, error)
-    wide = cutoffs.groupBy("stratum").agg(
-        *[F.max(F.when(F.col("rule") == r, F.col("cutoff"))).alias(f"cut_{r}") for r in RULES]
-    )
-    failed = F.array_compact(F.array(*[F.when(rule_bin(r) >= F.col(f"cut_{r}"), F.lit(r)) for r in RULES]))
+    pooled = cutoffs.agg(F.max(F.when(F.col("stratum") == POOL, F.col("cutoff"))).alias("pool_cutoff"))
+    cutoff = F.coalesce("cutoff", "pool_cutoff")
     judged = (
         counts.withColumn("stratum", F.coalesce("lang", F.lit("")))
-        .join(wide, "stratum", "left")
-        .withColumn("failed_rules", failed)
+        .join(F.broadcast(cutoffs.where(F.col("stratum") != POOL)), "stratum", "left")  # one row per language
+        .crossJoin(F.broadcast(pooled))  # one row
+        .withColumn("failed_rules", F.array_compact(F.array(*[F.when(severity(r) >= cutoff, F.lit(r)) for r in RULES])))
         .withColumn("base_failed", base_failed())
     )
     return judged.select(

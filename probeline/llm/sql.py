@@ -27,39 +27,40 @@ c AS (
     FROM w LEFT JOIN cov ON cov.k = w.k),
 b AS (
     SELECT *, (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AS base_failed,
-        CASE WHEN n_words > 0 THEN least(1000, (100 * n_symbols) // n_words) ELSE 0 END AS symbols,
-        CASE WHEN n_lines > 0 THEN least(1000, (100 * n_dup_lines) // n_lines) ELSE 0 END AS dup_lines,
-        CASE WHEN n_words > 0 THEN least(1000, (100 * n_repeat_words) // n_words) ELSE 0 END AS repeats,
-        CASE WHEN word_chars > 0 THEN least(1000, (100 * n_capitals) // word_chars) ELSE 0 END AS capitals
+        CASE WHEN n_words > 0 THEN least(10000, (10000 * n_symbols) // (10 * n_words)) ELSE 0 END AS symbols,
+        CASE WHEN n_lines > 0 THEN least(10000, (10000 * n_dup_lines) // (30 * n_lines)) ELSE 0 END AS dup_lines,
+        CASE WHEN n_words > 0 THEN least(10000, (10000 * n_repeat_words) // (20 * n_words)) ELSE 0 END AS repeats,
+        CASE WHEN word_chars > 0 THEN least(10000, (10000 * n_capitals) // (25 * word_chars)) ELSE 0 END AS capitals
     FROM c),
-f AS (
-    UNPIVOT (SELECT stratum, symbols, dup_lines, repeats, capitals FROM b
-             WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1))
-    ON symbols, dup_lines, repeats, capitals INTO NAME rule VALUE bin),
-h AS (SELECT stratum, rule, bin, count(*) AS n FROM f GROUP BY ALL),
-z AS (SELECT stratum, rule, sum(n) AS n_good FROM h GROUP BY ALL),
-t AS (
-    SELECT stratum, rule, bin + 1 AS bin,
-        sum(n) OVER (PARTITION BY stratum, rule ORDER BY bin DESC) - n AS r FROM h
-    UNION ALL SELECT stratum, rule, 0, n_good FROM z),
+h0 AS (
+    SELECT stratum, greatest(symbols, dup_lines, repeats, capitals) AS bin, count(*) AS n FROM b
+    WHERE NOT base_failed AND doc_id IN (SELECT doc_id FROM labels WHERE quality = 1) GROUP BY ALL),
+ranked AS (
+    SELECT stratum, n, row_number() OVER (ORDER BY n DESC, stratum DESC) AS k
+    FROM (SELECT stratum, sum(n) AS n FROM h0 GROUP BY ALL)),
+own AS (SELECT coalesce(max(k) FILTER (n * ln(0.99) <= ln(0.05 / (k + 1))), 0) AS own FROM ranked),
+h AS (
+    SELECT CASE WHEN k <= own THEN h0.stratum ELSE '*' END AS stratum, bin, sum(h0.n) AS n
+    FROM h0 JOIN ranked ON h0.stratum = ranked.stratum, own GROUP BY ALL),
+z AS (SELECT stratum, sum(n) AS n_good FROM h GROUP BY ALL),
+t AS (SELECT stratum, bin + 1 AS bin, sum(n) OVER (PARTITION BY stratum ORDER BY bin DESC) - n AS r FROM h),
 p AS (
-    SELECT stratum, rule, bin, r < n_good * 0.0025 AND (
+    SELECT stratum, bin, r < n_good * 0.01 AND (
         SELECT sum(exp(lgamma(n_good + 1) - lgamma(x + 1) - lgamma(n_good - x + 1)
-                       + x * ln(0.0025) + (n_good - x) * ln(0.9975)))
-        FROM unnest(range(0, r::BIGINT + 1)) AS q(x)) <= 0.05 / (SELECT count(*) FROM z) AS ok
-    FROM t JOIN z USING (stratum, rule)),
+                       + x * ln(0.01) + (n_good - x) * ln(0.99)))
+        FROM unnest(range(0, r::BIGINT + 1)) AS q(x)) <= 0.05 / (SELECT own + 1 FROM own) AS ok
+    FROM t JOIN z USING (stratum)),
 cut AS (
-    SELECT stratum, rule, min(bin) AS cutoff
-    FROM p LEFT JOIN (SELECT stratum, rule, max(bin) AS bad FROM p WHERE NOT ok GROUP BY ALL) USING (stratum, rule)
+    SELECT stratum, min(bin) AS cutoff
+    FROM p LEFT JOIN (SELECT stratum, max(bin) AS bad FROM p WHERE NOT ok GROUP BY ALL) USING (stratum)
     WHERE bad IS NULL OR bin > bad GROUP BY ALL),
-wide AS (
-    SELECT stratum, max(cutoff) FILTER (rule = 'symbols') AS c1, max(cutoff) FILTER (rule = 'dup_lines') AS c2,
-        max(cutoff) FILTER (rule = 'repeats') AS c3, max(cutoff) FILTER (rule = 'capitals') AS c4
-    FROM cut GROUP BY stratum),
+v0 AS (
+    SELECT b.*, coalesce(cut.cutoff, (SELECT max(cutoff) FROM cut WHERE stratum = '*')) AS c
+    FROM b LEFT JOIN cut ON cut.stratum = b.stratum AND cut.stratum <> '*'),
 v AS (
-    SELECT b.*, concat_ws(',', CASE WHEN symbols >= c1 THEN 'symbols' END, CASE WHEN dup_lines >= c2 THEN 'dup_lines' END,
-        CASE WHEN repeats >= c3 THEN 'repeats' END, CASE WHEN capitals >= c4 THEN 'capitals' END) AS failed_rules
-    FROM b LEFT JOIN wide ON wide.stratum = b.stratum)
+    SELECT *, concat_ws(',', CASE WHEN symbols >= c THEN 'symbols' END, CASE WHEN dup_lines >= c THEN 'dup_lines' END,
+        CASE WHEN repeats >= c THEN 'repeats' END, CASE WHEN capitals >= c THEN 'capitals' END) AS failed_rules
+    FROM v0)
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
     NOT base_failed AND failed_rules = '' AS kept, failed_rules
 FROM v
