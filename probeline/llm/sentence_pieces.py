@@ -13,11 +13,11 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from probeline.llm.common import batch, slices, utf8
+from probeline.llm.common import batch, lean, slices, utf8
 
 BLANK = "▁"
-#: No piece goes beyond these: a blank begins one, a line break stands alone.
-_UNIT = re.compile(f"{BLANK}[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
+#: No piece goes beyond these: a run of blanks begins one, a line break stands alone.
+_UNIT = re.compile(f"{BLANK}+[^{BLANK}\n]*|[^{BLANK}\n]+|\n")
 #: Below the score of every piece, as for an unknown one.
 BYTE_PENALTY = 10.0
 #: Scores are whole multiples of one over this, so sums are exact and equal paths tie however they add up.
@@ -50,8 +50,9 @@ class Pieces:
                 self.bytes_of[at] = bytes([value])
             elif not (model.is_control(at) or model.is_unknown(at) or model.is_unused(at)):
                 self.bytes_of[at] = text.replace(BLANK, " ").encode()
-                if BLANK not in text[1:]:  # runs of blanks are cut before each blank
-                    ranked.append((-model.get_score(at), at, text))
+                if not _UNIT.fullmatch(text):
+                    raise ValueError(f"piece {text!r} has a blank or a line break behind other characters")
+                ranked.append((-model.get_score(at), at, text))
         total = math.log(sum(1 / (k + 1) for k in range(len(ranked))))
         for rank, (_, at, text) in enumerate(sorted(ranked)):
             self.edges[text] = (at, round((-math.log(rank + 1) - total) * SCALE))
@@ -211,11 +212,14 @@ def pieces(path: str) -> Pieces:
     return _PIECES[path]
 
 
-def encode_pieces(docs: DataFrame, model: str, n_best: int = 3, with_ids: bool = True) -> DataFrame:
-    """``doc_id, n_pieces, ids_crc32, score, scores, round_trip`` of each document and, if asked, its best ``ids``.
+def encode_pieces(
+    docs: DataFrame, model: str, n_best: int = 3, with_ids: bool = True, with_n_best_ids: bool = False
+) -> DataFrame:
+    """``doc_id, n_pieces, ids_crc32, score, scores, crc32s, round_trip`` of each document and, if asked, its best
+    ``ids`` and the ``n_best_ids`` of all segmentations.
 
-    ``model`` is the vocabulary's path on all machines. ``scores`` are those of the ``n_best`` segmentations of the
-    whole text, ``round_trip`` whether decoding gives the text back (with U+2581 read as a blank). A null or empty
+    ``model`` is the vocabulary's path on all machines. ``scores`` and ``crc32s`` (of little-endian 32-bit ids) are
+    those of the ``n_best`` segmentations of the whole text, best first, ``round_trip`` whether decoding gives the text back (with U+2581 read as a blank). A null or empty
     text has no pieces, a null score and round trip true. Repeated rows are encoded one by one; other columns are
     ignored.
     """
@@ -225,8 +229,10 @@ def encode_pieces(docs: DataFrame, model: str, n_best: int = 3, with_ids: bool =
         ("ids_crc32", pa.int64()),
         ("score", pa.float64()),
         ("scores", pa.list_(pa.float64())),
+        ("crc32s", pa.list_(pa.int64())),
         ("round_trip", pa.bool_()),
-    ] + [("ids", pa.list_(pa.int32()))] * with_ids
+    ]
+    fields += [("ids", pa.list_(pa.int32()))] * with_ids + [("n_best_ids", pa.list_(pa.list_(pa.int32())))] * with_n_best_ids
     schema = pa.schema(fields)
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -244,13 +250,17 @@ def encode_pieces(docs: DataFrame, model: str, n_best: int = 3, with_ids: bool =
                     made["ids_crc32"].append(zlib.crc32(stream))
                     made["score"].append(found[0][0] if found else None)
                     made["scores"].append([s for s, _ in found])
+                    made["crc32s"].append([zlib.crc32(own) for _, own in found])
                     made["round_trip"].append(vocabulary.decode(ids) == text.replace(BLANK, " "))
                     if with_ids:
                         made["ids"].append(ids.astype(np.int32))
+                    if with_n_best_ids:
+                        made["n_best_ids"].append([np.frombuffer(own, "<i4") for _, own in found])
                 yield batch(made | {"doc_id": rows.column("doc_id")[low:high]}, schema)
 
-    ddl = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, score double, scores array<double>, round_trip boolean"
-    return docs.select("doc_id", "text").mapInArrow(encode, ddl + ", ids array<int>" * with_ids)
+    ddl = "doc_id bigint, n_pieces bigint, ids_crc32 bigint, score double, scores array<double>, crc32s array<bigint>, round_trip boolean"
+    ddl += ", ids array<int>" * with_ids + ", n_best_ids array<array<int>>" * with_n_best_ids
+    return docs.select("doc_id", "text").mapInArrow(lean(encode), ddl)
 
 
 def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
@@ -263,4 +273,4 @@ def decode_pieces(encoded: DataFrame, model: str) -> DataFrame:
             texts = [vocabulary.decode(np.array(ids.as_py() or [], np.int64)) for ids in rows.column("ids")]
             yield batch({"doc_id": rows.column("doc_id"), "text": texts}, schema)
 
-    return encoded.select("doc_id", "ids").mapInArrow(decode, "doc_id bigint, text string")
+    return encoded.select("doc_id", "ids").mapInArrow(lean(decode), "doc_id bigint, text string")

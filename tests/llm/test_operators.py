@@ -192,14 +192,28 @@ def test_n_best(vocabulary, unit):
         assert len({tuple(ids) for _, ids in got}) == len(got)
 
 
-def test_n_best_of_a_text(vocabulary):
-    text = "a  bc\nd é"
-    units = sentence_pieces._UNIT.findall("▁" + text.replace(" ", "▁"))
-    parts = [every_segmentation(vocabulary, u) for u in units]
-    wanted = sorted((sum(s for s, _ in combo) for combo in itertools.product(*parts)), reverse=True)
+@pytest.mark.parametrize("text", ["a  bc\nd é", "a    b", "     ", "\n   if", "  \n  x"])
+def test_n_best_of_a_text(vocabulary, text):
+    """Against every segmentation of the uncut text into any pieces."""
+    wanted = sorted(every_segmentation(vocabulary, "▁" + text.replace(" ", "▁")), key=lambda s: -s[0])
     got = vocabulary.encode(text, 6)
-    assert np.allclose([s for s, _ in got], [w / sentence_pieces.SCALE for w in wanted[:6]])
-    assert {vocabulary.decode(np.frombuffer(ids, "<u4")) for _, ids in got} == {text}
+    assert np.allclose([s for s, _ in got], [s / sentence_pieces.SCALE for s, _ in wanted[:6]])
+    lists = [np.frombuffer(ids, "<u4").tolist() for _, ids in got]
+    assert len({tuple(ids) for ids in lists}) == len(got)
+    assert all(any(ids == w and math.isclose(s, x / sentence_pieces.SCALE) for x, w in wanted) for (s, _), ids in zip(got, lists))
+    assert {vocabulary.decode(np.array(ids)) for ids in lists} == {text}
+
+
+def test_runs_of_blanks_are_pieces(vocabulary):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=public_tokenizers.path("piece_bpe_32k.model"))
+    plain = [t for at in range(model.get_piece_size()) if not (model.is_byte(at) or model.is_control(at) or model.is_unknown(at)) for t in [model.id_to_piece(at)]]
+    assert {t for t, edge in vocabulary.edges.items() if edge} == set(plain)
+    ids = np.frombuffer(vocabulary.encode("a    b", 1)[0][1], "<u4").tolist()
+    assert [model.id_to_piece(i) for i in ids] == ["▁a", "▁▁▁", "▁b"]
+    long = " " * 5_000
+    assert vocabulary.decode(np.frombuffer(vocabulary.encode(long, 3)[2][1], "<u4")) == long
 
 
 def test_ties_do_not_widen_the_search(vocabulary):
@@ -211,6 +225,10 @@ def test_pieces_round_trip(docs, none):
     path = public_tokenizers.path("piece_bpe_32k.model")
     encoded = sentence_pieces.encode_pieces(with_clashes(docs), path).cache()
     assert encoded.where("NOT round_trip").count() == 0 and encoded.count() == len(corpus())
+    every = sentence_pieces.encode_pieces(docs, path, with_n_best_ids=True).selectExpr("ids", "n_best_ids", "crc32s", "ids_crc32").collect()
+    for r in every:
+        assert [zlib.crc32(np.array(ids, "<i4").tobytes()) for ids in r["n_best_ids"]] == r["crc32s"]
+        assert r["n_best_ids"][:1] == [r["ids"]] * bool(r["ids"]) and r["crc32s"][:1] in ([], [r["ids_crc32"]])
     back = sentence_pieces.decode_pieces(encoded, path)
     assert rows_of(back, "doc_id", "text") == sorted(((r[0], r[1] or "") for r in corpus()), key=repr)
     assert sentence_pieces.encode_pieces(none, path).count() == 0
