@@ -71,9 +71,21 @@ def without_repeats(spark, sf_dir):
 
 @query(
     "st4_groups_of_k",
-    "SELECT user_id, event_type, unnest(range(count(*) // 3)) AS group_no, 3::BIGINT AS n FROM events GROUP BY user_id, event_type",
+    "SELECT user_id, event_type, unnest(range(count(*) // 3)) AS group_no, 3::BIGINT AS n, 3::BIGINT AS n_own, 3::BIGINT AS n_once "
+    "FROM events GROUP BY user_id, event_type",
 )
 def groups_of_k(spark, sf_dir):
+    """Size of each group, members that are events of its own block, and members that are in no other group."""
     grouped = streams.groups_of(_stream(spark, sf_dir), ["user_id", "event_type"], "event_id", 3)
     out = streams.run_to_table(grouped, "groups")
-    return out.select("user_id", "event_type", "group_no", F.size("members").cast("bigint").alias("n"))
+    members = out.select("user_id", "event_type", "group_no", F.explode("members").alias("event_id"))
+    uses = members.groupBy("event_id").agg(F.count(F.lit(1)).alias("uses"))
+    events = table(spark, sf_dir, "events").select("event_id", F.struct("user_id", "event_type").alias("block"))
+    own = F.col("block").eqNullSafe(F.struct("user_id", "event_type"))
+    count = lambda c: F.count(F.when(c, F.lit(1)))
+    return (
+        members.join(uses, "event_id")
+        .join(events, "event_id", "left")
+        .groupBy("user_id", "event_type", "group_no")
+        .agg(F.count(F.lit(1)).alias("n"), count(own).alias("n_own"), count(F.col("uses") == 1).alias("n_once"))
+    )
