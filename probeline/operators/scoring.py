@@ -30,8 +30,8 @@ WHOLE_ROWS = 1024
 SENT_ROWS, SENT_VALUES = 8192, 4_000_000
 
 
-#: Segments (low, high, number of bins) that do not overlap, from low to high, or one threshold.
-Edges = Sequence[tuple[float, float, int]] | float | None
+#: Segments (low, high, number of bins) that do not overlap, from low to high, or one alone, or a threshold.
+Edges = Sequence[tuple[float, float, int]] | tuple[float, float, int] | float | None
 
 
 def _block_rows(output: str) -> int:
@@ -474,8 +474,12 @@ def grid_scores(
     }
     keyed = [T.StructField(c, left.schema[c].dataType) for c in by]
     schema = T.StructType([*keyed, *[T.StructField(n, t) for n, t in shapes[output]]])
+    if isinstance(edges, Sequence):  # one segment may stand alone
+        segments = [edges] if edges and isinstance(edges[0], float) else list(edges)
+    else:
+        segments = edges
     cell = lambda sent=None: _cell_function(
-        _KINDS[method], output, unordered, by, list(edges) if isinstance(edges, Sequence) else edges, list(wanted), sent, whole
+        _KINDS[method], output, unordered, by, segments, list(wanted), sent, whole
     )
     extra = ["bar"] if output in ("count", "hits") else []
     if not unordered and output != "fused":
