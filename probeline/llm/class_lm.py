@@ -1,8 +1,10 @@
 """A class-based bigram language model: words belong to classes found by exchange clustering.
 
-P(word | history) = P(class | class before) * P(word | class). Word and bigram counts are Spark aggregates over all
-training texts. The most frequent words are units of their own; all others share a fixed number of units by their
-ending, so the unit bigram table is bounded however large the vocabulary grows, while emission counts stay per word.
+P(word | history) = P(class | class before) * P(word | class). Counts are Spark aggregates over all training texts.
+Exchange clustering starts on a table of bounded size: the most frequent words are units of their own, all others share
+units by their ending. Then every other word chooses a class of its own: its counts beside its neighbours' classes meet
+in one task, which takes the class of the highest likelihood under the table of classes. Both the final table and the
+scores use these own classes; those of rare words come by a join.
 """
 
 from __future__ import annotations
@@ -14,21 +16,24 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
-from probeline.llm.common import batch, blank_words, mixed, slices, stored, utf8, word_hashes
+from probeline.llm.common import batch, blank_words, lean, mixed, slices, stored, utf8, word_hashes
 
-#: Units: the end of a text, the most frequent words, and endings of the others. Classes, and rounds of exchange.
+#: Units of the start: the end of a text, the most frequent words, and endings of the others.
 FREQUENT_WORDS = 1791
 ENDINGS = 256
-UNITS = 1 + FREQUENT_WORDS + ENDINGS
 CLASSES = 64
+#: Rounds of exchange among the units, and of choice among all other words.
 ROUNDS = 6
-#: Words whose counts each task gets; the counts of rarer ones come by a join.
+CHOICES = 1
+#: Words whose counts and classes each task gets; those of rarer ones come by a join.
 KNOWN_WORDS = 100_000
 ADDED = 0.1
-#: Distinct words a task counts before it passes them on.
+#: Distinct keys a task counts before it passes them on.
 HELD_WORDS = 1_000_000
+#: Low bits of a word's hash, kept free: hash + slot is the key of a word beside a class (64 before it, 64 behind it).
+SLOTS = 128
 
 
 def held_out(doc_id: Column) -> Column:
@@ -41,6 +46,10 @@ def _endings(words: pa.Array) -> np.ndarray:
     return np.fromiter((crc(w[-3:]) % ENDINGS for w in words.to_pylist()), np.int64, len(words))
 
 
+def _hashes(words: pa.Array) -> np.ndarray:
+    return word_hashes(words) & np.int64(-SLOTS)
+
+
 def _pieces(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, pa.Array, np.ndarray]]:
     data, offsets = utf8(rows.column("text"))
     for low, high in slices(offsets):
@@ -48,58 +57,114 @@ def _pieces(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, pa.Array, n
         yield low, *blank_words(data[own[0] : own[-1]], own - own[0])
 
 
-def word_counts(texts: DataFrame) -> DataFrame:
-    """``word`` (64-bit hash), ``ending`` and ``n`` over all texts; tasks count first."""
-    schema = pa.schema([("word", pa.int64()), ("ending", pa.int32()), ("n", pa.int64())])
+class _Sums:
+    """Sums of counts by key, handed on when a task holds too many distinct ones."""
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
+    def __init__(self, name: str) -> None:
+        self.schema = pa.schema([(name, pa.int64()), ("n", pa.int64())])
+        self.keys: list[np.ndarray] = []
+        self.counts: list[np.ndarray] = []
 
-        def summed() -> np.ndarray:
-            rows = np.concatenate(held)
-            order = np.argsort(rows[:, 0], kind="stable")
-            rows = rows[order]
-            first = np.flatnonzero(np.concatenate(([True], rows[1:, 0] != rows[:-1, 0])))
-            return np.column_stack((rows[first, :2], np.add.reduceat(rows[:, 2], first)))
+    def _fold(self) -> None:
+        keys, of = np.unique(np.concatenate(self.keys), return_inverse=True)
+        counts = np.zeros(len(keys), np.int64)
+        np.add.at(counts, of, np.concatenate(self.counts))
+        self.keys, self.counts = [keys], [counts]
 
-        def passed(rows: np.ndarray) -> pa.RecordBatch:
-            return batch({"word": rows[:, 0], "ending": rows[:, 1].astype(np.int32), "n": rows[:, 2]}, schema)
+    def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self.keys.append(keys)
+        self.counts.append(counts)
+        if sum(map(len, self.keys)) > 2 * HELD_WORDS:
+            self._fold()
+            if len(self.keys[0]) > HELD_WORDS:
+                yield from self.rest()
 
+    def rest(self) -> Iterator[pa.RecordBatch]:
+        if self.keys:
+            self._fold()
+            keys, counts = self.keys[0], self.counts[0]
+            self.keys, self.counts = [], []
+            for a in range(0, len(keys), 100_000):
+                own = slice(a, a + 100_000)
+                yield batch({self.schema.names[0]: keys[own], "n": counts[own]}, self.schema)
+
+
+def word_counts(texts: DataFrame) -> DataFrame:
+    """``word`` (hash) and ``n`` over all texts; tasks count first."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums("word")
         for rows in batches:
             for _, codes, words, _ in _pieces(rows):
-                if len(words):
-                    counts = np.bincount(codes, minlength=len(words))
-                    held.append(np.column_stack((word_hashes(words), _endings(words), counts)))
-                    if sum(map(len, held)) > 2 * HELD_WORDS:
-                        held = [summed()]
-                        if len(held[0]) > HELD_WORDS:
-                            yield passed(held[0])
-                            held = []
-        if held:
-            yield passed(summed())
-
-    counted = texts.select("text").mapInArrow(count, "word bigint, ending int, n bigint")
-    return counted.groupBy("word").agg(F.first("ending").alias("ending"), F.sum("n").alias("n"))
-
-
-class Units:
-    """Maps words to units: sorted hashes of known words with their counts, the first ``FREQUENT_WORDS`` by count
-    being units."""
-
-    def __init__(self, words: np.ndarray, counts: np.ndarray) -> None:
+                yield from sums.add(_hashes(words), np.bincount(codes, minlength=len(words)))
+        yield from sums.rest()
+
+    counted = texts.select("text").mapInArrow(lean(count), "word bigint, n bigint")
+    return counted.groupBy("word").agg(F.sum("n").alias("n"))
+
+
+class Known:
+    """What tasks know: counts, units and classes of the most frequent words, and the class of each ending."""
+
+    def __init__(self, words: np.ndarray, counts: np.ndarray, frequent: int) -> None:
         rank = np.arange(len(words))
         order = np.argsort(words)
         self.words, self.counts = words[order], counts[order]
-        self.unit = np.where(rank < FREQUENT_WORDS, rank + 1, 0)[order]  # 0: by ending
+        self.unit = np.where(rank < frequent, rank + 1, 0)[order]  # 0: by ending
+        self.units, self.frequent = 1 + frequent + ENDINGS, frequent
+        self.classes = np.zeros(len(words), np.int64)
+        self.spare = np.zeros(ENDINGS, np.int64)
 
-    def look_up(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Hash, unit, and count (-1 where it is not known here) of each distinct word."""
-        hashes = word_hashes(words)
-        at = np.minimum(np.searchsorted(self.words, hashes), max(len(self.words) - 1, 0))
-        here = self.words[at] == hashes if len(self.words) else np.zeros(len(hashes), bool)
-        unit = np.where(here, self.unit[at], 0) if len(self.words) else np.zeros(len(hashes), np.int64)
-        count = np.where(here, self.counts[at], -1) if len(self.words) else np.full(len(hashes), -1)
-        return hashes, np.where(unit > 0, unit, 1 + FREQUENT_WORDS + _endings(words)), count
+    def find(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hash and place of each distinct word, and whether it is known."""
+        hashes = _hashes(words)
+        if not len(self.words):
+            return hashes, np.zeros(len(hashes), np.int64), np.zeros(len(hashes), bool)
+        at = np.minimum(np.searchsorted(self.words, hashes), len(self.words) - 1)
+        return hashes, at, self.words[at] == hashes
+
+    def _of(self, values: np.ndarray, at: np.ndarray, here: np.ndarray, other: np.ndarray | int) -> np.ndarray:
+        return np.where(here, values[at], other) if len(values) else np.broadcast_to(other, at.shape)
+
+    def units_of(self, words: pa.Array) -> np.ndarray:
+        _, at, here = self.find(words)
+        unit = self._of(self.unit, at, here, 0)
+        return np.where(unit > 0, unit, 1 + self.frequent + _endings(words))
+
+    def start(self, classes: np.ndarray) -> None:
+        """Take the classes of units; a word that is none gets that of its ending for the time being, if it has one."""
+        self.classes = np.where(self.unit > 0, classes[self.unit], -1)
+        self.spare = classes[1 + self.frequent :]
+
+    def choose(self, words: np.ndarray, classes: np.ndarray) -> None:
+        self.classes[np.searchsorted(self.words, words)] = classes
+
+
+@dataclass
+class _Line:
+    """Words of a slice of texts: each token's class, a text's tokens standing between ends."""
+
+    low: int
+    codes: np.ndarray
+    hashes: np.ndarray
+    before: np.ndarray  # tokens before each text
+    counts: np.ndarray  # of distinct words, -1: not known here
+    spare: np.ndarray  # class of each distinct word's ending
+    frequent: np.ndarray  # distinct words that are units
+    place: np.ndarray  # of each token on the line
+    classes: np.ndarray  # on the line
+    known: np.ndarray  # on the line: whether the class is the word's own
+
+
+def _lines(rows: pa.RecordBatch, known: Known) -> Iterator[_Line]:
+    for low, codes, words, before in _pieces(rows):
+        hashes, at, here = known.find(words)
+        own, spare = known._of(known.classes, at, here, -1), known.spare[_endings(words)]
+        line = _with_ends(np.where(own >= 0, own, spare)[codes], before)
+        sure = _with_ends((own < 0)[codes], before) == 0
+        place = np.arange(len(codes)) + 1 + np.repeat(np.arange(len(before) - 1), np.diff(before))
+        counts, unit = known._of(known.counts, at, here, -1), known._of(known.unit, at, here, 0)
+        yield _Line(low, codes, hashes, before, counts, spare, unit > 0, place, line, sure)
 
 
 def _with_ends(units: np.ndarray, before: np.ndarray) -> np.ndarray:
@@ -110,22 +175,24 @@ def _with_ends(units: np.ndarray, before: np.ndarray) -> np.ndarray:
     return out
 
 
-def unit_bigrams(texts: DataFrame, units: Units) -> DataFrame:
-    """``pair`` (unit * UNITS + following unit) and ``n``; tasks count first."""
+def unit_bigrams(texts: DataFrame, known: Known) -> DataFrame:
+    """``pair`` (unit * units + following unit) and ``n``; tasks count first."""
     schema = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
+    size = known.units
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(UNITS * UNITS, np.int64)
+        total = np.zeros(size * size, np.int64)
         for rows in batches:
             for _, codes, words, before in _pieces(rows):
-                line = _with_ends(units.look_up(words)[1][codes], before)
-                total += np.bincount(line[:-1] * UNITS + line[1:], minlength=UNITS * UNITS)
+                line = _with_ends(known.units_of(words)[codes], before)
+                total += np.bincount(line[:-1] * size + line[1:], minlength=size * size)
         found = np.flatnonzero(total)
         for low in range(0, len(found), 100_000):
             own = found[low : low + 100_000]
             yield batch({"pair": own.astype(np.int32), "n": total[own]}, schema)
 
-    return texts.select("text").mapInArrow(count, "pair int, n bigint").groupBy("pair").agg(F.sum("n").alias("n"))
+    counted = texts.select("text").mapInArrow(lean(count), "pair int, n bigint")
+    return counted.groupBy("pair").agg(F.sum("n").alias("n"))
 
 
 def _weight(x: np.ndarray) -> np.ndarray:
@@ -183,50 +250,195 @@ def exchange_classes(bigrams: np.ndarray, classes: int = CLASSES, rounds: int =
     return of
 
 
+def transitions(table: np.ndarray) -> np.ndarray:
+    """log10 P(class | class before) of counts of class pairs, drawn towards the share of the class."""
+    classes = len(table)
+    share = (table.sum(axis=0) + 1) / (table.sum() + classes)
+    return np.log10((table + classes * share) / (table.sum(axis=1, keepdims=True) + classes))
+
+
+def neighbour_counts(texts: DataFrame, known: Known) -> DataFrame:
+    """``key`` (word + slot of a class before or behind it) and ``n`` of all words that are no units. Tasks count first,
+    so a word has at most ``SLOTS`` rows a task, however often it occurs. A key may come from several tasks."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = _Sums("key")
+        for rows in batches:
+            for line in _lines(rows, known):
+                mine = ~line.frequent[line.codes]
+                at, codes = line.place[mine], line.codes[mine].astype(np.int64) * SLOTS
+                sides = (codes + line.classes[at - 1], codes + SLOTS // 2 + line.classes[at + 1])
+                pairs, n = np.unique(np.concatenate(sides), return_counts=True)
+                yield from sums.add(line.hashes[pairs // SLOTS] + pairs % SLOTS, n)
+        yield from sums.rest()
+
+    return texts.select("text").mapInArrow(lean(count), "key bigint, n bigint")
+
+
+def choose_classes(counts: DataFrame, step: np.ndarray, weight: np.ndarray) -> DataFrame:
+    """``word, class, n``: the class under which a word's neighbours are likeliest, given log10 transitions and the
+    log10 weight of each class; ties go to the first, class 0 is the end's alone."""
+    schema = pa.schema([("word", pa.int64()), ("class", pa.int32()), ("n", pa.int64())])
+    classes = len(step)
+    gains = np.zeros((SLOTS, classes))
+    gains[:classes] = step - weight  # every token has one word before it
+    gains[SLOTS // 2 : SLOTS // 2 + classes] = step.T
+
+    def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last, last_gain, last_n = np.zeros(0, np.int64), np.zeros((0, classes)), np.zeros(0, np.int64)
+
+        def chosen(words: np.ndarray, gain: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            best = 1 + np.argmax(gain[:, 1:], axis=1)
+            return batch({"word": words, "class": best.astype(np.int32), "n": n}, schema)
+
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
+            slot = key & np.int64(SLOTS - 1)
+            word = np.concatenate((last, key - slot))
+            gain = np.concatenate((last_gain, n[:, None] * gains[slot]))
+            seen = np.concatenate((last_n, np.where(slot < SLOTS // 2, n, 0)))
+            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
+            word, gain, seen = word[first], np.add.reduceat(gain, first), np.add.reduceat(seen, first)
+            last, last_gain, last_n = word[-1:], gain[-1:], seen[-1:]  # may go on in the next batch
+            if len(word) > 1:
+                yield chosen(word[:-1], gain[:-1], seen[:-1])
+        if len(last):
+            yield chosen(last, last_gain, last_n)
+
+    by_word = counts.repartition(F.shiftright("key", 7)).sortWithinPartitions("key", "n")
+    return by_word.mapInArrow(lean(choose), "word bigint, class int, n bigint")
+
+
+#: A token that is not known to the task: its text's row, its place there, the class before and behind it (-1: another
+#: such token's), and the class of its ending.
+_RARE = "row bigint, at bigint, word bigint, left int, right int, spare int"
+_RARE_FIELDS = [("row", pa.int64()), ("at", pa.int64()), ("word", pa.int64())]
+_RARE_FIELDS += [("left", pa.int32()), ("right", pa.int32()), ("spare", pa.int32())]
+
+
+def _rare_tokens(line: _Line, first_row: int, more: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+    """Those tokens of a line, with nulls in the fields of ``more``."""
+    schema = pa.schema(_RARE_FIELDS + more)
+    rare = np.flatnonzero(~line.known[line.place])
+    doc = np.searchsorted(line.before, rare, "right") - 1
+    for a in range(0, len(rare), 100_000):
+        own, row = rare[a : a + 100_000], first_row + doc[a : a + 100_000]
+        at, codes = line.place[own], line.codes[own]
+        side = lambda k: np.where(line.known[k], line.classes[k], -1).astype(np.int32)
+        values = (row, at, line.hashes[codes], side(at - 1), side(at + 1), line.spare[codes].astype(np.int32))
+        made = [pa.array(v, kind) for v, (_, kind) in zip(values, _RARE_FIELDS)]
+        yield pa.RecordBatch.from_arrays(made + [pa.nulls(len(own), kind) for _, kind in more], schema=schema)
+
+
+def _with_own_classes(tokens: DataFrame, words: DataFrame) -> DataFrame:
+    """Rare tokens with ``own`` and ``before``, their class and that of the token before, and ``seen``, their count.
+    A word without training tokens takes the class of its ending."""
+    joined = tokens.join(words.select("word", "class", F.col("n").alias("seen")), "word", "left")
+    own = joined.withColumn("own", F.coalesce("class", "spare")).drop("class", "spare")
+    previous = F.lag("own").over(Window.partitionBy("row").orderBy("at"))
+    return own.withColumn("before", F.when(F.col("left") >= 0, F.col("left")).otherwise(previous))
+
+
+def class_bigrams(texts: DataFrame, known: Known, words: DataFrame, classes: int) -> np.ndarray:
+    """Counts of class pairs, every word having its own class."""
+    more = [("n", pa.int64())]
+    schema = pa.schema(_RARE_FIELDS + more)
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        following = TaskContext.get().partitionId() << 40
+        total = np.zeros(classes * classes, np.int64)
+        for rows in batches:
+            for line in _lines(rows, known):
+                both = line.known[:-1] & line.known[1:]
+                pairs = (line.classes[:-1] * classes + line.classes[1:])[both]
+                total += np.bincount(pairs, minlength=classes * classes)
+                yield from _rare_tokens(line, following, more)
+                following += len(line.before) - 1
+        found = np.flatnonzero(total)
+        row = following + np.arange(len(found))
+        yield batch(
+            {
+                "row": row,
+                "at": np.zeros(len(found), np.int64),
+                "word": mixed(row.astype(np.uint64)).view(np.int64) | 1,  # no word's hash
+                "left": (found // classes).astype(np.int32),
+                "right": (found % classes).astype(np.int32),
+                "spare": pa.nulls(len(found), pa.int32()),
+                "n": total[found],
+            },
+            schema,
+        )
+
+    tokens = texts.select("text").mapInArrow(lean(count), f"{_RARE}, n bigint")
+    own, right = F.col("own"), F.col("right")
+    pairs = F.array_compact(
+        F.array(
+            F.when(own.isNull(), F.col("left") * classes + right),
+            F.col("before") * classes + own,
+            F.when(right >= 0, own * classes + right),
+        )
+    )
+    rows = _with_own_classes(tokens, words).select(F.explode(pairs).alias("pair"), F.coalesce("n", F.lit(1)).alias("n"))
+    table = np.zeros(classes * classes, np.int64)
+    for row in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most classes squared
+        table[row["pair"]] = row["n"]
+    return table.reshape(classes, classes)
+
+
 @dataclass
 class ClassModel:
-    """What scoring needs: bounded arrays, and the table of all word counts."""
+    """What scoring needs: bounded arrays, and the table of all words that are no units (``word, class, n``)."""
 
-    units: Units
-    classes: np.ndarray
+    known: Known
     step: np.ndarray  # log10 P(class | class before)
     emitted: np.ndarray  # log10 of the emission denominator of each class
     tokens: int
     types: int
     ends: int
-    counts: DataFrame
+    words: DataFrame
+
 
+def train_class_model(
+    texts: DataFrame, classes: int = CLASSES, rounds: int = ROUNDS, choices: int = CHOICES
+) -> ClassModel:
+    """Counts, classes and probabilities from all rows of ``texts`` (a null text is empty and still has its end).
 
-def train_class_model(texts: DataFrame) -> ClassModel:
-    """Counts, classes and probabilities from all rows of ``texts`` (a null text is empty and still has its end)."""
+    ``rounds`` of exchange among the units, then ``choices`` rounds in which every other word picks its class; in the
+    first, words that are no units stand for their ending as neighbours, later the known ones for their own class.
+    """
+    if not 2 <= classes <= SLOTS // 2:
+        raise ValueError(f"classes must be from 2 to {SLOTS // 2}")
+    if choices < 1:
+        raise ValueError("words need one round of choice at least")
     counts = stored(word_counts(texts), "word_counts")
     ends = texts.count()
-    words, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
-    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).select("word", "n").toArrow()
-    units = Units(top.column("word").to_numpy(), top.column("n").to_numpy())
-    pairs = unit_bigrams(texts, units).toArrow()  # at most UNITS squared
-    bigrams = np.zeros(UNITS * UNITS, np.int64)
+    types, tokens = counts.agg(F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(0))).first()
+    top = counts.orderBy(F.desc("n"), "word").limit(KNOWN_WORDS).toArrow()
+    known = Known(top.column("word").to_numpy(), top.column("n").to_numpy(), FREQUENT_WORDS)
+    size = known.units
+    pairs = unit_bigrams(texts, known).toArrow()  # at most units squared
+    bigrams = np.zeros(size * size, np.int64)
     bigrams[pairs.column("pair").to_numpy()] = pairs.column("n").to_numpy()
-    bigrams = bigrams.reshape(UNITS, UNITS)
-    classes = exchange_classes(bigrams)
-    member = np.zeros((UNITS, CLASSES))
-    member[np.arange(UNITS), classes] = 1
-    table = member.T @ bigrams @ member
-    share = (table.sum(axis=0) + 1) / (table.sum() + CLASSES)
-    step = np.log10((table + CLASSES * share) / (table.sum(axis=1, keepdims=True) + CLASSES))
-    # distinct words by unit: one each for frequent words, all words of an ending that are no unit
-    own = set(units.words[units.unit > 0].tolist())
-    by_ending = counts.groupBy("ending").agg(F.count(F.lit(1)).alias("types")).collect()
-    types = np.zeros(UNITS)
-    types[1 : 1 + len(own)] = 1
-    for row in by_ending:
-        types[1 + FREQUENT_WORDS + row["ending"]] = row["types"]
-    frequent = counts.orderBy(F.desc("n"), "word").limit(FREQUENT_WORDS).groupBy("ending").agg(F.count(F.lit(1)).alias("k"))
-    for row in frequent.collect():
-        types[1 + FREQUENT_WORDS + row["ending"]] -= row["k"]
-    emitted = np.log10(member.T @ bigrams.sum(axis=0) + ADDED * (member.T @ types + 1))
+    bigrams = bigrams.reshape(size, size)
+    of_unit = exchange_classes(bigrams, classes, rounds)
+    known.start(of_unit)
+    member = np.zeros((size, classes))
+    member[np.arange(size), of_unit] = 1
+    step, weight = transitions(member.T @ bigrams @ member), np.log10(member.T @ bigrams.sum(axis=0) + 1)
+    for k in range(choices):
+        words = stored(choose_classes(neighbour_counts(texts, known), step, weight), "word_classes")
+        rest = words.orderBy(F.desc("n"), "word").limit(max(0, KNOWN_WORDS - FREQUENT_WORDS)).toArrow()
+        known.choose(rest.column("word").to_numpy(), rest.column("class").to_numpy())
+        step = transitions(table := class_bigrams(texts, known, words, classes))
+        weight = np.log10(table.sum(axis=0) + 1)
+    of_class = np.bincount(known.classes[known.unit > 0], minlength=classes).astype(np.int64)
+    for row in words.groupBy("class").agg(F.count(F.lit(1)).alias("types")).collect():
+        of_class[row["class"]] += row["types"]
+    emitted = np.log10(table.sum(axis=0) + ADDED * (of_class + 1))  # one more for words not seen
     emitted[0] = np.log10(ends + ADDED)  # the end is the only word of its class
-    return ClassModel(units, classes, step, emitted, tokens + ends, words + (ends > 0), ends, counts)
+    return ClassModel(known, step, emitted, tokens + ends, types + (ends > 0), ends, words)
 
 
 def score_documents(docs: DataFrame, model: ClassModel) -> DataFrame:
@@ -234,23 +446,13 @@ def score_documents(docs: DataFrame, model: ClassModel) -> DataFrame:
 
     Scores are log10 probabilities of the whole text and its end: ``base_score`` by add-0.1 unigrams, ``score`` by
     the class model. A null or empty text has only its end. Repeated rows are scored one by one; other columns are
-    ignored. Rare words meet their counts in a join, at most one row per text and word.
+    ignored. Rare words meet their counts and classes in a join, one row each.
     """
-    units, classes, step, emitted = model.units, model.classes, model.step, model.emitted
-    ends = model.ends
-    schema = pa.schema(
-        [
-            ("row", pa.int64()),
-            ("word", pa.int64()),
-            ("times", pa.int32()),
-            ("doc_id", pa.int64()),
-            ("held_out", pa.bool_()),
-            ("n_tokens", pa.int64()),
-            ("known", pa.int64()),
-            ("log_counts", pa.float64()),
-            ("rest", pa.float64()),
-        ]
-    )
+    known, step, emitted, ends = model.known, model.step, model.emitted, model.ends
+    classes = len(step)
+    more = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64())]
+    more += [("log_counts", pa.float64()), ("rest", pa.float64())]
+    schema = pa.schema(_RARE_FIELDS + more)
 
     def sums(values: np.ndarray, before: np.ndarray) -> np.ndarray:
         total = np.concatenate(([0.0], np.cumsum(values)))
@@ -259,62 +461,48 @@ def score_documents(docs: DataFrame, model: ClassModel) -> DataFrame:
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         following = TaskContext.get().partitionId() << 40
         for rows in batches:
-            for low, codes, words, before in _pieces(rows):
-                n = len(before) - 1
-                hashes, unit, count = units.look_up(words)
-                line = classes[_with_ends(unit[codes], before)]
+            for line in _lines(rows, known):
+                n, low, before = len(line.before) - 1, line.low, line.before
+                here, sure = line.counts[line.codes], line.known
+                counted = sure[line.place]
                 size = np.diff(before)
                 inside = before + np.arange(n + 1)  # of the line, with its ends
-                here = count[codes]
-                known = here >= 0
                 own = np.arange(n) + following
-                following += n
                 end = np.log10(ends + ADDED)
+                logs = np.where(sure[:-1] & sure[1:], step[line.classes[:-1], line.classes[1:]], 0.0)
+                logs -= np.where(sure[1:], emitted[line.classes[1:]], 0.0)
                 yield batch(
                     {
                         "row": own,
-                        "word": mixed(own.astype(np.uint64)).view(np.int64),  # spreads these rows over the join
-                        "times": np.zeros(n, np.int32),
+                        "at": np.full(n, -1),
+                        "word": mixed(own.astype(np.uint64)).view(np.int64) | 1,  # no word's hash
+                        **{name: pa.nulls(n, pa.int32()) for name in ("left", "right", "spare")},
                         "doc_id": rows.column("doc_id")[low : low + n],
                         "held_out": rows.column("held_out")[low : low + n],
                         "n_tokens": size + 1,
-                        "known": sums(known, before).astype(np.int64) + (ends > 0),
-                        "log_counts": sums(np.where(known, np.log10(np.maximum(here, 0) + ADDED), 0.0), before) + end,
-                        "rest": sums(step[line[:-1], line[1:]] - emitted[line[1:]], inside),
+                        "known": sums(counted, before).astype(np.int64) + (ends > 0),
+                        "log_counts": sums(np.where(counted, np.log10(np.maximum(here, 0) + ADDED), 0.0), before) + end,
+                        "rest": sums(logs, inside),
                     },
                     schema,
                 )
-                doc = np.repeat(np.arange(n), size)[~known]
-                pairs, times = np.unique(doc * max(len(words), 1) + codes[~known], return_counts=True)
-                for a in range(0, len(pairs), 100_000):
-                    part = pairs[a : a + 100_000]
-                    gone = pa.nulls(len(part))
-                    made = {name: gone for name in schema.names[3:]}
-                    made |= {
-                        "row": own[part // len(words)],
-                        "word": hashes[part % len(words)],
-                        "times": times[a : a + 100_000].astype(np.int32),
-                    }
-                    yield pa.RecordBatch.from_arrays(
-                        [x.cast(f.type) if isinstance(x := made[f.name], pa.Array) else pa.array(x, f.type) for f in schema],
-                        schema=schema,
-                    )
-
-    ddl = (
-        "row bigint, word bigint, times int, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, "
-        "log_counts double, rest double"
-    )
-    parts = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(split, ddl)
-    rare = F.col("times") > 0
-    joined = parts.join(model.counts.select("word", "n"), "word", "left")
-    seen = F.coalesce("n", F.lit(0))
-    summed = joined.groupBy("row").agg(
+                yield from _rare_tokens(line, following, more)
+                following += n
+
+    ddl = f"{_RARE}, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_counts double, rest double"
+    parts = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(lean(split), ddl)
+    own, seen = F.col("own"), F.coalesce("seen", F.lit(0))
+    flat = F.lit(step.ravel())
+    steps = lambda a, b: F.get(flat, a * classes + b)
+    rest = steps(F.col("before"), own) - F.get(F.lit(emitted), own)
+    rest += F.when(F.col("right") >= 0, steps(own, F.col("right"))).otherwise(0.0)
+    summed = _with_own_classes(parts, model.words).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.sum(F.when(rare & (seen > 0), F.col("times")).otherwise(0))).alias("n_known"),
-        (F.max("log_counts") + F.sum(F.when(rare, F.col("times") * F.log10(seen + ADDED)).otherwise(0.0))).alias("s"),
-        F.max("rest").alias("rest"),
+        (F.max("known") + F.count(F.when(own.isNotNull() & (seen > 0), 1))).alias("n_known"),
+        (F.max("log_counts") + F.sum(F.when(own.isNotNull(), F.log10(seen + ADDED)).otherwise(0.0))).alias("s"),
+        (F.max("rest") + F.sum(F.when(own.isNotNull(), rest).otherwise(0.0))).alias("rest"),
     )
     base = F.log10(F.lit(model.tokens + ADDED * (model.types + 1)))
     return summed.select(

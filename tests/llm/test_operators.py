@@ -1,6 +1,7 @@
 """Each operator against a brute-force version on awkward rows."""
 
 import collections
+import functools
 import hashlib
 import itertools
 import math
@@ -345,6 +346,74 @@ def test_rare_words_come_by_join(docs, monkeypatch):
     assert rows_of(class_lm.score_documents(docs, class_lm.train_class_model(train)), "doc_id", "n_known", "n_tokens") == whole
 
 
+@pytest.mark.parametrize("choices", [1, 2])
+def test_every_word_chooses_its_class(spark, docs, monkeypatch, choices):
+    """Choices, class table, probabilities and scores against plain Python, with runs of words that tasks don't know."""
+    monkeypatch.setattr(class_lm, "FREQUENT_WORDS", 6)
+    monkeypatch.setattr(class_lm, "KNOWN_WORDS", 15)
+    monkeypatch.setattr(class_lm, "HELD_WORDS", 40)
+    train = docs.where(~class_lm.held_out(docs["doc_id"]))
+    model = class_lm.train_class_model(train, classes=5, choices=choices)
+    own = {r["word"]: (r["class"], r["n"]) for r in model.words.collect()}
+    known = model.known
+    units = {int(w): (int(c), int(n)) for w, c, n, u in zip(known.words, known.classes, known.counts, known.unit) if u}
+    assert len(units) == 6 and not units.keys() & own.keys()
+    hash_of = functools.cache(lambda w: int(class_lm._hashes(pa.array([w]))[0]))
+    words_of = lambda text: [hash_of(w) for w in WORD.findall(low(text))]
+    texts = [words_of(r["text"]) for r in train.select("text").collect()]
+    counts = collections.Counter(w for t in texts for w in t)
+    assert {w: n for w, (_, n) in (own | units).items()} == counts  # every word has a class and its own count
+    assert {c for c, _ in (own | units).values()} <= set(range(1, 5))
+    ending = {hash_of(w): zlib.crc32(w[-3:]) % class_lm.ENDINGS for r in docs.select("text").collect() for w in WORD.findall(low(r[0]))}
+    spare = lambda w: int(known.spare[ending[w]])
+
+    def class_table(of):
+        table = np.zeros((5, 5))
+        for t in texts:
+            line = [0, *map(of, t), 0]
+            np.add.at(table, (line[:-1], line[1:]), 1)
+        return table
+
+    def probabilities(table):
+        share = (table.sum(axis=0) + 1) / (table.sum() + 5)
+        return np.log10((table + 5 * share) / (table.sum(axis=1, keepdims=True) + 5))
+
+    start = lambda w: units[w][0] if w in units else spare(w)
+    if choices == 1:  # each class is the likeliest beside the neighbours' classes of the start
+        table = class_table(start)
+        step, weight = probabilities(table), np.log10(table.sum(axis=0) + 1)
+        gain = collections.defaultdict(lambda: np.zeros(5))
+        for t in texts:
+            line = [0, *map(start, t), 0]
+            for k, w in enumerate(t):
+                gain[w] += step[line[k]] + step[:, line[k + 2]] - weight
+        for w, (c, _) in own.items():
+            assert gain[w][c] >= gain[w][1:].max() - 1e-9
+    of = lambda w: (own | units)[w][0] if w in counts else spare(w)
+    table = class_table(of)
+    step = probabilities(table)
+    assert np.allclose(step, model.step) and np.allclose((10**model.step).sum(axis=1), 1)
+    for c in range(1, 5):  # emissions of a class and of one word not seen sum to one
+        members = [n for k, n in (own | units).values() if k == c]
+        assert math.isclose(sum(n + 0.1 for n in members) + 0.1, 10 ** model.emitted[c], rel_tol=1e-9)
+    made = docs.selectExpr("monotonically_increasing_id() AS doc_id", "text").collect()
+    given = spark.createDataFrame([(r[0], r[1]) for r in made], "doc_id bigint, text string")
+    scores = {r["doc_id"]: r["score"] for r in class_lm.score_documents(given, model).collect()}
+    for doc, text in made:
+        line = words_of(text)
+        classes = [0, *map(of, line), 0]
+        wanted = sum(step[a, b] for a, b in zip(classes, classes[1:]))
+        wanted += sum(math.log10(counts[w] + 0.1) - model.emitted[of(w)] for w in line)
+        assert math.isclose(scores[doc], wanted, rel_tol=1e-9), doc
+
+
+def test_class_model_refuses_odd_sizes(docs):
+    with pytest.raises(ValueError):
+        class_lm.train_class_model(docs, classes=65)
+    with pytest.raises(ValueError):
+        class_lm.train_class_model(docs, choices=0)
+
+
 def test_exchange_finds_classes():
     # two kinds of words that alternate, and an end
     size = 11
