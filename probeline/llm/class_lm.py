@@ -16,7 +16,7 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, functions as F
 
 from probeline.llm.common import batch, blank_words, lean, mixed, slices, stored, utf8, word_hashes
 
@@ -285,40 +285,43 @@ def choose_classes(counts: DataFrame, step: np.ndarray, weight: np.ndarray) -> D
     gains[SLOTS // 2 : SLOTS // 2 + classes] = step.T
 
     def choose(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, last_gain, last_n = np.zeros(0, np.int64), np.zeros((0, classes)), np.zeros(0, np.int64)
-
-        def chosen(words: np.ndarray, gain: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+        held, held_n = np.zeros(0, np.int64), np.zeros(0, np.int64)  # of the last word, which may go on
+
+        def chosen(keys: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            slot = keys & np.int64(SLOTS - 1)
+            words = keys - slot
+            first = np.flatnonzero(np.concatenate(([True], words[1:] != words[:-1])))
+            gain = np.add.reduceat(n[:, None] * gains[slot], first)
+            seen = np.add.reduceat(np.where(slot < SLOTS // 2, n, 0), first)
             best = 1 + np.argmax(gain[:, 1:], axis=1)
-            return batch({"word": words, "class": best.astype(np.int32), "n": n}, schema)
+            return batch({"word": words[first], "class": best.astype(np.int32), "n": seen}, schema)
 
         for rows in batches:
             if not rows.num_rows:
                 continue
-            key, n = rows.column("key").to_numpy(), rows.column("n").to_numpy()
-            slot = key & np.int64(SLOTS - 1)
-            word = np.concatenate((last, key - slot))
-            gain = np.concatenate((last_gain, n[:, None] * gains[slot]))
-            seen = np.concatenate((last_n, np.where(slot < SLOTS // 2, n, 0)))
-            first = np.flatnonzero(np.concatenate(([True], word[1:] != word[:-1])))
-            word, gain, seen = word[first], np.add.reduceat(gain, first), np.add.reduceat(seen, first)
-            last, last_gain, last_n = word[-1:], gain[-1:], seen[-1:]  # may go on in the next batch
-            if len(word) > 1:
-                yield chosen(word[:-1], gain[:-1], seen[:-1])
-        if len(last):
-            yield chosen(last, last_gain, last_n)
-
-    by_word = counts.repartition(F.shiftright("key", 7)).sortWithinPartitions("key", "n")
+            keys = np.concatenate((held, rows.column("key").to_numpy()))
+            first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))
+            n = np.add.reduceat(np.concatenate((held_n, rows.column("n").to_numpy())), first)
+            keys = keys[first]
+            begin = int(np.searchsorted(keys, keys[-1] & np.int64(-SLOTS)))
+            if begin:
+                yield chosen(keys[:begin], n[:begin])
+            held, held_n = keys[begin:], n[begin:]
+        if len(held):
+            yield chosen(held, held_n)
+
+    by_word = counts.repartition(F.shiftright("key", 7)).sortWithinPartitions("key")
     return by_word.mapInArrow(lean(choose), "word bigint, class int, n bigint")
 
 
-#: A token that is not known to the task: its text's row, its place there, the class before and behind it (-1: another
+#: A token that is not known to the task: its text's row, its place among all texts of the task, the class before and behind it (-1: another
 #: such token's), and the class of its ending.
 _RARE = "row bigint, at bigint, word bigint, left int, right int, spare int"
 _RARE_FIELDS = [("row", pa.int64()), ("at", pa.int64()), ("word", pa.int64())]
 _RARE_FIELDS += [("left", pa.int32()), ("right", pa.int32()), ("spare", pa.int32())]
 
 
-def _rare_tokens(line: _Line, first_row: int, more: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
+def _rare_tokens(line: _Line, first_row: int, first_place: int, more: list[tuple[str, pa.DataType]]) -> Iterator[pa.RecordBatch]:
     """Those tokens of a line, with nulls in the fields of ``more``."""
     schema = pa.schema(_RARE_FIELDS + more)
     rare = np.flatnonzero(~line.known[line.place])
@@ -327,18 +330,25 @@ def _rare_tokens(line: _Line, first_row: int, more: list[tuple[str, pa.DataType]
         own, row = rare[a : a + 100_000], first_row + doc[a : a + 100_000]
         at, codes = line.place[own], line.codes[own]
         side = lambda k: np.where(line.known[k], line.classes[k], -1).astype(np.int32)
-        values = (row, at, line.hashes[codes], side(at - 1), side(at + 1), line.spare[codes].astype(np.int32))
+        values = (row, first_place + at, line.hashes[codes], side(at - 1), side(at + 1), line.spare[codes].astype(np.int32))
         made = [pa.array(v, kind) for v, (_, kind) in zip(values, _RARE_FIELDS)]
         yield pa.RecordBatch.from_arrays(made + [pa.nulls(len(own), kind) for _, kind in more], schema=schema)
 
 
-def _with_own_classes(tokens: DataFrame, words: DataFrame) -> DataFrame:
-    """Rare tokens with ``own`` and ``before``, their class and that of the token before, and ``seen``, their count.
-    A word without training tokens takes the class of its ending."""
+def _with_own_classes(tokens: DataFrame, words: DataFrame, *more: str) -> DataFrame:
+    """Rare tokens with ``own``, their class, and ``seen``, their count; texts stay whole and in order. A word without
+    training tokens takes the class of its ending."""
     joined = tokens.join(words.select("word", "class", F.col("n").alias("seen")), "word", "left")
-    own = joined.withColumn("own", F.coalesce("class", "spare")).drop("class", "spare")
-    previous = F.lag("own").over(Window.partitionBy("row").orderBy("at"))
-    return own.withColumn("before", F.when(F.col("left") >= 0, F.col("left")).otherwise(previous))
+    own = F.coalesce("class", "spare").alias("own")
+    return joined.select("row", "at", "left", "right", own, "seen", *more).repartition("row").sortWithinPartitions("at")
+
+
+def _sides(rows: pa.RecordBatch, last: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Class before, own class and class behind of each row (-1: none, or another rare token's behind)."""
+    left, right, own = (
+        rows.column(c).fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("left", "right", "own")
+    )
+    return np.where(left >= 0, left, np.concatenate(([last], own[:-1]))), own, right
 
 
 def class_bigrams(texts: DataFrame, known: Known, words: DataFrame, classes: int) -> np.ndarray:
@@ -347,21 +357,22 @@ def class_bigrams(texts: DataFrame, known: Known, words: DataFrame, classes: int
     schema = pa.schema(_RARE_FIELDS + more)
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        following = TaskContext.get().partitionId() << 40
+        following = place = TaskContext.get().partitionId() << 40
         total = np.zeros(classes * classes, np.int64)
         for rows in batches:
             for line in _lines(rows, known):
                 both = line.known[:-1] & line.known[1:]
                 pairs = (line.classes[:-1] * classes + line.classes[1:])[both]
                 total += np.bincount(pairs, minlength=classes * classes)
-                yield from _rare_tokens(line, following, more)
+                yield from _rare_tokens(line, following, place, more)
                 following += len(line.before) - 1
+                place += len(line.classes)
         found = np.flatnonzero(total)
         row = following + np.arange(len(found))
         yield batch(
             {
                 "row": row,
-                "at": np.zeros(len(found), np.int64),
+                "at": place + np.arange(len(found)),
                 "word": mixed(row.astype(np.uint64)).view(np.int64) | 1,  # no word's hash
                 "left": (found // classes).astype(np.int32),
                 "right": (found % classes).astype(np.int32),
@@ -371,16 +382,25 @@ def class_bigrams(texts: DataFrame, known: Known, words: DataFrame, classes: int
             schema,
         )
 
+    pair_schema = pa.schema([("pair", pa.int32()), ("n", pa.int64())])
+
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, last = np.zeros(classes * classes, np.int64), -1
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            before, own, right = _sides(rows, last)
+            rare, last = own >= 0, int(own[-1])
+            n = rows.column("n").fill_null(0).to_numpy(zero_copy_only=False)
+            np.add.at(total, (before * classes + right)[~rare], n[~rare])  # counted by tasks already
+            behind = rare & (right >= 0)
+            for found in ((before * classes + own)[rare], (own * classes + right)[behind]):
+                total += np.bincount(found, minlength=classes * classes)
+        found = np.flatnonzero(total)
+        yield batch({"pair": found.astype(np.int32), "n": total[found]}, pair_schema)
+
     tokens = texts.select("text").mapInArrow(lean(count), f"{_RARE}, n bigint")
-    own, right = F.col("own"), F.col("right")
-    pairs = F.array_compact(
-        F.array(
-            F.when(own.isNull(), F.col("left") * classes + right),
-            F.col("before") * classes + own,
-            F.when(right >= 0, own * classes + right),
-        )
-    )
-    rows = _with_own_classes(tokens, words).select(F.explode(pairs).alias("pair"), F.coalesce("n", F.lit(1)).alias("n"))
+    rows = _with_own_classes(tokens, words, "n").mapInArrow(lean(pairs), "pair int, n bigint")
     table = np.zeros(classes * classes, np.int64)
     for row in rows.groupBy("pair").agg(F.sum("n").alias("n")).collect():  # at most classes squared
         table[row["pair"]] = row["n"]
@@ -449,7 +469,6 @@ def score_documents(docs: DataFrame, model: ClassModel) -> DataFrame:
     ignored. Rare words meet their counts and classes in a join, one row each.
     """
     known, step, emitted, ends = model.known, model.step, model.emitted, model.ends
-    classes = len(step)
     more = [("doc_id", pa.int64()), ("held_out", pa.bool_()), ("n_tokens", pa.int64()), ("known", pa.int64())]
     more += [("log_counts", pa.float64()), ("rest", pa.float64())]
     schema = pa.schema(_RARE_FIELDS + more)
@@ -459,7 +478,7 @@ def score_documents(docs: DataFrame, model: ClassModel) -> DataFrame:
         return total[before[1:]] - total[before[:-1]]
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        following = TaskContext.get().partitionId() << 40
+        following = place = TaskContext.get().partitionId() << 40
         for rows in batches:
             for line in _lines(rows, known):
                 n, low, before = len(line.before) - 1, line.low, line.before
@@ -474,7 +493,7 @@ def score_documents(docs: DataFrame, model: ClassModel) -> DataFrame:
                 yield batch(
                     {
                         "row": own,
-                        "at": np.full(n, -1),
+                        "at": place + inside[:-1],  # where the end before the text stands
                         "word": mixed(own.astype(np.uint64)).view(np.int64) | 1,  # no word's hash
                         **{name: pa.nulls(n, pa.int32()) for name in ("left", "right", "spare")},
                         "doc_id": rows.column("doc_id")[low : low + n],
@@ -486,23 +505,41 @@ def score_documents(docs: DataFrame, model: ClassModel) -> DataFrame:
                     },
                     schema,
                 )
-                yield from _rare_tokens(line, following, more)
+                yield from _rare_tokens(line, following, place, more)
                 following += n
+                place += len(line.classes)
 
     ddl = f"{_RARE}, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_counts double, rest double"
     parts = docs.select("doc_id", "text", held_out(F.col("doc_id")).alias("held_out")).mapInArrow(lean(split), ddl)
-    own, seen = F.col("own"), F.coalesce("seen", F.lit(0))
-    flat = F.lit(step.ravel())
-    steps = lambda a, b: F.get(flat, a * classes + b)
-    rest = steps(F.col("before"), own) - F.get(F.lit(emitted), own)
-    rest += F.when(F.col("right") >= 0, steps(own, F.col("right"))).otherwise(0.0)
-    summed = _with_own_classes(parts, model.words).groupBy("row").agg(
+    summed_schema = pa.schema([("row", pa.int64()), *more])
+
+    def add_up(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        last = -1
+        for rows in batches:
+            if not rows.num_rows:
+                continue
+            before, own, right = _sides(rows, last)
+            rare, last = own >= 0, int(own[-1])
+            seen = rows.column("seen").fill_null(0).to_numpy(zero_copy_only=False)
+            given = lambda c: rows.column(c).fill_null(0).to_numpy(zero_copy_only=False)
+            rest = step[before, own] + np.where(right >= 0, step[own, right], 0.0) - emitted[own]
+            row = rows.column("row").to_numpy()
+            first = np.flatnonzero(np.concatenate(([True], row[1:] != row[:-1])))
+            out = {name: rows.column(name).take(pa.array(first)) for name in ("row", "doc_id", "held_out", "n_tokens")}
+            out["known"] = np.add.reduceat(np.where(rare, seen > 0, given("known")), first)
+            out["log_counts"] = np.add.reduceat(np.where(rare, np.log10(seen + ADDED), given("log_counts")), first)
+            out["rest"] = np.add.reduceat(np.where(rare, rest, given("rest")), first)
+            yield batch(out, summed_schema)
+
+    names = [name for name, _ in more]
+    ddl = "row bigint, doc_id bigint, held_out boolean, n_tokens bigint, known bigint, log_counts double, rest double"
+    summed = _with_own_classes(parts, model.words, *names).mapInArrow(lean(add_up), ddl).groupBy("row").agg(
         F.max("doc_id").alias("doc_id"),
         F.max("held_out").alias("held_out"),
         F.max("n_tokens").alias("n_tokens"),
-        (F.max("known") + F.count(F.when(own.isNotNull() & (seen > 0), 1))).alias("n_known"),
-        (F.max("log_counts") + F.sum(F.when(own.isNotNull(), F.log10(seen + ADDED)).otherwise(0.0))).alias("s"),
-        (F.max("rest") + F.sum(F.when(own.isNotNull(), rest).otherwise(0.0))).alias("rest"),
+        F.sum("known").alias("n_known"),
+        F.sum("log_counts").alias("s"),
+        F.sum("rest").alias("rest"),
     )
     base = F.log10(F.lit(model.tokens + ADDED * (model.types + 1)))
     return summed.select(
