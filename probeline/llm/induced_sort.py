@@ -373,8 +373,9 @@ def _names(text: np.ndarray, starts: np.ndarray, n_symbols: int) -> tuple[np.nda
     while True:
         group = np.cumsum(fresh) - 1
         alone = fresh & np.append(fresh[1:], True)
-        longer = ends[order] - starts[order] + 1 > chunk * width
-        at = np.flatnonzero(~alone & longer)
+        # a piece that ends with the chunk has shown no top symbol yet: it goes on too, with top symbols alone
+        unended = ends[order] - starts[order] + 1 >= chunk * width
+        at = np.flatnonzero(~alone & unended)
         if not len(at):
             break
         key = keys(order[at], chunk)

@@ -75,6 +75,13 @@ def test_queue_uses_files(tmp_path, monkeypatch):
     assert len(written) > 20 and found == brute_suffixes(data)
 
 
+def test_pieces_that_end_with_a_key(tmp_path):
+    """A piece of exactly one key's symbols is larger than those that go on after them."""
+    runs = [(100, 1), (99, 4), (100, 4), (99, 1), (100, 1), (99, 4), (100, 4), (99, 1), (2, 1), (100, 1), (99, 4), (100, 4), (99, 1)]
+    data = np.repeat(*np.array(runs).T).astype(np.uint16)
+    assert induced(data, tmp_path, 1 << 20) == brute_suffixes(data)
+
+
 # repeated bytes
 
 
