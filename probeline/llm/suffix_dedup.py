@@ -19,7 +19,7 @@ import zstandard
 from pyspark.sql import DataFrame, functions as F, types as T
 from pyspark.sql.pandas.types import from_arrow_schema
 
-from probeline.llm.common import batch, mixed, stored, utf8
+from probeline.llm.common import batch, lean, mixed, stored, utf8
 from probeline.llm.induced_sort import suffixes_downwards
 from probeline.session import parallelism, scratch_path
 
@@ -28,7 +28,7 @@ GRAM = 32
 #: Windows in one segment at most; long runs of one repeated pattern are cut there.
 MOST_WINDOWS = 256
 #: Bytes of text hashed at once in a task; longer texts are read in overlapping pieces.
-PIECE_BYTES = 2 << 20
+PIECE_BYTES = 1 << 20
 #: Bytes of segments sorted as one shard, and beyond which one hash's segments are dealt again.
 SHARD_BYTES = 4 << 20
 LEAST_SHARD_BYTES = 1 << 20
@@ -188,7 +188,7 @@ def _packed(docs: DataFrame, columns: list[str]) -> DataFrame:
                     names=["own", "k1", "k2", "z"],
                 )
 
-    return rows.mapInArrow(pack, kind)
+    return rows.mapInArrow(lean(pack), kind)
 
 
 def _once_per_task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -280,7 +280,7 @@ def _compared(segments: DataFrame, n_bytes: int, folder: str) -> DataFrame:
 
     few = min(parallelism(segments.sparkSession), -(-n_bytes // LEAST_SHARD_BYTES))
     shards = max(1, few, -(-n_bytes // SHARD_BYTES))
-    return segments.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(compare, from_arrow_schema(_RANGES))
+    return segments.repartition(shards, "h").sortWithinPartitions("h").mapInArrow(lean(compare), from_arrow_schema(_RANGES))
 
 
 def _single_windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -305,7 +305,7 @@ def _compared_singly(segments: DataFrame, folder: str) -> DataFrame:
     """As ``_compared`` for hashes with too many segments: window by window, equal ones folded first."""
     windows = stored(
         segments.dropDuplicates(["h", "c"]).mapInArrow(
-            _single_windows, from_arrow_schema(_WINDOW)
+            lean(_single_windows), from_arrow_schema(_WINDOW)
         ),
         "windows",
     )
@@ -363,7 +363,7 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     """
     columns = [c for c in docs.columns if c not in ("text", "n_bytes", "spans", "kept")]
     folder = scratch_path(docs.sparkSession, "runs")
-    cuts = stored(docs.select(F.col("text").cast("string")).mapInArrow(_cut_texts, from_arrow_schema(_CUT)), "segments")
+    cuts = stored(docs.select(F.col("text").cast("string")).mapInArrow(lean(_cut_texts), from_arrow_schema(_CUT)), "segments")
     often = cuts.groupBy("h").agg(F.count(F.lit(1)).alias("met"), F.max("again").alias("again")).where("met > 1 OR again")
     found = stored(cuts.drop("again").join(often.select("h"), "h"), "repeated_hashes")
     kinds = found.groupBy("h", "c").agg(F.count(F.lit(1)).alias("copies"), F.min(F.struct("k1", "k2", "start", "n")).alias("at"))
@@ -376,8 +376,8 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     )
     if n_bytes:
         wanted = differing.groupBy("k1", "k2").agg(F.collect_list(F.struct("h", "c", "copies", "start", "n")).alias("wanted"))
-        texts = _packed(docs, []).select("k1", "k2", "z").mapInArrow(_once_per_task, from_arrow_schema(_PACKED))
-        segments = texts.join(wanted, ["k1", "k2"]).select("z", "wanted").mapInArrow(_fetch, from_arrow_schema(_SEGMENT))
+        texts = _packed(docs, []).select("k1", "k2", "z").mapInArrow(lean(_once_per_task), from_arrow_schema(_PACKED))
+        segments = texts.join(wanted, ["k1", "k2"]).select("z", "wanted").mapInArrow(lean(_fetch), from_arrow_schema(_SEGMENT))
         if large > GROUP_BYTES:
             segments = stored(segments, "segment_bytes")
             hot = differing.where(F.col("bytes") > GROUP_BYTES).select("h").distinct()
@@ -393,5 +393,5 @@ def find_repeats(docs: DataFrame) -> DataFrame:
     )
     packed = _packed(docs, columns)
     joined = packed.join(spans, ["k1", "k2"], "left").select("own", "z", "ranges")
-    out = joined.mapInArrow(_without, T.StructType([packed.schema["own"], *from_arrow_schema(_RESULT).fields]))
+    out = joined.mapInArrow(lean(_without), T.StructType([packed.schema["own"], *from_arrow_schema(_RESULT).fields]))
     return out.select(*[F.col("own")[c].alias(c) for c in columns], "n_bytes", "spans", "kept")
