@@ -229,6 +229,15 @@ def test_triangle_mapping(spark, n):
         assert r["i"] * (2 * n - r["i"] - 1) // 2 + r["j"] - r["i"] - 1 == r["rank"]
 
 
+def test_triangle_mapping_of_a_plain_number(spark):
+    """More rows than the square root of the largest integer, given as an integer."""
+    n = 102_000
+    row, size = F.col("i"), F.lit(n)
+    ranked = spark.range(0, n - 1, 997).withColumnRenamed("id", "i").withColumn("rank", comparisons.triangle_rank(row, row + 1, size))
+    i, j = comparisons.triangle_pair(F.col("rank"), size)
+    assert ranked.where((i != row) | (j != row + 1)).count() == 0
+
+
 # --- curves ----------------------------------------------------------------------------------------
 
 
