@@ -242,12 +242,16 @@ def test_genuine_pairs_in_parts(spark, vectors, monkeypatch):
     """Pairs and scores within labels are spread over tasks, need no rank lookup and equal the expression."""
     monkeypatch.setattr(comparisons, "PAIR_BLOCK_ROWS", 4)
     monkeypatch.setattr(scoring, "SCORE_BLOCK_ROWS", 7)
+    monkeypatch.setattr(comparisons, "interval_lookup", None)
     ready = vectors.select("id", "label", prepared(F.col("vec"), "cosine").alias("v"))
     pairs = ready.alias("a").join(ready.alias("b"), F.expr("a.id < b.id AND a.label = b.label"))
     score = similarity(F.col("a.v"), F.col("b.v"), "cosine")
     want = {(r[0], r[1]): r[2] for r in pairs.select("a.id", F.col("b.id").alias("o"), score).collect()}
     got = comparisons.score_genuine_pairs(vectors).collect()
     assert len(got) == len(want) and {(r["a_id"], r["b_id"]): r["score"] for r in got} == want
+    alike = RankSpace(vectors.select("id", "label")).all_genuine()
+    assert alike.rdd.getNumPartitions() > 60
+    assert sorted((r["a_id"], r["b_id"]) for r in alike.where("is_genuine = 1").collect()) == sorted(want)
 
 
 # --- curves ----------------------------------------------------------------------------------------
