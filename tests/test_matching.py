@@ -8,7 +8,9 @@ import pytest
 from pyspark.sql import functions as F
 
 from probeline.functions.columns import prepared, similarity
-from probeline.operators import comparisons, fusion, identification, scoring, splits, templates, verification
+from probeline.operators import (
+    comparisons, fusion, identification, moments, refined, scoring, splits, templates, verification,
+)
 from probeline.operators.comparisons import RankSpace
 from probeline.operators.refined import RefinedComparison, decisions_at
 
@@ -254,6 +256,36 @@ def test_genuine_pairs_in_parts(spark, vectors, monkeypatch):
     assert sorted((r["a_id"], r["b_id"]) for r in alike.where("is_genuine = 1").collect()) == sorted(want)
 
 
+@pytest.mark.parametrize("method", ["cosine", "pearson"])
+def test_readings_without_pairs(spark, vectors, monkeypatch, method):
+    """Counts, problems and the separation equal those of all scores, though no pair is scored."""
+    monkeypatch.setattr(moments, "GROUP_ROWS", 7)
+    hist = scoring.score_histogram(vectors, None, method)
+    want = verification.d_prime(hist).first()
+    problems = verification.comparison_problems(scoring.grid_scores(vectors, None, method, "problems")).first()
+    counts = hist.agg(F.sum("n_genuine"), F.sum("n_impostor")).first()
+    other = vectors.where("id < 40")
+    both = scoring.score_histogram(vectors, other, method).agg(F.sum("n_genuine"), F.sum("n_impostor")).first()
+    monkeypatch.setattr(refined, "grid_scores", None)
+    whole = RefinedComparison(vectors, method=method)
+    assert tuple(whole.d_prime().first()) == pytest.approx(tuple(want), abs=1e-12)
+    assert tuple(whole.pair_counts().first()) == tuple(counts)
+    assert tuple(RefinedComparison(vectors, other, method).pair_counts().first()) == tuple(both)
+    ready = vectors.select("id", "label", prepared(F.col("vec"), method).alias("vec"))
+    assert verification.comparison_problems(moments.problem_counts(ready)).first() == problems
+    broken = ready.withColumn("vec", F.when(F.col("id") < 3, F.array(F.lit(float("nan")))).otherwise(F.col("vec")))
+    assert moments.problem_counts(broken).first()["n_not_finite"] == 90 * 89 // 2 - 87 * 86 // 2
+
+
+def test_separation_of_equal_vectors(spark):
+    """Without spread sums have no digits left; bins are used."""
+    rows = [(i, i % 2, [1.0, 2.0] if i % 2 else [2.0, -1.0]) for i in range(20)]
+    equal = spark.createDataFrame(rows, "id long, label int, vec array<double>")
+    assert moments.class_moments(equal.select("id", "label", prepared(F.col("vec"), "cosine").alias("vec"))) is None
+    want = verification.d_prime(scoring.score_histogram(equal, None)).first()
+    assert tuple(RefinedComparison(equal).d_prime().first()) == pytest.approx(tuple(want))
+
+
 # --- curves ----------------------------------------------------------------------------------------
 
 
