@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame, Window, functions as F
 from probeline.functions.columns import array_sum, digest, digest_int, let
 from probeline.functions.ordering import numbered, prior_max
 from probeline.functions.stats import normal_two_sided, t_quantile, t_two_sided
+from probeline.session import cut_lineage
 
 RESAMPLES = 10_000
 BOOTSTRAP_SEED = 12345
@@ -260,6 +261,7 @@ def holm(tests: DataFrame, family: Sequence[str], p: str, row_id: Sequence[str],
     Families may be large: places and the running maximum come from p-value buckets.
     """
     family = list(family)
+    tests = cut_lineage(tests)  # read several times, and p-values are costly to make
     known = tests.where(F.col(p).isNotNull()).withColumn("__pb", F.floor(F.col(p) * 256))
     order = [p, *row_id]
     placed = numbered(known, family, order, "__pb", "__r", total="__m")

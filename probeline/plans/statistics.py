@@ -12,7 +12,7 @@ from probeline.functions.stats import t_two_sided
 from probeline.operators import covariates, inference, tables
 from probeline.plans import signals
 from probeline.plans.registry import cte, query, r, table, with_ctes
-from probeline.session import cut_lineage
+from probeline.session import cut_lineage, parallelism
 
 RUNS = 8
 BASE = 100
@@ -312,6 +312,8 @@ def _tests(spark, sf_dir):
     facts = table(spark, sf_dir, "events").groupBy(F.col("user_id").alias("id"), F.col("event_type").alias("family")).agg(
         F.count(F.lit(1)).alias("n"), F.avg("value").alias("m"), F.stddev_samp("value").alias("s")
     )
+    # few bytes and much work: not to be merged into few tasks
+    facts = facts.repartition(4 * parallelism(facts.sparkSession), "id", "family")
     t = F.try_divide(F.col("m") - 50, F.col("s") / F.sqrt("n"))
     p = t_two_sided(t, F.greatest(F.col("n") - 1, F.lit(1)))
     return facts.select("id", "family", F.when(F.col("n") >= 5, p).alias("p"))

@@ -484,3 +484,16 @@ def test_recurrence_modes(spark):
         assert got == pytest.approx({(i, j): float(wanted[i, j]) for i in range(5) for j in range(5)})
     with pytest.raises(ValueError):
         encodings.recurrence_plot(df, ["k"], threshold="area")
+
+
+def test_holm_makes_each_p_value_once(spark):
+    """P-values are costly: the steps of the adjustment read them, they do not make them again."""
+    made = spark.sparkContext.accumulator(0)
+
+    def p_value(k):
+        made.add(1)
+        return (k % 37) / 40
+
+    tests = spark.range(100).select("id", (F.col("id") % 3).alias("family"), F.udf(p_value, "double")("id").alias("p"))
+    out = inference.holm(tests, ["family"], "p", ["id"]).collect()
+    assert len(out) == 100 and made.value == 100
