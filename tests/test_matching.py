@@ -456,6 +456,35 @@ def test_refined_readings_equal_the_full_curve(vectors, bins, monkeypatch):
     assert verification.apply_threshold(decisions_at(vectors, None, cut), one).first() == verification.apply_threshold(hist, one).first()
 
 
+@pytest.mark.parametrize("bins", [5, 64, 4096])
+@pytest.mark.parametrize("labels", ["abc", None])
+def test_quick_readings_score_few_pairs(spark, monkeypatch, bins, labels):
+    """Copies, equal ids, unlabelled rows and scores on bin borders: the readings equal those of the full curve, though all
+    passes are quick."""
+    rng = random.Random(8)
+    made = [[rng.choice([-1.0, 0.0, 1.0, rng.gauss(0, 1)]) for _ in range(4)] + [0.5] for _ in range(60)]
+    known = lambda k: labels[k % len(labels)] if k % 7 else None
+    name = lambda k: known(k) if labels else f"l{k}"
+    rows = [(k - k % 2 if k < 6 else k, name(k), made[k % 50]) for k in range(80)]
+    df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    targets = [0.3, 0.05, 0.02]
+    hist = scoring.score_histogram(df, None)
+    full = verification.error_curve(hist)
+    calls, original = [], scoring.grid_scores
+
+    def watched(*args, **options):
+        calls.append(options.get("quick", False))
+        return original(*args, **options)
+
+    monkeypatch.setattr("probeline.operators.refined.grid_scores", watched)
+    monkeypatch.setattr(scoring, "QUICK_BLOCK_ROWS", 30)
+    assert readings(RefinedComparison(df, bins=bins, limit=200).curve(targets), targets) == readings(full, targets)
+    cut = verification.calibration_threshold(full).first()["threshold"]
+    one = spark.createDataFrame([(cut,)], "threshold double")
+    assert verification.apply_threshold(decisions_at(df, None, cut), one).first() == verification.apply_threshold(hist, one).first()
+    assert calls and all(calls)
+
+
 @pytest.mark.parametrize("output", ["pairs", "histogram", "count", "hits", "best", "bins"])
 def test_sent_side_equals_the_grid(spark, vectors, output, monkeypatch):
     monkeypatch.setattr(scoring, "BLOCK_ROWS", 15)
