@@ -377,6 +377,21 @@ def test_large_bins_are_binned_again(spark, monkeypatch, method):
     assert fast.area().first()["auc"] == pytest.approx(verification.curve_summary(full).first()["auc"], abs=1e-12)
 
 
+def test_area_in_rounds(vectors, monkeypatch):
+    """No round looks at more pairs than its share, and none is left out."""
+    monkeypatch.setattr(refined, "ROUND", 1500)
+    rounds, original = [], scoring.grid_scores
+
+    def watched(left, right, name, output, **options):
+        rounds.append(output)
+        return original(left, right, name, output, **options)
+
+    monkeypatch.setattr("probeline.operators.refined.grid_scores", watched)
+    want = verification.curve_summary(verification.error_curve(scoring.score_histogram(vectors, None))).first()["auc"]
+    assert RefinedComparison(vectors, bins=64, limit=1000).area().first()["auc"] == pytest.approx(want, abs=1e-12)
+    assert rounds.count("exact") > 2
+
+
 def test_area_of_one_class_and_of_none(spark):
     rows = [(1, "a", [1.0, 0.0]), (2, "a", [0.5, 1.0])]
     df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
