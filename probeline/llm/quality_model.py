@@ -1,8 +1,9 @@
 """A quality classifier: perplexity under a trigram model of trusted text, with two cutoffs per language.
 
-The model is an interpolated modified Kneser-Ney model of words. Its counts, continuation counts, discounts and
-back-off weights come from joins of count tables that Spark shards by n-gram hash. Trusted text is a bounded sample,
-so the finished tables have a proven bound and tasks hold them.
+The model is an interpolated modified Kneser-Ney model of words, from all trusted text. Its counts, continuation counts,
+discounts and back-off weights come from joins of count tables that Spark shards by n-gram. Scores come from a join too:
+a token's log probability is a sum of one value each of its word, bigram and trigram and of their contexts, 0 where the
+model lacks one. So the n-grams of a text meet their values in any order, and tasks hold those of the most frequent only.
 
 Texts are dealt into folds by hash, each fold has a model of its own trusted texts, and a text is scored by the model
 of the other fold. So no text is scored by a model that has seen it, and every trusted document can set cutoffs.
@@ -24,9 +25,10 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 from probeline.llm.common import batch, blank_words, lean, mixed, slices, stored, utf8, word_hashes
 
 FOLDS = 2
-#: Bound of the trusted sample of all folds: documents, and characters of one (longer ones are not taken).
-TRUSTED_DOCUMENTS = 1500
-TRUSTED_CHARS = 8000
+#: N-grams of all models whose values each task gets; all others come by a join.
+KNOWN_GRAMS = 500_000
+#: Bytes of text handled at once: some 20 arrays of 8 bytes a word stand beside it.
+GRAM_BYTES = 2 << 20
 #: Shares of a language's trusted documents that may lie beyond each of its two cutoffs, from which labels choose;
 #: without documents labelled bad it is ``TAIL``. Then the fewest trusted documents that set cutoffs.
 TAILS = (0.001, 0.002, 0.005, 0.01)
@@ -46,19 +48,20 @@ def fold_of(text: str) -> Column:
     return F.pmod(F.xxhash64(text), F.lit(FOLDS)).cast("int")
 
 
-def trusted_sample(docs: DataFrame, labels: DataFrame) -> DataFrame:
-    """``doc_id, text, fold`` of the trusted documents with the smallest id hashes, up to the bound."""
-    # twice the bound, as long documents drop out
-    first = trusted_ids(labels).orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * TRUSTED_DOCUMENTS)
-    texts = docs.select("doc_id", "text").where(F.char_length("text") <= TRUSTED_CHARS).join(F.broadcast(first), "doc_id")
-    sample = texts.orderBy(F.xxhash64("doc_id"), "doc_id", "text").limit(TRUSTED_DOCUMENTS)
-    return sample.withColumn("fold", fold_of("text"))
+def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
+    """``text, fold`` of all rows of trusted documents."""
+    return docs.select("doc_id", "text").join(trusted_ids(labels), "doc_id").select("text", fold_of("text").alias("fold"))
+
+
+def _keys(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
+    uv = mixed(u * _STEP + v)
+    return {"vw": mixed(v * _STEP + w), "uv": uv, "uvw": mixed(uv * _STEP + w)}
 
 
 def _grams(rows: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray]]:
-    """Hashes for each predicted word (ends included): the word, the one before, both, the two before, all three."""
+    """Hashes for each predicted word (ends included): the words ``w``, ``v`` before it, ``u`` before that, and of runs."""
     data, offsets = utf8(rows.column("text"))
-    for low, high in slices(offsets):
+    for low, high in slices(offsets, GRAM_BYTES):
         own = offsets[low : high + 1]
         codes, words, before = blank_words(data[own[0] : own[-1]], own - own[0])
         n = high - low
@@ -70,8 +73,7 @@ def _grams(rows: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray], n
         size = np.diff(before) + 1
         at = np.arange(len(codes) + n) + 2 * np.repeat(np.arange(n), size) + 2
         u, v, w = line[at - 2], line[at - 1], line[at]
-        vw, uv = mixed(v * _STEP + w), mixed(u * _STEP + v)
-        grams = {"w": w, "v": v, "vw": vw, "uv": uv, "uvw": mixed(uv * _STEP + w)}
+        grams = {"w": w, "v": v, "u": u, **_keys(u, v, w)}
         yield low, {k: x.view(np.int64) for k, x in grams.items()}, size
 
 
@@ -91,90 +93,92 @@ def _discount(d: list[float]) -> Column:
     return F.when(n == 1, d[0]).when(n == 2, d[1]).otherwise(d[2])
 
 
-def _weights(counts: DataFrame, context: str, d: list[float]) -> DataFrame:
+def _weights(counts: DataFrame, context: list[str], d: list[float]) -> DataFrame:
     """Total and back-off weight of each context."""
-    return counts.groupBy(context).agg(F.sum("n").alias("total"), (F.sum(_discount(d)) / F.sum("n")).alias("weight"))
+    return counts.groupBy(*context).agg(F.sum("n").alias("total"), (F.sum(_discount(d)) / F.sum("n")).alias("weight"))
 
 
 @dataclass
-class Lookup:
-    """Sorted hashes and a value each."""
-
-    keys: np.ndarray
-    values: np.ndarray
+class TrigramModel:
+    """``entries`` has ``key, value, n``: what each n-gram, by hash, adds to the log10 probability of a text that holds
+    it, and how frequent it is. A word adds the log of its probability over ``unknown`` and of its back-off weight; a
+    bigram that of its probability over what backing off gives, and of its weight; a trigram that of its probability
+    over what backing off gives. Over a token's n-grams these sums leave the longest one seen and the weights due."""
 
-    @classmethod
-    def of(cls, table: pa.Table) -> Lookup:
-        keys, values = table.column(0).to_numpy(), table.column(1).to_numpy()
-        order = np.argsort(keys)
-        return cls(keys[order], values[order])
+    entries: DataFrame
+    unknown: float
+    types: int
 
-    def get(self, keys: np.ndarray, missing: float) -> np.ndarray:
-        if not len(self.keys):
-            return np.full(len(keys), missing)
-        at = np.minimum(np.searchsorted(self.keys, keys), len(self.keys) - 1)
-        return np.where(self.keys[at] == keys, self.values[at], missing)
 
+def _entries(rows: DataFrame, order: int) -> DataFrame:
+    """``key, value, n`` of rows of words ``u, v, w`` (the last ``order`` of them), ``value`` and ``n``."""
+    schema = pa.schema([("key", pa.int64()), ("value", pa.float64()), ("n", pa.int64())])
+    words = ("u", "v", "w")[3 - order :]
 
-@dataclass
-class TrigramModel:
-    one: Lookup
-    two: Lookup
-    three: Lookup
-    back_two: Lookup
-    back_three: Lookup
-    unknown: float
+    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            own = [rows.column(c).to_numpy().view(np.uint64) for c in words]
+            key = own[0] if order == 1 else _keys(own[0], *own[-2:])["vw" if order == 2 else "uvw"]
+            yield batch({"key": key.view(np.int64), "value": rows.column("value"), "n": rows.column("n")}, schema)
 
-    def log10(self, grams: dict[str, np.ndarray]) -> np.ndarray:
-        """log10 P of each word: the longest n-gram seen, else back-off weights times the shorter one."""
-        out = self.three.get(grams["uvw"], 0.0)
-        left = np.flatnonzero(out == 0)
-        back = self.back_three.get(grams["uv"][left], 1.0)
-        two = self.two.get(grams["vw"][left], 0.0)
-        out[left] = back * two
-        rest = np.flatnonzero(two == 0)
-        at = left[rest]
-        one = self.one.get(grams["w"][at], self.unknown)
-        out[at] = back[rest] * self.back_two.get(grams["v"][at], 1.0) * one
-        return np.log10(out)
+    return rows.select(*words, "value", F.col("n").cast("bigint").alias("n")).mapInArrow(
+        lean(name), "key bigint, value double, n bigint"
+    )
 
 
 def train_trigrams(texts: DataFrame) -> TrigramModel:
-    """The model of all rows of ``texts``, which must be bounded. Without text every word is equally unknown."""
-    names = ("w", "v", "vw", "uv", "uvw")
-    schema = pa.schema([(k, pa.int64()) for k in names])
+    """The model of all rows of ``texts``. Without text every word is equally unknown."""
+    schema = pa.schema([(k, pa.int64()) for k in ("u", "v", "w", "n")])
 
     def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
             for _, grams, _ in _grams(rows):
-                yield batch(grams, schema)
+                _, first, n = np.unique(grams["uvw"], return_index=True, return_counts=True)
+                yield batch({"u": grams["u"][first], "v": grams["v"][first], "w": grams["w"][first], "n": n}, schema)
 
-    rows = texts.select("text").mapInArrow(lean(emit), ", ".join(f"{k} bigint" for k in names))
-    firsts = lambda *columns: [F.first(c).alias(c) for c in columns]
-    three = stored(rows.groupBy("uvw").agg(F.count(F.lit(1)).alias("n"), *firsts("uv", "vw", "v", "w")), "trigrams")
+    rows = texts.select("text").mapInArrow(lean(emit), "u bigint, v bigint, w bigint, n bigint")
+    three = stored(rows.groupBy("u", "v", "w").agg(F.sum("n").alias("n")), "trigrams")
     # lower orders count in how many different contexts an n-gram follows
-    two = stored(three.groupBy("vw").agg(F.count(F.lit(1)).alias("n"), *firsts("v", "w")), "bigrams")
+    two = stored(three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")), "bigrams")
     one = stored(two.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "unigrams")
     d1, d2, d3 = discounts(one), discounts(two), discounts(three)
     types, total, taken = one.agg(
         F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(1)), F.coalesce(F.sum(_discount(d1)), F.lit(1.0))
     ).first()
     unknown = taken / total / (types + 1)
-    p1 = one.select("w", ((F.col("n") - _discount(d1)) / total + unknown).alias("p1"))
-    back_two, back_three = _weights(two, "v", d2), _weights(three, "uv", d3)
-    share = lambda d: (F.col("n") - _discount(d)) / F.col("total") + F.col("weight") * F.col("p")
-    p2 = stored(
-        two.join(back_two, "v").join(p1.withColumnRenamed("p1", "p"), "w").select("vw", share(d2).alias("p2")), "p2"
-    )
-    p3 = three.join(back_three, "uv").join(p2.withColumnRenamed("p2", "p"), "vw").select("uvw", share(d3).alias("p3"))
-    return TrigramModel(
-        Lookup.of(p1.toArrow()),
-        Lookup.of(p2.toArrow()),
-        Lookup.of(p3.toArrow()),
-        Lookup.of(back_two.select("v", "weight").toArrow()),
-        Lookup.of(back_three.select("uv", "weight").toArrow()),
-        unknown,
-    )
+    p1 = one.select("w", ((F.col("n") - _discount(d1)) / total + unknown).alias("p"))
+    back_two, back_three = _weights(two, ["v"], d2), stored(_weights(three, ["u", "v"], d3), "contexts")
+    seen = lambda d: (F.col("n") - _discount(d)) / F.col("total")
+    lower = F.col("weight") * F.col("p")
+    p2 = two.join(back_two, "v").join(p1, "w").select("v", "w", "n", (seen(d2) + lower).alias("p"), lower.alias("lower"))
+    p2 = stored(p2, "p2")
+    p3 = three.join(back_three, ["u", "v"]).join(p2.select("v", "w", "p"), ["v", "w"])
+    log = lambda x: F.log10(x).alias("value")
+    parts = [
+        _entries(p1.join(one, "w").select("w", log(F.col("p") / unknown), "n"), 1),
+        _entries(back_two.select(F.col("v").alias("w"), log(F.col("weight")), F.col("total").alias("n")), 1),
+        _entries(p2.select("v", "w", log(F.col("p") / F.col("lower")), "n"), 2),
+        _entries(
+            back_three.select(F.col("u").alias("v"), F.col("v").alias("w"), log(F.col("weight")), F.col("total").alias("n")), 2
+        ),
+    ]
+    lower_orders = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
+    lower_orders = lower_orders.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"))
+    trigrams = _entries(p3.select("u", "v", "w", log((seen(d3) + lower) / lower), "n"), 3)
+    return TrigramModel(stored(lower_orders.union(trigrams), "entries"), unknown, types)
+
+
+def _frequent(entries: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
+    """The entries seen at least so often that they are ``most`` or fewer, and all others."""
+    size = F.floor(F.log2("n")).cast("int")
+    of_size = {r["size"]: r["k"] for r in entries.groupBy(size.alias("size")).agg(F.count(F.lit(1)).alias("k")).collect()}
+    least, held = 64, 0
+    for k in sorted(of_size, reverse=True):
+        held += of_size[k]
+        if held > most:
+            break
+        least = k
+    return entries.where(size >= least), entries.where(size < least)
 
 
 def distinct(grams: np.ndarray, size: np.ndarray) -> np.ndarray:
@@ -186,34 +190,79 @@ def distinct(grams: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.bincount(doc[order[first]], minlength=len(size))
 
 
-def with_perplexity(docs: DataFrame, *models: TrigramModel) -> DataFrame:
+def with_perplexity(docs: DataFrame, *models: TrigramModel, known: int = KNOWN_GRAMS) -> DataFrame:
     """All columns of ``docs`` (which must include ``text``) and ``n_tokens, log_perplexity`` (log10 per token,
     the end included) and ``distinct_share`` of its trigrams. A null or empty text has the end alone. Of several
-    models a text's fold takes the next one's."""
-    spark = docs.sparkSession
-    shared = spark.sparkContext.broadcast(models)  # bounded by the trusted sample
+    models a text's fold takes the next one's. Tasks hold the values of at most ``known`` n-grams."""
     extra = ("n_tokens", "log_perplexity", "distinct_share")
     fields = [f for f in docs.schema.fields if f.name not in extra]
     own_fold = F.lit(0) if len(models) == 1 else fold_of("text")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    salts = mixed(np.arange(1, len(models) + 1, dtype=np.uint64))  # keys of different models are apart
+    salted = [m.entries.withColumn("key", F.col("key").bitwiseXOR(F.lit(int(x)))) for m, x in zip(models, salts.view(np.int64))]
+    entries = salted[0]
+    for more in salted[1:]:
+        entries = entries.union(more)
+    frequent, others = _frequent(entries, known)
+    held = frequent.select("key", "value").toArrow()  # bounded
+    order = np.argsort(keys := held.column("key").to_numpy())
+    shared = docs.sparkSession.sparkContext.broadcast((keys[order], held.column("value").to_numpy()[order]))
+    unknown, judges = np.log10([m.unknown for m in models]), len(models)
+
+    def asked(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+        """First row and tokens of each text, the model that judges it, and text and key of each n-gram and context."""
+        for low, grams, size in _grams(rows):
+            judge = (rows.column("_fold").to_numpy(zero_copy_only=False)[low : low + len(size)] + 1) % judges
+            doc, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
+            # each word and bigram is a context of the next token, so only those before the first one are added
+            parts = [grams["w"], grams["vw"], grams["uvw"], grams["v"][first], grams["uv"][first]]
+            docs = np.concatenate([doc, doc, doc, np.arange(len(size)), np.arange(len(size))])
+            yield low, grams["uvw"], size, judge, docs, (np.concatenate(parts).view(np.uint64) ^ salts[judge][docs]).view(np.int64)
+
+    def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        have, _ = shared.value
+        if not len(have):
+            return np.zeros(len(keys), np.int64), np.zeros(len(keys), bool)
+        at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
+        return at, have[at] == keys
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in batches:
-            fold = rows.column(len(fields)).to_numpy(zero_copy_only=False)
-            for low, grams, size in _grams(rows):
+            for low, trigrams, size, judge, doc, keys in asked(rows):
+                at, here = places(keys)
+                logs = np.bincount(doc[here], shared.value[1][at[here]], len(size)) + unknown[judge] * size
+                made = [pa.array(size, pa.int64()), pa.array(logs), pa.array(distinct(trigrams, size) / size)]
                 cut = rows.slice(low, len(size))
-                judge = np.repeat((fold[low : low + len(size)] + 1) % len(models), size)
-                logs = np.empty(len(judge))
-                for k, model in enumerate(shared.value):
-                    at = np.flatnonzero(judge == k)
-                    logs[at] = model.log10({name: x[at] for name, x in grams.items()})
-                sums = np.add.reduceat(logs, np.cumsum(size) - size)
-                made = [pa.array(size, pa.int64()), pa.array(-sums / size), pa.array(distinct(grams["uvw"], size) / size)]
-                arrays = [*cut.columns[:-1], *made]
-                yield pa.RecordBatch.from_arrays(arrays, names=[*cut.schema.names[:-1], *extra])
+                yield pa.RecordBatch.from_arrays([*cut.columns, *made], names=[*cut.schema.names, "_n", "_logs", "_share"])
+
+    request = pa.schema([("key", pa.int64()), ("_row", pa.int64()), ("times", pa.int32())])
 
-    chosen = docs.select(*[f.name for f in fields], own_fold.alias("_fold"))
-    types = (T.LongType(), T.DoubleType(), T.DoubleType())
-    return chosen.mapInArrow(lean(score), T.StructType([*fields, *map(T.StructField, extra, types)]))
+    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in batches:
+            for low, _, _, _, doc, keys in asked(rows):
+                rest = np.flatnonzero(~places(keys)[1])
+                doc, keys = doc[rest], keys[rest]
+                pairs = mixed(keys.view(np.uint64) + doc.astype(np.uint64) * _STEP)
+                _, first, times = np.unique(pairs, return_index=True, return_counts=True)
+                by_text = np.argsort(doc[first], kind="stable")  # equal rows side by side, which shuffles smaller
+                first, times = first[by_text], times[by_text]
+                row = rows.column("_row").to_numpy()[low + doc[first]]
+                for a in range(0, len(first), 100_000):
+                    own = slice(a, a + 100_000)
+                    yield batch({"key": keys[first[own]], "_row": row[own], "times": times[own]}, request)
+
+    numbered = docs.select(*[f.name for f in fields], own_fold.alias("_fold"), F.monotonically_increasing_id().alias("_row"))
+    types = [("_n", T.LongType()), ("_logs", T.DoubleType()), ("_share", T.DoubleType())]
+    measured = numbered.mapInArrow(lean(measure), T.StructType([*numbered.schema.fields, *[T.StructField(*t) for t in types]]))
+    measured = stored(measured, "measured")
+    wanted = measured.select("text", "_fold", "_row").mapInArrow(lean(requests), "key bigint, _row bigint, times int")
+    found = wanted.join(others.select("key", "value"), "key").groupBy("_row").agg(F.sum(F.col("times") * F.col("value")).alias("_more"))
+    whole = measured.join(stored(found, "found"), "_row", "left")
+    return whole.select(
+        *[f.name for f in fields],
+        F.col("_n").alias("n_tokens"),
+        (-(F.col("_logs") + F.coalesce("_more", F.lit(0.0))) / F.col("_n")).alias("log_perplexity"),
+        F.col("_share").alias("distinct_share"),
+    )
 
 
 def language_cutoffs(scored: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
@@ -255,10 +304,10 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     no trusted text.
     """
     docs = docs.select(*[c for c in docs.columns if c not in ADDED])
-    sample = stored(trusted_sample(docs, labels), "trusted_sample")
-    models = [train_trigrams(sample.where(F.col("fold") == k)) for k in range(FOLDS)]
-    scored = stored(with_perplexity(docs, *models), "scored")
-    known = all(len(m.one.keys) for m in models)
+    trusted = stored(trusted_texts(docs, labels), "trusted_texts")
+    models = [train_trigrams(trusted.where(F.col("fold") == k)) for k in range(FOLDS)]
+    scored = with_perplexity(docs, *models)
+    known = all(m.types for m in models)
     cutoffs, _ = language_cutoffs(scored, labels if known else labels.limit(0))
     own = cutoffs.select(*[F.col(c).alias(f"own_{c}") for c in cutoffs.columns])
     joined = scored.join(own, F.coalesce("lang", F.lit("")) == F.col("own_stratum"), "left")

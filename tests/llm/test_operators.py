@@ -578,6 +578,24 @@ def test_kneser_ney(spark, docs):
     assert sample.count() == 1 and math.isclose(sum(p((*context, w)) for w in map(lambda w: w.encode() if w != "E" else w, everything)), 1, rel_tol=1e-6)
 
 
+def test_all_trusted_text_trains_the_model(spark, tmp_path):
+    rng = np.random.default_rng(6)
+    say = lambda k, n: (k, " ".join(f"w{x}" for x in rng.integers(0, 40, n)), "en", "s", 0)
+    rows = [say(k, 6) for k in range(1600)] + [say(1600, 4000)]  # a long text, and more than a sample would take
+    table = spark.createDataFrame(rows, DOCS)
+    trusted = quality_model.trusted_texts(table, labels_table(spark, [(r[0], 1, 0) for r in rows]))
+    assert trusted.count() == 1601
+    own = [r["text"] for r in trusted.where("fold = 1").collect()]
+    p, model = brute_kneser_ney(own), quality_model.train_trigrams(trusted.where("fold = 1"))
+    tried = ["w1 w2 w3 w2 w1", "w5 w5 w5 w5", "none here", "", rows[1600][1][:200]]
+    for known in (0, 20, 10**6):  # all values by the join, some, none
+        scored = quality_model.with_perplexity(spark.createDataFrame([(t,) for t in tried], "text string"), model, known=known)
+        for row in scored.collect():
+            line = ["S", "S", *WORD.findall(low(row["text"])), "E"]
+            wanted = [math.log10(p(tuple(line[i : i + 3]))) for i in range(len(line) - 2)]
+            assert math.isclose(row["log_perplexity"], -sum(wanted) / len(wanted), rel_tol=1e-9)
+
+
 def test_classifier(spark, docs, none):
     good = [(k, " ".join(words), "en", "s", 0) for k, words in enumerate([["the", "cat", "sat", "on", f"mat{k % 5}"] * 6 for k in range(300)])]
     junk = [(1000 + k, " ".join(f"z{k}q{j}" for j in range(30)), "en", "s", 0) for k in range(20)]
