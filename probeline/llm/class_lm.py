@@ -41,9 +41,22 @@ def held_out(doc_id: Column) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % 10 == 0
 
 
+#: What one byte does to a CRC-32.
+_CRC = np.array([zlib.crc32(bytes([k ^ 255])) for k in range(256)], np.uint32) ^ np.uint32(0xFF000000)
+
+
 def _endings(words: pa.Array) -> np.ndarray:
-    crc = zlib.crc32
-    return np.fromiter((crc(w[-3:]) % ENDINGS for w in words.to_pylist()), np.int64, len(words))
+    """CRC-32 of each word's last three bytes, modulo ``ENDINGS``; of all words side by side."""
+    if not len(words):
+        return np.zeros(0, np.int64)
+    _, offsets, data = words.buffers()
+    at = np.frombuffer(offsets, np.int32)[words.offset : words.offset + len(words) + 1]
+    data, size = np.frombuffer(data, np.uint8), np.diff(at)
+    crc = np.full(len(words), 0xFFFFFFFF, np.uint32)
+    for k in (3, 2, 1):
+        step = _CRC[(crc ^ data[np.maximum(at[1:] - k, 0)]) & 255] ^ (crc >> 8)
+        crc = np.where(size >= k, step, crc)
+    return ((crc ^ np.uint32(0xFFFFFFFF)) % ENDINGS).astype(np.int64)
 
 
 def _hashes(words: pa.Array) -> np.ndarray:
@@ -66,10 +79,11 @@ class _Sums:
         self.counts: list[np.ndarray] = []
 
     def _fold(self) -> None:
-        keys, of = np.unique(np.concatenate(self.keys), return_inverse=True)
-        counts = np.zeros(len(keys), np.int64)
-        np.add.at(counts, of, np.concatenate(self.counts))
-        self.keys, self.counts = [keys], [counts]
+        keys = np.concatenate(self.keys)
+        order = np.argsort(keys)
+        keys = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1])))[: len(keys)]
+        self.keys, self.counts = [keys[first]], [np.add.reduceat(np.concatenate(self.counts)[order], first)]
 
     def add(self, keys: np.ndarray, counts: np.ndarray) -> Iterator[pa.RecordBatch]:
         self.keys.append(keys)

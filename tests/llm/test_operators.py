@@ -439,6 +439,21 @@ def test_exchange_finds_classes():
             assert likelihood(other) <= likelihood(of) + 1e-6
 
 
+def test_endings_of_words():
+    words = [b"a", b"ab", b"abc", b"abcd", "é".encode(), "日本語".encode(), b"\x00", b"\xff\xff\xff\xff"]
+    wanted = [zlib.crc32(w[-3:]) % class_lm.ENDINGS for w in words]
+    assert class_lm._endings(pa.array(words, pa.binary())).tolist() == wanted
+    assert class_lm._endings(pa.array(words, pa.binary()).slice(2, 4)).tolist() == wanted[2:6]
+    assert class_lm._endings(pa.array([b"a"], pa.binary())).tolist() == wanted[:1]
+    assert class_lm._endings(pa.array([], pa.binary())).tolist() == []
+    sums = class_lm._Sums("key")
+    given = [([3, 1, 3], [1, 2, 3]), ([], []), ([-5, 1], [7, 1])]
+    out = [b for k, n in given for b in sums.add(np.array(k, np.int64), np.array(n, np.int64))] + list(sums.rest())
+    assert [r for b in out for r in b.to_pylist()] == [{"key": -5, "n": 7}, {"key": 1, "n": 3}, {"key": 3, "n": 4}]
+    sums = class_lm._Sums("key")
+    assert list(sums.add(np.zeros(0, np.int64), np.zeros(0, np.int64))) + list(sums.rest()) == []
+
+
 # quality rules and classifier
 
 
