@@ -3,7 +3,8 @@
 The model is an interpolated modified Kneser-Ney model of words, from all trusted text. Its counts, continuation counts,
 discounts and back-off weights come from joins of count tables that Spark shards by n-gram. Scores come from a join too:
 a token's log probability is a sum of one value each of its word, bigram and trigram and of their contexts, 0 where the
-model lacks one. So the n-grams of a text meet their values in any order, and tasks hold those of the most frequent only.
+model lacks one. So the n-grams of a text meet their values in any order. They do so slice by slice of the middle words
+of trigrams, and one model after the other, in blocks of sorted keys; tables and shuffle files of a slice go with it.
 
 Texts are dealt into folds by hash, each fold has a model of its own trusted texts, and a text is scored by the model
 of the other fold. So no text is scored by a model that has seen it, and every trusted document can set cutoffs.
@@ -17,16 +18,22 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F
 
-from probeline.llm.common import batch, blank_words, lean, mixed, slices, stored, utf8, word_hashes
+from probeline.llm.common import batch, blank_words, forget, lean, mixed, parts_for, slices, stored, utf8, word_hashes
 
 FOLDS = 2
-#: N-grams of all models whose values each task gets; all others come by a join.
+#: Words of a model whose values each task gets; those of all others, and of longer n-grams, come by a join.
 KNOWN_GRAMS = 500_000
+#: Slices of n-grams, by middle word, that are trained and scored in turn: each takes its share of the disk.
+SLICES = 3
+#: Bytes of text a shard of n-grams stands for, and rows of a model packed at once.
+SHARD_BYTES = 32 << 20
+PACKED_ROWS = 200_000
 #: Bytes of text handled at once: some 20 arrays of 8 bytes a word stand beside it.
 GRAM_BYTES = 2 << 20
 #: Shares of a language's trusted documents that may lie beyond each of its two cutoffs, from which labels choose;
@@ -34,8 +41,11 @@ GRAM_BYTES = 2 << 20
 TAILS = (0.001, 0.002, 0.005, 0.01)
 TAIL = 0.002
 LEAST_HOLDOUT = 20
+SCORES = ("n_tokens", "log_perplexity", "distinct_share")
 _START, _END = np.uint64(0x9E6C63D0876A9A47), np.uint64(0xC2B2AE3D27D4EB4F)
 _STEP = np.uint64(0x9FB21C651E98DF25)
+#: Sets keys of bigrams as contexts apart from those of the bigrams themselves.
+_CONTEXT = np.uint64(0xD6E8FEB86659FD93)
 
 
 def trusted_ids(labels: DataFrame) -> DataFrame:
@@ -55,7 +65,7 @@ def trusted_texts(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def _keys(u: np.ndarray, v: np.ndarray, w: np.ndarray) -> dict[str, np.ndarray]:
     uv = mixed(u * _STEP + v)
-    return {"vw": mixed(v * _STEP + w), "uv": uv, "uvw": mixed(uv * _STEP + w)}
+    return {"vw": mixed(v * _STEP + w), "uv": uv ^ _CONTEXT, "uvw": mixed(uv * _STEP + w)}
 
 
 def _grams(rows: pa.RecordBatch) -> Iterator[tuple[int, dict[str, np.ndarray], np.ndarray]]:
@@ -100,72 +110,80 @@ def _weights(counts: DataFrame, context: list[str], d: list[float]) -> DataFrame
 
 @dataclass
 class TrigramModel:
-    """``entries`` has ``key, value, n``: what each n-gram, by hash, adds to the log10 probability of a text that holds
-    it, and how frequent it is. A word adds the log of its probability over ``unknown`` and of its back-off weight; a
-    bigram that of its probability over what backing off gives, and of its weight; a trigram that of its probability
-    over what backing off gives. Over a token's n-grams these sums leave the longest one seen and the weights due."""
-
-    entries: DataFrame
+    """Counts of n-grams, by slices of the middle words of trigrams, and what words and discounts come to.
+
+    A token's log10 probability is a sum of one value each of its n-grams. A word adds the log of its probability over
+    ``unknown`` and of its back-off weight; a bigram that of its probability over what backing off gives, and as a context
+    that of its weight; a trigram that of its probability over what backing off gives. Over a token's n-grams these sums
+    leave the longest one seen and the weights due. ``words`` has ``key, value, n`` of words, by hash; ``values`` makes the others
+    a slice at a time, as all of them at once would take more room than the text."""
+
+    three: list[DataFrame]
+    two: list[DataFrame]
+    one: DataFrame
+    back_two: DataFrame
+    words: DataFrame
+    discounts: tuple[list[float], list[float]]
     unknown: float
     types: int
 
-
-def _entries(rows: DataFrame, order: int) -> DataFrame:
-    """``key, value, n`` of rows of words ``u, v, w`` (the last ``order`` of them), ``value`` and ``n``."""
-    schema = pa.schema([("key", pa.int64()), ("value", pa.float64()), ("n", pa.int64())])
-    words = ("u", "v", "w")[3 - order :]
-
-    def name(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            own = [rows.column(c).to_numpy().view(np.uint64) for c in words]
-            key = own[0] if order == 1 else _keys(own[0], *own[-2:])["vw" if order == 2 else "uvw"]
-            yield batch({"key": key.view(np.int64), "value": rows.column("value"), "n": rows.column("n")}, schema)
-
-    return rows.select(*words, "value", F.col("n").cast("bigint").alias("n")).mapInArrow(
-        lean(name), "key bigint, value double, n bigint"
-    )
-
-
-def train_trigrams(texts: DataFrame) -> TrigramModel:
+    def values(self, k: int) -> tuple[list[tuple[DataFrame, str]], list[DataFrame]]:
+        """Rows of words and ``value``, with the kind of key, of n-grams whose middle word ``v`` is in slice ``k``: bigrams
+        ``vw``, contexts ``uv`` and trigrams; and what to forget behind them."""
+        d2, d3 = self.discounts
+        log = lambda x: F.log10(x).alias("value")
+        seen = lambda d: (F.col("n") - _discount(d)) / F.col("total")
+        lower = F.col("weight") * F.col("p")
+        p2 = self.two[k].join(self.back_two, "v").join(self.one.select("w", "p"), "w")
+        p2 = stored(p2.select("v", "w", (seen(d2) + lower).alias("p"), log((seen(d2) + lower) / lower)), "p2")
+        back_three = _weights(self.three[k], ["u", "v"], d3)
+        p3 = self.three[k].join(back_three, ["u", "v"]).join(p2.select("v", "w", "p"), ["v", "w"])
+        return [
+            (p2.select("v", "w", "value"), "vw"),
+            (back_three.select("u", "v", log(F.col("weight"))), "uv"),
+            (p3.select("u", "v", "w", log((seen(d3) + lower) / lower)), "uvw"),
+        ], [p2]
+
+    def forget(self) -> None:
+        forget(*self.three, *self.two, self.one, self.back_two, self.words)
+
+
+def _in_slice(v: np.ndarray, k: int, n_slices: int) -> np.ndarray:
+    """Where the middle word is in slice ``k``."""
+    return np.flatnonzero(mixed(v.view(np.uint64)) % np.uint64(n_slices) == k)
+
+
+def train_trigrams(texts: DataFrame, n_slices: int = SLICES) -> TrigramModel:
     """The model of all rows of ``texts``. Without text every word is equally unknown."""
     schema = pa.schema([(k, pa.int64()) for k in ("u", "v", "w", "n")])
 
-    def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for _, grams, _ in _grams(rows):
-                _, first, n = np.unique(grams["uvw"], return_index=True, return_counts=True)
-                yield batch({"u": grams["u"][first], "v": grams["v"][first], "w": grams["w"][first], "n": n}, schema)
+    def trigrams(k: int) -> DataFrame:
+        def emit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for _, grams, _ in _grams(rows):
+                    own = _in_slice(grams["v"], k, n_slices)
+                    _, first, n = np.unique(grams["uvw"][own], return_index=True, return_counts=True)
+                    yield batch({"n": n, **{c: grams[c][own[first]] for c in ("u", "v", "w")}}, schema)
+
+        rows = texts.select("text").mapInArrow(lean(emit), "u bigint, v bigint, w bigint, n bigint")
+        return stored(rows.groupBy("u", "v", "w").agg(F.sum("n").alias("n")), "trigrams")
 
-    rows = texts.select("text").mapInArrow(lean(emit), "u bigint, v bigint, w bigint, n bigint")
-    three = stored(rows.groupBy("u", "v", "w").agg(F.sum("n").alias("n")), "trigrams")
+    three = [trigrams(k) for k in range(n_slices)]
     # lower orders count in how many different contexts an n-gram follows
-    two = stored(three.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")), "bigrams")
-    one = stored(two.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "unigrams")
-    d1, d2, d3 = discounts(one), discounts(two), discounts(three)
+    two = [stored(x.groupBy("v", "w").agg(F.count(F.lit(1)).alias("n")), "bigrams") for x in three]
+    bigrams = reduce(DataFrame.union, two)
+    one = stored(bigrams.groupBy("w").agg(F.count(F.lit(1)).alias("n")), "unigrams")
+    d1, d2, d3 = discounts(one), discounts(bigrams), discounts(reduce(DataFrame.union, three))
     types, total, taken = one.agg(
         F.count(F.lit(1)), F.coalesce(F.sum("n"), F.lit(1)), F.coalesce(F.sum(_discount(d1)), F.lit(1.0))
     ).first()
     unknown = taken / total / (types + 1)
-    p1 = one.select("w", ((F.col("n") - _discount(d1)) / total + unknown).alias("p"))
-    back_two, back_three = _weights(two, ["v"], d2), stored(_weights(three, ["u", "v"], d3), "contexts")
-    seen = lambda d: (F.col("n") - _discount(d)) / F.col("total")
-    lower = F.col("weight") * F.col("p")
-    p2 = two.join(back_two, "v").join(p1, "w").select("v", "w", "n", (seen(d2) + lower).alias("p"), lower.alias("lower"))
-    p2 = stored(p2, "p2")
-    p3 = three.join(back_three, ["u", "v"]).join(p2.select("v", "w", "p"), ["v", "w"])
-    log = lambda x: F.log10(x).alias("value")
-    parts = [
-        _entries(p1.join(one, "w").select("w", log(F.col("p") / unknown), "n"), 1),
-        _entries(back_two.select(F.col("v").alias("w"), log(F.col("weight")), F.col("total").alias("n")), 1),
-        _entries(p2.select("v", "w", log(F.col("p") / F.col("lower")), "n"), 2),
-        _entries(
-            back_three.select(F.col("u").alias("v"), F.col("v").alias("w"), log(F.col("weight")), F.col("total").alias("n")), 2
-        ),
-    ]
-    lower_orders = parts[0].union(parts[1]).union(parts[2]).union(parts[3])
-    lower_orders = lower_orders.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n"))
-    trigrams = _entries(p3.select("u", "v", "w", log((seen(d3) + lower) / lower), "n"), 3)
-    return TrigramModel(stored(lower_orders.union(trigrams), "entries"), unknown, types)
+    one = one.withColumn("p", (F.col("n") - _discount(d1)) / total + unknown)
+    back_two = stored(_weights(bigrams, ["v"], d2), "weights")
+    words = one.select(F.col("w").alias("key"), F.log10(F.col("p") / unknown).alias("value"), "n")
+    words = words.union(back_two.select("v", F.log10("weight"), "total"))
+    words = stored(words.groupBy("key").agg(F.sum("value").alias("value"), F.max("n").alias("n")), "words")
+    return TrigramModel(three, two, one, back_two, words, (d2, d3), unknown, types)
 
 
 def _frequent(entries: DataFrame, most: int) -> tuple[DataFrame, DataFrame]:
@@ -190,33 +208,109 @@ def distinct(grams: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.bincount(doc[order[first]], minlength=len(size))
 
 
-def with_perplexity(docs: DataFrame, *models: TrigramModel, known: int = KNOWN_GRAMS) -> DataFrame:
-    """All columns of ``docs`` (which must include ``text``) and ``n_tokens, log_perplexity`` (log10 per token,
-    the end included) and ``distinct_share`` of its trigrams. A null or empty text has the end alone. Of several
-    models a text's fold takes the next one's. Tasks hold the values of at most ``known`` n-grams."""
-    extra = ("n_tokens", "log_perplexity", "distinct_share")
-    fields = [f for f in docs.schema.fields if f.name not in extra]
-    own_fold = F.lit(0) if len(models) == 1 else fold_of("text")
-    salts = mixed(np.arange(1, len(models) + 1, dtype=np.uint64))  # keys of different models are apart
-    salted = [m.entries.withColumn("key", F.col("key").bitwiseXOR(F.lit(int(x)))) for m, x in zip(models, salts.view(np.int64))]
-    entries = salted[0]
-    for more in salted[1:]:
-        entries = entries.union(more)
-    frequent, others = _frequent(entries, known)
+_BLOCKS = pa.schema(
+    [("shard", pa.int32()), ("kind", pa.int8()), *[(k, pa.binary()) for k in ("keys", "value", "at", "digest", "size", "share")]]
+)
+_BLOCKS_SQL = "shard int, kind tinyint, keys binary, value binary, at binary, digest binary, size binary, share binary"
+_MODEL, _REQUEST, _KNOWN = 0, 1, 2
+
+
+def _blocks(rows: list[dict]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_pylist(rows, schema=_BLOCKS)
+
+
+def _dealt(keys: np.ndarray, shards: int) -> Iterator[tuple[int, bytes, np.ndarray]]:
+    """Shard, its keys in order, and where they stood. Bytes of a rank stand together: the first ones of keys in order
+    are alike, which shuffles smaller."""
+    keys = keys.view(np.uint64)
+    order = np.argsort(keys)
+    keys = keys[order]
+    shard = ((keys >> np.uint64(32)) * np.uint64(shards)) >> np.uint64(32)
+    cuts = np.searchsorted(shard, np.arange(shards + 1, dtype=np.uint64))
+    for k in np.flatnonzero(np.diff(cuts)):
+        own = slice(cuts[k], cuts[k + 1])
+        yield int(k), _planes(keys[own]), order[own]
+
+
+def _planes(x: np.ndarray) -> bytes:
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _numbers(block: bytes, kind: type) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(block, np.uint8).reshape(np.dtype(kind).itemsize, -1).T).view(kind).ravel()
+
+
+def _model_blocks(rows: DataFrame, kind: str, shards: int) -> DataFrame:
+    """Blocks of keys and values from rows of the words of ``kind``, or of ``key``, and ``value``."""
+    columns = ("key",) if kind == "key" else tuple(kind)
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def out() -> pa.RecordBatch:
+            own = dict(zip((*columns, "value"), (np.concatenate(x) for x in zip(*kept))))
+            value = own.pop("value")
+            key = own["key"] if kind == "key" else _keys(*[own.get(c, own["v"]) for c in "uvw"])[kind]
+            return _blocks(
+                [{"shard": k, "kind": _MODEL, "keys": b, "value": value[at].tobytes()} for k, b, at in _dealt(key, shards)]
+            )
+
+        kept, n = [], 0
+        for rows in batches:
+            kept.append([*[rows.column(c).to_numpy().view(np.uint64) for c in columns], rows.column("value").to_numpy()])
+            n += rows.num_rows
+            if n >= PACKED_ROWS:
+                yield out()
+                kept, n = [], 0
+        if n:
+            yield out()
+
+    return rows.select(*columns, "value").mapInArrow(lean(pack), _BLOCKS_SQL)
+
+
+def _matched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Sums of the values asked for, per text of a block. Blocks of the model come first."""
+    schema = pa.schema([("digest", pa.binary()), ("logs", pa.float64()), ("size", pa.int64()), ("share", pa.float64())])
+    keys, values, model = [], [], None
+    for rows in batches:
+        for block in rows.to_pylist():
+            if block["kind"] == _MODEL:
+                keys.append(_numbers(block["keys"], np.uint64))
+                values.append(np.frombuffer(block["value"]))
+                continue
+            n = len(block["digest"]) // 16
+            digest = pa.FixedSizeBinaryArray.from_buffers(pa.binary(16), n, [None, pa.py_buffer(block["digest"])]).cast(pa.binary())
+            if block["kind"] == _KNOWN:
+                logs, size, share = (np.frombuffer(block[k], t) for k, t in (("value", float), ("size", np.int64), ("share", float)))
+                yield batch({"digest": digest, "logs": logs, "size": size, "share": share}, schema)
+                continue
+            if model is None:
+                have = np.concatenate(keys or [np.zeros(0, np.uint64)])
+                order = np.argsort(have)
+                model = have[order], np.concatenate(values or [np.zeros(0)])[order]
+                keys, values = [], []
+            have, value = model
+            if not len(have):
+                continue
+            asked = _numbers(block["keys"], np.uint64)
+            at = np.minimum(np.searchsorted(have, asked), len(have) - 1)
+            here = have[at] == asked
+            doc = _numbers(block["at"], np.int32)[here]
+            logs, found = np.bincount(doc, value[at[here]], n), np.flatnonzero(np.bincount(doc, minlength=n))
+            none = np.zeros(len(found))
+            yield batch({"digest": digest.take(pa.array(found)), "logs": logs[found], "size": none.astype(np.int64), "share": none}, schema)
+
+
+def text_scores(docs: DataFrame, model: TrigramModel, known: int = KNOWN_GRAMS) -> DataFrame:
+    """``digest, n_tokens, log_perplexity, distinct_share`` of the distinct ``text`` of ``docs``. Equal texts have
+    equal sums, so the quotient of the sums over all of them is that of each. Every slice of the model reads the
+    texts again, meets their n-grams in shards and leaves a sum a text. Tasks hold the values of at most ``known`` words."""
+    frequent, others = _frequent(model.words, known)
     held = frequent.select("key", "value").toArrow()  # bounded
     order = np.argsort(keys := held.column("key").to_numpy())
     shared = docs.sparkSession.sparkContext.broadcast((keys[order], held.column("value").to_numpy()[order]))
-    unknown, judges = np.log10([m.unknown for m in models]), len(models)
-
-    def asked(rows: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
-        """First row and tokens of each text, the model that judges it, and text and key of each n-gram and context."""
-        for low, grams, size in _grams(rows):
-            judge = (rows.column("_fold").to_numpy(zero_copy_only=False)[low : low + len(size)] + 1) % judges
-            doc, first = np.repeat(np.arange(len(size)), size), np.cumsum(size) - size
-            # each word and bigram is a context of the next token, so only those before the first one are added
-            parts = [grams["w"], grams["vw"], grams["uvw"], grams["v"][first], grams["uv"][first]]
-            docs = np.concatenate([doc, doc, doc, np.arange(len(size)), np.arange(len(size))])
-            yield low, grams["uvw"], size, judge, docs, (np.concatenate(parts).view(np.uint64) ^ salts[judge][docs]).view(np.int64)
+    unknown, n_slices = np.log10(model.unknown), len(model.three)
+    texts = docs.select(_digest("text").alias("digest"), "text")
+    read = texts.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    shards = parts_for(read, SHARD_BYTES, docs.sparkSession.sparkContext.defaultParallelism * 2)
 
     def places(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         have, _ = shared.value
@@ -225,44 +319,78 @@ def with_perplexity(docs: DataFrame, *models: TrigramModel, known: int = KNOWN_G
         at = np.minimum(np.searchsorted(have, keys), len(have) - 1)
         return at, have[at] == keys
 
-    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for low, trigrams, size, judge, doc, keys in asked(rows):
-                at, here = places(keys)
-                logs = np.bincount(doc[here], shared.value[1][at[here]], len(size)) + unknown[judge] * size
-                made = [pa.array(size, pa.int64()), pa.array(logs), pa.array(distinct(trigrams, size) / size)]
-                cut = rows.slice(low, len(size))
-                yield pa.RecordBatch.from_arrays([*cut.columns, *made], names=[*cut.schema.names, "_n", "_logs", "_share"])
+    def requests(k: int):
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for rows in batches:
+                for low, grams, size in _grams(rows):
+                    n = len(size)
+                    digest = b"".join(rows.column("digest").slice(low, n).to_pylist())
+                    doc, first = np.repeat(np.arange(n, dtype=np.int32), size), np.cumsum(size) - size
+                    own = _in_slice(grams["v"], k, n_slices)
+                    parts, docs = [grams[c][own] for c in ("vw", "uv", "uvw")], [doc[own]] * 3
+                    out = []
+                    if k == 0:  # each word is a context of the next token, so only the one before the first is added
+                        words = np.concatenate([grams["w"], grams["v"][first]])
+                        of = np.concatenate([doc, np.arange(n, dtype=np.int32)])
+                        at, here = places(words)
+                        logs = np.bincount(of[here], shared.value[1][at[here]], n) + unknown * size
+                        share = distinct(grams["uvw"], size) / size
+                        sums = {"value": logs.tobytes(), "size": size.astype(np.int64).tobytes(), "share": share.tobytes()}
+                        out = [{"shard": low % shards, "kind": _KNOWN, "digest": digest, **sums}]
+                        parts, docs = [*parts, words[~here]], [*docs, of[~here]]
+                    of = np.concatenate(docs)
+                    for shard, keys, at in _dealt(np.concatenate(parts), shards):
+                        out.append({"shard": shard, "kind": _REQUEST, "keys": keys, "at": _planes(of[at]), "digest": digest})
+                    yield _blocks(out)
+
+        return run
+
+    sums = []
+    for k in range(n_slices):
+        values, spent = model.values(k)
+        values += [(others, "key")] * (k == 0)
+        packed = stored(reduce(DataFrame.union, [_model_blocks(*x, shards) for x in values]), "model")
+        forget(*spent)
+        blocks = packed.union(texts.mapInArrow(lean(requests(k)), _BLOCKS_SQL))
+        met = blocks.repartition(shards, "shard").sortWithinPartitions("kind")
+        met = met.mapInArrow(lean(_matched), "digest binary, logs double, size bigint, share double")
+        met = met.groupBy("digest").agg(
+            F.sum("logs").alias("logs"), F.sum("size").alias("sizes"), F.max("size").alias("size"), F.max("share").alias("share")
+        )
+        sums.append(stored(met, "sums"))
+        forget(packed)
+    whole = reduce(DataFrame.union, sums).groupBy("digest").agg(
+        F.max("size").alias("n_tokens"),
+        (-F.sum("logs") / F.sum("sizes")).alias("log_perplexity"),
+        F.max("share").alias("distinct_share"),
+    )
+    whole = stored(whole, "scores")
+    forget(*sums)
+    return whole
 
-    request = pa.schema([("key", pa.int64()), ("_row", pa.int64()), ("times", pa.int32())])
 
-    def requests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in batches:
-            for low, _, _, _, doc, keys in asked(rows):
-                rest = np.flatnonzero(~places(keys)[1])
-                doc, keys = doc[rest], keys[rest]
-                pairs = mixed(keys.view(np.uint64) + doc.astype(np.uint64) * _STEP)
-                _, first, times = np.unique(pairs, return_index=True, return_counts=True)
-                by_text = np.argsort(doc[first], kind="stable")  # equal rows side by side, which shuffles smaller
-                first, times = first[by_text], times[by_text]
-                row = rows.column("_row").to_numpy()[low + doc[first]]
-                for a in range(0, len(first), 100_000):
-                    own = slice(a, a + 100_000)
-                    yield batch({"key": keys[first[own]], "_row": row[own], "times": times[own]}, request)
-
-    numbered = docs.select(*[f.name for f in fields], own_fold.alias("_fold"), F.monotonically_increasing_id().alias("_row"))
-    types = [("_n", T.LongType()), ("_logs", T.DoubleType()), ("_share", T.DoubleType())]
-    measured = numbered.mapInArrow(lean(measure), T.StructType([*numbered.schema.fields, *[T.StructField(*t) for t in types]]))
-    measured = stored(measured, "measured")
-    wanted = measured.select("text", "_fold", "_row").mapInArrow(lean(requests), "key bigint, _row bigint, times int")
-    found = wanted.join(others.select("key", "value"), "key").groupBy("_row").agg(F.sum(F.col("times") * F.col("value")).alias("_more"))
-    whole = measured.join(stored(found, "found"), "_row", "left")
-    return whole.select(
-        *[f.name for f in fields],
-        F.col("_n").alias("n_tokens"),
-        (-(F.col("_logs") + F.coalesce("_more", F.lit(0.0))) / F.col("_n")).alias("log_perplexity"),
-        F.col("_share").alias("distinct_share"),
-    )
+def _digest(text: str) -> Column:
+    return F.unhex(F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
+
+
+def _with_scores(docs: DataFrame, scores: DataFrame) -> DataFrame:
+    columns = [c for c in docs.columns if c not in SCORES]
+    scores = scores.withColumnRenamed("digest", "_digest")
+    return docs.select(*columns, _digest("text").alias("_digest")).join(scores, "_digest", "left").select(*columns, *SCORES)
+
+
+def with_perplexity(docs: DataFrame, *models: TrigramModel, known: int = KNOWN_GRAMS) -> DataFrame:
+    """All columns of ``docs`` (which must include ``text``) and ``n_tokens, log_perplexity`` (log10 per token,
+    the end included) and ``distinct_share`` of its trigrams. A null or empty text has the end alone. Of several
+    models a text's fold takes the next one's. Tasks hold the values of at most ``known`` words."""
+    scores = [text_scores(_judged_by(docs, k, len(models)), m, known) for k, m in enumerate(models)]
+    return _with_scores(docs, reduce(DataFrame.union, scores))
+
+
+def _judged_by(docs: DataFrame, k: int, judges: int) -> DataFrame:
+    """Rows whose text has the fold before ``k``; a null text counts as an empty one."""
+    fold = F.lit(0) if judges == 1 else F.pmod(F.xxhash64(F.coalesce("text", F.lit(""))), F.lit(judges))
+    return docs.where((fold + 1) % judges == k)
 
 
 def language_cutoffs(scored: DataFrame, labels: DataFrame) -> tuple[DataFrame, float]:
@@ -291,7 +419,7 @@ def language_cutoffs(scored: DataFrame, labels: DataFrame) -> tuple[DataFrame, f
     return tails.select("stratum", F.col("high")[best].alias("cutoff"), F.col("low")[best].alias("low_cutoff")), TAILS[best]
 
 
-ADDED = ("n_tokens", "log_perplexity", "distinct_share", "cutoff", "low_cutoff", "kept")
+ADDED = (*SCORES, "cutoff", "low_cutoff", "kept")
 
 
 def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -305,9 +433,14 @@ def classify_quality(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """
     docs = docs.select(*[c for c in docs.columns if c not in ADDED])
     trusted = stored(trusted_texts(docs, labels), "trusted_texts")
-    models = [train_trigrams(trusted.where(F.col("fold") == k)) for k in range(FOLDS)]
-    scored = with_perplexity(docs, *models)
-    known = all(m.types for m in models)
+    scores, known = [], True
+    for k in range(FOLDS):
+        model = train_trigrams(trusted.where(F.col("fold") == k))
+        scores.append(text_scores(_judged_by(docs, k, FOLDS), model))
+        known = known and model.types > 0
+        model.forget()  # one model at a time takes room
+    forget(trusted)
+    scored = _with_scores(docs, reduce(DataFrame.union, scores))
     cutoffs, _ = language_cutoffs(scored, labels if known else labels.limit(0))
     own = cutoffs.select(*[F.col(c).alias(f"own_{c}") for c in cutoffs.columns])
     joined = scored.join(own, F.coalesce("lang", F.lit("")) == F.col("own_stratum"), "left")

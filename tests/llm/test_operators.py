@@ -13,7 +13,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from probeline.llm import class_lm, decontamination, ngram_join, quality_model, quality_rules, secrets, sentence_pieces
+from probeline.llm import class_lm, common, decontamination, ngram_join, quality_model, quality_rules, secrets, sentence_pieces
 from probeline.llm import sharding, token_store, warc
 from probeline.llm.automaton import Automaton
 from probeline.llm.fm_index import FmIndex, suffix_order
@@ -625,6 +625,37 @@ def test_classifier(spark, docs, none):
     assert quality_model.classify_quality(none, labels.limit(0)).count() == 0
 
 
+def test_models_leave_no_tables_behind(spark):
+    rng = np.random.default_rng(7)
+    rows = [(k, " ".join(f"w{x}" for x in rng.integers(0, 200, 30)), "en", "s", 0) for k in range(60)]
+    rows += [(100, rows[0][1], "en", "s", 0), (101, None, "en", "s", 0), (102, "", "en", "s", 0)]
+    docs, made = spark.createDataFrame(rows, DOCS), {}
+    with pytest.MonkeyPatch.context() as patch:
+        keep = lambda df, name, store=quality_model.stored: made.setdefault(name, []).append(store(df, name)) or made[name][-1]
+        patch.setattr(quality_model, "stored", keep)
+        judged = quality_model.classify_quality(docs, labels_table(spark, [(k, 1, 0) for k in range(60)])).collect()
+    score = {r["doc_id"]: r["log_perplexity"] for r in judged}
+    assert len(judged) == len(rows) and score[100] == score[0] and score[101] == score[102]
+    for name in ("trigrams", "bigrams", "trusted_texts"):
+        assert made[name] and not any(spark.read.schema(t.schema).parquet(t.inputFiles()[0].rsplit("/", 1)[0]).count() for t in made[name])
+    texts = docs.select("text")
+    one, three = (
+        {r["digest"]: r["log_perplexity"] for r in quality_model.text_scores(docs, quality_model.train_trigrams(texts, n)).collect()}
+        for n in (1, 3)
+    )
+    assert one.keys() == three.keys() and all(math.isclose(one[k], three[k], rel_tol=1e-9) for k in one)
+
+
+def test_only_scratch_tables_are_emptied(spark, tmp_path):
+    spark.range(3).write.parquet(f"{tmp_path}/input")
+    own = spark.read.parquet(f"{tmp_path}/input")
+    with pytest.raises(ValueError):
+        common.forget(own)
+    table = common.stored(own, "own")
+    common.forget(table)
+    assert own.count() == 3 and spark.read.parquet(table.inputFiles()[0].rsplit("/", 1)[0]).count() == 0
+
+
 def test_no_text_is_scored_by_a_model_that_saw_it(spark):
     rng = np.random.default_rng(4)
     say = lambda k, lang: (k, " ".join(f"{lang}{x}" for x in rng.integers(0, 300, 40)), lang, "s", 0)
