@@ -1,15 +1,16 @@
 """Scoring, templates, sampling and error curves on small tables."""
 
 import itertools
+import math
 import random
 
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from probeline.functions.columns import prepared, similarity
+from probeline.functions.columns import prepared, rounded, rounded_many, similarity
 from probeline.operators import (
-    comparisons, fusion, identification, moments, refined, scoring, splits, templates, verification,
+    blocks, comparisons, fusion, identification, moments, refined, scoring, splits, templates, verification,
 )
 from probeline.operators.comparisons import RankSpace
 from probeline.operators.refined import RefinedComparison, decisions_at
@@ -532,3 +533,24 @@ def test_scores_that_are_not_finite_are_refused(spark, one_template):
     table = spark.createDataFrame([(1, 1, 1, float("nan")), (1, 2, 1, 0.5)], "probe_id int, identity int, true_identity int, score double")
     with pytest.raises(Exception, match="finite"):
         identification.ranks_from_scores(table).collect()
+
+
+def test_rounding_of_many_rows(spark):
+    source = random.Random(3)
+    values = [source.uniform(-1, 1) for _ in range(2000)] + [(k + 0.5) / 1e6 - 1e-9 for k in range(-500, 500)]
+    values += [k / 1e6 for k in range(-20, 20)] + [0.0, -0.0, 1e-9, -1e-9, 12345.6789012, -4e8, 1e300, math.nan, math.inf, -math.inf]
+    df = spark.createDataFrame([(v,) for v in values], "v double")
+    for r in df.select("v", rounded("v").alias("a"), rounded_many("v").alias("b")).collect():
+        assert str(r["a"]) == str(r["b"]), r["v"]
+
+
+def test_all_pairs_are_made_without_copies_of_rows(vectors, monkeypatch):
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", 20)
+    scored = scoring.grid_scores(vectors, None)
+    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scored.count() == 90 * 89 // 2
+
+
+def test_scores_of_no_rows(spark):
+    none = spark.createDataFrame([], "id long, label string, vec array<double>")
+    assert scoring.grid_scores(none, None).count() == 0
