@@ -546,11 +546,28 @@ def test_rounding_of_many_rows(spark):
 
 def test_all_pairs_are_made_without_copies_of_rows(vectors, monkeypatch):
     monkeypatch.setattr(blocks, "BLOCK_ROWS", 20)
-    scored = scoring.grid_scores(vectors, None)
-    assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
-    assert scored.count() == 90 * 89 // 2
+    for scored in (scoring.grid_scores(vectors, None), comparisons.score_genuine_pairs(vectors)):
+        assert "Exchange" not in scored._jdf.queryExecution().executedPlan().toString()
+    assert scoring.grid_scores(vectors, None).count() == 90 * 89 // 2
+
+
+@pytest.mark.parametrize("most", [4, 16, 4096])
+def test_label_scores_of_large_and_small_labels(spark, monkeypatch, most):
+    source = random.Random(8)
+    labels = ["hot"] * 60 + [f"s{i // 3}" for i in range(60)] + ["alone", None, None]
+    rows = [(i, label, [source.gauss(0, 1) for _ in range(6)]) for i, label in enumerate(labels)]
+    rows.append((0, "hot", rows[0][2]))  # equal ids are no pair
+    rows.append((200, "zero", [0.0] * 6))
+    df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    monkeypatch.setattr(blocks, "BLOCK_ROWS", most)
+    monkeypatch.setattr(blocks, "SMALL_BLOCK_ROWS", 4)
+    got = sorted((r["a_id"], r["b_id"], r["label"], r["score"]) for r in comparisons.score_genuine_pairs(df).collect())
+    ready = df.where("label IS NOT NULL").select("id", "label", prepared(F.col("vec"), "cosine").alias("v"))
+    joined = ready.alias("a").join(ready.alias("b"), (F.col("a.id") < F.col("b.id")) & (F.col("a.label") == F.col("b.label")))
+    score = similarity(F.col("a.v"), F.col("b.v"), "cosine")
+    assert got == sorted(tuple(r) for r in joined.select("a.id", "b.id", "a.label", score).collect())
 
 
 def test_scores_of_no_rows(spark):
     none = spark.createDataFrame([], "id long, label string, vec array<double>")
-    assert scoring.grid_scores(none, None).count() == 0
+    assert scoring.grid_scores(none, None).count() == comparisons.score_genuine_pairs(none).count() == 0
