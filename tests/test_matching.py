@@ -571,3 +571,38 @@ def test_label_scores_of_large_and_small_labels(spark, monkeypatch, most):
 def test_scores_of_no_rows(spark):
     none = spark.createDataFrame([], "id long, label string, vec array<double>")
     assert scoring.grid_scores(none, None).count() == comparisons.score_genuine_pairs(none).count() == 0
+
+
+def _curve_rows(curve):
+    return sorted(tuple(r) for r in curve.select("threshold", "far", "tar", "frr", "far_before", "n_genuine", "n_impostor", "genuine").collect())
+
+
+@pytest.mark.parametrize("held, labels", [(1 << 20, 4), (64, 4), (4, 4), (300, 40), (64, 1)])
+def test_full_curve_in_ranges(spark, monkeypatch, held, labels):
+    source = random.Random(12)
+    rows = [(i, f"s{source.randrange(labels)}", [source.gauss(0, 1) for _ in range(6)]) for i in range(90)]
+    rows += [(100 + i, rows[i][1], rows[i][2]) for i in range(20)] + [(200, "s0", [0.0] * 6), (201, "s1", [0.0] * 6), (202, None, rows[3][2])]
+    rows += [(5, *rows[5][1:])]  # equal ids are no pair
+    df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    want = _curve_rows(verification.error_curve(scoring.score_histogram(df, None)))
+    for module, name, value in ((blocks, "BLOCK_ROWS", 30), (blocks, "SMALL_BLOCK_ROWS", 8), (blocks, "TILE", (16, 8)), (blocks, "SENT_PAIRS", 25)):
+        monkeypatch.setattr(module, name, value)
+    monkeypatch.setattr(blocks, "HELD_SCORES", held)
+    monkeypatch.setattr(refined, "RANGE", 900)
+    monkeypatch.setattr(refined, "LEAST_RANGE", 400)
+    assert _curve_rows(RefinedComparison(df).full_curve()) == want
+
+
+def test_full_curve_of_few_rows_and_of_distances(spark, vectors):
+    for rows in ([], [(1, "a", [1.0, 0.0])]):
+        df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+        assert RefinedComparison(df).full_curve().count() == 0
+    want = _curve_rows(verification.error_curve(scoring.score_histogram(vectors, None, "euclidean")))
+    assert _curve_rows(RefinedComparison(vectors, method="euclidean").full_curve()) == want
+
+
+def test_curve_queries_neither_shuffle_nor_store_scores(spark):
+    from probeline.plans import verification as plans
+
+    plan = plans.curve(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan and "ExistingRDD" not in plan
