@@ -606,3 +606,41 @@ def test_curve_queries_neither_shuffle_nor_store_scores(spark):
 
     plan = plans.curve(spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
     assert "Exchange" not in plan and "ExistingRDD" not in plan
+
+
+@pytest.mark.parametrize("digits, bins, sums", [(3, 1 << 24, 0), (6, 64, 1)])
+def test_area_to_some_digits(spark, monkeypatch, digits, bins, sums):
+    """Equal to the area of the full curve, from counts of fine bins alone where these decide the last digit."""
+    source = random.Random(21)
+    rows = [(i, f"s{i % 4}", [source.gauss(i % 4, 1.5) for _ in range(6)]) for i in range(120)]
+    df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    want = verification.curve_summary(verification.error_curve(scoring.score_histogram(df, None))).first()["auc"]
+    for module, name, value in ((blocks, "BLOCK_ROWS", 30), (blocks, "SMALL_BLOCK_ROWS", 8), (blocks, "TILE", (16, 8)), (blocks, "COUNTED_PAIRS", 1000), (blocks, "CHUNK_BINS", 512)):
+        monkeypatch.setattr(module, name, value)
+    for name, value in (("FINE_BINS", bins), ("FINE_BINS_OF_ALL_TASKS", 1), ("RANGE", 900), ("LEAST_RANGE", 400)):
+        monkeypatch.setattr(refined, name, value)
+    summed, original = [], blocks.points
+    monkeypatch.setattr(blocks, "points", lambda *args: summed.append(1) or original(*args))
+    comparison = RefinedComparison(df)
+    assert comparison.area_to(digits).select(rounded("auc", digits)).first()[0] == rounded_auc(want, digits)
+    won, left = blocks.fine_area(comparison._stored, spark, refined.BOUNDED, comparison._fine_steps(), 6)
+    g, i = comparison._class_sizes
+    assert won <= want * g * i + 1e-6 and want * g * i <= won + left + 1e-6
+    assert len(summed) == sums
+
+
+def rounded_auc(value, digits=6):
+    return math.floor((value + 10.0 ** -(digits + 3)) * 10**digits + 0.5) / 10**digits
+
+
+def test_area_to_some_digits_of_equal_scores(spark):
+    """Equal scores of both classes count half, repeated rows and unlabelled ones included."""
+    source = random.Random(22)
+    rows = [(i, f"s{i % 3}", [source.gauss(0, 1) for _ in range(6)]) for i in range(60)]
+    rows += [(100 + i, f"s{i % 2}", rows[i][2]) for i in range(30)] + [(200, "s0", [0.0] * 6), (201, None, rows[3][2]), (5, *rows[5][1:])]
+    df = spark.createDataFrame(rows, "id long, label string, vec array<double>")
+    want = verification.curve_summary(verification.error_curve(scoring.score_histogram(df, None))).first()["auc"]
+    assert RefinedComparison(df).area_to(6).select(rounded("auc")).first()[0] == rounded_auc(want)
+    one = spark.createDataFrame([(1, "a", [1.0, 0.0]), (2, "a", [0.5, 1.0])], "id long, label string, vec array<double>")
+    assert RefinedComparison(one).area_to(6).first()["auc"] is None
+    assert RefinedComparison(one.limit(0)).area_to(6).first()["auc"] is None
